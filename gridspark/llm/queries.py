@@ -23,7 +23,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op8_line_dedup)}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import languages
+
+    return languages(documents(spark, sf_dir))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_language_id, op8_line_dedup, op9_quality)}
 
 SQL = {
     "op1_exact_dedup": r"""
