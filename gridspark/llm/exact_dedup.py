@@ -29,15 +29,16 @@ def exact_duplicates(docs: DataFrame, first: int = 64, grow: int = 16) -> DataFr
     digit = lambda at, width: F.substring(F.col("t").cast("binary"), at + 1, width)
     head = base.select("doc_id", "n", digit(0, first).alias("d"))
     count = [F.count("*").alias("size"), F.min("doc_id").alias("group")]
-    shared = head.groupBy("n", "d").agg(*count).where("size > 1")
+    shared = stored(head.groupBy("n", "d").agg(*count).where("size > 1"), "radix")  # written, so that the next join is one Spark can split
     state = stored(head.join(shared, ["n", "d"]).select("doc_id", "group", "n", "size"), "radix")
     ended = [state.where(F.col("n") <= first).select("doc_id", "group", "size")]
     going = state.where(F.col("n") > first).select("doc_id", "group", "n").distinct()
-    going = stored(going.join(base, ["doc_id", "n"]).select("doc_id", "group", "n", F.substring(F.col("t").cast("binary"), first + 1, 2**31 - 1 - first).alias("t")), "radix")
+    going = stored(going.join(base.hint("merge"), ["doc_id", "n"]).select("doc_id", "group", "n", F.substring(F.col("t").cast("binary"), first + 1, 2**31 - 1 - first).alias("t")), "radix")
     at, width = first, first * grow
     while not going.isEmpty():
         cut = going.withColumn("d", digit(0, width))
         shared = cut.groupBy("group", "d").agg(*(c.alias(k) for c, k in zip(count, ("size", "next")))).where("size > 1")
+        shared = stored(shared, "radix")
         new = stored(cut.join(shared, ["group", "d"]).select("doc_id", F.col("next").alias("group"), "n", "size", F.substring("t", width + 1, 2**31 - 1 - width).alias("t")), "radix")
         forget(going)
         at, width = at + width, width * grow
@@ -48,6 +49,6 @@ def exact_duplicates(docs: DataFrame, first: int = 64, grow: int = 16) -> DataFr
         found = found.unionByName(more)
     return (
         base.select("doc_id", F.sha2("t", 256).alias("text_sha256"))
-        .join(found.distinct(), "doc_id", "left")
+        .join(found.distinct().hint("merge"), "doc_id", "left")
         .select("doc_id", F.coalesce("group", "doc_id").alias("keep_id"), F.coalesce("size", F.lit(1).cast("long")).alias("group_size"), F.coalesce("group", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
     )

@@ -112,7 +112,7 @@ def without_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("drop", i), x)), lambda x: x.isNotNull()), "\n")
     return (
-        docs.join(drops, "doc_id", "left")
+        docs.join(drops.hint("merge"), "doc_id", "left")
         .withColumn("n_lines", F.size(lines).cast("long"))
         .withColumn("n_dropped", F.coalesce(F.size("drop"), F.lit(0)).cast("long"))
         .withColumn("text", F.when(F.col("drop").isNotNull(), kept).otherwise(F.col("text")))
