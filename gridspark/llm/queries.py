@@ -16,6 +16,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import removed
+
+    return removed(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,7 +73,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_top_k, op4_packing, op5_language_id, op7_token_counts, op8_line_dedup, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_top_k, op4_packing, op5_language_id, op6_repeats, op7_token_counts, op8_line_dedup, op9_quality)}
 
 SQL = {
     "op1_exact_dedup": r"""
