@@ -73,7 +73,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_top_k, op4_packing, op5_language_id, op6_repeats, op7_token_counts, op8_line_dedup, op9_quality)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import linked
+
+    return linked(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_top_k, op4_packing, op5_language_id, op6_repeats, op7_token_counts, op8_line_dedup, op9_quality, op10_jaccard)}
 
 SQL = {
     "op1_exact_dedup": r"""
