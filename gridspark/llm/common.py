@@ -46,6 +46,14 @@ def forget(*frames: DataFrame) -> None:
                 p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it where df has a column of that name (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of each piece hold about `most` bytes (a longer text stands alone)."""
     for b in batches:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, TO_LOWER, forget, stored
+from .common import SPACE, TO_LOWER, forget, free_name, stored
 
 _STRIP, _LOWER = SPACE.encode(), TO_LOWER.tobytes()
 KEY = ["h1", "h2"]
@@ -107,24 +107,21 @@ def dropped_lines(docs: DataFrame, least: int = 20, holders: int = 3, batches: i
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("drop"))
 
 
-def without_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    """docs with text cut to the lines that stay, and n_lines, n_dropped long added. Text without a dropped line is not changed, null stays null."""
+def without_lines(docs: DataFrame, drops: DataFrame, counts: bool = False) -> DataFrame:
+    """docs with text cut to the lines that stay; with counts also n_lines, n_dropped long. Text without a dropped line is not changed, null stays null."""
+    drop = free_name(docs, "drop")
+    both = docs.join(drops.withColumnRenamed("drop", drop).hint("merge"), "doc_id", "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("drop", i), x)), lambda x: x.isNotNull()), "\n")
-    return (
-        docs.join(drops.hint("merge"), "doc_id", "left")
-        .withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("drop"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("drop").isNotNull(), kept).otherwise(F.col("text")))
-        .drop("drop")
-    )
+    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(drop, i), x)), lambda x: x.isNotNull()), "\n")
+    more = [F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped")]
+    text = F.when(F.col(drop).isNotNull(), kept).otherwise(F.col("text")).alias("text")
+    return both.select(*(text if c == "text" else F.col(c) for c in docs.columns), *more * counts)
 
 
-def dedup_lines(docs: DataFrame, least: int = 20, holders: int = 3, batches: int = 4, fan: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 20, holders: int = 3, batches: int = 4, fan: int = 2, counts: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of text; see dropped_lines() and without_lines().
 
     Null and empty texts are one empty line, which is too short to go. Rows without doc_id stay as they are. Rows
     that repeat a doc_id count as several holders of their lines with one id, and lose the same line numbers.
-    Other columns stay, whatever their names but drop, n_lines and n_dropped."""
-    return without_lines(docs, dropped_lines(docs, least, holders, batches, fan))
-
+    Other columns stay as they are."""
+    return without_lines(docs, dropped_lines(docs, least, holders, batches, fan), counts)

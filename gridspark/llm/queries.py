@@ -34,7 +34,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
-    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, forget, prefix_hash, slices, span_hash, stored
+from .common import flat, forget, free_name, prefix_hash, slices, span_hash, stored
 
 _PLACE = np.uint64(22)  # bits of a place in a slice
 
@@ -255,9 +255,9 @@ def joined_spans(start: list[int], stop: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with spans array<struct<start, stop>> (or null) added."""
-    return docs.join(found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).hint("merge"), "doc_id", "left")
+def with_spans(docs: DataFrame, found: DataFrame, name: str = "spans") -> DataFrame:
+    """docs with an array<struct<start, stop>> (or null) added."""
+    return docs.join(found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias(name)).hint("merge"), "doc_id", "left")
 
 
 def removed(docs: DataFrame, least: int = 400, gram: int = 128, most: int = 2000) -> DataFrame:
@@ -280,12 +280,12 @@ def removed(docs: DataFrame, least: int = 400, gram: int = 128, most: int = 2000
 
 def without_repeats(docs: DataFrame, least: int = 400, gram: int = 128, most: int = 2000) -> DataFrame:
     """docs, with text cut by its repeated passages. A character goes if all its bytes do, so the text stays valid."""
-    names = docs.columns
+    names, extra = docs.columns, free_name(docs, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = []
-            for value, spans in zip(b.column("text"), b.column("spans").to_pylist()):
+            for value, spans in zip(b.column("text"), b.column(extra).to_pylist()):
                 if not spans:
                     texts.append(value.as_py())
                     continue
@@ -300,5 +300,5 @@ def without_repeats(docs: DataFrame, least: int = 400, gram: int = 128, most: in
                 texts.append(b"".join([*out, text[at:]]).decode())
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.column(c).type) if c == "text" else b.column(c) for c in names], names)
 
-    both = with_spans(docs, repeated_spans(docs, least, gram, most))
-    return both.select(*names, "spans").mapInArrow(run, docs.schema)
+    both = with_spans(docs, repeated_spans(docs, least, gram, most), extra)
+    return both.select(*names, extra).mapInArrow(run, docs.schema)
