@@ -35,7 +35,15 @@ def manifest(sizes: list[list[int]], uris: list[str] | None = None, identifiers:
 
 def pruned(entries: list[dict], wanted: list[range]) -> list[dict]:
     """The fragments that hold any of the wanted positions; others are never opened."""
-    return [x for x in entries if all(len(w) and min(w) < b and max(w) >= a for a, b, w in zip(x["start"], x["stop"], wanted))]
+
+    def meets(a: int, b: int, w: range | list[int]) -> bool:
+        if isinstance(w, range) and len(w):
+            w = w if w.step > 0 else w[::-1]
+            k = max(0, -((w.start - a) // w.step))  # the first wanted position from a on
+            return k < len(w) and w[k] < b
+        return any(a <= x < b for x in w)
+
+    return [x for x in entries if all(meets(a, b, w) for a, b, w in zip(x["start"], x["stop"], wanted))]
 
 
 def aggregated(spark: SparkSession, entries: list[dict], axes: tuple[str, ...], shape: tuple[int, ...], read: object, units: str | None = None, dtype: str = "double") -> Cells:

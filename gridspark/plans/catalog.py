@@ -170,4 +170,4 @@ def nearest_in_groups(variables: DataFrame, wanted: DataFrame) -> DataFrame:
     ranked = both.withColumn("above", above).withColumn("order", F.struct((~above).alias("a"), F.when(above, -F.col("depth")).otherwise(F.col("depth")).alias("b")))
     w = Window.partitionBy("name", "path")
     out = ranked.withColumn("least", F.min("order").over(w)).where(F.col("order") == F.col("least")).withColumn("n", F.count("*").over(w))
-    return out.where(F.col("above") | (F.col("n") == 1)).select("name", "path", "at")
+    return out.where(F.col("above") | (F.col("n") == 1)).select("name", "path", F.col("at").alias("found_in"))

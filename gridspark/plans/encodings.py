@@ -1,0 +1,292 @@
+"""Queries on encodings: ragged, gathered, tie points, geometry, meshes, fragments."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..model import Cells
+from ..operators import fragments, gathered, geometry, mesh, ragged, tiepoints
+from ..operators.indexing import subspace
+from ..operators.masking import validity
+from ..operators.ordering import dense_places
+from ..sources.tables import masked_cells, table, whole_cells
+from .arrays import M, Q
+from .registry import query
+
+LINE = "l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+@query(
+    "SELECT o_orderkey, max(q) AS max_quantity, min(q) AS min_quantity, sum(q) AS sum_quantity, count(l_orderkey) AS elements FROM orders LEFT JOIN "
+    "(SELECT l_orderkey, CASE WHEN l_quantity BETWEEN 5 AND 45 THEN l_quantity END AS q FROM lineitem) ON o_orderkey = l_orderkey GROUP BY o_orderkey"
+)
+def ragged_masked_reduction(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as the ragged axis of orders; quantities outside the valid range are missing; orders without lines stay."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.when(~validity(F.col("l_quantity"), valid_range=(5, 45)), F.col("l_quantity")).alias("q"))
+    per = lines.groupBy("l_orderkey").agg(F.max("q").alias("max_quantity"), F.min("q").alias("min_quantity"), F.sum("q").alias("sum_quantity"), F.count("*").alias("elements"))
+    joined = table(spark, sf, "orders").select("o_orderkey").join(per, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return joined.select("o_orderkey", "max_quantity", "min_quantity", "sum_quantity", F.coalesce("elements", F.lit(0)).alias("elements"))
+
+
+@query(f"SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE}) - 1 AS e, l_quantity, l_partkey FROM lineitem")
+def ragged_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return ragged.indexed(table(spark, sf, "lineitem"), "l_orderkey", LINE.split(", ")).select("l_orderkey", "e", "l_quantity", "l_partkey")
+
+
+def _contiguous(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(samples numbered in the order of vector and component, counts of vectors): the masked field, compressed."""
+    return ragged.compress_contiguous(subspace(masked_cells(spark, sf), (slice(200),)), "j")
+
+
+_RAGGED = f"{M}, n AS (SELECT i, coalesce(max(CASE WHEN value IS NOT NULL THEN j + 1 END), 0) AS n FROM m WHERE i < 200 GROUP BY i), s AS (SELECT i, n, coalesce(sum(n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n)"
+
+
+@query(f"WITH {_RAGGED} SELECT start + j AS o, value FROM s JOIN m USING (i) WHERE j < n")
+def ragged_compress(spark: SparkSession, sf: str) -> DataFrame:
+    return _contiguous(spark, sf)[0]
+
+
+@query(f"WITH {_RAGGED} SELECT start + j AS o, i AS index, value FROM s JOIN m USING (i) WHERE j < n")
+def ragged_compress_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return ragged.compress_indexed(subspace(masked_cells(spark, sf), (slice(200),)), "j")
+
+
+@query(f"WITH {_RAGGED} SELECT i, j AS e, start + j AS o, value FROM s JOIN m USING (i) WHERE j < n")
+def ragged_contiguous(spark: SparkSession, sf: str) -> DataFrame:
+    samples, counts = _contiguous(spark, sf)
+    return ragged.contiguous(samples, counts, "o", "i", "count").where("e is not null").select("i", "e", "o", "value")
+
+
+@query(f"WITH {M} SELECT i, j AS e, value FROM m WHERE i < 200")
+def ragged_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    samples, counts = _contiguous(spark, sf)
+    return ragged.padded(ragged.contiguous(samples, counts, "o", "i", "count"), "i", "e", ["value"], 64)
+
+
+@query(
+    f"WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p FROM orders), "
+    f"l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE}) - 1 AS e FROM lineitem) SELECT o_custkey, p, e, l_quantity FROM o LEFT JOIN l ON o_orderkey = l_orderkey"
+)
+def ragged_indexed_contiguous(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' profiles are orders, by index; orders' samples are lines, by count."""
+    lines = ragged.indexed(table(spark, sf, "lineitem"), "l_orderkey", LINE.split(", "))
+    counts = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n")), "o_orderkey", "left")
+    # Stored end to end in the order of the orders, as a file has them.
+    size = (counts.agg(F.max("o_orderkey")).first()[0] or 0) + 1
+    starts = ragged.running_start(counts.withColumn("n", F.coalesce("n", F.lit(0))), "o_orderkey", "n", "start")
+    samples = lines.join(starts.select(F.col("o_orderkey").alias("l_orderkey"), "start"), "l_orderkey").select((F.col("start") + F.col("e")).alias("o"), "l_quantity")
+    assert size
+    return ragged.indexed_contiguous(samples, counts, "o", "o_orderkey", "o_custkey", "n").select("o_custkey", "p", "e", "l_quantity")
+
+
+@query(f"WITH {Q}, l AS (SELECT i * 64 + j AS place, row_number() OVER (ORDER BY i * 64 + j) - 1 AS item FROM q WHERE value > 20) SELECT item, place, value FROM l JOIN q ON i * 64 + j = place")
+def gathered_gather(spark: SparkSession, sf: str) -> DataFrame:
+    c = whole_cells(spark, sf)
+    cells, places = gathered.gather(replace(c, df=c.df.where("value > 20")), ("i", "j"))
+    return cells.join(places, "item").select("item", "place", "value")
+
+
+@query(f"WITH {Q} SELECT i, j, value FROM q WHERE value > 20")
+def gathered_scatter(spark: SparkSession, sf: str) -> DataFrame:
+    c = whole_cells(spark, sf)
+    cells, places = gathered.gather(replace(c, df=c.df.where("value > 20")), ("i", "j"))
+    return gathered.scatter(cells, places, "item", "place", c.axes, c.shape)
+
+
+@query(f"WITH {Q} SELECT i, j, value FROM q WHERE value <> 0")
+def sparse_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return gathered.sparse(whole_cells(spark, sf)).frame()
+
+
+_TIE = "t(k, u) AS (VALUES (0, -85.0::DOUBLE), (8, -5.0), (9, 5.0), (17, 85.0))"
+_AREA = (
+    "a AS (SELECT k AS low, lead(k) OVER (ORDER BY k) AS high, u AS ua, lead(u) OVER (ORDER BY k) AS ub, coalesce(k - lag(k) OVER (ORDER BY k), 0) <= 1 AS first FROM t), "
+    "s AS (SELECT *, row_number() OVER (ORDER BY low) - 1 AS area FROM a WHERE high - low > 1)"
+)
+
+
+def _ties(spark: SparkSession, rows: list[tuple] = [(0, -85.0), (8, -5.0), (9, 5.0), (17, 85.0)]) -> DataFrame:  # noqa: B006  a fixture
+    return spark.createDataFrame(rows, "k long, value double")
+
+
+@query(f"WITH {_TIE}, {_AREA} SELECT i::BIGINT AS i, ua + (i - low) / (high - low) * (ub - ua) AS value FROM s, range(18) r(i) WHERE i <= high AND (i > low OR first AND i = low)")
+def tie_linear(spark: SparkSession, sf: str) -> DataFrame:
+    return tiepoints.interpolated(_ties(spark), "k")
+
+
+@query(
+    f"WITH {_TIE}, {_AREA} SELECT i::BIGINT AS i, ua + (i - low) / (high - low) * (ub - ua) + 4 * w * (i - low) / (high - low) * (1 - (i - low) / (high - low)) AS value "
+    "FROM s JOIN (VALUES (0, 3.5::DOUBLE), (1, -2.0)) p(n, w) ON area = n, range(18) r(i) WHERE i <= high AND (i > low OR first AND i = low)"
+)
+def tie_quadratic(spark: SparkSession, sf: str) -> DataFrame:
+    w = spark.createDataFrame([(0, 3.5), (1, -2.0)], "area int, w double")
+    return tiepoints.interpolated(_ties(spark), "k", w="w", parameters=w)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, (l_extendedprice - (0.75 * l_quantity + 0.25 * 100)) / 0.75 AS w, l_extendedprice AS u FROM lineitem")
+def tie_quadratic_parameter(spark: SparkSession, sf: str) -> DataFrame:
+    """The parameter that gives a value at a quarter of the way, and the value from it."""
+    a, b, u, s = F.col("l_quantity"), F.lit(100.0), F.col("l_extendedprice"), F.lit(0.25)
+    w = tiepoints.quadratic_w(a, b, u, s)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", w.alias("w"), F.round(tiepoints.quadratic(a, b, w, s), 6).alias("u"))
+
+
+@query(
+    "WITH s1(low, high, first) AS (VALUES (0, 8, true), (8, 12, false)), s2(lo2, hi2, first2) AS (VALUES (0, 4, true), (4, 10, false)) "
+    "SELECT i::BIGINT AS i, j::BIGINT AS j, (3.0 * i + 5.0 * j + 0.5 * i * j)::DOUBLE AS value FROM s1, s2, range(13) a(i), range(11) b(j) WHERE i <= high AND (i > low OR first AND i = low) AND j <= hi2 AND (j > lo2 OR first2 AND j = lo2)"
+)
+def tie_bilinear(spark: SparkSession, sf: str) -> DataFrame:
+    """A bi-linear surface is restored from its tie points."""
+    rows = [(p, q, 3.0 * p + 5.0 * q + 0.5 * p * q) for p in (0, 8, 12) for q in (0, 4, 10)]
+    return tiepoints.interpolated_2d(spark.createDataFrame(rows, "p long, q long, value double"), "p", "q").select("i", "j", F.round("value", 9).alias("value"))
+
+
+@query("SELECT i::BIGINT AS i, [-90.0 + 10.0 * i, -80.0 + 10.0 * i]::DOUBLE[] AS bounds FROM range(18) r(i)")
+def tie_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of two continuous areas, from the vertices at their ends."""
+    return tiepoints.bounds(_ties(spark, [(0, -90.0), (8, 0.0), (9, 0.0), (17, 90.0)]), "k").select("i", F.transform("bounds", lambda x: F.round(x, 9)).alias("bounds"))
+
+
+@query("SELECT k::BIGINT AS k, round(degrees(atan2(z, sqrt(x * x + y * y))), 9) AS lat, round(degrees(atan2(y, x)), 9) AS lon FROM (SELECT k, s, ax + s * (bx - ax) + c * 4 * s * (1 - s) * (ax + bx) / 2 AS x, ay + s * (by_ - ay) + c * 4 * s * (1 - s) * (ay + by_) / 2 AS y, az + s * (bz - az) + c * 4 * s * (1 - s) * (az + bz) / 2 AS z FROM (SELECT *, 1 - sqrt(((ax + bx) * (ax + bx) + (ay + by_) * (ay + by_) + (az + bz) * (az + bz)) / 4) AS c FROM (SELECT k, k / 10.0 AS s, cos(radians(10)) * cos(radians(20)) AS ax, cos(radians(10)) * sin(radians(20)) AS ay, sin(radians(10)) AS az, cos(radians(30)) * cos(radians(60)) AS bx, cos(radians(30)) * sin(radians(60)) AS by_, sin(radians(30)) AS bz FROM range(11) r(k))))")
+def tie_lat_lon_sphere(spark: SparkSession, sf: str) -> DataFrame:
+    """Along a great circle between two points, without coefficients."""
+    n = F.lit(None).cast("double")
+    lat, lon = tiepoints.quadratic_lat_lon(F.lit(10.0), F.lit(20.0), F.lit(30.0), F.lit(60.0), n, n, F.col("id") / 10.0, F.lit(True))
+    return spark.range(11).select(F.col("id").alias("k"), F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
+
+
+@query(
+    "SELECT * FROM (VALUES (0, [[{'x': 20, 'y': 0}, {'x': 10, 'y': 15}, {'x': 0, 'y': 0}], [{'x': 5, 'y': 5}, {'x': 10, 'y': 10}, {'x': 15, 'y': 5}, {'x': 10, 'y': 5}], [{'x': 20, 'y': 20}, {'x': 10, 'y': 35}, {'x': 0, 'y': 20}]], [0, 1, 0]), "
+    "(1, [[{'x': 50, 'y': 0}, {'x': 40, 'y': 15}, {'x': 30, 'y': 0}]], [0])) t(cell, parts, rings)"
+)
+def geometry_parts(spark: SparkSession, sf: str) -> DataFrame:
+    x, y = [20, 10, 0, 5, 10, 15, 10, 20, 10, 0, 50, 40, 30], [0, 15, 0, 5, 10, 5, 5, 20, 35, 20, 0, 15, 0]
+    nodes = spark.createDataFrame(list(zip(range(13), x, y)), "n long, x int, y int")
+    parts = spark.createDataFrame([(0, 3, 0), (1, 4, 1), (2, 3, 0), (3, 3, 0)], "p long, size int, ring int")
+    cells = spark.createDataFrame([(0, 10), (1, 3)], "cell long, nodes int")
+    return geometry.nested(nodes, parts, cells, "n", "p", "cell", "size", "nodes", ring="ring").select(F.col("cell").cast("int").alias("cell"), "parts", "rings")
+
+
+@query("SELECT l_orderkey AS cell, min(l_quantity) AS min_x, max(l_quantity) AS max_x, min(l_tax) AS min_y, max(l_tax) AS max_y, count(*) AS nodes FROM lineitem GROUP BY l_orderkey")
+def geometry_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    part = F.collect_list(F.struct(F.col("l_quantity").alias("x"), F.col("l_tax").alias("y")))
+    return geometry.bounding_box(table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("cell")).agg(F.array(part).alias("parts")), "cell")
+
+
+_FACES = "f AS (SELECT l_orderkey AS cell, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nodes FROM lineitem GROUP BY l_orderkey)"
+_EDGES = f"{_FACES}, e AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (SELECT nodes[k + 1] AS x, nodes[(k + 1) % len(nodes) + 1] AS y FROM f, range(100) r(k) WHERE k < len(nodes)) WHERE x <> y)"
+
+
+def _faces(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as polygons of the parts in them."""
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("cell")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
+    return lines.select("cell", F.transform("x", lambda x: x["l_partkey"]).alias("nodes"))
+
+
+@query(f"WITH {_EDGES} SELECT a, b FROM e")
+def edges_from_faces(spark: SparkSession, sf: str) -> DataFrame:
+    return mesh.edges_from_faces(_faces(spark, sf))
+
+
+@query(f"WITH {_EDGES} SELECT node, list(n ORDER BY n) AS neighbours FROM (SELECT a AS node, b AS n FROM e UNION SELECT b, a FROM e) GROUP BY node")
+def point_topology_faces(spark: SparkSession, sf: str) -> DataFrame:
+    return mesh.points_from_faces(_faces(spark, sf))
+
+
+@query("SELECT node, list(n ORDER BY n) AS neighbours, list_concat([node], list(n ORDER BY n)) AS row FROM (SELECT DISTINCT l_partkey AS node, 1000000000 + l_suppkey AS n FROM lineitem UNION SELECT DISTINCT 1000000000 + l_suppkey, l_partkey FROM lineitem) GROUP BY node")
+def point_topology_edges(spark: SparkSession, sf: str) -> DataFrame:
+    edges = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b"))
+    return mesh.with_own(mesh.points_from_edges(edges), "node", "neighbours")
+
+
+@query(f"WITH {_EDGES} SELECT a, b FROM e")
+def edges_from_points(spark: SparkSession, sf: str) -> DataFrame:
+    return mesh.edges_from_points(mesh.points_from_faces(_faces(spark, sf)))
+
+
+@query(f"WITH {_FACES}, n AS (SELECT DISTINCT unnest(nodes) AS id FROM f), r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new FROM n), x AS (SELECT cell, unnest(nodes) AS id, generate_subscripts(nodes, 1) AS k FROM f) SELECT cell, list(new ORDER BY k) AS nodes FROM x JOIN r USING (id) GROUP BY cell")
+def topology_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    return mesh.normalised(_faces(spark, sf), "cell", "nodes")
+
+
+@query("WITH c AS (SELECT c_custkey AS cell, [c_custkey + 3, c_custkey - 2, c_custkey + 100000] AS n FROM customer), r AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS new FROM c) SELECT r.new AS cell, list_sort(list(s.new)) AS neighbours FROM (SELECT cell, unnest(n) AS id FROM c) x JOIN r USING (cell) LEFT JOIN r s ON x.id = s.cell WHERE s.new IS NOT NULL GROUP BY r.new")
+def connectivity_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    links = table(spark, sf, "customer").select(k.alias("cell"), F.array(k + 3, k - 2, k + 100000).alias("neighbours"))
+    return mesh.normalised_connectivity(links, "cell", "neighbours")
+
+
+@query(f"WITH {_FACES}, x AS (SELECT cell, unnest(nodes) AS id, generate_subscripts(nodes, 1) AS k FROM f) SELECT cell, list(p_retailprice ORDER BY k) AS bounds FROM x LEFT JOIN part ON id = p_partkey GROUP BY cell")
+def bounds_from_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return mesh.bounds_from_nodes(_faces(spark, sf), "cell", "nodes", table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_retailprice"), "id", "p_retailprice")
+
+
+@query(f"WITH {_FACES}, x AS (SELECT cell, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS k FROM f) SELECT node, arg_min(cell * 100.0 + (k - 1), cell * 1000 + k)::DOUBLE AS coordinate FROM x GROUP BY node")
+def node_coordinates(spark: SparkSession, sf: str) -> DataFrame:
+    faces = _faces(spark, sf).withColumn("bounds", F.transform("nodes", lambda x, k: F.col("cell") * 100.0 + k))
+    return mesh.node_coordinates(faces, "cell", "nodes", "bounds")
+
+
+@query("SELECT c_custkey AS cell, [c_custkey, c_custkey + 1, c_custkey * 2] AS row FROM customer")
+def cell_connectivity(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return mesh.cell_connectivity(table(spark, sf, "customer").select(k.alias("cell"), F.array(k + 2, F.lit(None).cast("long"), k * 2 + 1).alias("neighbours")), start_index=1)
+
+
+@query("SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
+def topology_sort(spark: SparkSession, sf: str) -> DataFrame:
+    return mesh.sorted_edges(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct())
+
+
+_FRAGMENTS = [[100, 150, 250], [64]]
+
+
+@query(f"WITH {Q} SELECT i, j, CASE WHEN i < 100 THEN value::DOUBLE WHEN i < 250 THEN value::DOUBLE * 1000.0 ELSE value::DOUBLE END AS value FROM q WHERE i < 500")
+def aggregated_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """Three fragments of one array, the second in other units."""
+    c = whole_cells(spark, sf)
+    entries = fragments.manifest(_FRAGMENTS, ["a", "b", "c"])
+
+    def read(x: dict) -> Cells:
+        part = subspace(c, (slice(x["start"][0], x["stop"][0]),))
+        return replace(part.select(part.v.cast("double")), units="km" if x["uri"] == "b" else "m")
+
+    return fragments.aggregated(spark, entries, ("i", "j"), (500, 64), read, "m").frame()
+
+
+@query("SELECT i::BIGINT AS i, CASE WHEN i < 3 THEN 7 ELSE 9 END::DOUBLE AS value FROM range(12) r(i)")
+def aggregated_constants(spark: SparkSession, sf: str) -> DataFrame:
+    return fragments.aggregated(spark, fragments.manifest([[3, 9]], unique_values=[7, 9]), ("i",), (12,), None).frame()
+
+
+@query("SELECT * FROM (VALUES (1, '/d/sub/f1.nc'), (3, '/d/f3.nc')) t(k, uri)")
+def fragments_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    entries = fragments.manifest([[4, 4, 4, 4]], ["f0.nc", "sub/f1.nc", "x/../f2.nc", "f3.nc"], base="/d")
+    kept = fragments.pruned(entries, [range(5, 16, 8)])
+    return spark.createDataFrame([(x["start"][0] // 4, x["uri"]) for x in kept], "k int, uri string")
+
+
+@query("SELECT page_id, replace(url, 'https://', 'https://') AS url, CASE WHEN starts_with('/a/' || page_id, '/a/1') AND ('/a/' || page_id = '/a/1' OR starts_with('/a/' || page_id, '/a/1/')) THEN '/b' ELSE '/a/' || page_id END AS uri FROM pages WHERE page_id <> 1")
+def fragments_relocated(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "pages").where("page_id <> 1").select("page_id", "url", F.concat(F.lit("/a/"), F.col("page_id").cast("string")).alias("uri"))
+    return fragments.relocated(rows, "/a/1", "/b")
+
+
+@query("SELECT o_custkey AS fragment, min(o_orderstatus) IS NOT DISTINCT FROM max(o_orderstatus) AS constant, CASE WHEN min(o_orderstatus) = max(o_orderstatus) THEN min(o_orderstatus) END AS value FROM orders GROUP BY o_custkey")
+def fragment_unique_value(spark: SparkSession, sf: str) -> DataFrame:
+    return fragments.unique_value(table(spark, sf, "orders").select(F.col("o_custkey").alias("fragment"), "o_orderstatus"), "fragment", "o_orderstatus").withColumnRenamed("o_orderstatus", "value")
+
+
+@query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS e, ts, value FROM events")
+def time_series_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as discrete sampling geometry: one time series for each user."""
+    return ragged.indexed(table(spark, sf, "events"), "user_id", ["ts", "event_id"]).select("user_id", "e", "ts", "value")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events WHERE value > 50")
+def dense_renumbering(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events")
+    return dense_places(events.where("value > 50").select("event_id"), "event_id", events.count(), "place")

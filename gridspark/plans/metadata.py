@@ -1,0 +1,168 @@
+"""Queries on metadata: the catalogue's filters, names, units, times, attributes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import attrs, time, units
+from ..model import Construct
+from ..operators.combine import newest
+from ..sources.tables import table
+from . import catalog
+from .registry import query
+
+#: A small field's constructs, as literals.
+CONSTRUCTS = [
+    Construct("domainaxis0", "domain_axis", size=5, ncdim="lat"),
+    Construct("domainaxis1", "domain_axis", size=8, ncdim="lon"),
+    Construct("domainaxis2", "domain_axis", size=1),
+    Construct("dimensioncoordinate0", "dimension_coordinate", ("domainaxis0",), {"standard_name": "latitude", "units": "degrees_north"}, ncvar="lat"),
+    Construct("dimensioncoordinate1", "dimension_coordinate", ("domainaxis1",), {"standard_name": "longitude", "units": "degrees_east"}, ncvar="lon"),
+    Construct("dimensioncoordinate2", "dimension_coordinate", ("domainaxis2",), {"standard_name": "time", "units": "days since 2018-12-01", "axis": "T"}, ncvar="time"),
+    Construct("auxiliarycoordinate0", "auxiliary_coordinate", ("domainaxis0", "domainaxis1"), {"long_name": "area name", "valid_max": "9.50"}),
+    Construct("cellmeasure0", "cell_measure", ("domainaxis0", "domainaxis1"), {"units": "km2"}, measure="area", ncvar="cell_area"),
+    Construct("cellmethod0", "cell_method", ("domainaxis0",), method="mean"),
+    Construct("cellmethod1", "cell_method", ("domainaxis2",), method="maximum"),
+    Construct("domaintopology0", "domain_topology", ("domainaxis1",), cell="face"),
+    Construct("cellconnectivity0", "cell_connectivity", ("domainaxis1",), connectivity="edge"),
+]
+_FILTERS = {
+    "axis_and": (lambda: catalog.by_axis("domainaxis0", "domainaxis1"), "auxiliarycoordinate0 cellmeasure0"),
+    "axis_or": (lambda: catalog.by_axis("domainaxis0", "domainaxis2", mode="or"), "dimensioncoordinate0 dimensioncoordinate2 auxiliarycoordinate0 cellmeasure0"),
+    "axis_exact": (lambda: catalog.by_axis("domainaxis0", mode="exact"), "dimensioncoordinate0"),
+    "axis_subset": (lambda: catalog.by_axis("domainaxis1", "domainaxis2", mode="subset"), "dimensioncoordinate1 dimensioncoordinate2 domaintopology0 cellconnectivity0"),
+    "identity": (lambda: catalog.by_identity("latitude", "measure:area", "re:^long_name=area"), "dimensioncoordinate0 cellmeasure0 auxiliarycoordinate0"),
+    "key": (lambda: catalog.by_key("cellmethod1", "re:axis[01]$"), "cellmethod1 domainaxis0 domainaxis1"),
+    "property_and": (lambda: catalog.by_property(units="re:^degrees", standard_name="longitude"), "dimensioncoordinate1"),
+    "property_or": (lambda: catalog.by_property(mode="or", axis="T", valid_max=9.5), "dimensioncoordinate2 auxiliarycoordinate0"),
+    "property_exists": (lambda: catalog.by_property(long_name=None), "auxiliarycoordinate0"),
+    "naxes": (lambda: catalog.by_naxes(2), "auxiliarycoordinate0 cellmeasure0"),
+    "size": (lambda: catalog.by_size(1, 8), "domainaxis1 domainaxis2"),
+    "type": (lambda: catalog.by_type("cell_method", "domain_axis"), "cellmethod0 cellmethod1 domainaxis0 domainaxis1 domainaxis2"),
+    "measure": (lambda: catalog.by_measure("area"), "cellmeasure0"),
+    "method": (lambda: catalog.by_method("mean"), "cellmethod0"),
+    "cell": (lambda: catalog.by_cell("face"), "domaintopology0"),
+    "connectivity": (lambda: catalog.by_connectivity(), "cellconnectivity0"),
+    "ncvar": (lambda: catalog.by_ncvar("re:^l"), "dimensioncoordinate0 dimensioncoordinate1"),
+    "ncdim": (lambda: catalog.by_ncdim("lat"), "domainaxis0"),
+    "data": (lambda: catalog.by_data(), "dimensioncoordinate0 dimensioncoordinate1 dimensioncoordinate2 auxiliarycoordinate0 cellmeasure0 domaintopology0 cellconnectivity0"),
+}
+
+
+def _selected(spark: SparkSession) -> catalog.Selection:
+    return catalog.Selection(catalog.catalogue(spark, CONSTRUCTS))
+
+
+for _name, (_condition, _keys) in _FILTERS.items():
+
+    def _filter(spark: SparkSession, sf: str, condition: object = _condition) -> DataFrame:
+        return _selected(spark).filter(condition()).df.select("key", "type", "naxes")
+
+    _filter.__name__ = f"construct_filter_{_name}"
+    _of = {c.key: c for c in CONSTRUCTS}
+    query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{_of[k].type}', {len(_of[k].axes)})" for k in _keys.split()) + ") t(key, type, naxes)")(_filter)
+
+
+@query("SELECT * FROM (VALUES ('latitude'), ('longitude'), ('time')) t(identity)")
+def construct_identities(spark: SparkSession, sf: str) -> DataFrame:
+    return _selected(spark).filter(catalog.by_type("dimension_coordinate")).df.select("identity")
+
+
+@query("SELECT * FROM (VALUES ('domainaxis0'), ('domainaxis1'), ('domainaxis2'), ('auxiliarycoordinate0'), ('cellmeasure0'), ('cellmethod0'), ('cellmethod1'), ('domaintopology0'), ('cellconnectivity0')) t(key)")
+def construct_filter_inverse(spark: SparkSession, sf: str) -> DataFrame:
+    return _selected(spark).filter(catalog.by_type("dimension_coordinate"), catalog.by_naxes(1)).inverse().df.select("key")
+
+
+@query("SELECT * FROM (VALUES ('dimensioncoordinate0'), ('dimensioncoordinate1'), ('dimensioncoordinate2')) t(key)")
+def construct_unfilter(spark: SparkSession, sf: str) -> DataFrame:
+    return _selected(spark).filter(catalog.by_type("dimension_coordinate"), catalog.by_identity("time")).unfilter(1).df.select("key")
+
+
+@query("SELECT * FROM (VALUES ('domainaxis0'), ('domainaxis1'), ('dimensioncoordinate0'), ('dimensioncoordinate1'), ('auxiliarycoordinate0'), ('cellmeasure0'), ('cellmethod0'), ('domaintopology0'), ('cellconnectivity0')) t(key)")
+def construct_convert(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.convertible(_selected(spark).df, ("domainaxis0", "domainaxis1")).select("key")
+
+
+@query("SELECT 'source' AS name, 'x' AS value WHERE false UNION ALL SELECT 'kind' AS name, 'order' AS value WHERE (SELECT count(*) FROM orders) > 0")
+def global_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    rows = o.select(F.col("o_orderkey").alias("field_id"), F.lit("kind").alias("name"), F.lit("order").alias("value")).unionByName(o.select(F.col("o_orderkey").alias("field_id"), F.lit("status").alias("name"), F.col("o_orderstatus").alias("value")))
+    return catalog.global_attributes(rows)
+
+
+@query("SELECT * FROM (VALUES ('x', '/a/b', '/a'), ('y', '/a', '/a'), ('z', '/', '/a/b')) t(name, path, found_in)")
+def variable_in_groups(spark: SparkSession, sf: str) -> DataFrame:
+    have = spark.createDataFrame([("x", "/"), ("x", "/a"), ("x", "/a/b/c"), ("y", "/a"), ("z", "/a/b"), ("z", "/a/b/d"), ("w", "/p"), ("w", "/q")], "name string, path string")
+    want = spark.createDataFrame([("x", "/a/b"), ("y", "/a"), ("z", "/"), ("w", "/")], "name string, path string")
+    return catalog.nearest_in_groups(have, want)
+
+
+@query("SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000 AS hours FROM events")
+def time_encode(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", time.encode(F.col("ts").cast("timestamp"), "hours since 2024-01-01").alias("hours"))
+
+
+@query("SELECT o_orderkey, TIMESTAMP '1990-03-01 06:00:00' + to_hours(CAST(o_orderkey % 100000 AS BIGINT)) AS t, strftime(TIMESTAMP '1990-03-01 06:00:00' + to_hours(CAST(o_orderkey % 100000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS text FROM orders")
+def time_decode(spark: SparkSession, sf: str) -> DataFrame:
+    t = time.decode(F.col("o_orderkey") % 100000, "hours since 1990-03-01 06:00:00")
+    return table(spark, sf, "orders").select("o_orderkey", t.cast("timestamp_ntz").alias("t"), time.to_text(t).alias("text"))
+
+
+@query("SELECT o_orderkey, (o_orderkey % 1000) * 24.0 + 744 AS hours FROM orders")
+def time_rebase(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select("o_orderkey", time.rebase((F.col("o_orderkey") % 1000).cast("double"), "days since 2000-02-01", "hours since 2000-01-01").alias("hours"))
+
+
+@query("WITH d AS (SELECT o_orderkey, o_orderkey % 20000 + 720029 AS n FROM orders) SELECT o_orderkey, n // 360 AS year, (n % 360 // 30 + 1)::INTEGER AS month, (n % 30 + 1)::INTEGER AS day FROM d")
+def calendar_360_day(spark: SparkSession, sf: str) -> DataFrame:
+    f = time.fields(F.col("o_orderkey") % 20000, "days since 2000-01-30", "360_day")
+    return table(spark, sf, "orders").select("o_orderkey", f["year"].alias("year"), f["month"].alias("month"), f["day"].alias("day"))
+
+
+@query("WITH d AS (SELECT o_orderkey, o_orderkey % 20000 AS n FROM orders), x AS (SELECT o_orderkey, 2001 + n // 365 AS year, DATE '2001-01-01' + (n % 365)::INTEGER AS d FROM d) SELECT o_orderkey, year, month(d)::INTEGER AS month, day(d)::INTEGER AS day FROM x")
+def calendar_noleap(spark: SparkSession, sf: str) -> DataFrame:
+    f = time.fields(F.col("o_orderkey") % 20000, "days since 2001-01-01", "noleap")
+    return table(spark, sf, "orders").select("o_orderkey", f["year"].alias("year"), f["month"].alias("month"), f["day"].alias("day"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS t FROM orders")
+def time_from_text(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").withColumn("text", F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("o_orderkey") % 3 == 0, "+01:00").otherwise("")))
+    return o.select("o_orderkey", time.from_text(F.col("text")).cast("timestamp_ntz").alias("t"))
+
+
+@query("SELECT user_id, arg_min(value, event_id) FILTER (event_type <> 'click') AS value FROM events GROUP BY user_id")
+def first_present(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").groupBy("user_id").agg(time.first_present(F.when(F.col("event_type") != "click", F.col("value")), F.col("event_id")).alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 1000.0 AS m, l_quantity + 273.15 AS k, l_quantity * 0.2777777777777778 AS speed FROM lineitem")
+def unit_convert(spark: SparkSession, sf: str) -> DataFrame:
+    q = F.col("l_quantity")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", units.converted(q, "km", "metres").alias("m"), units.converted(q, "degC", "K").alias("k"), units.converted(q, "km h-1", "m s-1").alias("speed"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'supplier' WHEN s_suppkey % 4 = 1 THEN 'cf_role=id' WHEN s_suppkey % 4 = 2 THEN 'long_name=' || s_name ELSE 'ncvar%s' || s_suppkey END AS identity FROM supplier")
+def identity_coalesce(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey") % 4
+    p = F.when(k == 0, F.create_map(F.lit("standard_name"), F.lit("supplier"))).when(k == 1, F.create_map(F.lit("cf_role"), F.lit("id"))).when(k == 2, F.create_map(F.lit("long_name"), F.col("s_name"))).otherwise(F.expr("map('comment', 'x')"))
+    return table(spark, sf, "supplier").select("s_suppkey", attrs.identity(p, F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))).alias("identity"))
+
+
+@query("SELECT c_custkey, [c_mktsegment, c_custkey::VARCHAR] AS a, [c_name] AS b FROM customer")
+def attribute_key_values(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").withColumn("text", F.concat(F.lit("a: "), "c_mktsegment", F.lit("  "), F.col("c_custkey").cast("string"), F.lit(" b: "), "c_name"))
+    m = attrs.key_values(F.col("text"))
+    return c.select("c_custkey", F.try_element_at(m, F.lit("a")).alias("a"), F.try_element_at(m, F.lit("b")).alias("b"))
+
+
+@query("SELECT n_nationkey, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'standard_error' END AS modifier FROM nation")
+def standard_name_modifier(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").withColumn("x", attrs.name_and_modifier(F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, " standard_error").otherwise(""))))
+    return n.select("n_nationkey", F.col("x.name").alias("name"), F.col("x.modifier").alias("modifier"))
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def newest_per_key(spark: SparkSession, sf: str) -> DataFrame:
+    return newest(table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
