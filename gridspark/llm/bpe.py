@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Words(dict):
     """Ids (little-endian unsigned 32-bit) of stretches of text that begin at sure pre-token boundaries; forgets all when full."""
 
-    def __init__(self, encode, most: int = 300_000) -> None:
+    def __init__(self, encode, most: int = 150_000) -> None:
         self.encode, self.most = encode, most
 
     def __missing__(self, word: str) -> bytes:
@@ -46,11 +47,6 @@ class Codec:
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.words, self.spaced = Words(self.library.encode_ordinary), Words(lambda w: self.library.encode_ordinary(" " + w))
         self.blank = regex.compile(r"\s\s")
-        top = max(self.ranks.values(), default=-1) + 1
-        self.bytes: list[bytes] = [b""] * top
-        for token, rank in self.ranks.items():
-            self.bytes[rank] = token
-        self.decimal = [b"%d" % i for i in range(top)]
 
     def starts(self, text: str) -> list[int]:
         """Where pre-tokens begin. From a boundary on, matching depends on what follows only."""
@@ -73,15 +69,21 @@ class Codec:
             out.extend(map(spaced.__getitem__, rest))
         return b"".join(out)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
-
 
 @lru_cache(4)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+@lru_cache(4)
+def token_bytes(path: str) -> list[bytes]:
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 15, overlap: int = 512) -> DataFrame:
     """(doc_id, ids binary) of every row of docs (doc_id, text), ids as little-endian unsigned 32-bit numbers.
 
@@ -158,31 +160,31 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 15, overl
     return short.unionByName(long.select("doc_id", "pieces").mapInArrow(joined, "doc_id long, ids binary"))
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, bytes): the bytes of the ids, joined. Bytes need not be valid UTF-8 when ids were cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        table = token_bytes(path).__getitem__
         for b in slices(batches, 4 << 20, "ids"):
-            out = [c.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in b.column("ids")]
+            out = [b"".join(map(table, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
 
 
-def decimal_digest(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what decode() returns."""
-    import hashlib
+def digests(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): decoded as decode() does, with only digests leaving the task (each chained Python step is a process of its own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [b"%d" % i for i in range(1 << 16)]
-        for b in batches:
+        tokens = token_bytes(path)
+        table, decimal = tokens.__getitem__, [b"%d" % i for i in range(len(tokens))].__getitem__
+        for b in slices(batches, 4 << 20, "ids"):
             n, ids, text = [], [], []
-            for x, t in zip(b.column("ids"), b.column("bytes")):
+            for x in b.column("ids"):
                 a = np.frombuffer(x.as_py() or b"", "<u4").tolist()
                 n.append(len(a))
-                ids.append(hashlib.sha256(b" ".join([names[i] if i < 65536 else b"%d" % i for i in a] if a and max(a) >= 65536 else map(names.__getitem__, a))).hexdigest())
-                text.append(hashlib.sha256(t.as_py()).hexdigest())
+                ids.append(hashlib.sha256(b" ".join(map(decimal, a))).hexdigest())
+                text.append(hashlib.sha256(b"".join(map(table, a))).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

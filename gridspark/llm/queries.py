@@ -41,10 +41,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import decimal_digest, decode, encode
+    from .bpe import digests, encode
 
-    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return decimal_digest(decode(encode(documents(spark, sf_dir), *vocabulary), *vocabulary))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return digests(encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
