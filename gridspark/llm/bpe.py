@@ -52,6 +52,11 @@ class Codec:
         """Where pre-tokens begin. From a boundary on, matching depends on what follows only."""
         return [m.start() for m in self.pattern.finditer(text)]
 
+    def pieces(self, text: str, stop: int | None) -> bytes:
+        """Ids of the pre-tokens that begin before `stop`; what follows only decides where they end."""
+        at = self.starts(text)
+        return b"".join(self.words[text[a:b]] for a, b in zip(at, [*at[1:], len(text)]) if stop is None or a < stop)
+
     def encode(self, text: str) -> bytes:
         """Between a character that is no white space and a space there is always a boundary, and so around a lone
         newline; the stretches between them are looked up. Texts with other white space in a row are encoded as they are."""
@@ -131,7 +136,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 15, overl
         for b in batches:
             ids, core = [], []
             for k, base, t, start, stop, ok in zip(*(b.column(x).to_pylist() for x in ("k", "base", "text", "start", "stop", "ok"))):
-                ids.append(c.encode(t[start - base : None if stop is None else stop - base]) if ok else None)
+                ids.append(c.pieces(t[start - base :], None if stop is None else stop - start) if ok else None)
                 core.append(None if ok else t[k * chunk - base : (k + 1) * chunk - base])
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("doc_id", "part", "row", "k")), pa.array(ids, pa.binary()), pa.array(core, pa.string())], ["doc_id", "part", "row", "k", "ids", "core"])
 
