@@ -166,3 +166,44 @@ def standard_name_modifier(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
 def newest_per_key(spark: SparkSession, sf: str) -> DataFrame:
     return newest(table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+@query("SELECT 's' || s_suppkey AS object, 'standard_name' AS rule, 'not in the table: ' || s_name AS message FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT 's' || s_suppkey, 'standard_name_modifier', 'not a modifier: guess' FROM supplier WHERE s_suppkey % 7 = 0")
+def conformance_names(spark: SparkSession, sf: str) -> DataFrame:
+    from . import conformance
+
+    s = table(spark, sf, "supplier")
+    names = F.concat("s_name", F.when(F.col("s_suppkey") % 7 == 0, " guess").otherwise(F.when(F.col("s_suppkey") % 2 == 0, " standard_error").otherwise("")))
+    known = s.where("s_suppkey % 5 <> 0").select(F.col("s_name").alias("name"))
+    return conformance.unknown_names(s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("variable"), names.alias("standard_name")), known)
+
+
+@query("SELECT 'o' || o_orderkey AS object, 'reference' AS rule, 'lines names absent l' || o_orderkey AS message FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def conformance_references(spark: SparkSession, sf: str) -> DataFrame:
+    from . import conformance
+
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    references = table(spark, sf, "orders").select(key("o", "o_orderkey").alias("variable"), F.lit("lines").alias("attribute"), key("l", "o_orderkey").alias("target"))
+    return conformance.missing_references(references, table(spark, sf, "lineitem").select(key("l", "l_orderkey").alias("variable")).distinct())
+
+
+@query("WITH w AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events) SELECT user_id::VARCHAR AS object, 'monotonic' AS rule, 'neither rising nor falling' AS message FROM w GROUP BY user_id HAVING min(sign(s)) <> max(sign(s)) OR min(sign(s)) = 0")
+def conformance_monotonic(spark: SparkSession, sf: str) -> DataFrame:
+    from . import conformance
+
+    return conformance.not_monotonic(table(spark, sf, "events").select(F.col("user_id").cast("string").alias("user_id"), "event_id", "value"), "event_id", "value", "user_id")
+
+
+@query("SELECT * FROM (VALUES ('a', 'bounds', 'dimensions must be those of the parent and one more'), ('c', 'dimensions', 'spans z'), ('n', 'node_count', 'counts add up to 12'), ('i', 'index', 'no element 9')) t(object, rule, message)")
+def conformance_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    from . import conformance
+
+    shapes = spark.createDataFrame([("a", ["x"], ["x"]), ("b", ["x", "v"], ["x"]), ("c", ["x", "z"], ["x"])], "variable string, dimensions array<string>, parent_dimensions array<string>")
+    counts = spark.createDataFrame([("n", 10), ("n", 2), ("m", 13)], "variable string, count int")
+    index = spark.createDataFrame([("i", 0), ("i", 9), ("i", 9)], "variable string, k int")
+    return conformance.report(
+        conformance.bounds_shape(shapes.where("variable <> 'c'")),
+        conformance.foreign_dimensions(shapes.where("variable = 'c'")),
+        conformance.counts_total(counts, 13),
+        conformance.index_range(index, "k", 9),
+    )
