@@ -14,6 +14,10 @@ from gridspark.llm.quality import fit, keep_good
 from gridspark.llm.repeats import without_repeats
 
 
+#: Bytes of a passage; about fifty words.
+PASSAGE = 300
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars follows the text, if there is such a column."""
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
@@ -35,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that also stand elsewhere are cut out, in whole characters."""
-    return _counted(without_repeats(docs))
+    """Passages of PASSAGE bytes and more that also stand elsewhere are cut out, in whole characters."""
+    return _counted(without_repeats(docs, PASSAGE, PASSAGE * 8 // 25))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

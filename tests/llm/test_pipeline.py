@@ -30,7 +30,7 @@ def test_stages(spark):
     three = stored(stage["near_duplicates"](spark, two, DATA))
     assert three.columns == columns and set(rows(three)) == {c for _, c in brute.jaccard(list(rows(two).items())).values()}
     four = stored(stage["repeated_passages"](spark, three, DATA))
-    marks, before, after = brute.repeats(list(rows(three).items()), 400), rows(three), rows(four)
+    marks, before, after = brute.repeats(list(rows(three).items()), corpus_pipeline.PASSAGE), rows(three), rows(four)
     assert four.columns == columns and set(after) == set(before)
     for i, text in before.items():
         at, kept = 0, []
