@@ -110,3 +110,47 @@ def bounds(tie_bounds: DataFrame, index: str, value: str = "value", name: str =
     n, k = F.col("high") - low + 1, F.col(name) - low
     u = lambda s: linear(F.col(f"{value}_a"), F.col(f"{value}_b"), s)
     return cells.select(name, F.array(u(k / n), u((k + 1) / n)).alias("bounds"))
+
+
+def half_way_w(ua: Column, ub: Column, u: Column) -> Column:
+    """The quadratic coefficient with which quadratic() gives u half-way."""
+    return quadratic_w(ua, ub, u, F.lit(0.5))
+
+
+def _fq(a: Vector, b: Vector, w: Vector, s: Column) -> Vector:
+    return tuple(quadratic(x, y, z, s) for x, y, z in zip(a, b, w))
+
+
+def bi_quadratic_lat_lon(corners: tuple[tuple[Column, Column], ...], sides: dict[str, tuple[Column, Column]], s1: Column, s2: Column, cartesian: Column) -> tuple[Column, Column]:
+    """(lat, lon) between four tie points a, b, c, d: a to b along the first axis, a to c along the second.
+
+    `sides` gives the expansion and alignment coefficients of the sides ab, cd (along the first axis) and ac, bd
+    (along the second), and of the middle line z between ac and bd. Along the second axis the sides ac and bd are
+    followed to s2; the line between them is bent by coefficients that are themselves quadratic in s2, equal to those of ab
+    and cd at the ends and to z's half-way (CF conventions, appendix J). On the sphere where `cartesian`, else in degrees."""
+    va, vb, vc, vd = (to_vector(*x) for x in corners)
+    half = F.lit(0.5)
+    v_ac = _fq(va, vc, curvature(va, vc, *sides["ac"]), s2)
+    v_bd = _fq(vb, vd, curvature(vb, vd, *sides["bd"]), s2)
+    m_ac = _fq(va, vc, curvature(va, vc, *sides["ac"]), half)
+    m_bd = _fq(vb, vd, curvature(vb, vd, *sides["bd"]), half)
+    c_ab, c_cd, c_z = curvature(va, vb, *sides["ab"]), curvature(vc, vd, *sides["cd"]), curvature(m_ac, m_bd, *sides["z"])
+    c_zz = tuple(half_way_w(x, y, z) for x, y, z in zip(c_ab, c_cd, c_z))
+    at = _fq(v_ac, v_bd, _fq(c_ab, c_cd, c_zz, s2), s1)
+
+    def degrees(pick: object, k: int) -> Column:
+        """The same in degrees: the points half-way on each side and in the middle come from the sphere."""
+        a, b, c, d = (x[k] for x in corners)
+        ab, cd = pick(_fq(va, vb, c_ab, half)), pick(_fq(vc, vd, c_cd, half))
+        ac, bd = pick(m_ac), pick(m_bd)
+        middle = pick(_fq(m_ac, m_bd, c_z, half))
+        left, right = quadratic(a, c, half_way_w(a, c, ac), s2), quadratic(b, d, half_way_w(b, d, bd), s2)
+        w_ab, w_cd, w_z = half_way_w(a, b, ab), half_way_w(c, d, cd), half_way_w(ac, bd, middle)
+        return quadratic(left, right, quadratic(w_ab, w_cd, half_way_w(w_ab, w_cd, w_z), s2), s1)
+
+    return F.when(cartesian, to_lat(at)).otherwise(degrees(to_lat, 0)), F.when(cartesian, to_lon(at)).otherwise(degrees(to_lon, 1))
+
+
+def flag(flags: Column, masks: dict[str, int], name: str) -> Column:
+    """Whether a flag of an interpolation sub-area is set; masks are the powers of two of flag_masks by their meanings."""
+    return flags.bitwiseAND(F.lit(masks[name])) != 0

@@ -290,3 +290,20 @@ def time_series_features(spark: SparkSession, sf: str) -> DataFrame:
 def dense_renumbering(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
     return dense_places(events.where("value > 50").select("event_id"), "event_id", events.count(), "place")
+
+
+@query("SELECT i::BIGINT AS i, j::BIGINT AS j, round(10 + 20 * i / 4.0, 6) AS lat, 0.0::DOUBLE AS lon FROM range(5) a(i), range(3) b(j)")
+def tie_bi_quadratic(spark: SparkSession, sf: str) -> DataFrame:
+    """Four points on one meridian without coefficients: great-circle arcs along it, equal steps of the angle at the tie points and half-way."""
+    n = F.lit(None).cast("double")
+    none = {k: (n, n) for k in ("ab", "cd", "ac", "bd", "z")}
+    at = lambda lat: (F.lit(float(lat)), F.lit(0.0))
+    grid = spark.range(15).select((F.col("id") % 5).alias("i"), ((F.col("id") - F.col("id") % 5) / 5).cast("long").alias("j"))
+    lat, lon = tiepoints.bi_quadratic_lat_lon((at(10), at(30), at(10), at(30)), none, F.col("i") / 4, F.col("j") / 2, F.lit(False))
+    return grid.select("i", "j", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, (l_linenumber & 4) <> 0 AS sensor FROM lineitem")
+def interpolation_flags(spark: SparkSession, sf: str) -> DataFrame:
+    masks = {"location_use_3d_cartesian": 1, "sensor_direction_use_3d_cartesian": 2, "solar_direction_use_3d_cartesian": 4}
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", tiepoints.flag(F.col("l_linenumber"), masks, "solar_direction_use_3d_cartesian").alias("sensor"))

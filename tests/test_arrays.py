@@ -264,3 +264,16 @@ def test_netcdf(spark, tmp_path):
     assert c.units == "K"
     same(back(c), np.ma.array(x * 0.5 + 10, mask=(x == -99) | (x > 20)))
     assert netcdf3.read(spark, path, "t", mask="false", unpack="false").df.where("value = -99").count() == 1
+
+
+def test_bi_quadratic_meets_its_sides(spark):
+    """On the sides it is the quadratic interpolation of the side, on the sphere and in degrees."""
+    c = [tuple(map(F.lit, x)) for x in ((10.0, 20.0), (12.0, 31.0), (19.0, 22.0), (21.0, 34.0))]
+    sides = {k: (F.lit(0.01 * i), F.lit(-0.02 * i)) for i, k in enumerate(("ab", "cd", "ac", "bd", "z"))}
+    for sphere in (True, False):
+        cartesian = F.lit(sphere)
+        for p, q, side, s1, s2 in ((0, 1, "ab", 0.3, 0.0), (2, 3, "cd", 0.3, 1.0), (0, 2, "ac", 0.0, 0.3), (1, 3, "bd", 1.0, 0.3)):
+            got = tiepoints.bi_quadratic_lat_lon(tuple(c), sides, F.lit(s1), F.lit(s2), cartesian)
+            want = tiepoints.quadratic_lat_lon(*c[p], *c[q], *sides[side], F.lit(0.3), cartesian)
+            r = spark.range(1).select(*got, *want).first()
+            assert abs(r[0] - r[2]) < 1e-9 and abs(r[1] - r[3]) < 1e-9
