@@ -53,6 +53,15 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def reachable(p: np.ndarray, q: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether sets of n and m shingles with these prefixes can be linked: all they share up to the end of the prefix
+    that ends first is in both prefixes, and of that set only the rest can follow."""
+    k = len(np.intersect1d(p, q, assume_unique=True))
+    rest = n - len(p) if p[-1] <= q[-1] else m - len(q)
+    both = min(k + rest, n, m)
+    return 100 * both >= percent * (n + m - both)
+
+
 def load(docs: DataFrame, words: int) -> np.ndarray:
     """How many shingles fall in each of CELLS cells, over all documents; a table of fixed size, added up in blocks."""
     block = 1 << 14
@@ -148,6 +157,20 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     wanted = lambda p: p.select(F.col("a").alias("doc_id")).unionByName(p.select(F.col("b").alias("doc_id"))).distinct()
 
+    def possible(pairs: DataFrame) -> DataFrame:
+        """The pairs that pass on their prefixes, a fifth of the sets."""
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, y, n, m = b.column("x"), b.column("y"), b.column("nx").to_pylist(), b.column("ny").to_pylist()
+                # Tokens are sorted as unsigned numbers, those above 2**63 included.
+                keep = [reachable(x[k].values.to_numpy().view(np.uint64), y[k].values.to_numpy().view(np.uint64), n[k], m[k], percent) for k in range(b.num_rows)]
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        side = lambda i, t, n: fronts.select(F.col("doc_id").alias(i), F.col("tokens").alias(t), F.col("n").alias(n))
+        both = pairs.join(side("a", "x", "nx").hint("merge"), "a").join(side("b", "y", "ny").hint("merge"), "b")
+        return stored(both.select("a", "b", "x", "y", "nx", "ny").mapInArrow(compare, "a long, b long"), "pairs")
+
     def verified(pairs: DataFrame) -> DataFrame:
         sets = stored(docs.join(wanted(pairs).hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(full_sets, "c long, set array<long>").dropDuplicates(["c"]), "sets")
 
@@ -169,7 +192,9 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         y = sets.select(F.col("c").alias("b"), F.col("set").alias("y"))
         return stored(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
-    links = verified(pairs)
+    # Prefixes of the classes' first documents.
+    fronts = full.join(classes.select(F.col("c").alias("doc_id")).hint("merge"), "doc_id").select("doc_id", "n", "tokens").dropDuplicates(["doc_id"])
+    links = verified(possible(pairs))
     parts = components(links)
     # Second round, on classes: entries of a list that are not in the component of its first class.
     named = member.join(parts.select(F.col("node").alias("c"), F.col("component").alias("k")).hint("merge"), "c", "left").select("c", "g", "n", "size", F.coalesce("k", "c").alias("k"))
@@ -178,15 +203,19 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         index2.where("entries > 2")
         .select("token", "g", "first")
         .join(named.hint("merge"), "g")
-        .select("token", "first", "c", "n", "k")
-        .unionByName(named.where("size > 1").select(F.col("g").alias("token"), F.col("g").alias("first"), "c", "n", "k"))
+        .select("token", "first", "c", "n", "k", F.lit(1).cast("long").alias("w"))
+        .unionByName(named.where("size > 1").select((-1 - F.col("g")).alias("token"), F.col("g").alias("first"), "c", "n", "k", F.lit(1 << 40).alias("w")))  # all of the prefix
     )
     head = named.where("c = g").select(F.col("g").alias("first"), F.col("k").alias("k0"))
     entries = stored(entries.join(head.hint("merge"), "first"), "entries")
     odd = entries.where("k <> k0 and c <> first").select("token", "first", F.col("c").alias("a"), F.col("n").alias("n0"), F.col("k").alias("ka"))
-    rest = entries.where("c <> first").select("token", "first", F.col("c").alias("b"), "n", F.col("k").alias("kb"), "k0")
-    more = odd.join(rest.hint("merge"), ["token", "first"]).where(f"ka <> kb and (kb = k0 or a < b) and {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stored(more, "pairs")
+    rest = entries.where("c <> first").select("token", "first", F.col("c").alias("b"), "n", F.col("k").alias("kb"), "k0", "w")
+    more = odd.join(rest.hint("merge"), ["token", "first"]).where(f"ka <> kb and (kb = k0 or a < b) and {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "n0", "w")
+    # A pair that no list has paired in the first round is counted here once for each list that holds both.
+    tail = f"greatest(n - (n - ceil(n * {percent} / 100) + 1), n0 - (n0 - ceil(n0 * {percent} / 100) + 1))"
+    more = more.groupBy("a", "b").agg(F.sum("w").alias("k"), F.max("n").alias("n"), F.max("n0").alias("n0"))
+    more = more.where(f"(100 + {percent}) * (k + {tail}) >= {percent} * (n + n0)").select("a", "b")
+    more = possible(more.join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = stored(links.unionByName(verified(more)), "links")
         parts = components(links)
