@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space that the contracts name: [\x20\x09-\x0D].
@@ -19,13 +19,18 @@ IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 TO_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests on one machine)."""
+    """The cluster's shared folder; a temporary one of this application only where none is set (tests on one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gridspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="gridspark-")
+    return _own[app]
 
 
 def stored(df: DataFrame, what: str = "step") -> DataFrame:
@@ -33,17 +38,17 @@ def stored(df: DataFrame, what: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def forget(*frames: DataFrame) -> None:
-    """Deletes what stored() has written, once nothing reads it any more."""
+    """Deletes what stored() has written for these frames, once nothing reads it any more."""
     for df in frames:
-        spark = df.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if path.startswith(shared_dir(spark).split(":", 1)[-1].rstrip("/")) or path.startswith(shared_dir(spark)):
-                p = spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(df, "stored_at", None):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -135,11 +140,12 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.where("a <> b")
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        new = stored(small, "edges")
-        seen = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        counted = Observation()
+        new = stored(small.observe(counted, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        seen = counted.get
         forget(now)
-        if mark is not None and tuple(seen) == mark:
+        if seen == mark:
             break
-        mark, now = tuple(seen), new
+        mark, now = seen, new
     stars = new.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -7,13 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, TO_LOWER, components, flat, forget, mix, prefix_hash, slices, span_hash, stored
 
 _ROLE = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 CELLS = 1 << 20
+#: Entries of a list from which on it is looked at again before the second round.
+LONG = 64
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarray]:
@@ -100,6 +102,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
        Lists of sizes too far apart are filtered by size. Pairs of groups are expanded to their classes and verified
        on whole sets. Only links between classes not yet connected matter, so in a second round a list gives only pairs
        of classes in different components, neither of them the first. All links but those inside components are found.
+       Before it, classes of long lists meet a few random others, so that large groups of near copies are connected.
     4. Components of the links are those of the documents.
 
     Sets are compared by 64-bit hashes of shingles. Texts without words are linked with nothing. A row without
@@ -195,19 +198,36 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # Prefixes of the classes' first documents.
     fronts = full.join(classes.select(F.col("c").alias("doc_id")).hint("merge"), "doc_id").select("doc_id", "n", "tokens").dropDuplicates(["doc_id"])
     links = verified(possible(pairs))
-    parts = components(links)
-    # Second round, on classes: entries of a list that are not in the component of its first class.
-    named = member.join(parts.select(F.col("node").alias("c"), F.col("component").alias("k")).hint("merge"), "c", "left").select("c", "g", "n", "size", F.coalesce("k", "c").alias("k"))
-    named = stored(named, "named")
-    entries = (
-        index2.where("entries > 2")
-        .select("token", "g", "first")
-        .join(named.hint("merge"), "g")
-        .select("token", "first", "c", "n", "k", F.lit(1).cast("long").alias("w"))
-        .unionByName(named.where("size > 1").select((-1 - F.col("g")).alias("token"), F.col("g").alias("first"), "c", "n", "k", F.lit(1 << 40).alias("w")))  # all of the prefix
-    )
-    head = named.where("c = g").select(F.col("g").alias("first"), F.col("k").alias("k0"))
-    entries = stored(entries.join(head.hint("merge"), "first"), "entries")
+
+    def lists_by_component(links: DataFrame) -> DataFrame:
+        """(token, first, entries, c, n, k, w, k0): the classes in each list with their components, and that of the first."""
+        parts = components(links)
+        named = member.join(parts.select(F.col("node").alias("c"), F.col("component").alias("k")).hint("merge"), "c", "left")
+        named = stored(named.select("c", "g", "n", "size", F.coalesce("k", "c").alias("k")), "named")
+        entries = (
+            index2.where("entries > 2")
+            .join(named.hint("merge"), "g")
+            .select("token", "first", "entries", "c", "n", "k", F.lit(1).cast("long").alias("w"))
+            .unionByName(named.where("size > 1").select((-1 - F.col("g")).alias("token"), F.col("g").alias("first"), F.col("size").alias("entries"), "c", "n", "k", F.lit(1 << 40).alias("w")))  # all of the prefix
+        )
+        head = named.where("c = g").select(F.col("g").alias("first"), F.col("k").alias("k0"))
+        return stored(entries.join(head.hint("merge"), "first"), "entries")
+
+    entries = lists_by_component(links)
+    # Long lists of near copies: each class meets a few others in a random order of its own for each list, dealt
+    # over parts of about 512, until what is left outside is little. This only finds links early.
+    long = entries.where(f"entries >= {LONG}")
+    long = long.join(long.where("k <> k0").select("token", "first").distinct().hint("merge"), ["token", "first"], "left_semi")
+    order = Window.partitionBy("token", "first", F.pmod(F.xxhash64("c"), F.ceil(F.col("entries") / 512))).orderBy(F.xxhash64("c", "token"))
+    some = long
+    for k in range(1, 4):
+        some = some.withColumn(f"m{k}", F.lead(F.struct("c", "n", "k"), k).over(order))
+    some = some.select("c", "n", "k", F.explode(F.array("m1", "m2", "m3")).alias("m")).where("m is not null and m.k <> k").select(F.least("c", "m.c").alias("a"), F.greatest("c", "m.c").alias("b"), "n", F.col("m.n").alias("n0"))
+    some = stored(some.where(near).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not some.isEmpty():
+        links = stored(links.unionByName(verified(possible(some))), "links")
+        entries = lists_by_component(links)
+    # Second round: entries of a list that are not in the component of its first class.
     odd = entries.where("k <> k0 and c <> first").select("token", "first", F.col("c").alias("a"), F.col("n").alias("n0"), F.col("k").alias("ka"))
     rest = entries.where("c <> first").select("token", "first", F.col("c").alias("b"), "n", F.col("k").alias("kb"), "k0", "w")
     more = odd.join(rest.hint("merge"), ["token", "first"]).where(f"ka <> kb and (kb = k0 or a < b) and {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "n0", "w")
@@ -215,16 +235,15 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     tail = f"greatest(n - (n - ceil(n * {percent} / 100) + 1), n0 - (n0 - ceil(n0 * {percent} / 100) + 1))"
     more = more.groupBy("a", "b").agg(F.sum("w").alias("k"), F.max("n").alias("n"), F.max("n0").alias("n0"))
     more = more.where(f"(100 + {percent}) * (k + {tail}) >= {percent} * (n + n0)").select("a", "b")
-    more = possible(more.join(pairs, ["a", "b"], "left_anti"))
+    more = possible(more.join(pairs, ["a", "b"], "left_anti"))  # pairs of the round between are verified again, if still apart
     if not more.isEmpty():
         links = stored(links.unionByName(verified(more)), "links")
-        parts = components(links)
-    parts = stored(parts, "parts")
+    parts = components(links)
     of = classes.join(parts.select(F.col("node").alias("c"), "component").hint("merge"), "c", "left").select("s1", "s2", F.coalesce("component", "c").alias("component"))
     return (
         described.select("doc_id", "n", "s1", "s2")
         .join(of.hint("merge"), ["s1", "s2"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 

@@ -194,7 +194,7 @@ def repeated_spans(docs: DataFrame, least: int = 400, gram: int = 128, most: int
     Positions are bytes of UTF-8. Matches do not cross texts. Rows without doc_id take no part. Rows that share a
     doc_id are taken as copies of one text, each of which repeats the other. Null text is empty."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    columns = ["doc_id", "pos", "a", "size", "h", "c1", "c2"]
+    columns = ["doc_id", "pos", "a", "size", "h", "c1", "c2", "n"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -205,18 +205,29 @@ def repeated_spans(docs: DataFrame, least: int = 400, gram: int = 128, most: int
                 text, start, place, stop, h = anchors_of(part, ends if b.num_rows > 1 else np.array([0, len(part)]), least, gram)
                 view = memoryview(np.ascontiguousarray(part))
                 around = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[i:j]) for i, j in zip(start.tolist(), stop.tolist())]), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[text].astype(np.int64)), pa.array(start - ends[text] + at), pa.array((place - start).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(around[:, 0].copy()), pa.array(around[:, 1].copy())],
-                    columns,
-                )
+                # Of a class seen again in this slice (long runs of one word are nothing else) one goes on, with
+                # their number; what they cover is settled.
+                _, one, of, n = np.unique(around.view("i8,i8").ravel(), return_index=True, return_inverse=True, return_counts=True)
+                seen = np.flatnonzero(n[of] > 1)
+                out = [(text[one], start[one], place[one] - start[one], stop[one] - start[one], h[one].view(np.int64), around[one, 0], around[one, 1], n)]
+                if len(seen):
+                    new = np.r_[True, (text[seen][1:] != text[seen][:-1]) | (start[seen][1:] > stop[seen][:-1])]
+                    first = np.flatnonzero(new)
+                    last = np.r_[first[1:], len(seen)] - 1
+                    zero = np.zeros(len(first), np.int64)
+                    out.append((text[seen][first], start[seen][first], zero, stop[seen][last] - start[seen][first], zero, zero, zero, zero))
+                for t, s, a, size, key, c1, c2, count in out:
+                    arrays = [ids[t].astype(np.int64), s - ends[t] + at, a.astype(np.int32), size.astype(np.int32), key, c1.copy(), c2.copy(), count]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], columns)
                 if b.num_rows > 1:
                     break
 
-    anchors = stored(docs.mapInArrow(find, "doc_id long, pos long, a int, size int, h long, c1 long, c2 long"), "anchors")
-    again = stored(anchors.groupBy("h").agg(F.count("*").alias("total")).where("total > 1").select("h"), "anchors")
-    kept = stored(anchors.join(again.hint("merge"), "h"), "anchors")
+    anchors = stored(docs.mapInArrow(find, "doc_id long, pos long, a int, size int, h long, c1 long, c2 long, n long"), "anchors")
+    settled = stored(anchors.where("n = 0").select("doc_id", F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("stop")), "spans")
+    again = stored(anchors.where("n > 0").groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h"), "anchors")
+    kept = stored(anchors.where("n > 0").join(again.hint("merge"), "h"), "anchors")
     forget(anchors, again)
-    classes = stored(kept.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "a", "size")).alias("one")), "classes")
+    classes = stored(kept.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "pos", "a", "size")).alias("one")), "classes")
     whole = kept.join(classes.where("n > 1").select("h", "c1", "c2").hint("merge"), ["h", "c1", "c2"]).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("stop"))
     open_ = stored(classes.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("fewest")).where("m > 1 and fewest = 1").select("h", "m"), "classes")
     wanted = classes.join(open_.hint("merge"), "h").select("one.*", "h", "n", "m")
@@ -234,7 +245,7 @@ def repeated_spans(docs: DataFrame, least: int = 400, gram: int = 128, most: int
 
     bucket = "h long, g long, doc_id long, pos long, a int, n long"
     around = stored(docs.join(wanted.hint("merge"), "doc_id").mapInArrow(fetch, f"{bucket}, m long, text binary"), "around")
-    found = stored(around.where(F.col("m") <= most).drop("m").repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(_solve(least, gram), SPAN), "spans").unionByName(whole)
+    found = stored(around.where(F.col("m") <= most).drop("m").repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(_solve(least, gram), SPAN), "spans").unionByName(whole).unionByName(settled)
     crowded = around.where(F.col("m") > most)
     if not crowded.isEmpty():
         spans, small = _split(crowded, least, most, steps)

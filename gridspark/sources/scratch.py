@@ -8,13 +8,18 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder only where that is not set (one machine)."""
+    """A new path under spark.checkpoint.dir; in a temporary folder only where that is not set (one machine)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="gridspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{what}-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="gridspark-")
+        base = _own[app]
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def local(path: str) -> str:
