@@ -98,8 +98,9 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
        documents and broadcast), then by hash. Any order is right; this one keeps common shingles out of the prefixes.
     2. Documents of one set form a class, and classes of equal prefix and size a group. One of a group stands for it
        in the index of prefix shingles.
-    3. In each list of the index, the first class is paired with all others: as many pairs as entries.
-       Lists of sizes too far apart are filtered by size. Pairs of groups are expanded to their classes and verified
+    3. In each list of the index, the first class is paired with all others: as many pairs as entries. A pair stays
+       if its sizes are near enough and, were this the first shingle both hold, enough could follow in both: a linked
+       pair passes in the list of the first shingle that it shares. Pairs of groups are expanded to their classes and verified
        on whole sets. Only links between classes not yet connected matter, so in a second round a list gives only pairs
        of classes in different components, neither of them the first. All links but those inside components are found.
        Before it, classes of long lists meet a few random others, so that large groups of near copies are connected.
@@ -136,16 +137,20 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     member = stored(inside, "members")
 
     lists = full.join(groups.select(F.col("g").alias("doc_id"), "size").hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    index = stored(lists.select(F.col("doc_id").alias("g"), "size", F.explode("tokens").alias("token")), "index")
-    shared = stored(index.groupBy("token").agg(F.sum("size").alias("entries"), F.min("g").alias("first"), F.max("g").alias("last")).where("first < last").drop("last"), "lists")
+    index = stored(lists.select(F.col("doc_id").alias("g"), "size", F.posexplode("tokens").alias("pos", "token")), "index")
+    shared = index.groupBy("token").agg(F.sum("size").alias("entries"), F.min(F.struct("g", "pos")).alias("first"), F.max("g").alias("last")).where("first.g < last")
+    shared = stored(shared.select("token", "entries", F.col("first.g").alias("first"), F.col("first.pos").alias("pos0")), "lists")
     # A group of several classes is one more list, named by the group.
-    index2 = stored(index.join(shared.hint("merge"), "token").select("token", "g", "first", "entries"), "index")
+    index2 = stored(index.join(shared.hint("merge"), "token").select("token", "g", "pos", "first", "pos0", "entries"), "index")
     forget(index)
     sizes = member.where("c = g").select("g", "n")
-    starred = index2.where("g <> first").select("first", "g").distinct().join(sizes.hint("merge"), "g").join(sizes.select(F.col("g").alias("first"), F.col("n").alias("n0")).hint("merge"), "first")
-    near = f"100 * least(n, n0) >= {percent} * greatest(n, n0)"
+    # Of two sets, what both hold from their first common shingle on is no more than what is left of either.
+    near = f"100 * least(n, n0) >= {percent} * greatest(n, n0) and {100 + percent} * least(n - pos, n0 - pos0) >= {percent} * (n + n0)"
+    starred = index2.where("g <> first").join(sizes.hint("merge"), "g").join(sizes.select(F.col("g").alias("first"), F.col("n").alias("n0")).hint("merge"), "first")
     pairs = (
         starred.where(near)
+        .select("first", "g")
+        .distinct()
         .join(member.select("c", "g"), "g")
         .select(F.col("first").alias("a"), F.col("c").alias("b"))
         .unionByName(member.where("size > 1 and c <> g").select(F.col("g").alias("a"), F.col("c").alias("b")))
@@ -200,15 +205,15 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links = verified(possible(pairs))
 
     def lists_by_component(links: DataFrame) -> DataFrame:
-        """(token, first, entries, c, n, k, w, k0): the classes in each list with their components, and that of the first."""
+        """(token, first, entries, c, n, pos, k, k0): the classes in each list with their components, and that of the first."""
         parts = components(links)
         named = member.join(parts.select(F.col("node").alias("c"), F.col("component").alias("k")).hint("merge"), "c", "left")
         named = stored(named.select("c", "g", "n", "size", F.coalesce("k", "c").alias("k")), "named")
         entries = (
             index2.where("entries > 2")
             .join(named.hint("merge"), "g")
-            .select("token", "first", "entries", "c", "n", "k", F.lit(1).cast("long").alias("w"))
-            .unionByName(named.where("size > 1").select((-1 - F.col("g")).alias("token"), F.col("g").alias("first"), F.col("size").alias("entries"), "c", "n", "k", F.lit(1 << 40).alias("w")))  # all of the prefix
+            .select("token", "first", "entries", "c", "n", "pos", "k")
+            .unionByName(named.where("size > 1").select((-1 - F.col("g")).alias("token"), F.col("g").alias("first"), F.col("size").alias("entries"), "c", "n", F.lit(0).alias("pos"), "k"))
         )
         head = named.where("c = g").select(F.col("g").alias("first"), F.col("k").alias("k0"))
         return stored(entries.join(head.hint("merge"), "first"), "entries")
@@ -221,20 +226,16 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     order = Window.partitionBy("token", "first", F.pmod(F.xxhash64("c"), F.ceil(F.col("entries") / 512))).orderBy(F.xxhash64("c", "token"))
     some = long
     for k in range(1, 4):
-        some = some.withColumn(f"m{k}", F.lead(F.struct("c", "n", "k"), k).over(order))
-    some = some.select("c", "n", "k", F.explode(F.array("m1", "m2", "m3")).alias("m")).where("m is not null and m.k <> k").select(F.least("c", "m.c").alias("a"), F.greatest("c", "m.c").alias("b"), "n", F.col("m.n").alias("n0"))
+        some = some.withColumn(f"m{k}", F.lead(F.struct("c", "n", "pos", "k"), k).over(order))
+    some = some.select("c", "n", "pos", "k", F.explode(F.array("m1", "m2", "m3")).alias("m")).where("m is not null and m.k <> k").select(F.least("c", "m.c").alias("a"), F.greatest("c", "m.c").alias("b"), "n", "pos", F.col("m.n").alias("n0"), F.col("m.pos").alias("pos0"))
     some = stored(some.where(near).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not some.isEmpty():
         links = stored(links.unionByName(verified(possible(some))), "links")
         entries = lists_by_component(links)
     # Second round: entries of a list that are not in the component of its first class.
-    odd = entries.where("k <> k0 and c <> first").select("token", "first", F.col("c").alias("a"), F.col("n").alias("n0"), F.col("k").alias("ka"))
-    rest = entries.where("c <> first").select("token", "first", F.col("c").alias("b"), "n", F.col("k").alias("kb"), "k0", "w")
-    more = odd.join(rest.hint("merge"), ["token", "first"]).where(f"ka <> kb and (kb = k0 or a < b) and {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "n0", "w")
-    # A pair that no list has paired in the first round is counted here once for each list that holds both.
-    tail = f"greatest(n - (n - ceil(n * {percent} / 100) + 1), n0 - (n0 - ceil(n0 * {percent} / 100) + 1))"
-    more = more.groupBy("a", "b").agg(F.sum("w").alias("k"), F.max("n").alias("n"), F.max("n0").alias("n0"))
-    more = more.where(f"(100 + {percent}) * (k + {tail}) >= {percent} * (n + n0)").select("a", "b")
+    odd = entries.where("k <> k0 and c <> first").select("token", "first", F.col("c").alias("a"), F.col("n").alias("n0"), F.col("pos").alias("pos0"), F.col("k").alias("ka"))
+    rest = entries.where("c <> first").select("token", "first", F.col("c").alias("b"), "n", "pos", F.col("k").alias("kb"), "k0")
+    more = odd.join(rest.hint("merge"), ["token", "first"]).where(f"ka <> kb and (kb = k0 or a < b) and {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = possible(more.join(pairs, ["a", "b"], "left_anti"))  # pairs of the round between are verified again, if still apart
     if not more.isEmpty():
         links = stored(links.unionByName(verified(more)), "links")
