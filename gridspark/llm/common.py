@@ -105,7 +105,9 @@ def _power(which: str, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         steps = np.full(max(n, 1 << 16), BASE if which == "up" else UNBASE, np.uint64)
         steps[0] = 1
-        have = _powers[which] = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        if len(have) <= 1 << 20:  # those of very long texts are not kept
+            _powers[which] = have
     return have[:n]
 
 

@@ -14,6 +14,8 @@ from .common import IS_SPACE, TO_LOWER, components, flat, forget, mix, prefix_ha
 
 _ROLE = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 CELLS = 1 << 20
+#: Bytes of text that a task looks at together; arrays of 64-bit numbers are made of each byte.
+SLICE = 1 << 19
 #: Entries of a list from which on it is looked at again before the second round.
 LONG = 64
 
@@ -70,7 +72,7 @@ def load(docs: DataFrame, words: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        for b in slices(batches):
+        for b in slices(batches, SLICE):
             sets = shingle_sets(*flat(b.column("text")), words)
             total += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=CELLS)
         at = np.flatnonzero(total.reshape(-1, block).any(1))
@@ -119,7 +121,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         return np.sort((held.value[(x >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(60)) | (x >> np.uint64(4)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, SLICE):
             sets = shingle_sets(*flat(b.column("text")), words)
             prefixes = [ordered(x)[: prefix_size(len(x), percent)] if len(x) else x for x in sets]
             whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), "<i8").reshape(-1, 2)
@@ -158,7 +160,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     pairs = stored(pairs, "pairs")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, SLICE):
             sets = shingle_sets(*flat(b.column("text")), words)
             ends = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["c", "set"])
