@@ -10,9 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, forget, free_name, prefix_hash, slices, span_hash, stored
+from .common import IS_SPACE, flat, forget, free_name, prefix_hash, slices, span_hash, stored
 
 _PLACE = np.uint64(22)  # bits of a place in a slice
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def anchors_of(data: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -289,8 +290,104 @@ def removed(docs: DataFrame, least: int = 400, gram: int = 128, most: int = 2000
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, stops) of the runs of bytes without ASCII white space; none goes on into the next text."""
+    inside = np.r_[False, ~IS_SPACE[data], False]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[ends] = True
+    starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
+    stops = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
+    return starts, stops
+
+
+def word_anchors(data: np.ndarray, ends: np.ndarray, words: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, start of the first word, stop of the last, anchor's hash) for each run of windows of `words` words with one anchor.
+
+    As in anchors_of(), but places are words: the anchor of a window is the `gram` words of the smallest hash among
+    those between its first and its last word, so windows that differ in punctuation at their edges share it."""
+    starts, stops = words_of(data, ends)
+    none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.int64),)
+    n, wide = len(starts), words - 2 - gram + 1
+    if n < words:
+        return none
+    prefix, out = prefix_hash(data), []
+    for at in range(0, n - words + 1, 1 << 20):
+        a, b = starts[at : at + (1 << 20) + words - 1], stops[at : at + (1 << 20) + words - 1]
+        hashes = span_hash(prefix, a[: len(a) - gram + 1], b[gram - 1 :])
+        key = (hashes >> _PLACE << _PLACE) | np.arange(len(hashes), dtype=np.uint64)
+        windows = len(a) - words + 1
+        place = np.lib.stride_tricks.sliding_window_view(key[1:], wide)[:windows].min(1)
+        place = (place & np.uint64((1 << 22) - 1)).astype(np.int64)
+        text = np.searchsorted(ends, a[:windows], "right") - 1
+        ok = np.flatnonzero(b[words - 1 :] <= ends[text + 1])
+        if len(ok):
+            new = np.flatnonzero(np.r_[True, (place[ok][1:] != place[ok][:-1]) | (text[ok][1:] != text[ok][:-1])])
+            first, last = ok[new], ok[np.r_[new[1:], len(ok)] - 1]
+            out.append((text[first], a[first], b[last + words - 1], hashes[place[first]].view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else none
+
+
+def word_windows(text: bytes, start: int, stop: int, words: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of every `words` words in a row in text[start:stop], with and without punctuation before the first and after the last."""
+    part = np.frombuffer(text, np.uint8)[start:stop]
+    starts, stops = words_of(part, np.array([0, len(part)]))
+    own = [(a + start, b + start) for a, b in zip(starts.tolist(), stops.tolist())]
+    for (a, first), (last, b) in zip(own, own[words - 1 :]):
+        low, high = first - len(text[a:first].lstrip(_PUNCTUATION)), last + len(text[last:b].rstrip(_PUNCTUATION))
+        for x in {a, low if low < first else a}:
+            for y in {b, high if high > last else b}:
+                yield x, y
+
+
+def repeated_words(docs: DataFrame, words: int = 51, gram: int = 16) -> DataFrame:
+    """(doc_id, start, stop): the bytes of docs (doc_id, text) covered by `words` words in a row that also stand elsewhere, however few bytes they have; spans may overlap.
+
+    Words are runs without ASCII white space. Equal passages agree in every byte from their first word to their
+    last, but for punctuation at either end, which belongs to them where both have it. Anchors found once are
+    done; of the windows around the others 128-bit hashes are counted, pre-aggregated in each task."""
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            data, ends = flat(b.column("text"))
+            text, start, stop, h = word_anchors(data, ends, words, gram)
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text].astype(np.int64), start - ends[text], stop - ends[text], h)], ["doc_id", "start", "stop", "h"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1 << 18):
+            out: set[tuple] = set()
+            for row, (id, text, runs) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("w").to_pylist())):
+                text = text.as_py().encode()
+                for r in runs:
+                    out.update((row, id, x, y) for x, y in word_windows(text, r["start"], r["stop"], words))
+            texts = [x.as_py().encode() for x in b.column("text")]
+            rows = [(id, x, y, *np.frombuffer(xxhash.xxh3_128_digest(texts[row][x:y]), "<i8").tolist()) for row, id, x, y in out]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["doc_id", "start", "stop", "c1", "c2"])
+
+    anchors = stored(docs.mapInArrow(find, "doc_id long, start long, stop long, h long"), "anchors")
+    again = stored(anchors.groupBy("h").agg(F.count("*").alias("total")).where("total > 1").select("h"), "anchors")
+    wanted = anchors.join(again.hint("merge"), "h").groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("w"))  # no more than the text has anchors
+    all_ = stored(docs.join(wanted.hint("merge"), "doc_id").mapInArrow(windows, "doc_id long, start long, stop long, c1 long, c2 long"), "windows")
+    forget(anchors, again)
+    twice = stored(all_.groupBy("c1", "c2").agg(F.count("*").alias("total")).where("total > 1").select("c1", "c2"), "windows")
+    found = stored(all_.join(twice.hint("merge"), ["c1", "c2"]).select("doc_id", "start", "stop"), "spans")
+    forget(all_, twice)
+    return found
+
+
 def without_repeats(docs: DataFrame, least: int = 400, gram: int = 128, most: int = 2000) -> DataFrame:
     """docs, with text cut by its repeated passages. A character goes if all its bytes do, so the text stays valid."""
+    return without_spans(docs, repeated_spans(docs, least, gram, most))
+
+
+def without_repeated_words(docs: DataFrame, words: int = 51) -> DataFrame:
+    """docs, with text cut by its passages of `words` words and more that also stand elsewhere."""
+    return without_spans(docs, repeated_words(docs, words))
+
+
+def without_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs, with text cut by the spans found. A character goes if all its bytes do, so the text stays valid."""
     names, extra = docs.columns, free_name(docs, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,5 +408,5 @@ def without_repeats(docs: DataFrame, least: int = 400, gram: int = 128, most: in
                 texts.append(b"".join([*out, text[at:]]).decode())
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.column(c).type) if c == "text" else b.column(c) for c in names], names)
 
-    both = with_spans(docs, repeated_spans(docs, least, gram, most), extra)
+    both = with_spans(docs, found, extra)
     return both.select(*names, extra).mapInArrow(run, docs.schema)
