@@ -32,11 +32,30 @@ def zarr_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return zarr3.read(spark, path).frame()
 
 
-def _field(spark: SparkSession, sf: str) -> Field:
-    c = subspace(masked_cells(spark, sf), (slice(300),))
+@query(f"WITH {M} SELECT i, j, value::DOUBLE AS value FROM m")
+def netcdf_fragments_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors, in eight files, or in more where these would pass 4096 vectors."""
+    c = masked_cells(spark, sf)
+    c = c.select(c.v.cast("double"))
+    entries = netcdf3.write_fragments(c, scratch(spark, "netcdf"), rows=max(1, min(4096, -(-c.shape[0] // 8))))
+    return netcdf3.read_fragments(spark, entries, c.axes, c.shape).frame()
+
+
+@query(f"WITH {M} SELECT i, j, value::DOUBLE AS value FROM m")
+def zarr_chunks_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors, in eight rows of chunks, or in more where these would pass 4096 vectors."""
+    c = masked_cells(spark, sf)
+    path = scratch(spark, "zarr")
+    zarr3.write(c.select(c.v.cast("double")), path, (max(1, min(4096, -(-c.shape[0] // 8))), 40))
+    return zarr3.read(spark, path).frame()
+
+
+def _field(spark: SparkSession, sf: str, vectors: int | None = 300) -> Field:
+    """The first vectors, or all if None, with their labels."""
+    c = subspace(masked_cells(spark, sf), (slice(vectors),))
     label = labels(spark, sf)
-    label = replace(label, df=label.df.where("i < 300"), shape=(300,))
-    return Field(replace(c, units="1"), (Construct("i", "domain_axis", size=300), Construct("auxiliarycoordinate0", "auxiliary_coordinate", ("i",), {"long_name": "label"}, data=label)))
+    label = replace(label, df=label.df.where(F.col("i") < c.shape[0]), shape=c.shape[:1])
+    return Field(replace(c, units="1"), (Construct("i", "domain_axis", size=c.shape[0]), Construct("auxiliarycoordinate0", "auxiliary_coordinate", ("i",), {"long_name": "label"}, data=label)))
 
 
 @query(f"WITH {M} SELECT i, j, value, label FROM m JOIN embeddings ON vec_id = i WHERE i < 300")
@@ -55,6 +74,22 @@ def container_append(spark: SparkSession, sf: str) -> DataFrame:
     return container.append(f, path, "i").data.frame()
 
 
+@query(f"WITH {M} SELECT i, j, value, label FROM m JOIN embeddings ON vec_id = i")
+def container_roundtrip_whole(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "field")
+    container.save(_field(spark, sf, None), path)
+    f = container.load(spark, path)
+    return f.data.df.join(f.construct("long_name=label").data.df.withColumnRenamed("value", "label"), "i").select("i", "j", "value", "label")
+
+
+@query(f"WITH {M} SELECT i, j, value FROM m UNION ALL SELECT i + (SELECT max(vec_id) + 1 FROM embeddings), j, value FROM m")
+def container_append_whole(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "field")
+    f = _field(spark, sf, None)
+    container.save(f, path)
+    return container.append(f, path, "i").data.frame()
+
+
 @query("SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, max(value) AS max, min(value) AS min, count(value) AS count FROM events GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     events = f"{sf}/events.parquet"
