@@ -36,9 +36,9 @@ def ragged_indexed(spark: SparkSession, sf: str) -> DataFrame:
     return ragged.indexed(table(spark, sf, "lineitem"), "l_orderkey", LINE.split(", ")).select("l_orderkey", "e", "l_quantity", "l_partkey")
 
 
-def _contiguous(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(samples numbered in the order of vector and component, counts of vectors): the masked field, compressed."""
-    return ragged.compress_contiguous(subspace(masked_cells(spark, sf), (slice(200),)), "j")
+def _contiguous(spark: SparkSession, sf: str, vectors: int | None = 200) -> tuple[DataFrame, DataFrame]:
+    """(samples numbered in the order of vector and component, counts of vectors): the masked field, its first vectors or all if None, compressed."""
+    return ragged.compress_contiguous(subspace(masked_cells(spark, sf), (slice(vectors),)), "j")
 
 
 _RAGGED = f"{M}, n AS (SELECT i, coalesce(max(CASE WHEN value IS NOT NULL THEN j + 1 END), 0) AS n FROM m WHERE i < 200 GROUP BY i), s AS (SELECT i, n, coalesce(sum(n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n)"
@@ -66,6 +66,31 @@ def ragged_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return ragged.padded(ragged.contiguous(samples, counts, "o", "i", "count"), "i", "e", ["value"], 64)
 
 
+_RAGGED_WHOLE = f"{M}, n AS (SELECT i, coalesce(max(CASE WHEN value IS NOT NULL THEN j + 1 END), 0) AS n FROM m GROUP BY i), s AS (SELECT i, n, coalesce(sum(n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n)"
+
+
+@query(f"WITH {_RAGGED_WHOLE} SELECT start + j AS o, value FROM s JOIN m USING (i) WHERE j < n")
+def ragged_compress_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _contiguous(spark, sf, None)[0]
+
+
+@query(f"WITH {_RAGGED_WHOLE} SELECT start + j AS o, i AS index, value FROM s JOIN m USING (i) WHERE j < n")
+def ragged_compress_indexed_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return ragged.compress_indexed(masked_cells(spark, sf), "j")
+
+
+@query(f"WITH {_RAGGED_WHOLE} SELECT i, j AS e, start + j AS o, value FROM s JOIN m USING (i) WHERE j < n")
+def ragged_contiguous_whole(spark: SparkSession, sf: str) -> DataFrame:
+    samples, counts = _contiguous(spark, sf, None)
+    return ragged.contiguous(samples, counts, "o", "i", "count").where("e is not null").select("i", "e", "o", "value")
+
+
+@query(f"WITH {M} SELECT i, j AS e, value FROM m")
+def ragged_roundtrip_whole(spark: SparkSession, sf: str) -> DataFrame:
+    samples, counts = _contiguous(spark, sf, None)
+    return ragged.padded(ragged.contiguous(samples, counts, "o", "i", "count"), "i", "e", ["value"], 64)
+
+
 @query(
     f"WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p FROM orders), "
     f"l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE}) - 1 AS e FROM lineitem) SELECT o_custkey, p, e, l_quantity FROM o LEFT JOIN l ON o_orderkey = l_orderkey"
@@ -247,14 +272,27 @@ _FRAGMENTS = [[100, 150, 250], [64]]
 @query(f"WITH {Q} SELECT i, j, CASE WHEN i < 100 THEN value::DOUBLE WHEN i < 250 THEN value::DOUBLE * 1000.0 ELSE value::DOUBLE END AS value FROM q WHERE i < 500")
 def aggregated_fragments(spark: SparkSession, sf: str) -> DataFrame:
     """Three fragments of one array, the second in other units."""
-    c = whole_cells(spark, sf)
-    entries = fragments.manifest(_FRAGMENTS, ["a", "b", "c"])
+    return _aggregated(spark, whole_cells(spark, sf), _FRAGMENTS)
+
+
+def _aggregated(spark: SparkSession, c: Cells, sizes: list[list[int]]) -> DataFrame:
+    entries = fragments.manifest(sizes, ["a", "b", "c"])
 
     def read(x: dict) -> Cells:
         part = subspace(c, (slice(x["start"][0], x["stop"][0]),))
         return replace(part.select(part.v.cast("double")), units="km" if x["uri"] == "b" else "m")
 
-    return fragments.aggregated(spark, entries, ("i", "j"), (500, 64), read, "m").frame()
+    return fragments.aggregated(spark, entries, ("i", "j"), tuple(map(sum, sizes)), read, "m").frame()
+
+
+@query(
+    f"WITH {Q}, n AS (SELECT max(vec_id) + 1 AS n FROM embeddings) SELECT i, j, CASE WHEN i < n // 5 THEN value::DOUBLE WHEN i < n // 5 + 3 * n // 10 THEN value::DOUBLE * 1000.0 ELSE value::DOUBLE END AS value FROM q, n"
+)
+def aggregated_fragments_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Three fragments of all vectors, a fifth, three tenths and the rest, the second in other units."""
+    c = whole_cells(spark, sf)
+    n, width = c.shape
+    return _aggregated(spark, c, [[n // 5, 3 * n // 10, n - n // 5 - 3 * n // 10], [width]])
 
 
 @query("SELECT i::BIGINT AS i, CASE WHEN i < 3 THEN 7 ELSE 9 END::DOUBLE AS value FROM range(12) r(i)")

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from gridspark.operators import ordering
 from gridspark.plans import queries as plans
 
 from .test_queries import table
@@ -10,7 +11,9 @@ from .test_queries import table
 VECTORS = 701
 #: Rows out for each vector.
 STORAGE = {"netcdf_fragments_whole": 64, "zarr_chunks_whole": 64, "container_roundtrip_whole": 64, "container_append_whole": 128}
-WHOLE = {**STORAGE}
+#: None where missing cells at the end of a vector go.
+ENCODINGS = {"ragged_compress_whole": None, "ragged_compress_indexed_whole": None, "ragged_contiguous_whole": None, "ragged_roundtrip_whole": 64, "aggregated_fragments_whole": 64}
+WHOLE = {**STORAGE, **ENCODINGS}
 
 
 @pytest.fixture(scope="module")
@@ -21,10 +24,11 @@ def data(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", sorted(WHOLE))
-def test_all_vectors(spark, data, name):
+def test_all_vectors(spark, data, name, monkeypatch):
+    monkeypatch.setattr(ordering, "BLOCK", 100)  # prefix sums go over several blocks
     df = plans.QUERIES[name](spark, data)
     got = table(df.columns, df.collect())
-    assert len(got[1]) == WHOLE[name] * VECTORS
+    assert WHOLE[name] is None or len(got[1]) == WHOLE[name] * VECTORS
     db = duckdb.connect()
     db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{data}/embeddings.parquet/*.parquet'")
     q = db.execute(plans.SQL[name])
