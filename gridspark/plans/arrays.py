@@ -78,6 +78,23 @@ def assign_broadcast(spark: SparkSession, sf: str) -> DataFrame:
     return indexing.assign(c, ([3, 5], slice(8, 12)), row).frame()
 
 
+@query(f"WITH {Q} SELECT i, j, CASE WHEN i >= 2 AND i < 9 AND j IN (0, 7) THEN -1 ELSE value END AS value FROM q")
+def assign_scalar_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return indexing.assign(whole_cells(spark, sf), (slice(2, 9), [0, 7]), F.lit(-1).cast("long")).frame()
+
+
+@query(f"WITH {Q} SELECT i, j, CASE WHEN i % 3 = 1 THEN NULL ELSE value END AS value FROM q")
+def assign_mask_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return indexing.assign(whole_cells(spark, sf), (slice(1, None, 3),), F.lit(None).cast("long")).frame()
+
+
+@query(f"WITH {Q} SELECT i, j, CASE WHEN i % 2 = 1 AND j >= 8 AND j < 12 THEN (j - 8) * 100 ELSE value END AS value FROM q")
+def assign_broadcast_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for every other vector."""
+    row = Cells(spark.range(4).select(F.lit(0).cast("long").alias("i"), F.col("id").alias("j"), (F.col("id") * 100).alias("value")), ("i", "j"), (1, 4))
+    return indexing.assign(whole_cells(spark, sf), (slice(1, None, 2), slice(8, 12)), row).frame()
+
+
 @query(f"WITH {M} SELECT i, j, CASE WHEN value IS NOT NULL AND j < 32 THEN 5 ELSE value END AS value FROM m")
 def hardmask_assign(spark: SparkSession, sf: str) -> DataFrame:
     return indexing.assign(masked_cells(spark, sf), (..., slice(32)), F.lit(5).cast("long")).frame()
@@ -113,6 +130,17 @@ def pad_missing(spark: SparkSession, sf: str) -> DataFrame:
     return shape.pad_missing(indexing.subspace(whole_cells(spark, sf), (slice(20),)), "j", 2, 3).frame()
 
 
+@query(f"WITH {Q}, n AS (SELECT max(vec_id) + 1 AS n FROM embeddings) SELECT (i * 64 + j) // (4 * n) AS a, (i * 64 + j) // 4 % n AS b, (i * 64 + j) % 4 AS c, value FROM q, n")
+def reshape_3d_whole(spark: SparkSession, sf: str) -> DataFrame:
+    c = whole_cells(spark, sf)
+    return shape.reshape(c, ("a", "b", "c"), (c.shape[1] // 4, c.shape[0], 4)).frame()
+
+
+@query(f"WITH {Q}, g AS (SELECT a.i, b.j FROM (SELECT DISTINCT i FROM q) a, (SELECT unnest(generate_series(0, 68)) AS j) b) SELECT g.i, g.j::BIGINT AS j, value FROM g LEFT JOIN q ON q.i = g.i AND q.j = g.j - 2")
+def pad_missing_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return shape.pad_missing(whole_cells(spark, sf), "j", 2, 3).frame()
+
+
 @query(f"WITH {M} SELECT i, list(value ORDER BY j) AS values, len(list(value ORDER BY j))::BIGINT AS n FROM m GROUP BY i")
 def cells_to_packed(spark: SparkSession, sf: str) -> DataFrame:
     return C.to_packed(masked_cells(spark, sf), "j", "values").withColumn("n", F.size("values").cast("long"))
@@ -299,6 +327,23 @@ def concat_units(spark: SparkSession, sf: str) -> DataFrame:
     return combine.concatenate([indexing.subspace(c, (slice(3),)), replace(indexing.subspace(c, (slice(3, 6),)), units="km")], "i").frame()
 
 
+@query(f"WITH {Q}, n AS (SELECT max(vec_id) + 1 AS n FROM embeddings) SELECT CASE WHEN i >= n // 3 THEN i - n // 3 ELSE i + n - n // 3 END AS i, j, value FROM q, n")
+def concat_axis_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The last two thirds, then the first."""
+    c = whole_cells(spark, sf)
+    k = c.shape[0] // 3
+    return combine.concatenate([indexing.subspace(c, (slice(k, None),)), indexing.subspace(c, (slice(k),))], "i").frame()
+
+
+@query(f"WITH {Q}, n AS (SELECT max(vec_id) + 1 AS n FROM embeddings) SELECT i, j, CASE WHEN i < n // 2 THEN value::DOUBLE ELSE value::DOUBLE * 1000.0 END AS value FROM q, n")
+def concat_units_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Two halves, the second in other units."""
+    c = whole_cells(spark, sf)
+    c = replace(c.select(c.v.cast("double")), units="m")
+    k = c.shape[0] // 2
+    return combine.concatenate([indexing.subspace(c, (slice(k),)), replace(indexing.subspace(c, (slice(k, None),)), units="km")], "i").frame()
+
+
 @query("WITH s AS (SELECT *, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS shared FROM supplier) SELECT s_suppkey, s_nationkey, shared FROM s")
 def dedupe_components(spark: SparkSession, sf: str) -> DataFrame:
     return combine.dropped_repeats(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey", ["s_nationkey"])

@@ -13,7 +13,8 @@ VECTORS = 701
 STORAGE = {"netcdf_fragments_whole": 64, "zarr_chunks_whole": 64, "container_roundtrip_whole": 64, "container_append_whole": 128}
 #: None where missing cells at the end of a vector go.
 ENCODINGS = {"ragged_compress_whole": None, "ragged_compress_indexed_whole": None, "ragged_contiguous_whole": None, "ragged_roundtrip_whole": 64, "aggregated_fragments_whole": 64}
-WHOLE = {**STORAGE, **ENCODINGS}
+ARRAYS = {"assign_scalar_whole": 64, "assign_mask_whole": 64, "assign_broadcast_whole": 64, "reshape_3d_whole": 64, "pad_missing_whole": 69, "concat_axis_whole": 64, "concat_units_whole": 64}
+WHOLE = {**STORAGE, **ENCODINGS, **ARRAYS}
 
 
 @pytest.fixture(scope="module")
