@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import dense_places
+
 
 def polygon(nodes: Column | str) -> Column:
     """The nodes of a face without padding."""
@@ -61,8 +63,10 @@ def normalised(cells: DataFrame, cell: str, nodes: str, start_index: int = 0) ->
 
 
 def normalised_connectivity(links: DataFrame, cell: str, neighbours: str, start_index: int = 0) -> DataFrame:
-    """Own ids become 0, 1, ... in their order; neighbours that are no cell are dropped, the rest sorted."""
-    place = links.select(F.col(cell).alias("_id"), (F.dense_rank().over(Window.orderBy(cell)) - 1 + start_index).cast("long").alias("_new"))
+    """Own ids become 0, 1, ... in their order, counted in two levels; neighbours that are no cell are dropped, the rest sorted."""
+    ids = links.select(F.col(cell).alias("_id")).where("_id is not null").distinct()
+    # The size, which dense_places() does not read, would take a job of its own.
+    place = dense_places(ids, "_id", 0, "_place").select("_id", (F.col("_place") + start_index).cast("long").alias("_new"))
     flat = links.select(cell, F.explode_outer(neighbours).alias("_id")).join(place, "_id", "left")
     rows = flat.groupBy(cell).agg(F.array_sort(F.collect_set("_new")).alias(neighbours))
     return rows.join(place.withColumnRenamed("_id", cell), cell).select(F.col("_new").alias(cell), neighbours)
