@@ -167,7 +167,7 @@ def counter(path: str) -> PrefixCounter:
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens) of every row of docs: the last entry of each prefix table, of which the words' tables are kept instead of the text's.
+    """(doc_id, n_bytes, n_tokens) of every row of docs. Words are closed at their end only, and one count is kept for each; prefix_counts() gives every prefix.
 
     Null and empty texts have no bytes and no tokens. Nothing is shuffled."""
 
