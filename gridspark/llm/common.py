@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space that the contracts name: [\x20\x09-\x0D].
@@ -20,24 +22,41 @@ TO_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(2
 
 
 _own: dict[str, str] = {}
+_CLEAR = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one of this application only where none is set (tests on one machine)."""
+    """The cluster's shared folder; where none is set, a temporary one of this application, on one machine only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="gridspark-")
     return _own[app]
 
 
+@contextmanager
+def shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark deletes a job's shuffle files when it ends, not when the driver's garbage is collected."""
+    was = spark.conf.get(_CLEAR)
+    spark.conf.set(_CLEAR, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAR, was)
+
+
 def stored(df: DataFrame, what: str = "step") -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
+    """df, written as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
+
+    What follows reads the table, so the shuffles that made it are cleared."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_cleared(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -123,7 +142,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray | slice, stop: np.ndarray |
     return mix((prefix[stop] - prefix[start]) * _power("down", len(prefix))[start])
 
 
-def xx128(*columns: F.Column) -> list:
+def row_tag(text: str = "text") -> Column:
+    """Tells rows of one doc_id with different texts apart; null is the empty text."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def xx128(*columns: Column | str) -> list[Column]:
     """Two independent 64-bit hashes: equality of 128 bits stands for equality of the columns."""
     return [F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)]
 

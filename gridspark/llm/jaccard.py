@@ -10,14 +10,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, TO_LOWER, components, flat, forget, mix, prefix_hash, slices, span_hash, stored
+from .common import IS_SPACE, TO_LOWER, components, flat, forget, free_name, mix, prefix_hash, row_tag, slices, span_hash, stored, xx128
 
 _ROLE = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-CELLS = 1 << 20
 #: Bytes of text that a task looks at together; arrays of 64-bit numbers are made of each byte.
 SLICE = 1 << 19
+#: Entries up to which a list of the index is compared as it is; shingles of longer lists are put last in the order.
+LIST = 32
 #: Entries of a list from which on it is looked at again before the second round.
 LONG = 64
+_HOT, _LOW = 1 << 62, (1 << 42) - 1
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarray]:
@@ -66,91 +68,96 @@ def reachable(p: np.ndarray, q: np.ndarray, n: int, m: int, percent: int) -> boo
     return 100 * both >= percent * (n + m - both)
 
 
-def load(docs: DataFrame, words: int) -> np.ndarray:
-    """How many shingles fall in each of CELLS cells, over all documents; a table of fixed size, added up in blocks."""
-    block = 1 << 14
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two whole sets have a Jaccard index of `percent`."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for b in slices(batches, SLICE):
-            sets = shingle_sets(*flat(b.column("text")), words)
-            total += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=CELLS)
-        at = np.flatnonzero(total.reshape(-1, block).any(1))
-        cells = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * block), pa.array(total.reshape(-1, block)[at].astype(np.int32).ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), cells], ["block", "cells"])
-
-    def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in rows:
-            for k, x in zip(b.column("block").to_pylist(), b.column("cells")):
-                sums[k] = sums.get(k, 0) + x.values.to_numpy().astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["block", "cells"])
-
-    parts = docs.select("text").mapInArrow(run, "block int, cells array<int>").repartition(16, "block").mapInArrow(add, "block int, cells array<long>")
-    out = np.zeros((CELLS // block, block), np.int64)
-    for r in parts.toLocalIterator():
-        out[r["block"]] += r["cells"]
-    return out.ravel()
-
-
-def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text).
-
-    1. Shingles are put in one order: by how crowded their cell is (a table of fixed size, counted over all
-       documents and broadcast), then by hash. Any order is right; this one keeps common shingles out of the prefixes.
-    2. Documents of one set form a class, and classes of equal prefix and size a group. One of a group stands for it
-       in the index of prefix shingles.
-    3. In each list of the index, the first class is paired with all others: as many pairs as entries. A pair stays
-       if its sizes are near enough and, were this the first shingle both hold, enough could follow in both: a linked
-       pair passes in the list of the first shingle that it shares. Pairs of groups are expanded to their classes and verified
-       on whole sets. Only links between classes not yet connected matter, so in a second round a list gives only pairs
-       of classes in different components, neither of them the first. All links but those inside components are found.
-       Before it, classes of long lists meet a few random others, so that large groups of near copies are connected.
-    4. Components of the links are those of the documents.
 
-    Sets are compared by 64-bit hashes of shingles. Texts without words are linked with nothing. A row without
-    doc_id has no component. Rows that share a doc_id are one document if their texts are equal."""
-    docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
-    total = load(docs, words)
-    crowd = np.minimum(15, np.log2(1 + total / max(4.0, 4 * total.mean())).astype(np.int64) if total.any() else total).astype(np.uint8)
-    held = spark.sparkContext.broadcast(crowd)  # CELLS bytes
+def _tokens(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+
 
-    def ordered(x: np.ndarray) -> np.ndarray:
-        """The shingles as sortable tokens: four bits of crowdedness before sixty of the hash."""
-        return np.sort((held.value[(x >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(60)) | (x >> np.uint64(4)))
+def described(docs: DataFrame, words: int) -> DataFrame:
+    """(row, doc_id, tag, n, s1, s2, tokens): every row's set as sorted 62-bit hashes, with its 128-bit digest and a number of the row."""
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE):
-            sets = shingle_sets(*flat(b.column("text")), words)
-            prefixes = [ordered(x)[: prefix_size(len(x), percent)] if len(x) else x for x in sets]
+            sets = [x >> np.uint64(2) for x in shingle_sets(*flat(b.column("text")), words)]
             whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), "<i8").reshape(-1, 2)
-            front = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes(), len(s)) for x, s in zip(prefixes, sets)), "<i8").reshape(-1, 2)
-            ends = np.r_[0, np.cumsum([len(x) for x in prefixes])].astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(x[:, k].copy()) for x in (whole, front) for k in (0, 1)), tokens], ["doc_id", "n", "s1", "s2", "p1", "p2", "tokens"])
-
-    described = stored(docs.mapInArrow(describe, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, tokens array<long>"), "shingles")
-    full = described.where("n > 0 and doc_id is not null")
-    # c: the smallest document of a class; g: the smallest class of a group
-    classes = stored(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("c"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("n").alias("n")), "classes")
-    groups = stored(classes.groupBy("p1", "p2", "n").agg(F.min("c").alias("g"), F.count("*").alias("size")), "groups")
-    inside = classes.join(groups.hint("merge"), ["p1", "p2", "n"]).select("c", "g", "n", "size")
-    member = stored(inside, "members")
-
-    lists = full.join(groups.select(F.col("g").alias("doc_id"), "size").hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    index = stored(lists.select(F.col("doc_id").alias("g"), "size", F.posexplode("tokens").alias("pos", "token")), "index")
-    shared = index.groupBy("token").agg(F.sum("size").alias("entries"), F.min(F.struct("g", "pos")).alias("first"), F.max("g").alias("last")).where("first.g < last")
-    shared = stored(shared.select("token", "entries", F.col("first.g").alias("first"), F.col("first.pos").alias("pos0")), "lists")
-    # A group of several classes is one more list, named by the group.
-    index2 = stored(index.join(shared.hint("merge"), "token").select("token", "g", "pos", "first", "pos0", "entries"), "index")
-    forget(index)
-    sizes = member.where("c = g").select("g", "n")
+            arrays = [b.column("doc_id"), b.column("tag"), pa.array([len(x) for x in sets], pa.int64()), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), _tokens(sets)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "tag", "n", "s1", "s2", "tokens"])
+
+    rows = docs.select("doc_id", row_tag().alias("tag"), "text").mapInArrow(run, "doc_id long, tag long, n long, s1 long, s2 long, tokens array<long>")
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "shingles")
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(c, n, tokens): the prefixes of sets (c, n, tokens) in an order that puts shingles of crowded lists last.
+
+    First the order is that of the hashes. Classes whose prefix holds a shingle that more than LIST prefixes hold are
+    looked at whole: shingles that more than LIST of those classes hold are crowded, with exact counts. They move
+    behind all others, the more crowded the later, and every class with one in its prefix gets its prefix anew.
+    The prefixes of all other classes are the same in either order, so there is one order for all."""
+    size = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 as int)")
+    first = stored(sets.select("c", "n", F.slice("tokens", F.lit(1), size).alias("tokens")), "prefixes")
+    each = first.select("c", F.explode("tokens").alias("token"))
+    many = stored(each.groupBy("token").count().where(f"count > {LIST}").select("token"), "crowded")
+    if many.isEmpty():
+        return first
+    seen = stored(each.join(many, "token", "left_semi").select("c").distinct(), "crowded")
+    whole = lambda of: sets.join(of.hint("merge"), "c").select("c", F.explode("tokens").alias("token"))
+    crowded = stored(whole(seen).groupBy("token").agg(F.count("*").alias("held")).where(f"held > {LIST}"), "crowded")
+    anew = stored(each.join(crowded.select("token"), "token", "left_semi").select("c").distinct(), "crowded")
+    # Of a crowded shingle the count comes first, then its hash; all are above those of the others.
+    key = F.lit(_HOT) + F.shiftleft(F.least("held", F.lit((1 << 20) - 1)), 42) + F.col("token").bitwiseAND(F.lit(_LOW))
+    hot = whole(anew).join(crowded.hint("merge"), "token").groupBy("c").agg(F.collect_list("token").alias("hot"), F.array_sort(F.collect_list(key)).alias("last"))  # no more than the set has
+    hot = stored(hot, "crowded")
+    moved = sets.join(hot.hint("merge"), "c").select("c", "n", F.slice(F.concat(F.array_except("tokens", "hot"), "last"), F.lit(1), size).alias("tokens"))
+    out = stored(first.join(anew.hint("merge"), "c", "left_anti").unionByName(moved), "prefixes")
+    forget(first, many, seen, crowded, anew, hot)
+    return out
+
+
+def linked(docs: DataFrame, words: int = 5, percent: int = 80, tags: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text); with tags also row_tag() of its text.
+
+    1. Rows of one set form a class; sets are sorted hashes. Classes of equal prefix and size form a group, and one of
+       a group stands for it in the index of prefix shingles. prefixes() keeps crowded shingles out of the prefixes.
+    2. In each list of the index, the first group is paired with all others: as many pairs as entries. A pair stays
+       if its sizes are near enough and, were this the first shingle both hold, enough could follow in both: a linked
+       pair passes in the list of the first shingle that it shares. Pairs of groups are expanded to their classes,
+       and pass if their prefixes and then their whole sets allow it.
+    3. Only links between classes not yet connected matter, so a second round compares, in each list that still holds
+       several components, the classes of different ones. Lists of at most LIST entries, as nearly all are, give a
+       bounded number of pairs for each entry. Longer ones hold classes that consist of crowded shingles, near copies
+       for the most part: before that round, classes of such lists meet a few random others, so that they are connected.
+    4. Components of the links are those of the documents.
+
+    Sets are compared by 62-bit hashes of shingles. Texts without words are linked with nothing. A row without doc_id
+    is linked with nothing and has no component. Rows that share a doc_id are told apart by their texts."""
+    base = described(docs, words)
+    full = base.where("n > 0 and doc_id is not null")
+    # c: one row of a class; doc: its smallest doc_id; g: one class of a group
+    classes = stored(full.groupBy("s1", "s2").agg(F.min("row").alias("c"), F.min("doc_id").alias("doc")), "classes")
+    sets = full.select(F.col("row").alias("c"), "n", "tokens")
+    fronts = prefixes(sets.join(classes.select("c").hint("merge"), "c"), percent)
+    same = [x.alias(k) for x, k in zip(xx128("tokens"), ("p1", "p2"))]
+    groups = stored(fronts.groupBy(*same, "n").agg(F.min("c").alias("g"), F.count("*").alias("size")), "groups")
+    member = stored(fronts.select("c", "n", *same).join(groups.hint("merge"), ["p1", "p2", "n"]).select("c", "g", "n", "size"), "members")
+
+    index = stored(fronts.join(groups.select(F.col("g").alias("c"), "size").hint("merge"), "c").select(F.col("c").alias("g"), "n", "size", F.posexplode("tokens").alias("pos", "token")), "index")
+    heads = index.groupBy("token").agg(F.sum("size").alias("entries"), F.min(F.struct("g", "pos", "n")).alias("first"), F.max("g").alias("last")).where("first.g < last")
+    heads = heads.select("token", "entries", F.col("first.g").alias("first"), F.col("first.pos").alias("pos0"), F.col("first.n").alias("n0"))
+    lists = stored(index.join(stored(heads, "lists").hint("merge"), "token").select("token", "g", "n", "pos", "first", "pos0", "n0", "entries"), "index")
+    forget(index, groups)
     # Of two sets, what both hold from their first common shingle on is no more than what is left of either.
     near = f"100 * least(n, n0) >= {percent} * greatest(n, n0) and {100 + percent} * least(n - pos, n0 - pos0) >= {percent} * (n + n0)"
-    starred = index2.where("g <> first").join(sizes.hint("merge"), "g").join(sizes.select(F.col("g").alias("first"), F.col("n").alias("n0")).hint("merge"), "first")
     pairs = (
-        starred.where(near)
+        lists.where("g <> first").where(near)
         .select("first", "g")
         .distinct()
         .join(member.select("c", "g"), "g")
@@ -159,98 +166,78 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     )
     pairs = stored(pairs, "pairs")
 
-    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, SLICE):
-            sets = shingle_sets(*flat(b.column("text")), words)
-            ends = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["c", "set"])
-
-    wanted = lambda p: p.select(F.col("a").alias("doc_id")).unionByName(p.select(F.col("b").alias("doc_id"))).distinct()
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        """The pairs that pass on their prefixes, a fifth of the sets."""
+    def passing(pairs: DataFrame, of: DataFrame, test) -> DataFrame:
+        """The pairs of which the test holds, given the tokens of both in `of` (c, n, tokens)."""
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x, y, n, m = b.column("x"), b.column("y"), b.column("nx").to_pylist(), b.column("ny").to_pylist()
-                # Tokens are sorted as unsigned numbers, those above 2**63 included.
-                keep = [reachable(x[k].values.to_numpy().view(np.uint64), y[k].values.to_numpy().view(np.uint64), n[k], m[k], percent) for k in range(b.num_rows)]
+                keep = [test(x[k].values.to_numpy(), y[k].values.to_numpy(), n[k], m[k]) for k in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        side = lambda i, t, n: fronts.select(F.col("doc_id").alias(i), F.col("tokens").alias(t), F.col("n").alias(n))
+        side = lambda i, t, n: of.select(F.col("c").alias(i), F.col("tokens").alias(t), F.col("n").alias(n))
         both = pairs.join(side("a", "x", "nx").hint("merge"), "a").join(side("b", "y", "ny").hint("merge"), "b")
         return stored(both.select("a", "b", "x", "y", "nx", "ny").mapInArrow(compare, "a long, b long"), "pairs")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        sets = stored(docs.join(wanted(pairs).hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(full_sets, "c long, set array<long>").dropDuplicates(["c"]), "sets")
+    def links_of(pairs: DataFrame) -> DataFrame:
+        fit = passing(pairs, fronts, lambda p, q, n, m: reachable(p, q, n, m, percent))
+        ids = stored(fit.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "ids")
+        few = stored(sets.join(ids.hint("merge"), "c"), "sets")
+        out = passing(fit, few, lambda p, q, n, m: similar(p, q, percent))
+        forget(fit, ids, few)
+        return out
 
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = []
-                x, y = b.column("x"), b.column("y")
-                for k in range(b.num_rows):
-                    p, q = x[k].values.to_numpy(), y[k].values.to_numpy()
-                    least = min(len(p), len(q))
-                    if 100 * least < percent * max(len(p), len(q)):
-                        keep.append(False)
-                        continue
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(p) + len(q) - both))
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        x = sets.select(F.col("c").alias("a"), F.col("set").alias("x"))
-        y = sets.select(F.col("c").alias("b"), F.col("set").alias("y"))
-        return stored(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+    links = links_of(pairs)
 
-    # Prefixes of the classes' first documents.
-    fronts = full.join(classes.select(F.col("c").alias("doc_id")).hint("merge"), "doc_id").select("doc_id", "n", "tokens").dropDuplicates(["doc_id"])
-    links = verified(possible(pairs))
-
-    def lists_by_component(links: DataFrame) -> DataFrame:
-        """(token, first, entries, c, n, pos, k, k0): the classes in each list with their components, and that of the first."""
+    def apart(links: DataFrame) -> DataFrame:
+        """(token, first, entries, c, n, pos, k): the classes, with their components, in each list that holds several."""
         parts = components(links)
-        named = member.join(parts.select(F.col("node").alias("c"), F.col("component").alias("k")).hint("merge"), "c", "left")
-        named = stored(named.select("c", "g", "n", "size", F.coalesce("k", "c").alias("k")), "named")
+        named = stored(member.join(parts.select(F.col("node").alias("c"), F.col("component").alias("k")).hint("merge"), "c", "left").withColumn("k", F.coalesce("k", "c")), "named")
         entries = (
-            index2.where("entries > 2")
+            lists.where("entries > 2")
+            .select("token", "g", "pos", "first", "entries")
             .join(named.hint("merge"), "g")
             .select("token", "first", "entries", "c", "n", "pos", "k")
+            # a group of several classes is one more list, named by the group
             .unionByName(named.where("size > 1").select((-1 - F.col("g")).alias("token"), F.col("g").alias("first"), F.col("size").alias("entries"), "c", "n", F.lit(0).alias("pos"), "k"))
         )
-        head = named.where("c = g").select(F.col("g").alias("first"), F.col("k").alias("k0"))
-        return stored(entries.join(head.hint("merge"), "first"), "entries")
+        several = stored(entries.groupBy("token").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").select("token"), "lists")
+        out = stored(entries.join(several.hint("merge"), "token", "left_semi"), "entries")
+        forget(parts, named, several)
+        return out
 
-    entries = lists_by_component(links)
+    entries = apart(links)
     # Long lists of near copies: each class meets a few others in a random order of its own for each list, dealt
     # over parts of about 512, until what is left outside is little. This only finds links early.
-    long = entries.where(f"entries >= {LONG}")
-    long = long.join(long.where("k <> k0").select("token", "first").distinct().hint("merge"), ["token", "first"], "left_semi")
-    order = Window.partitionBy("token", "first", F.pmod(F.xxhash64("c"), F.ceil(F.col("entries") / 512))).orderBy(F.xxhash64("c", "token"))
-    some = long
+    order = Window.partitionBy("token", F.pmod(F.xxhash64("c"), F.ceil(F.col("entries") / 512))).orderBy(F.xxhash64("c", "token"))
+    some = entries.where(f"entries >= {LONG}")
     for k in range(1, 4):
         some = some.withColumn(f"m{k}", F.lead(F.struct("c", "n", "pos", "k"), k).over(order))
     some = some.select("c", "n", "pos", "k", F.explode(F.array("m1", "m2", "m3")).alias("m")).where("m is not null and m.k <> k").select(F.least("c", "m.c").alias("a"), F.greatest("c", "m.c").alias("b"), "n", "pos", F.col("m.n").alias("n0"), F.col("m.pos").alias("pos0"))
     some = stored(some.where(near).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not some.isEmpty():
-        links = stored(links.unionByName(verified(possible(some))), "links")
-        entries = lists_by_component(links)
-    # Second round: entries of a list that are not in the component of its first class.
-    odd = entries.where("k <> k0 and c <> first").select("token", "first", F.col("c").alias("a"), F.col("n").alias("n0"), F.col("pos").alias("pos0"), F.col("k").alias("ka"))
-    rest = entries.where("c <> first").select("token", "first", F.col("c").alias("b"), "n", "pos", F.col("k").alias("kb"), "k0")
-    more = odd.join(rest.hint("merge"), ["token", "first"]).where(f"ka <> kb and (kb = k0 or a < b) and {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = possible(more.join(pairs, ["a", "b"], "left_anti"))  # pairs of the round between are verified again, if still apart
+        links = stored(links.unionByName(links_of(some)), "links")
+        forget(entries)
+        entries = apart(links)
+    x = entries.select("token", F.col("c").alias("a"), F.col("n").alias("n0"), F.col("pos").alias("pos0"), F.col("k").alias("ka"))
+    y = entries.select("token", F.col("c").alias("b"), "n", "pos", F.col("k").alias("kb"))
+    more = x.join(y.hint("merge"), "token").where(f"ka < kb and {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")  # pairs of the round between are verified again, if still apart
+    forget(lists, member, pairs, some)
     if not more.isEmpty():
-        links = stored(links.unionByName(verified(more)), "links")
+        links = stored(links.unionByName(links_of(more)), "links")
+    forget(fronts, entries, more)
     parts = components(links)
-    of = classes.join(parts.select(F.col("node").alias("c"), "component").hint("merge"), "c", "left").select("s1", "s2", F.coalesce("component", "c").alias("component"))
-    return (
-        described.select("doc_id", "n", "s1", "s2")
-        .join(of.hint("merge"), ["s1", "s2"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    forget(links)
+    parts = classes.join(parts.select(F.col("node").alias("c"), F.col("component").alias("k")).hint("merge"), "c", "left").withColumn("k", F.coalesce("k", "c"))
+    label = parts.groupBy("k").agg(F.min("doc").alias("component"))
+    of = parts.join(label.hint("merge"), "k").select("s1", "s2", "component")
+    shown = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    return base.drop("tokens").join(of.hint("merge"), ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), shown.alias("component_id"), *["tag"] * tags)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs of which no linked document has a smaller doc_id: one of each component, and every row without words or id."""
-    gone = linked(docs, words, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti")
+    tag = free_name(docs, "tag")
+    gone = linked(docs, words, percent, tags=True).where("doc_id <> component_id").select("doc_id", F.col("tag").alias(tag)).distinct()
+    return docs.withColumn(tag, row_tag()).join(gone.hint("merge"), ["doc_id", tag], "left_anti").select(*docs.columns)
