@@ -19,7 +19,8 @@ SLICE = 1 << 19
 LIST = 32
 #: Entries of a list from which on it is looked at again before the second round.
 LONG = 64
-_HOT, _LOW = 1 << 62, (1 << 42) - 1
+#: Crowded shingles that are told apart, and the bits of the number of a cell that they are looked up by.
+CROWDED, _CELL = 1 << 20, 23
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarray]:
@@ -76,57 +77,52 @@ def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(p) + len(q) - both)
 
 
-def _tokens(sets: list[np.ndarray]) -> pa.ListArray:
+def _arrays(sets: list[np.ndarray]) -> pa.ListArray:
     ends = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
 
 
-def described(docs: DataFrame, words: int) -> DataFrame:
-    """(row, doc_id, tag, n, s1, s2, tokens): every row's set as sorted 62-bit hashes, with its 128-bit digest and a number of the row."""
+def described(docs: DataFrame, words: int, taken, columns: str = "doc_id long, tag long") -> DataFrame:
+    """(*columns, n, s1, s2, tokens) of every row of docs: the size of its set, a 128-bit digest of it, and what taken(set) keeps of its hashes."""
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE):
-            sets = [x >> np.uint64(2) for x in shingle_sets(*flat(b.column("text")), words)]
+            sets = shingle_sets(*flat(b.column("text")), words)
             whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), "<i8").reshape(-1, 2)
-            arrays = [b.column("doc_id"), b.column("tag"), pa.array([len(x) for x in sets], pa.int64()), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), _tokens(sets)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "tag", "n", "s1", "s2", "tokens"])
-
-    rows = docs.select("doc_id", row_tag().alias("tag"), "text").mapInArrow(run, "doc_id long, tag long, n long, s1 long, s2 long, tokens array<long>")
-    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "shingles")
-
-
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(c, n, tokens): the prefixes of sets (c, n, tokens) in an order that puts shingles of crowded lists last.
-
-    First the order is that of the hashes. Classes whose prefix holds a shingle that more than LIST prefixes hold are
-    looked at whole: shingles that more than LIST of those classes hold are crowded, with exact counts. They move
-    behind all others, the more crowded the later, and every class with one in its prefix gets its prefix anew.
-    The prefixes of all other classes are the same in either order, so there is one order for all."""
-    size = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 as int)")
-    first = stored(sets.select("c", "n", F.slice("tokens", F.lit(1), size).alias("tokens")), "prefixes")
-    each = first.select("c", F.explode("tokens").alias("token"))
-    many = stored(each.groupBy("token").count().where(f"count > {LIST}").select("token"), "crowded")
-    if many.isEmpty():
-        return first
-    seen = stored(each.join(many, "token", "left_semi").select("c").distinct(), "crowded")
-    whole = lambda of: sets.join(of.hint("merge"), "c").select("c", F.explode("tokens").alias("token"))
-    crowded = stored(whole(seen).groupBy("token").agg(F.count("*").alias("held")).where(f"held > {LIST}"), "crowded")
-    anew = stored(each.join(crowded.select("token"), "token", "left_semi").select("c").distinct(), "crowded")
-    # Of a crowded shingle the count comes first, then its hash; all are above those of the others.
-    key = F.lit(_HOT) + F.shiftleft(F.least("held", F.lit((1 << 20) - 1)), 42) + F.col("token").bitwiseAND(F.lit(_LOW))
-    hot = whole(anew).join(crowded.hint("merge"), "token").groupBy("c").agg(F.collect_list("token").alias("hot"), F.array_sort(F.collect_list(key)).alias("last"))  # no more than the set has
-    hot = stored(hot, "crowded")
-    moved = sets.join(hot.hint("merge"), "c").select("c", "n", F.slice(F.concat(F.array_except("tokens", "hot"), "last"), F.lit(1), size).alias("tokens"))
-    out = stored(first.join(anew.hint("merge"), "c", "left_anti").unionByName(moved), "prefixes")
-    forget(first, many, seen, crowded, anew, hot)
+            arrays = [pa.array([len(x) for x in sets], pa.int64()), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), _arrays([taken(x) if len(x) else x for x in sets])]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *arrays], [*names, "n", "s1", "s2", "tokens"])
+
+    return docs.select(*names, "text").mapInArrow(run, f"{columns}, n long, s1 long, s2 long, tokens array<long>")
+
+
+def crowding(sets: DataFrame, most: int = CROWDED) -> np.ndarray:
+    """For each of CELLS cells of the hashes 0, or how crowded the lists of a shingle in it are, in powers of two of LIST.
+
+    sets (tokens): the least hashes of every class. Shingles that more than LIST of them hold are counted exactly. If
+    there are more than `most`, which is what the driver gets at most, those held most often are taken."""
+    held = stored(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("held")).where(f"held > {LIST}"), "crowded")
+    step = F.floor(4 * F.log2("held"))
+    room, least = most, 1 << 62
+    for r in sorted(held.groupBy(step.alias("step")).count().collect(), reverse=True):  # four steps for each power of two
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    cells = held.where(step >= least).groupBy(F.shiftrightunsigned("token", 64 - _CELL).cast("int").alias("cell")).agg(F.max("held").alias("held")).toPandas()
+    out = np.zeros(1 << _CELL, np.uint8)
+    out[cells["cell"].to_numpy(np.int64)] = np.minimum(15, 1 + np.log2(cells["held"].to_numpy(float) / LIST).astype(int))
+    forget(held)
     return out
 
 
 def linked(docs: DataFrame, words: int = 5, percent: int = 80, tags: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text); with tags also row_tag() of its text.
 
-    1. Rows of one set form a class; sets are sorted hashes. Classes of equal prefix and size form a group, and one of
-       a group stands for it in the index of prefix shingles. prefixes() keeps crowded shingles out of the prefixes.
+    1. Shingles are put in one order: by how crowded their lists are (exact counts of the most crowded ones, in a table
+       of fixed size that is broadcast), then by hash. Any order is right; this one keeps lists short.
+       Documents of one set form a class, and classes of equal prefix and size a group. One of a group stands for it
+       in the index of prefix shingles.
     2. In each list of the index, the first group is paired with all others: as many pairs as entries. A pair stays
        if its sizes are near enough and, were this the first shingle both hold, enough could follow in both: a linked
        pair passes in the list of the first shingle that it shares. Pairs of groups are expanded to their classes,
@@ -137,17 +133,31 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, tags: bool = Fals
        for the most part: before that round, classes of such lists meet a few random others, so that they are connected.
     4. Components of the links are those of the documents.
 
-    Sets are compared by 62-bit hashes of shingles. Texts without words are linked with nothing. A row without doc_id
+    Sets are compared by 64-bit hashes of shingles. Texts without words are linked with nothing. A row without doc_id
     is linked with nothing and has no component. Rows that share a doc_id are told apart by their texts."""
-    base = described(docs, words)
-    full = base.where("n > 0 and doc_id is not null")
-    # c: one row of a class; doc: its smallest doc_id; g: one class of a group
-    classes = stored(full.groupBy("s1", "s2").agg(F.min("row").alias("c"), F.min("doc_id").alias("doc")), "classes")
-    sets = full.select(F.col("row").alias("c"), "n", "tokens")
-    fronts = prefixes(sets.join(classes.select("c").hint("merge"), "c"), percent)
-    same = [x.alias(k) for x, k in zip(xx128("tokens"), ("p1", "p2"))]
-    groups = stored(fronts.groupBy(*same, "n").agg(F.min("c").alias("g"), F.count("*").alias("size")), "groups")
-    member = stored(fronts.select("c", "n", *same).join(groups.hint("merge"), ["p1", "p2", "n"]).select("c", "g", "n", "size"), "members")
+    docs = docs.select("doc_id", row_tag().alias("tag"), "text")
+    spark = docs.sparkSession
+    # Of every set the least hashes by half as many again as its prefix has: what can come into prefixes when others leave.
+    shown = stored(described(docs, words, lambda x: x[: 3 * prefix_size(len(x), percent) // 2]).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    base = stored(shown.drop("tokens"), "sets")
+    # c: one row of a class; doc: its smallest doc_id
+    classes = stored(base.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("row").alias("c"), F.min("doc_id").alias("doc")), "classes")
+    held = spark.sparkContext.broadcast(crowding(shown.join(classes.select(F.col("c").alias("row")).hint("merge"), "row")))  # 2**_CELL bytes
+    forget(shown)
+
+    def prefix(x: np.ndarray) -> np.ndarray:
+        """The prefix as sortable tokens: four bits of crowdedness before 58 of the hash."""
+        x = (held.value[(x >> np.uint64(64 - _CELL)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (x >> np.uint64(6))
+        x.sort()
+        return x[: prefix_size(len(x), percent)]
+
+    same = ["s1", "s2", "doc"]
+    fronts = described(docs, words, prefix).where("n > 0").withColumnRenamed("doc_id", "doc").join(classes.hint("merge"), same)
+    fronts = stored(fronts.dropDuplicates(same).select("c", "n", "tokens"), "prefixes")
+    # g: one class of a group
+    front = [x.alias(k) for x, k in zip(xx128("tokens"), ("p1", "p2"))]
+    groups = stored(fronts.groupBy(*front, "n").agg(F.min("c").alias("g"), F.count("*").alias("size")), "groups")
+    member = stored(fronts.select("c", "n", *front).join(groups.hint("merge"), ["p1", "p2", "n"]).select("c", "g", "n", "size"), "members")
 
     index = stored(fronts.join(groups.select(F.col("g").alias("c"), "size").hint("merge"), "c").select(F.col("c").alias("g"), "n", "size", F.posexplode("tokens").alias("pos", "token")), "index")
     heads = index.groupBy("token").agg(F.sum("size").alias("entries"), F.min(F.struct("g", "pos", "n")).alias("first"), F.max("g").alias("last")).where("first.g < last")
@@ -181,8 +191,12 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, tags: bool = Fals
 
     def links_of(pairs: DataFrame) -> DataFrame:
         fit = passing(pairs, fronts, lambda p, q, n, m: reachable(p, q, n, m, percent))
-        ids = stored(fit.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "ids")
-        few = stored(sets.join(ids.hint("merge"), "c"), "sets")
+        ids = fit.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        ids = stored(classes.join(ids.hint("merge"), "c").select("c", F.col("doc").alias("doc_id"), F.col("s1").alias("of1"), F.col("s2").alias("of2")), "ids")
+        texts = docs.join(ids.hint("merge"), "doc_id")
+        # rows of one doc_id can have other texts, and rows can be repeated
+        whole = described(texts, words, lambda x: x, "c long, of1 long, of2 long").where("s1 = of1 and s2 = of2")
+        few = stored(whole.select("c", "n", "tokens").dropDuplicates(["c"]), "sets")
         out = passing(fit, few, lambda p, q, n, m: similar(p, q, percent))
         forget(fit, ids, few)
         return out
@@ -232,8 +246,8 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, tags: bool = Fals
     parts = classes.join(parts.select(F.col("node").alias("c"), F.col("component").alias("k")).hint("merge"), "c", "left").withColumn("k", F.coalesce("k", "c"))
     label = parts.groupBy("k").agg(F.min("doc").alias("component"))
     of = parts.join(label.hint("merge"), "k").select("s1", "s2", "component")
-    shown = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return base.drop("tokens").join(of.hint("merge"), ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), shown.alias("component_id"), *["tag"] * tags)
+    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    return base.join(of.hint("merge"), ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *["tag"] * tags)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
