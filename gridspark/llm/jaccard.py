@@ -19,8 +19,8 @@ SLICE = 1 << 19
 LIST = 32
 #: Entries of a list from which on it is looked at again before the second round.
 LONG = 64
-#: Crowded shingles that are told apart, and the bits of the number of a cell that they are looked up by.
-CROWDED, _CELL = 1 << 20, 23
+#: Shingles that share a cell of the table of crowdedness, unless it would have more than 2**MOST_BITS cells.
+LOAD, MOST_BITS, _BLOCK = 16, 26, 1 << 14
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarray]:
@@ -82,45 +82,72 @@ def _arrays(sets: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
 
 
-def described(docs: DataFrame, words: int, taken, columns: str = "doc_id long, tag long") -> DataFrame:
-    """(*columns, n, s1, s2, tokens) of every row of docs: the size of its set, a 128-bit digest of it, and what taken(set) keeps of its hashes."""
+def described(docs: DataFrame, words: int, taken, columns: str) -> DataFrame:
+    """(*columns, n, s1, s2, tokens) of every row of docs: the size of its set, a 128-bit digest of it, and what taken(set) gives for its hashes."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE):
             sets = shingle_sets(*flat(b.column("text")), words)
-            whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), "<i8").reshape(-1, 2)
-            arrays = [pa.array([len(x) for x in sets], pa.int64()), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), _arrays([taken(x) if len(x) else x for x in sets])]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *arrays], [*names, "n", "s1", "s2", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *_digests(sets), _arrays([taken(x) if len(x) else x for x in sets])], [*names, "n", "s1", "s2", "tokens"])
 
     return docs.select(*names, "text").mapInArrow(run, f"{columns}, n long, s1 long, s2 long, tokens array<long>")
 
 
-def crowding(sets: DataFrame, most: int = CROWDED) -> np.ndarray:
-    """For each of CELLS cells of the hashes 0, or how crowded the lists of a shingle in it are, in powers of two of LIST.
-
-    sets (tokens): the least hashes of every class. Shingles that more than LIST of them hold are counted exactly. If
-    there are more than `most`, which is what the driver gets at most, those held most often are taken."""
-    held = stored(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("held")).where(f"held > {LIST}"), "crowded")
-    step = F.floor(4 * F.log2("held"))
-    room, least = most, 1 << 62
-    for r in sorted(held.groupBy(step.alias("step")).count().collect(), reverse=True):  # four steps for each power of two
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["step"]
-    cells = held.where(step >= least).groupBy(F.shiftrightunsigned("token", 64 - _CELL).cast("int").alias("cell")).agg(F.max("held").alias("held")).toPandas()
-    out = np.zeros(1 << _CELL, np.uint8)
-    out[cells["cell"].to_numpy(np.int64)] = np.minimum(15, 1 + np.log2(cells["held"].to_numpy(float) / LIST).astype(int))
-    forget(held)
-    return out
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), "<i8").reshape(-1, 2)
+    return [pa.array([len(x) for x in sets], pa.int64()), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy())]
+
+
+def surveyed(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """Rows of two kinds: (doc_id, tag, n, s1, s2) of every row of docs, and (block, at, held) for 2**14 of the 2**bits
+    cells of the hashes, saying how many shingles of a task's documents fall in each (255 at most); a block of few has only those at `at`."""
+    names = ["doc_id", "tag", "n", "s1", "s2", "block", "at", "held"]
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.uint32)
+        for b in slices(batches, SLICE):
+            sets = shingle_sets(*flat(b.column("text")), words)
+            cells, held = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
+            total[cells.astype(np.int64)] += held.astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), *_digests(sets), *(pa.nulls(b.num_rows, k) for k in kinds[5:])], names)
+        rows = []
+        for k, x in enumerate(np.minimum(total, 255).astype(np.uint8).reshape(-1, _BLOCK)):
+            at = np.flatnonzero(x)
+            if len(at):
+                rows.append((k, at.astype("<u2").tobytes(), x[at].tobytes()) if 3 * len(at) < _BLOCK else (k, None, x.tobytes()))
+            if len(rows) == 64 or rows and (k + 1) * _BLOCK == len(total):
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), k) for k in kinds[:5]), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds[5:]))], names)
+                rows = []
+
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, n long, s1 long, s2 long, block int, at binary, held binary")
+
+
+def crowding(blocks: DataFrame, bits: int, mean: float) -> np.ndarray:
+    """For each cell how crowded it is: 0 up to about its share of all shingles, then one more for each doubling of the excess. 2**bits bytes."""
+    odd = max(LIST, 4 * mean**0.5)
+
+    def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in rows:
+            for k, at, held in zip(b.column("block").to_pylist(), b.column("at").to_pylist(), b.column("held").to_pylist()):
+                x = sums.setdefault(k, np.zeros(_BLOCK, np.int64))
+                x[slice(None) if at is None else np.frombuffer(at, "<u2").astype(np.int64)] += np.frombuffer(held, np.uint8)
+        level = [np.clip(np.ceil(np.log2(np.maximum(x - mean, 1) / odd)), 0, 15).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], ["block", "level"])
+
+    out = np.zeros((-(-(1 << bits) // _BLOCK), _BLOCK), np.uint8)
+    for r in blocks.select("block", "at", "held").repartition("block").mapInArrow(add, "block int, level binary").toLocalIterator():
+        out[r["block"]] = np.frombuffer(r["level"], np.uint8)
+    return out.ravel()
 
 
 def linked(docs: DataFrame, words: int = 5, percent: int = 80, tags: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text); with tags also row_tag() of its text.
 
-    1. Shingles are put in one order: by how crowded their lists are (exact counts of the most crowded ones, in a table
-       of fixed size that is broadcast), then by hash. Any order is right; this one keeps lists short.
+    1. Shingles are put in one order: by how crowded their cell is (a table counted over all documents and broadcast, of
+       2**MOST_BITS bytes at most), then by hash. Any order is right; this one keeps lists short.
        Documents of one set form a class, and classes of equal prefix and size a group. One of a group stands for it
        in the index of prefix shingles.
     2. In each list of the index, the first group is paired with all others: as many pairs as entries. A pair stays
@@ -137,22 +164,25 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, tags: bool = Fals
     is linked with nothing and has no component. Rows that share a doc_id are told apart by their texts."""
     docs = docs.select("doc_id", row_tag().alias("tag"), "text")
     spark = docs.sparkSession
-    # Of every set the least hashes by half as many again as its prefix has: what can come into prefixes when others leave.
-    shown = stored(described(docs, words, lambda x: x[: 3 * prefix_size(len(x), percent) // 2]).withColumn("row", F.monotonically_increasing_id()), "shingles")
-    base = stored(shown.drop("tokens"), "sets")
-    # c: one row of a class; doc: its smallest doc_id
-    classes = stored(base.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("row").alias("c"), F.min("doc_id").alias("doc")), "classes")
-    held = spark.sparkContext.broadcast(crowding(shown.join(classes.select(F.col("c").alias("row")).hint("merge"), "row")))  # 2**_CELL bytes
-    forget(shown)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(np.clip(np.log2(1 + size / 6 / LOAD), 14, MOST_BITS))  # words of six bytes
+    survey = stored(surveyed(docs, words, bits), "survey")
+    base = stored(survey.where("n is not null").select("doc_id", "tag", "n", "s1", "s2"), "sets")
+    # c: the number of a class; doc: its smallest doc_id
+    classes = base.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc"))
+    classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    shingles = base.agg(F.sum("n")).first()[0] or 0
+    held = spark.sparkContext.broadcast(crowding(survey.where("block is not null"), bits, shingles / (1 << bits)))  # 2**MOST_BITS bytes at most
+    forget(survey)
 
     def prefix(x: np.ndarray) -> np.ndarray:
         """The prefix as sortable tokens: four bits of crowdedness before 58 of the hash."""
-        x = (held.value[(x >> np.uint64(64 - _CELL)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (x >> np.uint64(6))
+        x = (held.value[(x >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (x >> np.uint64(6))
         x.sort()
         return x[: prefix_size(len(x), percent)]
 
     same = ["s1", "s2", "doc"]
-    fronts = described(docs, words, prefix).where("n > 0").withColumnRenamed("doc_id", "doc").join(classes.hint("merge"), same)
+    fronts = described(docs, words, prefix, "doc_id long, tag long").where("n > 0").withColumnRenamed("doc_id", "doc").join(classes.hint("merge"), same)
     fronts = stored(fronts.dropDuplicates(same).select("c", "n", "tokens"), "prefixes")
     # g: one class of a group
     front = [x.alias(k) for x, k in zip(xx128("tokens"), ("p1", "p2"))]
