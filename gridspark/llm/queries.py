@@ -19,7 +19,9 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import removed
 
-    return removed(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # text: what is left when passages of more than fifty words go too, however few bytes they have
+    out = removed(documents(spark, sf_dir), words=51)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

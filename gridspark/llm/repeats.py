@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, flat, forget, free_name, prefix_hash, slices, span_hash, stored
+from .common import IS_SPACE, flat, forget, free_name, prefix_hash, row_tag, slices, span_hash, stored
 
 _PLACE = np.uint64(22)  # bits of a place in a slice
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -65,14 +65,15 @@ def intervals(lcp: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def maximal(right: np.ndarray, rights: np.ndarray, left: np.ndarray, lefts: np.ndarray, least: int) -> list[list[tuple[int, int]]]:
-    """For each of the suffixes of one bucket: the stretches (bytes before the anchor, bytes from it on) of maximal repeats of `least` bytes and more.
+def maximal(right: np.ndarray, rights: np.ndarray, left: np.ndarray, lefts: np.ndarray, least: int) -> list[tuple[int, int, np.ndarray]]:
+    """The groups of maximal repeats of `least` bytes and more in one bucket: (bytes before the anchor, bytes from it on, members).
 
     Suffixes begin at the anchors. The interval tree over their common prefixes is walked from the leaves. The
-    members of an interval share its prefix; sorted by what precedes them, neighbours tell how far each
-    member's longest left extension goes, and where extensions differ the interval falls into repeats of their own."""
+    members of an interval share its prefix and no more; sorted by what precedes them, they have an interval tree of
+    their own over the common left extensions, and each of its intervals is a group that no byte to the left or to
+    the right extends. Longer extensions come first."""
     n = len(right)
-    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    out: list[tuple[int, int, np.ndarray]] = []
     order = np.array(sorted(range(n), key=lambda i: right[i, : rights[i]].tobytes()))
     rank = np.empty(n, np.int64)
     rank[sorted(range(n), key=lambda i: left[i, : lefts[i]].tobytes())] = np.arange(n)
@@ -83,124 +84,112 @@ def maximal(right: np.ndarray, rights: np.ndarray, left: np.ndarray, lefts: np.n
             continue
         members = members[np.argsort(rank[members])]
         shared = _agree(left, members[:-1], members[1:], lefts)
-        longest = np.maximum(np.r_[0, shared], np.r_[shared, 0])
-        for i in np.flatnonzero(longest + length >= least):
-            out[members[i]].append((int(longest[i]), length))
+        out.extend((back, length, members[i : j + 1]) for back, i, j in intervals(shared.tolist()) if back and back + length >= least)
+        if length >= least and not shared.all():
+            out.append((0, length, members))
     return out
 
 
 def _solve(least: int, gram: int):
-    """Streams rows sorted by bucket and yields the spans of the maximal repeats of each bucket."""
-
-    def spans(rows: list[tuple], bounds: list[int], out: list[tuple]) -> None:
-        at, wide = np.array([r[2] for r in rows]), least - gram + 1
-        text = [r[4] for r in rows]
-        right = np.frombuffer(b"".join(t[a:].ljust(least, b"\0") for t, a in zip(text, at)), np.uint8).reshape(len(rows), least)
-        left = np.frombuffer(b"".join(t[:a][::-1].ljust(wide, b"\0") for t, a in zip(text, at)), np.uint8).reshape(len(rows), wide)
-        rights, lefts = np.array([len(t) for t in text]) - at, at
-        b = np.array(bounds)
-        pairs = b[:-1][np.diff(b) == 2]
-        ahead, back = _agree(right, pairs, pairs + 1, rights), _agree(left, pairs, pairs + 1, lefts)
-        for k in np.flatnonzero(ahead + back >= least):
-            for i in (pairs[k], pairs[k] + 1):
-                out.append((rows[i][0], rows[i][1] + int(at[i]) - int(back[k]), rows[i][1] + int(at[i]) + int(ahead[k])))
-        for lo, hi in zip(b[:-1], b[1:]):
-            if hi - lo > 2:
-                for i, found in enumerate(maximal(right[lo:hi], rights[lo:hi], left[lo:hi], lefts[lo:hi], least)):
-                    r = rows[lo + i]
-                    out.extend((r[0], r[1] + int(r[2]) - back, r[1] + int(r[2]) + ahead) for back, ahead in found)
+    """Streams rows sorted by bucket and yields (h, g, k, c1, c2, back, ahead) for each member of each group of maximal repeats: a class and how far it reaches around its anchor."""
+    names = ["h", "g", "k", "c1", "c2", "doc_id", "tag", "n", "start", "stop", "back", "ahead"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        keys: list[tuple] = []
         for b in batches:
-            new = list(zip(*(b.column(c).to_pylist() for c in ("doc_id", "pos", "a", "n", "text"))))
-            held.extend(new)
-            keys.extend(zip(b.column("h").to_pylist(), b.column("g").to_pylist()))
+            held.extend(zip(*(b.column(c).to_pylist() for c in ("h", "g", "doc_id", "tag", "pos", "a", "n", "c1", "c2", "text"))))
             if len(held) >= 4096:
-                cut = next((k for k in range(len(keys) - 1, 0, -1) if keys[k] != keys[k - 1]), 0)  # the last bucket may go on
+                cut = next((k for k in range(len(held) - 1, 0, -1) if held[k][:2] != held[k - 1][:2]), 0)  # the last bucket may go on
                 if cut:
-                    yield from _spans(held[:cut], keys[:cut])
-                    held, keys = held[cut:], keys[cut:]
+                    yield _groups(held[:cut])
+                    held = held[cut:]
         if held:
-            yield from _spans(held, keys)
-
-    def _spans(rows: list[tuple], keys: list[tuple]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        spans(rows, [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)], out)
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["doc_id", "start", "stop"])
+            yield _groups(held)
+
+    def _groups(rows: list[tuple]) -> pa.RecordBatch:
+        bounds = [0, *(k for k in range(1, len(rows)) if rows[k][:2] != rows[k - 1][:2]), len(rows)]
+        at, wide, text = np.array([r[5] for r in rows]), least - gram + 1, [r[9] for r in rows]
+        right = np.frombuffer(b"".join(t[a:].ljust(least, b"\0")[:least] for t, a in zip(text, at)), np.uint8).reshape(len(rows), least)
+        left = np.frombuffer(b"".join(t[:a][::-1].ljust(wide, b"\0")[:wide] for t, a in zip(text, at)), np.uint8).reshape(len(rows), wide)
+        rights, lefts = np.minimum([len(t) for t in text] - at, least), np.minimum(at, wide)
+        b, out = np.array(bounds), []
+        pairs = b[:-1][np.diff(b) == 2]
+        ahead, back = _agree(right, pairs, pairs + 1, rights), _agree(left, pairs, pairs + 1, lefts)
+        found = [(0, int(back[k]), int(ahead[k]), (pairs[k], pairs[k] + 1)) for k in np.flatnonzero(ahead + back >= least)]
+        for lo, hi in zip(b[:-1], b[1:]):
+            if hi - lo > 2:
+                found.extend((k, x, y, lo + of) for k, (x, y, of) in enumerate(maximal(right[lo:hi], rights[lo:hi], left[lo:hi], lefts[lo:hi], least)))
+        for k, x, y, members in found:
+            for i in members:
+                h, g, id, tag, pos, a, n, c1, c2, _ = rows[i]
+                out.append((h, g, k, c1, c2, id, tag, n, pos + a - x, pos + a + y, x, y))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(12)], names)
 
     return run
 
 
-SPAN = "doc_id long, start long, stop long"
+SPAN = ["doc_id", "tag", "start", "stop"]
+GROUP = "h long, g long, k long, c1 long, c2 long, doc_id long, tag long, n long, start long, stop long, back long, ahead long"
 
 
-def _split(crowded: DataFrame, least: int, most: int, steps: tuple[int, ...]) -> tuple[DataFrame, DataFrame | None]:
-    """Buckets of more than `most` suffixes: (spans, buckets that have become small).
+def _split(crowded: DataFrame, least: int, most: int, steps: tuple[int, ...]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Buckets of more than `most` suffixes: (groups of windows, buckets that have become small).
 
     A bucket is split by the common bytes of ever narrower strips of its windows: all windows of `step` neighbouring
     starts share least - step + 1 bytes, and equal windows have equal strips. Strips found once are done, small
     buckets go to the suffix array. At step 1 a strip is a window: found twice, it repeats, however many hold
-    it. Only hashes are counted, pre-aggregated in each task; no bucket is gathered."""
-    spans = small = None
-    now = crowded.select("doc_id", "pos", "a", "n", "text", F.lit(0).alias("low"), F.col("a").alias("high"))
+    it, and windows of one hash are the group. Only hashes are counted, pre-aggregated in each task; no bucket is gathered."""
+    groups = small = None
+    place = ["doc_id", "tag", "pos"]
+    now = crowded.select(*place, "a", "n", "c1", "c2", "text", F.lit(0).alias("low"), F.col("a").alias("high"))
     for step in steps:
 
         def strips(batches: Iterator[pa.RecordBatch], step: int = step) -> Iterator[pa.RecordBatch]:
+            names = [*place, "a", "n", "c1", "c2", "low", "high"]
             for b in batches:
                 out: list[tuple] = []
-                for id, pos, a, n, text, low, high in zip(*(b.column(c).to_pylist() for c in ("doc_id", "pos", "a", "n", "text", "low", "high"))):
-                    low = max(low, least - (len(text) - a))
+                for *own, text in zip(*(b.column(c).to_pylist() for c in (*names, "text"))):
+                    a, low, high = own[3], max(own[7], least - (len(text) - own[3])), own[8]
                     for j in range(low // step, high // step + 1):
                         lo, hi = max(low, j * step), min(high, j * step + step - 1)
                         core = text[a - min(lo, j * step) if j * step <= a else 0 : a - (j * step + step - 1) + least]
                         if lo <= hi:
-                            out.append((id, pos, a, n, lo, hi, *np.frombuffer(xxhash.xxh3_128_digest(core, j), "<i8").tolist()))
-                columns = list(zip(*out)) or [()] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k in (2, 4, 5) else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "pos", "a", "n", "low", "high", "h", "g"])
+                            out.append((*own[:7], lo, hi, *np.frombuffer(xxhash.xxh3_128_digest(core, j), "<i8").tolist()))
+                columns = list(zip(*out)) or [()] * 11
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k in (3, 7, 8) else pa.int64()) for k, c in enumerate(columns)], [*names, "h", "g"])
 
-        cut = stored(now.mapInArrow(strips, "doc_id long, pos long, a int, n long, low int, high int, h long, g long"), "strips")
+        cut = stored(now.mapInArrow(strips, "doc_id long, tag long, pos long, a int, n long, c1 long, c2 long, low int, high int, h long, g long"), "strips")
         sizes = stored(cut.groupBy("h", "g").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("total > 1"), "strips")
         shared = cut.join(sizes.hint("merge"), ["h", "g"])
         if step == 1:
-            new = shared.select("doc_id", (F.col("pos") + F.col("a") - F.col("low")).alias("start")).withColumn("stop", F.col("start") + least)
-            spans = new if spans is None else spans.unionByName(new)
+            groups = shared.select(
+                "h", "g", F.lit(0).cast("long").alias("k"), "c1", "c2", "doc_id", "tag", "n", (F.col("pos") + F.col("a") - F.col("low")).alias("start"),
+                (F.col("pos") + F.col("a") - F.col("low") + least).alias("stop"), F.col("low").cast("long").alias("back"), (F.lit(least) - F.col("low")).cast("long").alias("ahead"),
+            )
             break
         shared = stored(shared, "strips")
-        source = crowded.select("doc_id", "pos", "text")
-        few = shared.where((F.col("m") <= most) & (F.col("m") > 1)).join(source, ["doc_id", "pos"])
+        source = crowded.select(*place, "text")
+        few = shared.where((F.col("m") <= most) & (F.col("m") > 1)).join(source, place)
         sub = few.select(
-            "h", "g", "doc_id", (F.col("pos") + F.col("a") - F.col("high")).alias("pos"), F.col("high").alias("a"), "n",
+            "h", "g", "doc_id", "tag", (F.col("pos") + F.col("a") - F.col("high")).alias("pos"), F.col("high").alias("a"), "n", "c1", "c2",
             F.substring("text", F.col("a") - F.col("high") + 1, F.col("high") - F.col("low") + least).alias("text"),
         )
         small = sub if small is None else small.unionByName(sub)
-        now = shared.where(F.col("m") > most).join(source, ["doc_id", "pos"]).select("doc_id", "pos", "a", "n", "text", "low", "high")
+        now = shared.where(F.col("m") > most).join(source, place).select(*place, "a", "n", "c1", "c2", "text", "low", "high")
         if now.isEmpty():
             break
-    return spans, small
+    return groups, small
 
 
-def repeated_spans(docs: DataFrame, least: int = 400, gram: int = 128, most: int = 2000, steps: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
-    """(doc_id, start, stop): the bytes of docs (doc_id, text) covered by strings of `least` bytes that also start elsewhere; spans may overlap.
-
-    1. Every window of `least` bytes has an anchor, its gram of the smallest hash, so equal windows have equal anchors
-       at equal places. One anchor stands for about a hundred windows. Anchors found once are done.
-    2. Anchors with equal surroundings (a 128-bit hash) form one class; a class of two and more repeats as a whole and
-       is represented by one of them, so thousands of copies count once.
-    3. Classes of one anchor form a bucket of suffixes. Buckets are dealt out by the anchor's hash; each is sorted, and
-       a stack scan over the common prefixes gives the maximal repeats: see maximal(). Matches are of real bytes.
-    4. Buckets of more than `most` classes are first split further: see _split().
-
-    Positions are bytes of UTF-8. Matches do not cross texts. Rows without doc_id take no part. Rows that share a
-    doc_id are taken as copies of one text, each of which repeats the other. Null text is empty."""
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    columns = ["doc_id", "pos", "a", "size", "h", "c1", "c2", "n"]
+def _search(docs: DataFrame, least: int, gram: int, most: int, steps: tuple[int, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, kept, settled): members of the groups of maximal repeats, by class; all anchors seen more than once, with their class; what repeats within one batch of rows."""
+    docs = docs.select("doc_id", row_tag().alias("tag"), "text").where("doc_id is not null")
+    columns = ["doc_id", "tag", "pos", "a", "size", "h", "c1", "c2", "n"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data, ends = flat(b.column("text"))
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, tags = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
             for at in range(0, max(1, len(data)), 1 << 21):  # a text longer than that has a slice of its own
                 part = data[at : at + (1 << 21) + least - 1] if b.num_rows == 1 else data
                 text, start, place, stop, h = anchors_of(part, ends if b.num_rows > 1 else np.array([0, len(part)]), least, gram)
@@ -218,43 +207,79 @@ def repeated_spans(docs: DataFrame, least: int = 400, gram: int = 128, most: int
                     zero = np.zeros(len(first), np.int64)
                     out.append((text[seen][first], start[seen][first], zero, stop[seen][last] - start[seen][first], zero, zero, zero, zero))
                 for t, s, a, size, key, c1, c2, count in out:
-                    arrays = [ids[t].astype(np.int64), s - ends[t] + at, a.astype(np.int32), size.astype(np.int32), key, c1.copy(), c2.copy(), count]
+                    arrays = [ids[t].astype(np.int64), tags[t].astype(np.int64), s - ends[t] + at, a.astype(np.int32), size.astype(np.int32), key, c1.copy(), c2.copy(), count]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], columns)
                 if b.num_rows > 1:
                     break
 
-    anchors = stored(docs.mapInArrow(find, "doc_id long, pos long, a int, size int, h long, c1 long, c2 long, n long"), "anchors")
-    settled = stored(anchors.where("n = 0").select("doc_id", F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("stop")), "spans")
+    anchors = stored(docs.mapInArrow(find, "doc_id long, tag long, pos long, a int, size int, h long, c1 long, c2 long, n long"), "anchors")
+    settled = stored(anchors.where("n = 0").select("doc_id", "tag", F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("stop")), "spans")
     again = stored(anchors.where("n > 0").groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h"), "anchors")
     kept = stored(anchors.where("n > 0").join(again.hint("merge"), "h"), "anchors")
     forget(anchors, again)
-    classes = stored(kept.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "pos", "a", "size")).alias("one")), "classes")
-    whole = kept.join(classes.where("n > 1").select("h", "c1", "c2").hint("merge"), ["h", "c1", "c2"]).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("stop"))
+    classes = stored(kept.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "tag", "pos", "a", "size")).alias("one")), "classes")
     open_ = stored(classes.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("fewest")).where("m > 1 and fewest = 1").select("h", "m"), "classes")
-    wanted = classes.join(open_.hint("merge"), "h").select("one.*", "h", "n", "m")
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "pos", "a", "size", "n", "m")).alias("w"))  # no more than the text has anchors
+    wanted = classes.join(open_.hint("merge"), "h").select("one.*", "h", "c1", "c2", "n", "m")
+    wanted = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "c1", "c2", "pos", "a", "size", "n", "m")).alias("w"))  # no more than the text has anchors
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4 << 20):
             out: list[tuple] = []
-            for id, text, w in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("w").to_pylist()):
+            for id, tag, text, w in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("text"), b.column("w").to_pylist()):
                 text = text.as_py().encode()
-                out.extend((x["h"], 0, id, x["pos"], x["a"], x["n"], x["m"], text[x["pos"] : x["pos"] + x["size"]]) for x in w)
-            columns = list(zip(*out)) or [()] * 8
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h", "g", "doc_id", "pos", "a", "n", "m", "text"])
-
-    bucket = "h long, g long, doc_id long, pos long, a int, n long"
-    around = stored(docs.join(wanted.hint("merge"), "doc_id").mapInArrow(fetch, f"{bucket}, m long, text binary"), "around")
-    found = stored(around.where(F.col("m") <= most).drop("m").repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(_solve(least, gram), SPAN), "spans").unionByName(whole).unionByName(settled)
+                out.extend((x["h"], 0, id, tag, x["pos"], x["a"], x["n"], x["c1"], x["c2"], x["m"], text[x["pos"] : x["pos"] + x["size"]]) for x in w)
+            columns = list(zip(*out)) or [()] * 11
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 5 else pa.binary() if k == 10 else pa.int64()) for k, c in enumerate(columns)], names)
+
+    bucket = "h long, g long, doc_id long, tag long, pos long, a int, n long, c1 long, c2 long, m long, text binary"
+    names = [x.split()[0] for x in bucket.split(", ")]
+    around = stored(docs.join(wanted.hint("merge"), ["doc_id", "tag"]).mapInArrow(fetch, bucket), "around")
+    solved = lambda rows: rows.repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(_solve(least, gram), GROUP)
+    groups = solved(around.where(F.col("m") <= most).drop("m"))
     crowded = around.where(F.col("m") > most)
     if not crowded.isEmpty():
-        spans, small = _split(crowded, least, most, steps)
+        windows, small = _split(crowded, least, most, steps)
         if small is not None:
-            found = found.unionByName(small.repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(_solve(least, gram), SPAN))
-        if spans is not None:
-            found = found.unionByName(spans)
-    return found
+            groups = groups.unionByName(solved(small))
+        if windows is not None:
+            groups = groups.unionByName(windows)
+    # Suffixes that are equal as far as they reach are one leaf of the tree: a class of two and more is a group.
+    leaves = classes.where("n > 1").select("h", F.lit(0).cast("long").alias("g"), F.lit(-1).cast("long").alias("k"), "c1", "c2", "one.doc_id", "one.tag", "n",
+        F.col("one.pos").alias("start"), (F.col("one.pos") + F.col("one.size")).alias("stop"), F.col("one.a").cast("long").alias("back"), (F.col("one.size") - F.col("one.a")).cast("long").alias("ahead"))
+    return stored(groups.unionByName(leaves), "groups"), kept, settled
+
+
+def repeat_groups(docs: DataFrame, least: int = 400, gram: int = 128, most: int = 500, steps: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
+    """(h, g, k, c1, c2, doc_id, tag, start, length): groups of repeats of `least` bytes and more of docs (doc_id, text), one row for each occurrence.
+
+    Rows that agree in h, g, k and length (and in c1 and c2, where k is -1) are all occurrences of one repeat. It is maximal as
+    far as windows around its anchor reach; longer repeats are a chain of groups that overlap. In buckets of more
+    than `most` classes that stay large when split, groups are of windows of `least` bytes. See repeated_spans(); what repeats within one batch of rows stands for itself there."""
+    groups, kept, _ = _search(docs, least, gram, most, steps)
+    own = kept.select("h", "c1", "c2", F.col("doc_id").alias("d"), F.col("tag").alias("t"), (F.col("pos") + F.col("a")).alias("at"))
+    # h of a split bucket is that of a strip, so classes are told by their digest.
+    found = groups.join(own.drop("h").hint("merge"), ["c1", "c2"])
+    return found.select("h", "g", "k", "c1", "c2", F.col("d").alias("doc_id"), F.col("t").alias("tag"), (F.col("at") - F.col("back")).alias("start"), (F.col("back") + F.col("ahead")).alias("length")).distinct()
+
+
+def repeated_spans(docs: DataFrame, least: int = 400, gram: int = 128, most: int = 500, steps: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
+    """(doc_id, tag, start, stop): the bytes of docs (doc_id, text) covered by strings of `least` bytes that also start elsewhere; spans may overlap.
+
+    1. Every window of `least` bytes has an anchor, its gram of the smallest hash, so equal windows have equal anchors
+       at equal places. One anchor stands for about a hundred windows. Anchors found once are done.
+    2. Anchors with equal surroundings (a 128-bit hash) form one class, represented by one of them, so thousands of
+       copies count once. A class of two and more is a leaf of the tree and repeats as a whole.
+    3. Classes of one anchor form a bucket of suffixes. Buckets are dealt out by the anchor's hash; each is sorted, and
+       a stack scan over the common prefixes gives the groups of maximal repeats: see maximal(). Matches are of real bytes.
+    4. Buckets of more than `most` classes are first split further: see _split().
+
+    Positions are bytes of UTF-8. Matches do not cross texts. Rows without doc_id take no part. Rows that share a
+    doc_id are told apart by row_tag() of their text; if that is equal too, they repeat each other. Null text is empty."""
+    groups, kept, settled = _search(docs, least, gram, most, steps)
+    leaf = groups.where("k = -1").select("h", "c1", "c2")
+    whole = kept.join(leaf.hint("merge"), ["h", "c1", "c2"]).select("doc_id", "tag", F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("stop"))
+    # Occurrences of classes of two and more are covered by those of their leaves.
+    return groups.where("k >= 0 and n = 1").select(*SPAN).unionByName(whole).unionByName(settled)
 
 
 def joined_spans(start: list[int], stop: list[int]) -> list[tuple[int, int]]:
@@ -267,27 +292,50 @@ def joined_spans(start: list[int], stop: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def cut_characters(text: bytes, gone: list[tuple[int, int]]) -> str:
+    """The text without the characters of which all bytes go."""
+    out, at = [], 0
+    for x, y in gone:
+        while x < y and text[x] & 0xC0 == 0x80:
+            x += 1
+        while y < len(text) and y > x and text[y] & 0xC0 == 0x80:
+            y -= 1
+        out.append(text[at:x])
+        at = y
+    return b"".join([*out, text[at:]]).decode()
+
+
 def with_spans(docs: DataFrame, found: DataFrame, name: str = "spans") -> DataFrame:
-    """docs with an array<struct<start, stop>> (or null) added."""
-    return docs.join(found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias(name)).hint("merge"), "doc_id", "left")
+    """docs with an array of structs of the columns of found (or null) added, matched by doc_id and row_tag()."""
+    tag = free_name(docs, "tag")
+    spans = found.groupBy("doc_id", F.col("tag").alias(tag)).agg(F.collect_set(F.struct(*(c for c in found.columns if c not in ("doc_id", "tag")))).alias(name))
+    return docs.withColumn(tag, row_tag()).join(spans.hint("merge"), ["doc_id", tag], "left").drop(tag)
 
 
-def removed(docs: DataFrame, least: int = 400, gram: int = 128, most: int = 2000) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary): the bytes left of every row's text; see repeated_spans(). A row without doc_id is left whole. Kept bytes need not be valid UTF-8."""
+def removed(docs: DataFrame, least: int = 400, gram: int = 128, most: int = 500, words: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary, text) of every row; see repeated_spans().
+
+    kept, which need not be valid UTF-8, is the bytes left. text is the text left: a character goes if all its bytes
+    do, and so do passages of `words` words that also stand elsewhere, if that is asked for (see repeated_words()).
+    A row without doc_id is left whole. Null is empty."""
+    found = repeated_spans(docs, least, gram, most).withColumn("words", F.lit(False))
+    if words:
+        found = found.unionByName(repeated_words(docs, words).withColumn("words", F.lit(True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
             for text, spans in zip(b.column("text"), b.column("spans").to_pylist()):
-                text = (text.as_py() or "").encode()
-                gone = joined_spans([s["start"] for s in spans or ()], [s["stop"] for s in spans or ()])
+                text, spans = (text.as_py() or "").encode(), spans or ()
+                gone = joined_spans([s["start"] for s in spans if not s["words"]], [s["stop"] for s in spans if not s["words"]])
                 at = [0, *(x for s in gone for x in s), len(text)]
-                rows.append((len(text), sum(y - x for x, y in gone), len(gone), b"".join(text[x:y] for x, y in zip(at[::2], at[1::2]))))
-            n, less, count, kept = zip(*rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(less, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                left = cut_characters(text, joined_spans([s["start"] for s in spans], [s["stop"] for s in spans]))
+                rows.append((len(text), sum(y - x for x, y in gone), len(gone), b"".join(text[x:y] for x, y in zip(at[::2], at[1::2])), left))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text"])
 
-    both = with_spans(docs.select("doc_id", "text"), repeated_spans(docs, least, gram, most))
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    both = with_spans(docs.select("doc_id", "text"), found)
+    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string")
 
 
 def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -340,72 +388,54 @@ def word_windows(text: bytes, start: int, stop: int, words: int) -> Iterator[tup
 
 
 def repeated_words(docs: DataFrame, words: int = 51, gram: int = 16) -> DataFrame:
-    """(doc_id, start, stop): the bytes of docs (doc_id, text) covered by `words` words in a row that also stand elsewhere, however few bytes they have; spans may overlap.
+    """(doc_id, tag, start, stop): the bytes of docs (doc_id, text) covered by `words` words in a row that also stand elsewhere, however few bytes they have; spans may overlap.
 
     Words are runs without ASCII white space. Equal passages agree in every byte from their first word to their
     last, but for punctuation at either end, which belongs to them where both have it. Anchors found once are
     done; of the windows around the others 128-bit hashes are counted, pre-aggregated in each task."""
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    docs = docs.select("doc_id", row_tag().alias("tag"), "text").where("doc_id is not null")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data, ends = flat(b.column("text"))
             text, start, stop, h = word_anchors(data, ends, words, gram)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text].astype(np.int64), start - ends[text], stop - ends[text], h)], ["doc_id", "start", "stop", "h"])
+            ids, tags = (b.column(c).to_numpy(zero_copy_only=False)[text].astype(np.int64) for c in ("doc_id", "tag"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, tags, start - ends[text], stop - ends[text], h)], [*SPAN, "h"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1 << 18):
-            out: set[tuple] = set()
-            for row, (id, text, runs) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("w").to_pylist())):
+            rows = []
+            for id, tag, text, runs in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("text"), b.column("w").to_pylist()):
                 text = text.as_py().encode()
-                for r in runs:
-                    out.update((row, id, x, y) for x, y in word_windows(text, r["start"], r["stop"], words))
-            texts = [x.as_py().encode() for x in b.column("text")]
-            rows = [(id, x, y, *np.frombuffer(xxhash.xxh3_128_digest(texts[row][x:y]), "<i8").tolist()) for row, id, x, y in out]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["doc_id", "start", "stop", "c1", "c2"])
+                for x, y in {xy for r in runs for xy in word_windows(text, r["start"], r["stop"], words)}:
+                    rows.append((id, tag, x, y, *np.frombuffer(xxhash.xxh3_128_digest(text[x:y]), "<i8").tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], [*SPAN, "c1", "c2"])
 
-    anchors = stored(docs.mapInArrow(find, "doc_id long, start long, stop long, h long"), "anchors")
+    anchors = stored(docs.mapInArrow(find, "doc_id long, tag long, start long, stop long, h long"), "anchors")
     again = stored(anchors.groupBy("h").agg(F.count("*").alias("total")).where("total > 1").select("h"), "anchors")
-    wanted = anchors.join(again.hint("merge"), "h").groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("w"))  # no more than the text has anchors
-    all_ = stored(docs.join(wanted.hint("merge"), "doc_id").mapInArrow(windows, "doc_id long, start long, stop long, c1 long, c2 long"), "windows")
+    wanted = anchors.join(again.hint("merge"), "h").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("w"))  # no more than the text has anchors
+    all_ = stored(docs.join(wanted.hint("merge"), ["doc_id", "tag"]).mapInArrow(windows, "doc_id long, tag long, start long, stop long, c1 long, c2 long"), "windows")
     forget(anchors, again)
     twice = stored(all_.groupBy("c1", "c2").agg(F.count("*").alias("total")).where("total > 1").select("c1", "c2"), "windows")
-    found = stored(all_.join(twice.hint("merge"), ["c1", "c2"]).select("doc_id", "start", "stop"), "spans")
+    found = stored(all_.join(twice.hint("merge"), ["c1", "c2"]).select(*SPAN), "spans")
     forget(all_, twice)
     return found
 
 
-def without_repeats(docs: DataFrame, least: int = 400, gram: int = 128, most: int = 2000) -> DataFrame:
-    """docs, with text cut by its repeated passages. A character goes if all its bytes do, so the text stays valid."""
-    return without_spans(docs, repeated_spans(docs, least, gram, most))
-
-
-def without_repeated_words(docs: DataFrame, words: int = 51) -> DataFrame:
-    """docs, with text cut by its passages of `words` words and more that also stand elsewhere."""
-    return without_spans(docs, repeated_words(docs, words))
-
-
-def without_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs, with text cut by the spans found. A character goes if all its bytes do, so the text stays valid."""
+def without_repeats(docs: DataFrame, least: int = 400, gram: int = 128, most: int = 500, words: int | None = None) -> DataFrame:
+    """docs, with text cut by its passages of `least` bytes and more, and of `words` words and more if that is given, that
+    also stand elsewhere. A character goes if all its bytes do, so the text stays valid. Null stays null."""
+    found = repeated_spans(docs, least, gram, most)
+    if words:
+        found = found.unionByName(repeated_words(docs, words))
     names, extra = docs.columns, free_name(docs, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = []
             for value, spans in zip(b.column("text"), b.column(extra).to_pylist()):
-                if not spans:
-                    texts.append(value.as_py())
-                    continue
-                text, out, at = value.as_py().encode(), [], 0
-                for x, y in joined_spans([s["start"] for s in spans], [s["stop"] for s in spans]):
-                    while x < y and text[x] & 0xC0 == 0x80:
-                        x += 1
-                    while y < len(text) and y > x and text[y] & 0xC0 == 0x80:
-                        y -= 1
-                    out.append(text[at:x])
-                    at = y
-                texts.append(b"".join([*out, text[at:]]).decode())
+                value = value.as_py()
+                texts.append(cut_characters(value.encode(), joined_spans([s["start"] for s in spans], [s["stop"] for s in spans])) if spans and value else value)
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.column(c).type) if c == "text" else b.column(c) for c in names], names)
 
     both = with_spans(docs, found, extra)

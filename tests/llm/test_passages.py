@@ -63,7 +63,7 @@ def test_words_of_a_random_corpus(spark, seed, words, gram):
     want = covered(docs, words)
     marks = {i: bytearray(len(m)) for i, m in want.items()}
     texts = dict(docs)
-    for i, x, y in repeats.repeated_words(frame(spark, docs), words, gram).collect():
+    for i, _, x, y in repeats.repeated_words(frame(spark, docs), words, gram).collect():
         b = texts[i].encode()
         x, y = len(b[:x].decode()), len(b[:y].decode())
         marks[i][x:y] = b"\1" * (y - x)

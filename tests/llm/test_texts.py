@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,10 +104,10 @@ def test_repeats(spark, seed, most, least, gram):
         spans = repeats.repeated_spans(frame(spark, docs), least, gram, most, steps=(8, 4, 1)).collect()
         got = {i: bytearray(w[0]) for i, w in want.items()}
         for r in spans:
-            got[r[0]][r[1] : r[2]] = b"\1" * (r[2] - r[1])
+            got[r["doc_id"]][r["start"] : r["stop"]] = b"\1" * (r["stop"] - r["start"])
         assert {i: w[4] for i, w in want.items()} == got
         return
-    got = {r[0]: tuple(r[1:]) for r in repeats.removed(frame(spark, docs), least, gram, most).withColumn("kept", F.sha2("kept", 256)).collect()}
+    got = {r[0]: tuple(r[1:]) for r in repeats.removed(frame(spark, docs), least, gram, most).drop("text").withColumn("kept", F.sha2("kept", 256)).collect()}
     assert got == {i: w[:4] for i, w in want.items()}
     cut = repeats.without_repeats(frame(spark, docs), least, gram, most)
     assert cut.columns == ["doc_id", "text", "drop", "spans", "n"]
@@ -124,6 +125,40 @@ def test_repeats(spark, seed, most, least, gram):
             assert r["text"] == "".join(kept)
 
 
+@pytest.mark.parametrize("most", [500, 3])
+def test_repeat_groups(spark, most):
+    docs = corpus(4, 60)
+    texts = {i: (t or "").encode() for i, t in docs}
+    rows = repeats.repeat_groups(frame(spark, docs), 40, 16, most, (8, 4, 1)).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["h"], r["g"], r["k"], r["length"], *([r["c1"], r["c2"]] if r["k"] < 0 else [])), set()).add((r["doc_id"], r["start"]))
+    assert groups
+    for (_, _, _, length, *_), places in groups.items():
+        assert length >= 40 and len({texts[i][x : x + length] for i, x in places}) == 1
+
+
+def test_maximal_groups():
+    # "xbcd" three times, "axbcd" twice of them; anchors at "b"
+    texts, at = [b"zaxbcdp", b"qaxbcdq", b"ttxbcdr"], np.array([3, 3, 3])
+    right = np.array([list(t[a:].ljust(5, b"\0")) for t, a in zip(texts, at)], np.uint8)
+    left = np.array([list(t[:a][::-1].ljust(5, b"\0")) for t, a in zip(texts, at)], np.uint8)
+    found = repeats.maximal(right, np.array([4, 4, 4]), left, at, 4)
+    assert sorted((x, y, sorted(m.tolist())) for x, y, m in found) == [(1, 3, [0, 1, 2]), (2, 3, [0, 1])]
+
+
+def test_rows_that_share_an_id(spark):
+    long = " ".join(f"w{k}" for k in range(200))
+    docs = [(1, "tiny"), (1, f"a {long} b"), (2, f"c {long} d"), (3, None), (None, long)]
+    df = frame(spark, docs)
+    got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"]) for r in repeats.removed(df).collect())
+    cut = len(long) + 2
+    assert got == [(-1, len(long), 0), (1, 4, 0), (1, len(long) + 4, cut), (2, len(long) + 4, cut), (3, 0, 0)]
+    links = sorted((r[0] or -1, r[1], r[2]) for r in jaccard.linked(df).collect())
+    assert links == [(-1, 196, None), (1, 1, 1), (1, 198, 1), (2, 198, 1), (3, 0, 3)]
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in jaccard.one_of_each(df).where("text is not null").collect()) == [(-1, long), (1, f"a {long} b"), (1, "tiny")]
+
+
 def test_lcp_intervals():
     # suffixes: a | ab | abab | b | bab
     assert repeats.intervals([1, 2, 0, 1]) == [(2, 1, 2), (1, 0, 2), (1, 3, 4)]
