@@ -1,4 +1,4 @@
-"""A training corpus from documents: quality, repeated lines, near duplicates, passages repeated by words and by bytes, packing."""
+"""A training corpus from documents: quality, repeated lines, near duplicates, repeated passages, packing."""
 
 from __future__ import annotations
 
@@ -11,13 +11,13 @@ from gridspark.llm.jaccard import one_of_each
 from gridspark.llm.line_dedup import dedup_lines
 from gridspark.llm.packing import pack
 from gridspark.llm.quality import fit, keep_good
-from gridspark.llm.repeats import without_repeated_words, without_repeats
+from gridspark.llm.repeats import without_repeats
 
 
 #: Words of a passage, however short: more than fifty.
 WORDS = 51
 #: Bytes of a passage, however few words it has.
-PASSAGE = 300
+PASSAGE = 400
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -40,14 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one_of_each(docs)
 
 
-def word_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of WORDS words and more that also stand elsewhere are cut out."""
-    return _counted(without_repeated_words(docs, WORDS))
-
-
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of PASSAGE bytes and more that also stand elsewhere are cut out, in whole characters."""
-    return _counted(without_repeats(docs, PASSAGE, PASSAGE * 8 // 25))
+    """Passages of PASSAGE bytes and more, and of WORDS words and more, that also stand elsewhere are cut out, in whole characters."""
+    return _counted(without_repeats(docs, PASSAGE, words=WORDS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +50,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("word_passages", word_passages), ("repeated_passages", repeated_passages), ("packing", packing)]
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", packing)]
 
 #: The first stage is a learned model, which SQL cannot express; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
