@@ -62,12 +62,12 @@ def stored(df: DataFrame, what: str = "step") -> DataFrame:
     return out
 
 
-def forget(*frames: DataFrame) -> None:
-    """Deletes what stored() has written for these frames, once nothing reads it any more."""
-    for df in frames:
-        if path := getattr(df, "stored_at", None):
-            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def forget(*frames: DataFrame, path: str | None = None, spark: SparkSession | None = None) -> None:
+    """Deletes what stored() has written for these frames, or what lies at the path, once nothing reads it any more."""
+    for where, session in [(getattr(df, "stored_at", None), df.sparkSession) for df in frames] + [(path, spark)]:
+        if where:
+            p = session._jvm.org.apache.hadoop.fs.Path(where)
+            p.getFileSystem(session._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -67,12 +67,29 @@ def test_lines(spark, seed):
 
 
 def test_runs_stay_few(spark):
-    runs = line_dedup.LineRuns(fan=2)
-    for k in range(7):
-        runs.add(spark.createDataFrame([(k % 3, 0, 1, k), (9, 9, 1, k)], "h1 long, h2 long, docs long, last long"))
+    runs = line_dedup.LineRuns(spark, fan=2)
+    for k in range(7):  # the largest ids come first
+        runs.add(spark.createDataFrame([(k % 3, 0, 1, 9 - k), (9, 9, 1, 9 - k)], "h1 long, h2 long, docs long, last long"))
     assert [len(x) for x in runs.levels] == [1, 1, 1]
-    assert sorted(tuple(r) for r in runs.merged().collect()) == [(0, 0, 3, 6), (1, 0, 2, 4), (2, 0, 2, 5), (9, 9, 7, 6)]
-    assert runs.runs().where("fresh").groupBy("h1", "h2").count().where("count > 1").count() == 0
+    assert sorted(tuple(r) for r in runs.merged().collect()) == [(0, 0, 3, 9), (1, 0, 2, 8), (2, 0, 2, 7), (9, 9, 7, 9)]
+    # the anti-join lets one run only say who holds a key last
+    assert sum(r.where("h1 = 9 and last is not null").count() for r in runs.runs()) == 1
+    runs.close()
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    common = "a line that is common enough"
+    docs = [(1, f"{common}\nx"), (1, "other line that is only here"), (1, f"y\nz\n{common}"), (2, common), (5, f"  {common.upper()}\t"), (None, common), (2, common)]
+    got = sorted((r["doc_id"] or -1, r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(frame(spark, docs), counts=True).collect())
+    assert got == sorted([(-1, common, 1, 0), (1, "x", 2, 1), (1, "other line that is only here", 1, 0), (1, "y\nz", 3, 1), (2, "", 1, 1), (2, "", 1, 1), (5, f"  {common.upper()}\t", 1, 0)])
+    assert line_dedup.dedup_lines(frame(spark, docs[:4]), counts=True).where("n_dropped > 0").count() == 0  # two documents
+
+
+def test_lines_of_a_long_text(spark):
+    lines = [f"line number {k} of a long text" for k in range(100_000)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join(lines[::2])), (3, "\n".join(lines[::4]))]
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(frame(spark, docs), counts=True).collect()}
+    assert got == {1: (100_000, 25_000), 2: (50_000, 25_000), 3: (25_000, 0)}
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
