@@ -54,7 +54,13 @@ def test_exact(spark, seed):
 
 def test_exact_rows_without_id(spark):
     got = exact_dedup.exact_duplicates(spark.createDataFrame([(None, "a b"), (7, "a  b"), (7, "a  b"), (3, "c")], "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"] or -1, r["group_size"], r["kept"]) for r in got) == [(-1, 1, True), (3, 1, True), (7, 3, True), (7, 3, True)]
+    assert sorted((r["doc_id"] or -1, r["group_size"], r["kept"]) for r in got) == [(-1, 1, True), (3, 1, True), (7, 2, True), (7, 2, True)]
+
+
+def test_exact_rows_that_share_an_id(spark):
+    docs = [(1, "a"), (1, "b"), (2, "a"), (3, "b"), (4, "b"), (5, "z" * 3000), (5, "z" * 2999 + "y"), (6, "z" * 3000)]
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(frame(spark, docs)).collect())
+    assert got == [(1, 1, 2, True), (1, 1, 3, True), (2, 1, 2, False), (3, 1, 3, False), (4, 1, 3, False), (5, 5, 1, True), (5, 5, 2, True), (6, 5, 2, False)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
