@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import TO_LOWER, flat, slices
 from .quality import held_out
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,13 +57,13 @@ class Kernels:
 
 
 def krr(p: np.ndarray, langs: list[str], landmarks: int, ridge: float, lengths: tuple[int, ...], bits: int) -> Kernels:
-    """Kernel ridge regression of each language against the rest on Nystroem features of `landmarks` texts, dealt over the languages."""
+    """Kernel ridge regression of each language against the rest on Nystroem features of `landmarks` texts, dealt over the languages; each of up to 1024 languages has one."""
     names = sorted(set(langs))
     label = np.array([names.index(x) for x in langs])
     turn = np.zeros(len(label), int)
     for k in range(len(names)):
         turn[label == k] = np.arange((label == k).sum())
-    marks = p[np.argsort(turn, kind="stable")[:landmarks]]
+    marks = p[np.argsort(turn, kind="stable")[: max(landmarks, min(len(names), 1024))]]
     value, vector = np.linalg.eigh(kernel(marks, marks).astype(float))
     root = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])  # K_mm ** -1/2
     z = kernel(p, marks) @ root
@@ -72,15 +72,15 @@ def krr(p: np.ndarray, langs: list[str], landmarks: int, ridge: float, lengths:
     return Kernels(names, marks, (root @ beta).astype(np.float32), lengths, bits)
 
 
-def fit(docs: DataFrame, sample: int = 200, landmarks: int = 128, ridge: float = 0.1, lengths: tuple[int, ...] = (1, 2, 3), bits: int = 14, fold: int = 4, rest: int = 2) -> Kernels | None:
-    """Learns from at most `sample` documents of each language outside the held-out fold, those of the smallest id hashes.
+def fit(docs: DataFrame, sample: int = 200, most: int = 10_000, landmarks: int = 128, ridge: float = 0.1, lengths: tuple[int, ...] = (1, 2, 3), bits: int = 14, fold: int = 4, rest: int = 2) -> Kernels | None:
+    """Learns from at most `sample` documents of each language and `most` of all, outside the held-out fold, those of the smallest id hashes; languages take turns.
 
     Ranking goes over ids alone and keeps `sample` rows of a language in each task before the shuffle. The driver
     gets the sets of n-grams of those documents (2**bits bits each). None if no text has a language."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(fold, rest))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("doc_id").distinct()
-    picked = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # `sample` ids for each language
+    chosen = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).orderBy("rank", F.xxhash64("doc_id"), "lang").limit(most).select("doc_id").distinct()
+    picked = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # `most` ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1 << 18):
