@@ -246,7 +246,9 @@ def _search(docs: DataFrame, least: int, gram: int, most: int, steps: tuple[int,
     # Suffixes that are equal as far as they reach are one leaf of the tree: a class of two and more is a group.
     leaves = classes.where("n > 1").select("h", F.lit(0).cast("long").alias("g"), F.lit(-1).cast("long").alias("k"), "c1", "c2", "one.doc_id", "one.tag", "n",
         F.col("one.pos").alias("start"), (F.col("one.pos") + F.col("one.size")).alias("stop"), F.col("one.a").cast("long").alias("back"), (F.col("one.size") - F.col("one.a")).cast("long").alias("ahead"))
-    return stored(groups.unionByName(leaves), "groups"), kept, settled
+    out = stored(groups.unionByName(leaves), "groups")
+    forget(classes, open_, around)
+    return out, kept, settled
 
 
 def repeat_groups(docs: DataFrame, least: int = 400, gram: int = 128, most: int = 500, steps: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
@@ -392,33 +394,41 @@ def repeated_words(docs: DataFrame, words: int = 51, gram: int = 16) -> DataFram
 
     Words are runs without ASCII white space. Equal passages agree in every byte from their first word to their
     last, but for punctuation at either end, which belongs to them where both have it. Anchors found once are
-    done; of the windows around the others 128-bit hashes are counted, pre-aggregated in each task."""
+    done, and anchors with equal surroundings are one class, as in repeated_spans(). Of the windows around one anchor
+    of each class, where several classes share it, 128-bit hashes are counted, pre-aggregated in each task."""
     docs = docs.select("doc_id", row_tag().alias("tag"), "text").where("doc_id is not null")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data, ends = flat(b.column("text"))
             text, start, stop, h = word_anchors(data, ends, words, gram)
+            view = memoryview(np.ascontiguousarray(data))
+            around = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[i:j]) for i, j in zip(start.tolist(), stop.tolist())]), "<i8").reshape(-1, 2)
             ids, tags = (b.column(c).to_numpy(zero_copy_only=False)[text].astype(np.int64) for c in ("doc_id", "tag"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, tags, start - ends[text], stop - ends[text], h)], [*SPAN, "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, tags, start - ends[text], stop - ends[text], h, around[:, 0].copy(), around[:, 1].copy())], [*SPAN, "h", "c1", "c2"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1 << 18):
-            rows = []
+            rows: dict[tuple, None] = {}
             for id, tag, text, runs in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("text"), b.column("w").to_pylist()):
                 text = text.as_py().encode()
-                for x, y in {xy for r in runs for xy in word_windows(text, r["start"], r["stop"], words)}:
-                    rows.append((id, tag, x, y, *np.frombuffer(xxhash.xxh3_128_digest(text[x:y]), "<i8").tolist()))
+                for r in runs:
+                    for x, y in word_windows(text, r["start"], r["stop"], words):
+                        rows[id, tag, x, y, *np.frombuffer(xxhash.xxh3_128_digest(text[x:y]), "<i8").tolist()] = None
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], [*SPAN, "c1", "c2"])
 
-    anchors = stored(docs.mapInArrow(find, "doc_id long, tag long, start long, stop long, h long"), "anchors")
+    anchors = stored(docs.mapInArrow(find, "doc_id long, tag long, start long, stop long, h long, c1 long, c2 long"), "anchors")
     again = stored(anchors.groupBy("h").agg(F.count("*").alias("total")).where("total > 1").select("h"), "anchors")
-    wanted = anchors.join(again.hint("merge"), "h").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("w"))  # no more than the text has anchors
-    all_ = stored(docs.join(wanted.hint("merge"), ["doc_id", "tag"]).mapInArrow(windows, "doc_id long, tag long, start long, stop long, c1 long, c2 long"), "windows")
+    kept = stored(anchors.join(again.hint("merge"), "h"), "anchors")
     forget(anchors, again)
+    classes = stored(kept.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*SPAN)).alias("one")), "classes")
+    whole = kept.join(classes.where("n > 1").select("h", "c1", "c2").hint("merge"), ["h", "c1", "c2"]).select(*SPAN)
+    several = classes.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("fewest")).where("m > 1 and fewest = 1").select("h")
+    wanted = classes.join(several.hint("merge"), "h").groupBy("one.doc_id", "one.tag").agg(F.collect_set(F.struct("one.start", "one.stop")).alias("w"))  # no more than the text has anchors
+    all_ = stored(docs.join(wanted.hint("merge"), ["doc_id", "tag"]).mapInArrow(windows, "doc_id long, tag long, start long, stop long, c1 long, c2 long"), "windows")
     twice = stored(all_.groupBy("c1", "c2").agg(F.count("*").alias("total")).where("total > 1").select("c1", "c2"), "windows")
-    found = stored(all_.join(twice.hint("merge"), ["c1", "c2"]).select(*SPAN), "spans")
-    forget(all_, twice)
+    found = stored(all_.join(twice.hint("merge"), ["c1", "c2"]).select(*SPAN).unionByName(whole), "spans")
+    forget(kept, classes, all_, twice)
     return found
 
 
