@@ -90,8 +90,19 @@ def maximal(right: np.ndarray, rights: np.ndarray, left: np.ndarray, lefts: np.n
     return out
 
 
-def _solve(least: int, gram: int):
-    """Streams rows sorted by bucket and yields (h, g, k, c1, c2, back, ahead) for each member of each group of maximal repeats: a class and how far it reaches around its anchor."""
+def outermost(reach: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of stretches (bytes before the anchor, bytes from it on) those that no other covers."""
+    out: list[tuple[int, int]] = []
+    for back, ahead in sorted(reach, reverse=True):
+        if not out or ahead > out[-1][1]:
+            out.append((back, ahead))
+    return out
+
+
+def _solve(least: int, gram: int, every: bool):
+    """Streams rows sorted by bucket and yields the members of the groups of maximal repeats: classes, and how far they reach around their anchors.
+
+    Of each group with `every`; else only the stretches of each class of one that no other group's cover."""
     names = ["h", "g", "k", "c1", "c2", "doc_id", "tag", "n", "start", "stop", "back", "ahead"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +130,13 @@ def _solve(least: int, gram: int):
         for lo, hi in zip(b[:-1], b[1:]):
             if hi - lo > 2:
                 found.extend((k, x, y, lo + of) for k, (x, y, of) in enumerate(maximal(right[lo:hi], rights[lo:hi], left[lo:hi], lefts[lo:hi], least)))
+        if not every:
+            reach: dict[int, list[tuple[int, int]]] = {}
+            for _, x, y, members in found:
+                for i in members:
+                    if rows[i][6] == 1:
+                        reach.setdefault(int(i), []).append((x, y))
+            found = [(0, x, y, (i,)) for i, own in reach.items() for x, y in outermost(own)]
         for k, x, y, members in found:
             for i in members:
                 h, g, id, tag, pos, a, n, c1, c2, _ = rows[i]
@@ -181,7 +199,7 @@ def _split(crowded: DataFrame, least: int, most: int, steps: tuple[int, ...]) ->
     return groups, small
 
 
-def _search(docs: DataFrame, least: int, gram: int, most: int, steps: tuple[int, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _search(docs: DataFrame, least: int, gram: int, most: int, steps: tuple[int, ...], every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(groups, kept, settled): members of the groups of maximal repeats, by class; all anchors seen more than once, with their class; what repeats within one batch of rows."""
     docs = docs.select("doc_id", row_tag().alias("tag"), "text").where("doc_id is not null")
     columns = ["doc_id", "tag", "pos", "a", "size", "h", "c1", "c2", "n"]
@@ -234,7 +252,7 @@ def _search(docs: DataFrame, least: int, gram: int, most: int, steps: tuple[int,
     bucket = "h long, g long, doc_id long, tag long, pos long, a int, n long, c1 long, c2 long, m long, text binary"
     names = [x.split()[0] for x in bucket.split(", ")]
     around = stored(docs.join(wanted.hint("merge"), ["doc_id", "tag"]).mapInArrow(fetch, bucket), "around")
-    solved = lambda rows: rows.repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(_solve(least, gram), GROUP)
+    solved = lambda rows: rows.repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(_solve(least, gram, every), GROUP)
     groups = solved(around.where(F.col("m") <= most).drop("m"))
     crowded = around.where(F.col("m") > most)
     if not crowded.isEmpty():
@@ -257,7 +275,7 @@ def repeat_groups(docs: DataFrame, least: int = 400, gram: int = 128, most: int
     Rows that agree in h, g, k and length (and in c1 and c2, where k is -1) are all occurrences of one repeat. It is maximal as
     far as windows around its anchor reach; longer repeats are a chain of groups that overlap. In buckets of more
     than `most` classes that stay large when split, groups are of windows of `least` bytes. See repeated_spans(); what repeats within one batch of rows stands for itself there."""
-    groups, kept, _ = _search(docs, least, gram, most, steps)
+    groups, kept, _ = _search(docs, least, gram, most, steps, True)
     own = kept.select("h", "c1", "c2", F.col("doc_id").alias("d"), F.col("tag").alias("t"), (F.col("pos") + F.col("a")).alias("at"))
     # h of a split bucket is that of a strip, so classes are told by their digest.
     found = groups.join(own.drop("h").hint("merge"), ["c1", "c2"])
@@ -277,7 +295,7 @@ def repeated_spans(docs: DataFrame, least: int = 400, gram: int = 128, most: int
 
     Positions are bytes of UTF-8. Matches do not cross texts. Rows without doc_id take no part. Rows that share a
     doc_id are told apart by row_tag() of their text; if that is equal too, they repeat each other. Null text is empty."""
-    groups, kept, settled = _search(docs, least, gram, most, steps)
+    groups, kept, settled = _search(docs, least, gram, most, steps, False)
     leaf = groups.where("k = -1").select("h", "c1", "c2")
     whole = kept.join(leaf.hint("merge"), ["h", "c1", "c2"]).select("doc_id", "tag", F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("stop"))
     # Occurrences of classes of two and more are covered by those of their leaves.
