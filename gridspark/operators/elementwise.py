@@ -56,7 +56,3 @@ def binary(op: str, a: Cells, b: Cells | float | int) -> Cells:
     axes = tuple(dict.fromkeys((*a.axes, *own)))
     sizes = {x: b.sizes[x] if x in own else a.sizes[x] for x in axes}
     return replace(a, df=both.select(*axes, f(op, F.col("_a"), F.col("_b")).alias(a.value)), axes=axes, shape=tuple(sizes.values()))
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda x, y: x & y, conditions)

@@ -35,7 +35,8 @@ def indexed_contiguous(samples: DataFrame, profiles: DataFrame, sample: str, pro
 def padded(df: DataFrame, instance: str, element: str, columns: list[str], width: int | None = None) -> DataFrame:
     """The dense form: every instance with elements 0 to width - 1 (the longest, if not given), missing where it has none."""
     if width is None:
-        width = (df.agg(F.max(element)).first()[0] or -1) + 1
+        last = df.agg(F.max(element)).first()[0]
+        width = 0 if last is None else last + 1
     grid = df.select(instance).distinct().select(instance, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias(element)) if width else df.select(instance, element).where("false")
     return grid.join(df.where(F.col(element).isNotNull()).select(instance, element, *columns), [instance, element], "left")
 

@@ -7,8 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Cells, Construct, Field
-from ..operators.indexing import subspace
+from ..model import Construct, Field
 from ..sources import container, netcdf3, zarr3
 from ..sources.scratch import scratch
 from ..sources.tables import labels, masked_cells, table
@@ -17,23 +16,8 @@ from .arrays import M
 from .registry import query
 
 
-@query(f"WITH {M} SELECT i, j, value::DOUBLE AS value FROM m WHERE i < 300")
-def netcdf_fragments(spark: SparkSession, sf: str) -> DataFrame:
-    c = subspace(masked_cells(spark, sf), (slice(300),))
-    c = c.select(c.v.cast("double"))
-    return netcdf3.read_fragments(spark, netcdf3.write_fragments(c, scratch(spark, "netcdf"), rows=64), c.axes, c.shape).frame()
-
-
-@query(f"WITH {M} SELECT i, j, value::DOUBLE AS value FROM m WHERE i < 300")
-def zarr_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    c = subspace(masked_cells(spark, sf), (slice(300),))
-    path = scratch(spark, "zarr")
-    zarr3.write(c.select(c.v.cast("double")), path, (128, 40))
-    return zarr3.read(spark, path).frame()
-
-
 @query(f"WITH {M} SELECT i, j, value::DOUBLE AS value FROM m")
-def netcdf_fragments_whole(spark: SparkSession, sf: str) -> DataFrame:
+def netcdf_fragments(spark: SparkSession, sf: str) -> DataFrame:
     """All vectors, in eight files, or in more where these would pass 4096 vectors."""
     c = masked_cells(spark, sf)
     c = c.select(c.v.cast("double"))
@@ -42,7 +26,7 @@ def netcdf_fragments_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"WITH {M} SELECT i, j, value::DOUBLE AS value FROM m")
-def zarr_chunks_whole(spark: SparkSession, sf: str) -> DataFrame:
+def zarr_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """All vectors, in eight rows of chunks, or in more where these would pass 4096 vectors."""
     c = masked_cells(spark, sf)
     path = scratch(spark, "zarr")
@@ -50,15 +34,13 @@ def zarr_chunks_whole(spark: SparkSession, sf: str) -> DataFrame:
     return zarr3.read(spark, path).frame()
 
 
-def _field(spark: SparkSession, sf: str, vectors: int | None = 300) -> Field:
-    """The first vectors, or all if None, with their labels."""
-    c = subspace(masked_cells(spark, sf), (slice(vectors),))
-    label = labels(spark, sf)
-    label = replace(label, df=label.df.where(F.col("i") < c.shape[0]), shape=c.shape[:1])
+def _field(spark: SparkSession, sf: str) -> Field:
+    """All vectors with their labels."""
+    c, label = masked_cells(spark, sf), labels(spark, sf)
     return Field(replace(c, units="1"), (Construct("i", "domain_axis", size=c.shape[0]), Construct("auxiliarycoordinate0", "auxiliary_coordinate", ("i",), {"long_name": "label"}, data=label)))
 
 
-@query(f"WITH {M} SELECT i, j, value, label FROM m JOIN embeddings ON vec_id = i WHERE i < 300")
+@query(f"WITH {M} SELECT i, j, value, label FROM m JOIN embeddings ON vec_id = i")
 def container_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "field")
     container.save(_field(spark, sf), path)
@@ -66,7 +48,7 @@ def container_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return f.data.df.join(f.construct("long_name=label").data.df.withColumnRenamed("value", "label"), "i").select("i", "j", "value", "label")
 
 
-@query(f"WITH {M} SELECT i, j, value FROM m WHERE i < 300 UNION ALL SELECT i + 300, j, value FROM m WHERE i < 300")
+@query(f"WITH {M} SELECT i, j, value FROM m UNION ALL SELECT i + (SELECT max(vec_id) + 1 FROM embeddings), j, value FROM m")
 def container_append(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "field")
     f = _field(spark, sf)
@@ -74,29 +56,9 @@ def container_append(spark: SparkSession, sf: str) -> DataFrame:
     return container.append(f, path, "i").data.frame()
 
 
-@query(f"WITH {M} SELECT i, j, value, label FROM m JOIN embeddings ON vec_id = i")
-def container_roundtrip_whole(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch(spark, "field")
-    container.save(_field(spark, sf, None), path)
-    f = container.load(spark, path)
-    return f.data.df.join(f.construct("long_name=label").data.df.withColumnRenamed("value", "label"), "i").select("i", "j", "value", "label")
-
-
-@query(f"WITH {M} SELECT i, j, value FROM m UNION ALL SELECT i + (SELECT max(vec_id) + 1 FROM embeddings), j, value FROM m")
-def container_append_whole(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch(spark, "field")
-    f = _field(spark, sf, None)
-    container.save(f, path)
-    return container.append(f, path, "i").data.frame()
-
-
 @query("SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, max(value) AS max, min(value) AS min, count(value) AS count FROM events GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     events = f"{sf}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(events).schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
     out = reductions.windowed(stream, "ts", "value", "6 hours", "1 day", ["event_type"])
-    return reductions.run_updating(out, spark, scratch(spark, "stream")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "max", "min", "count")
-
-
-def as_cells(df: DataFrame, axes: tuple[str, ...], shape: tuple[int, ...]) -> Cells:
-    return Cells(df, axes, shape)
+    return reductions.run_updating(out, spark, scratch(spark, "stream"), ["start", "event_type"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "max", "min", "count")

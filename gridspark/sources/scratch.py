@@ -12,9 +12,11 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path under spark.checkpoint.dir; in a temporary folder only where that is not set (one machine)."""
+    """A new path under spark.checkpoint.dir; where that is not set in a temporary folder, on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="gridspark-")

@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def embedding_cells(spark: SparkSession, sf_dir: str) -> Cells:
     """A field on (i, j): vector by component."""
     df = table(spark, sf_dir, "embeddings")
-    n = (df.agg(F.max("vec_id")).first()[0] or -1) + 1
-    return from_packed(df, {"i": "vec_id"}, "embedding", "j", (n, 64))
+    last, width = df.agg(F.max("vec_id"), F.max(F.size("embedding"))).first()
+    return from_packed(df, {"i": "vec_id"}, "embedding", "j", (0 if last is None else last + 1, 0 if width is None else width))
 
 
 def whole_cells(spark: SparkSession, sf_dir: str) -> Cells:

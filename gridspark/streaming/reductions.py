@@ -20,14 +20,18 @@ def run_once(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.parquet(path)
 
 
-def run_updating(stream: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """The same for results that still change: each batch's complete result replaces the last."""
-    state: dict[str, str] = {}
+def run_updating(stream: DataFrame, spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The same for results that still change: each batch writes the rows of `keys` that it changed, and of each the newest is read.
+
+    Rows behind the watermark are left out, and the state of windows behind it is dropped, so state stays bounded.
+    A batch that is run again writes the same folder."""
 
     def keep(df: DataFrame, batch: int) -> None:
-        state["path"] = f"{path}/batch-{batch}"
-        df.write.mode("overwrite").parquet(state["path"])
+        df.withColumn("_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{path}/batch-{batch}")
 
-    q = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(keep).start()
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    return spark.read.parquet(state["path"])
+    written = spark.read.schema(stream.schema.add("_batch", "long")).option("recursiveFileLookup", "true").parquet(path)
+    rest = [c for c in stream.columns if c not in keys]
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_new"))
+    return newest.select(*(f"_new.{c}" if c in rest else c for c in stream.columns))
