@@ -15,12 +15,13 @@ from .common import IS_SPACE, TO_LOWER, components, flat, forget, free_name, mix
 _ROLE = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 #: Bytes of text that a task looks at together; arrays of 64-bit numbers are made of each byte.
 SLICE = 1 << 19
-#: Entries up to which a list of the index is compared as it is; shingles of longer lists are put last in the order.
+#: Documents that may hold a shingle before it counts as crowded.
 LIST = 32
 #: Entries of a list from which on it is looked at again before the second round.
 LONG = 64
 #: Shingles that share a cell of the table of crowdedness, unless it would have more than 2**MOST_BITS cells.
 LOAD, MOST_BITS, _BLOCK = 16, 26, 1 << 14
+PARITY = [f"b{k}" for k in range(8)]
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarray]:
@@ -82,16 +83,25 @@ def _arrays(sets: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
 
 
-def described(docs: DataFrame, words: int, taken, columns: str) -> DataFrame:
-    """(*columns, n, s1, s2, tokens) of every row of docs: the size of its set, a 128-bit digest of it, and what taken(set) gives for its hashes."""
+def parities(sets: list[np.ndarray]) -> list[pa.Array]:
+    """For each set 512 bits, in eight columns: whether an odd number of its hashes falls in each of 512 cells. Where two sets differ in k bits, at least k hashes are in one of them only."""
+    odd = [np.packbits((np.bincount((x & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)) for x in sets]
+    bits = np.frombuffer(b"".join(x.tobytes() for x in odd), "<i8").reshape(-1, len(PARITY))
+    return [pa.array(bits[:, k].copy()) for k in range(len(PARITY))]
+
+
+def described(docs: DataFrame, words: int, taken, columns: str, parity: bool = False) -> DataFrame:
+    """(*columns, n, s1, s2, tokens) of every row of docs: the size of its set, a 128-bit digest of it, and what taken(set) gives for its hashes; parities() too, if asked for."""
     names = [c.split()[0] for c in columns.split(", ")]
+    more = PARITY if parity else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE):
             sets = shingle_sets(*flat(b.column("text")), words)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *_digests(sets), _arrays([taken(x) if len(x) else x for x in sets])], [*names, "n", "s1", "s2", "tokens"])
+            tokens = _arrays([taken(x) if len(x) else x for x in sets])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *_digests(sets), tokens, *(parities(sets) if more else [])], [*names, "n", "s1", "s2", "tokens", *more])
 
-    return docs.select(*names, "text").mapInArrow(run, f"{columns}, n long, s1 long, s2 long, tokens array<long>")
+    return docs.select(*names, "text").mapInArrow(run, ", ".join([columns, "n long, s1 long, s2 long, tokens array<long>", *(f"{c} long" for c in more)]))
 
 
 def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
@@ -155,9 +165,10 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, tags: bool = Fals
        pair passes in the list of the first shingle that it shares. Pairs of groups are expanded to their classes,
        and pass if their prefixes and then their whole sets allow it.
     3. Only links between classes not yet connected matter, so a second round compares, in each list that still holds
-       several components, the classes of different ones. Lists of at most LIST entries, as nearly all are, give a
-       bounded number of pairs for each entry. Longer ones hold classes that consist of crowded shingles, near copies
-       for the most part: before that round, classes of such lists meet a few random others, so that they are connected.
+       several components, the classes of different ones. The join compares all of them, M * M / 2 at most for M
+       classes of a list, but gives only pairs that sizes, places and 512 bits of each set allow. Lists are short but
+       for classes that consist of crowded shingles, near copies for the most part: before that round, classes of
+       long lists meet a few random others, so that most are connected.
     4. Components of the links are those of the documents.
 
     Sets are compared by 64-bit hashes of shingles. Texts without words are linked with nothing. A row without doc_id
@@ -182,12 +193,12 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, tags: bool = Fals
         return x[: prefix_size(len(x), percent)]
 
     same = ["s1", "s2", "doc"]
-    fronts = described(docs, words, prefix, "doc_id long, tag long").where("n > 0").withColumnRenamed("doc_id", "doc").join(classes.hint("merge"), same)
-    fronts = stored(fronts.dropDuplicates(same).select("c", "n", "tokens"), "prefixes")
+    fronts = described(docs, words, prefix, "doc_id long, tag long", True).where("n > 0").withColumnRenamed("doc_id", "doc").join(classes.hint("merge"), same)
+    fronts = stored(fronts.dropDuplicates(same).select("c", "n", "tokens", *PARITY), "prefixes")
     # g: one class of a group
     front = [x.alias(k) for x, k in zip(xx128("tokens"), ("p1", "p2"))]
     groups = stored(fronts.groupBy(*front, "n").agg(F.min("c").alias("g"), F.count("*").alias("size")), "groups")
-    member = stored(fronts.select("c", "n", *front).join(groups.hint("merge"), ["p1", "p2", "n"]).select("c", "g", "n", "size"), "members")
+    member = stored(fronts.select("c", "n", *front, *PARITY).join(groups.hint("merge"), ["p1", "p2", "n"]).select("c", "g", "n", "size", *PARITY), "members")
 
     index = stored(fronts.join(groups.select(F.col("g").alias("c"), "size").hint("merge"), "c").select(F.col("c").alias("g"), "n", "size", F.posexplode("tokens").alias("pos", "token")), "index")
     heads = index.groupBy("token").agg(F.sum("size").alias("entries"), F.min(F.struct("g", "pos", "n")).alias("first"), F.max("g").alias("last")).where("first.g < last")
@@ -241,9 +252,9 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, tags: bool = Fals
             lists.where("entries > 2")
             .select("token", "g", "pos", "first", "entries")
             .join(named.hint("merge"), "g")
-            .select("token", "first", "entries", "c", "n", "pos", "k")
+            .select("token", "first", "entries", "c", "n", "pos", "k", *PARITY)
             # a group of several classes is one more list, named by the group
-            .unionByName(named.where("size > 1").select((-1 - F.col("g")).alias("token"), F.col("g").alias("first"), F.col("size").alias("entries"), "c", "n", F.lit(0).alias("pos"), "k"))
+            .unionByName(named.where("size > 1").select((-1 - F.col("g")).alias("token"), F.col("g").alias("first"), F.col("size").alias("entries"), "c", "n", F.lit(0).alias("pos"), "k", *PARITY))
         )
         several = stored(entries.groupBy("token").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").select("token"), "lists")
         out = stored(entries.join(several.hint("merge"), "token", "left_semi"), "entries")
@@ -263,9 +274,11 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, tags: bool = Fals
         links = stored(links.unionByName(links_of(some)), "links")
         forget(entries)
         entries = apart(links)
-    x = entries.select("token", F.col("c").alias("a"), F.col("n").alias("n0"), F.col("pos").alias("pos0"), F.col("k").alias("ka"))
-    y = entries.select("token", F.col("c").alias("b"), "n", "pos", F.col("k").alias("kb"))
-    more = x.join(y.hint("merge"), "token").where(f"ka < kb and {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x = entries.select("token", F.col("c").alias("a"), F.col("n").alias("n0"), F.col("pos").alias("pos0"), F.col("k").alias("ka"), *(F.col(c).alias(f"of_{c}") for c in PARITY))
+    y = entries.select("token", F.col("c").alias("b"), "n", "pos", F.col("k").alias("kb"), *PARITY)
+    # What is in one of the sets only is no more than the index allows: see parities().
+    alike = f"{100 + percent} * ({' + '.join(f'bit_count({c} ^ of_{c})' for c in PARITY)}) <= {100 - percent} * (n + n0)"
+    more = x.join(y.hint("merge"), "token").where(f"ka < kb and {near} and {alike}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")  # pairs of the round between are verified again, if still apart
     forget(lists, member, pairs, some)
     if not more.isEmpty():
