@@ -11,6 +11,7 @@ from gridspark.llm.common import stored
 
 from ..test_queries import DATA, TABLES, db, table  # noqa: F401
 from . import brute
+from .test_passages import covered
 
 assert TABLES
 
@@ -31,12 +32,13 @@ def test_stages(spark):
     assert three.columns == columns and set(rows(three)) == {c for _, c in brute.jaccard(list(rows(two).items())).values()}
     four = stored(stage["repeated_passages"](spark, three, DATA))
     marks, before, after = brute.repeats(list(rows(three).items()), corpus_pipeline.PASSAGE), rows(three), rows(four)
+    words = covered(list(before.items()), corpus_pipeline.WORDS)
     assert four.columns == columns and set(after) == set(before)
     for i, text in before.items():
         at, kept = 0, []
-        for c in text:
+        for k, c in enumerate(text):
             size = len(c.encode())
-            if not all(marks[i][4][at : at + size]):
+            if not words[i][k] and not all(marks[i][4][at : at + size]):
                 kept.append(c)
             at += size
         assert after[i] == "".join(kept)
