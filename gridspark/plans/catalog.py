@@ -24,6 +24,17 @@ def catalogue(spark: SparkSession, constructs: tuple[Construct, ...] | list[Cons
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def named(df: DataFrame) -> DataFrame:
+    """A table of constructs (key, type, axes, ncvar, ncdim, size, measure, method, cell, connectivity, properties) of any size, with naxes and the names that Construct.identities() gives."""
+    first = ("standard_name", "cf_role", "axis", "long_name")
+    p = lambda k: F.try_element_at("properties", F.lit(k))
+    said = lambda prefix, c: F.when(c != "", F.concat(F.lit(prefix), c))
+    rest = F.transform(F.filter(F.array_sort(F.map_keys("properties")), lambda k: ~k.isin(*first)), lambda k: F.concat(k, F.lit("="), F.try_element_at("properties", k)))
+    own = F.array(said("", p(first[0])), *(said(f"{c}:", F.col(c)) for c in ("measure", "method", "cell", "connectivity")), *(said(f"{k}=", p(k)) for k in first[1:]))
+    names = F.array_compact(F.concat(own, rest, F.array(said("ncvar%", F.col("ncvar")), said("ncdim%", F.col("ncdim")))))
+    return df.select("*", F.size("axes").alias("naxes"), F.coalesce(F.get(names, F.lit(0)), F.lit("")).alias("identity"), F.concat(names, F.array(F.concat(F.lit("key%"), "key"))).alias("identities"))
+
+
 def _one(column: Column, values: tuple) -> Column:
     """One of the values; those that begin with "re:" are patterns to be found in it. Without values, there is one."""
     if not values:

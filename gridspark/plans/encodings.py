@@ -104,29 +104,32 @@ def sparse_cells(spark: SparkSession, sf: str) -> DataFrame:
     return gathered.sparse(whole_cells(spark, sf)).frame()
 
 
-_TIE = "t(k, u) AS (VALUES (0, -85.0::DOUBLE), (8, -5.0), (9, 5.0), (17, 85.0))"
+_TIE = "t AS (SELECT p_partkey, unnest([0, 4, 5, 13]) AS k, unnest([p_retailprice, p_size, 2.0 * p_size, p_retailprice])::DOUBLE AS u FROM part)"
 _AREA = (
-    "a AS (SELECT k AS low, lead(k) OVER (ORDER BY k) AS high, u AS ua, lead(u) OVER (ORDER BY k) AS ub, coalesce(k - lag(k) OVER (ORDER BY k), 0) <= 1 AS first FROM t), "
-    "s AS (SELECT *, row_number() OVER (ORDER BY low) - 1 AS area FROM a WHERE high - low > 1)"
+    "a AS (SELECT p_partkey, k AS low, lead(k) OVER w AS high, u AS ua, lead(u) OVER w AS ub, coalesce(k - lag(k) OVER w, 0) <= 1 AS first FROM t WINDOW w AS (PARTITION BY p_partkey ORDER BY k)), "
+    "s AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY low) - 1 AS area FROM a WHERE high - low > 1)"
 )
 
 
-def _ties(spark: SparkSession, rows: list[tuple] = [(0, -85.0), (8, -5.0), (9, 5.0), (17, 85.0)]) -> DataFrame:  # noqa: B006  a fixture
-    return spark.createDataFrame(rows, "k long, value double")
+def _ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Four tie points of each part, in two continuous areas."""
+    price, size = F.col("p_retailprice"), F.col("p_size").cast("double")
+    points = F.array(*(F.struct(F.lit(k).cast("long").alias("k"), v.alias("value")) for k, v in ((0, price), (4, size), (5, 2 * size), (13, price))))
+    return table(spark, sf, "part").select("p_partkey", F.inline(points))
 
 
-@query(f"WITH {_TIE}, {_AREA} SELECT i::BIGINT AS i, ua + (i - low) / (high - low) * (ub - ua) AS value FROM s, range(18) r(i) WHERE i <= high AND (i > low OR first AND i = low)")
+@query(f"WITH {_TIE}, {_AREA} SELECT p_partkey, i::BIGINT AS i, ua + (i - low) / (high - low) * (ub - ua) AS value FROM s, range(14) r(i) WHERE i <= high AND (i > low OR first AND i = low)")
 def tie_linear(spark: SparkSession, sf: str) -> DataFrame:
-    return tiepoints.interpolated(_ties(spark), "k")
+    return tiepoints.interpolated(_ties(spark, sf), "k", over=["p_partkey"])
 
 
 @query(
-    f"WITH {_TIE}, {_AREA} SELECT i::BIGINT AS i, ua + (i - low) / (high - low) * (ub - ua) + 4 * w * (i - low) / (high - low) * (1 - (i - low) / (high - low)) AS value "
-    "FROM s JOIN (VALUES (0, 3.5::DOUBLE), (1, -2.0)) p(n, w) ON area = n, range(18) r(i) WHERE i <= high AND (i > low OR first AND i = low)"
+    f"WITH {_TIE}, {_AREA} SELECT p_partkey, i::BIGINT AS i, ua + (i - low) / (high - low) * (ub - ua) + 4 * w * (i - low) / (high - low) * (1 - (i - low) / (high - low)) AS value "
+    "FROM s JOIN (VALUES (0, 1.5::DOUBLE), (1, -4.0)) p(n, w) ON area = n, range(14) r(i) WHERE i <= high AND (i > low OR first AND i = low)"
 )
 def tie_quadratic(spark: SparkSession, sf: str) -> DataFrame:
-    w = spark.createDataFrame([(0, 3.5), (1, -2.0)], "area int, w double")
-    return tiepoints.interpolated(_ties(spark), "k", w="w", parameters=w)
+    w = spark.createDataFrame([(0, 1.5), (1, -4.0)], "area int, w double")
+    return tiepoints.interpolated(_ties(spark, sf), "k", over=["p_partkey"], w="w", parameters=w)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, (l_extendedprice - (0.75 * l_quantity + 0.25 * 100)) / 0.75 AS w, l_extendedprice AS u FROM lineitem")
@@ -147,10 +150,10 @@ def tie_bilinear(spark: SparkSession, sf: str) -> DataFrame:
     return tiepoints.interpolated_2d(spark.createDataFrame(rows, "p long, q long, value double"), "p", "q").select("i", "j", F.round("value", 9).alias("value"))
 
 
-@query("SELECT i::BIGINT AS i, [-90.0 + 10.0 * i, -80.0 + 10.0 * i]::DOUBLE[] AS bounds FROM range(18) r(i)")
+@query("SELECT i::BIGINT AS i, [5.0 * i, 5.0 * i + 5]::DOUBLE[] AS bounds FROM range(10) r(i)")
 def tie_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of two continuous areas, from the vertices at their ends."""
-    return tiepoints.bounds(_ties(spark, [(0, -90.0), (8, 0.0), (9, 0.0), (17, 90.0)]), "k").select("i", F.transform("bounds", lambda x: F.round(x, 9)).alias("bounds"))
+    return tiepoints.bounds(spark.createDataFrame([(0, 0.0), (5, 30.0), (6, 30.0), (9, 50.0)], "k long, value double"), "k").select("i", F.transform("bounds", lambda x: F.round(x, 9)).alias("bounds"))
 
 
 @query("SELECT k::BIGINT AS k, round(degrees(atan2(z, sqrt(x * x + y * y))), 9) AS lat, round(degrees(atan2(y, x)), 9) AS lon FROM (SELECT k, s, ax + s * (bx - ax) + c * 4 * s * (1 - s) * (ax + bx) / 2 AS x, ay + s * (by_ - ay) + c * 4 * s * (1 - s) * (ay + by_) / 2 AS y, az + s * (bz - az) + c * 4 * s * (1 - s) * (az + bz) / 2 AS z FROM (SELECT *, 1 - sqrt(((ax + bx) * (ax + bx) + (ay + by_) * (ay + by_) + (az + bz) * (az + bz)) / 4) AS c FROM (SELECT k, k / 10.0 AS s, cos(radians(10)) * cos(radians(20)) AS ax, cos(radians(10)) * sin(radians(20)) AS ay, sin(radians(10)) AS az, cos(radians(30)) * cos(radians(60)) AS bx, cos(radians(30)) * sin(radians(60)) AS by_, sin(radians(30)) AS bz FROM range(11) r(k))))")
@@ -162,15 +165,15 @@ def tie_lat_lon_sphere(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT * FROM (VALUES (0, [[{'x': 20, 'y': 0}, {'x': 10, 'y': 15}, {'x': 0, 'y': 0}], [{'x': 5, 'y': 5}, {'x': 10, 'y': 10}, {'x': 15, 'y': 5}, {'x': 10, 'y': 5}], [{'x': 20, 'y': 20}, {'x': 10, 'y': 35}, {'x': 0, 'y': 20}]], [0, 1, 0]), "
-    "(1, [[{'x': 50, 'y': 0}, {'x': 40, 'y': 15}, {'x': 30, 'y': 0}]], [0])) t(cell, parts, rings)"
+    "WITH n AS (SELECT s_suppkey AS cell, [{'x': s_acctbal + e, 'y': s_nationkey * e} FOR e IN [0, 1, 2, 3, 4, 5, 6]] AS n FROM supplier) SELECT cell, [n[1:3], n[4:7]] AS parts, [0, 1] AS rings FROM n"
 )
 def geometry_parts(spark: SparkSession, sf: str) -> DataFrame:
-    x, y = [20, 10, 0, 5, 10, 15, 10, 20, 10, 0, 50, 40, 30], [0, 15, 0, 5, 10, 5, 5, 20, 35, 20, 0, 15, 0]
-    nodes = spark.createDataFrame(list(zip(range(13), x, y)), "n long, x int, y int")
-    parts = spark.createDataFrame([(0, 3, 0), (1, 4, 1), (2, 3, 0), (3, 3, 0)], "p long, size int, ring int")
-    cells = spark.createDataFrame([(0, 10), (1, 3)], "cell long, nodes int")
-    return geometry.nested(nodes, parts, cells, "n", "p", "cell", "size", "nodes", ring="ring").select(F.col("cell").cast("int").alias("cell"), "parts", "rings")
+    """Suppliers as cells of two parts, an outline of three nodes and a ring of four."""
+    s = table(spark, sf, "supplier")
+    k, e = F.col("s_suppkey"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("e")
+    nodes = s.select("*", e).select((k * 7 + F.col("e")).alias("n"), (F.col("s_acctbal") + F.col("e")).alias("x"), (F.col("s_nationkey") * F.col("e")).alias("y"))
+    parts = s.select(F.inline(F.array(*(F.struct((k * 2 + r).alias("p"), F.lit(3 + r).alias("size"), F.lit(r).alias("ring")) for r in (0, 1)))))
+    return geometry.nested(nodes, parts, s.select(k.alias("cell"), F.lit(7).alias("nodes")), "n", "p", "cell", "size", "nodes", ring="ring")
 
 
 @query("SELECT l_orderkey AS cell, min(l_quantity) AS min_x, max(l_quantity) AS max_x, min(l_tax) AS min_y, max(l_tax) AS max_y, count(*) AS nodes FROM lineitem GROUP BY l_orderkey")

@@ -6,82 +6,101 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import attrs, time, units
-from ..model import Construct
 from ..operators.combine import newest
 from ..sources.tables import table
 from . import catalog
 from .registry import query
 
-#: A small field's constructs, as literals.
-CONSTRUCTS = [
-    Construct("domainaxis0", "domain_axis", size=5, ncdim="lat"),
-    Construct("domainaxis1", "domain_axis", size=8, ncdim="lon"),
-    Construct("domainaxis2", "domain_axis", size=1),
-    Construct("dimensioncoordinate0", "dimension_coordinate", ("domainaxis0",), {"standard_name": "latitude", "units": "degrees_north"}, ncvar="lat"),
-    Construct("dimensioncoordinate1", "dimension_coordinate", ("domainaxis1",), {"standard_name": "longitude", "units": "degrees_east"}, ncvar="lon"),
-    Construct("dimensioncoordinate2", "dimension_coordinate", ("domainaxis2",), {"standard_name": "time", "units": "days since 2018-12-01", "axis": "T"}, ncvar="time"),
-    Construct("auxiliarycoordinate0", "auxiliary_coordinate", ("domainaxis0", "domainaxis1"), {"long_name": "area name", "valid_max": "9.50"}),
-    Construct("cellmeasure0", "cell_measure", ("domainaxis0", "domainaxis1"), {"units": "km2"}, measure="area", ncvar="cell_area"),
-    Construct("cellmethod0", "cell_method", ("domainaxis0",), method="mean"),
-    Construct("cellmethod1", "cell_method", ("domainaxis2",), method="maximum"),
-    Construct("domaintopology0", "domain_topology", ("domainaxis1",), cell="face"),
-    Construct("cellconnectivity0", "cell_connectivity", ("domainaxis1",), connectivity="edge"),
-]
+#: Parts as constructs: the key's remainder by 8 (m) says which kind, the quotient (h) the rest.
+KINDS = ("domain_axis", "dimension_coordinate", "auxiliary_coordinate", "cell_measure", "cell_method", "domain_topology", "cell_connectivity", "field_ancillary")
+_PARTS = (
+    f"c AS (SELECT 'c' || p_partkey AS key, {list(KINDS)}[m + 1] AS type, CASE WHEN m = 0 THEN 0 WHEN m IN (2, 3) THEN 2 WHEN m = 7 THEN 3 ELSE 1 END AS naxes, * "
+    "FROM (SELECT p_partkey, p_name, p_partkey % 8 AS m, p_partkey // 8 AS h FROM part))"
+)
+
+
+def _constructs(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    m, h = k % 8, F.expr("p_partkey div 8")
+    x = F.concat(F.lit("x"), (h % 3).cast("string"))
+    one = lambda n, *values: F.get(F.array(*map(F.lit, values)), (h % n).cast("int"))
+    properties = F.create_map(
+        *(F.lit("standard_name"), F.when(m == 1, one(3, "depth", "height", None))),
+        *(F.lit("units"), F.when(m.isin(1, 2, 3), one(4, "m", "kg m-2", "K", "K"))),
+        *(F.lit("long_name"), F.when(m == 2, F.col("p_name"))),
+        *(F.lit("level"), F.when(m == 7, (h % 5).cast("string"))),
+    )
+    rows = table(spark, sf, "part").select(
+        F.concat(F.lit("c"), k.cast("string")).alias("key"),
+        F.get(F.array(*map(F.lit, KINDS)), m.cast("int")).alias("type"),
+        F.when(m == 0, F.array().cast("array<string>")).when(m.isin(1, 4), F.array(x)).when(m == 2, F.array(x, F.lit("y"))).when(m == 3, F.array(F.lit("x0"), F.lit("y"))).when(m == 7, F.array(x, F.lit("y"), F.lit("z"))).otherwise(F.array(F.lit("y"))).alias("axes"),
+        F.when(m.isin(1, 3), F.concat(F.lit("v"), h.cast("string"))).alias("ncvar"),
+        F.when(m == 0, x).alias("ncdim"),
+        F.when(m == 0, h % 50 + 1).alias("size"),
+        F.when(m == 3, one(2, "area", "volume")).alias("measure"),
+        F.when(m == 4, one(2, "mean", "maximum")).alias("method"),
+        F.when(m == 5, one(3, "face", "edge", "point")).alias("cell"),
+        F.when(m == 6, one(2, "node", "edge")).alias("connectivity"),
+        F.map_filter(properties, lambda _, v: v.isNotNull()).alias("properties"),
+    )
+    return catalog.named(rows)
+
+
+#: For each filter its condition on the catalogue, and the same on (key, m, h).
 _FILTERS = {
-    "axis_and": (lambda: catalog.by_axis("domainaxis0", "domainaxis1"), "auxiliarycoordinate0 cellmeasure0"),
-    "axis_or": (lambda: catalog.by_axis("domainaxis0", "domainaxis2", mode="or"), "dimensioncoordinate0 dimensioncoordinate2 auxiliarycoordinate0 cellmeasure0"),
-    "axis_exact": (lambda: catalog.by_axis("domainaxis0", mode="exact"), "dimensioncoordinate0"),
-    "axis_subset": (lambda: catalog.by_axis("domainaxis1", "domainaxis2", mode="subset"), "dimensioncoordinate1 dimensioncoordinate2 domaintopology0 cellconnectivity0"),
-    "identity": (lambda: catalog.by_identity("latitude", "measure:area", "re:^long_name=area"), "dimensioncoordinate0 cellmeasure0 auxiliarycoordinate0"),
-    "key": (lambda: catalog.by_key("cellmethod1", "re:axis[01]$"), "cellmethod1 domainaxis0 domainaxis1"),
-    "property_and": (lambda: catalog.by_property(units="re:^degrees", standard_name="longitude"), "dimensioncoordinate1"),
-    "property_or": (lambda: catalog.by_property(mode="or", axis="T", valid_max=9.5), "dimensioncoordinate2 auxiliarycoordinate0"),
-    "property_exists": (lambda: catalog.by_property(long_name=None), "auxiliarycoordinate0"),
-    "naxes": (lambda: catalog.by_naxes(2), "auxiliarycoordinate0 cellmeasure0"),
-    "size": (lambda: catalog.by_size(1, 8), "domainaxis1 domainaxis2"),
-    "type": (lambda: catalog.by_type("cell_method", "domain_axis"), "cellmethod0 cellmethod1 domainaxis0 domainaxis1 domainaxis2"),
-    "measure": (lambda: catalog.by_measure("area"), "cellmeasure0"),
-    "method": (lambda: catalog.by_method("mean"), "cellmethod0"),
-    "cell": (lambda: catalog.by_cell("face"), "domaintopology0"),
-    "connectivity": (lambda: catalog.by_connectivity(), "cellconnectivity0"),
-    "ncvar": (lambda: catalog.by_ncvar("re:^l"), "dimensioncoordinate0 dimensioncoordinate1"),
-    "ncdim": (lambda: catalog.by_ncdim("lat"), "domainaxis0"),
-    "data": (lambda: catalog.by_data(), "dimensioncoordinate0 dimensioncoordinate1 dimensioncoordinate2 auxiliarycoordinate0 cellmeasure0 domaintopology0 cellconnectivity0"),
+    "axis_and": (lambda: catalog.by_axis("x0", "y"), "m IN (2, 7) AND h % 3 = 0 OR m = 3"),
+    "axis_or": (lambda: catalog.by_axis("x1", "z", mode="or"), "m IN (1, 2) AND h % 3 = 1 OR m = 7"),
+    "axis_exact": (lambda: catalog.by_axis("y", mode="exact"), "m IN (5, 6)"),
+    "axis_subset": (lambda: catalog.by_axis("x2", "y", mode="subset"), "m IN (1, 2) AND h % 3 = 2 OR m IN (5, 6)"),
+    "identity": (lambda: catalog.by_identity("depth", "measure:area", "re:^method:max"), "m = 1 AND h % 3 = 0 OR m = 3 AND h % 2 = 0 OR m = 4 AND h % 2 = 1"),
+    "key": (lambda: catalog.by_key("c12", "re:7$"), "key = 'c12' OR p_partkey % 10 = 7"),
+    "property_and": (lambda: catalog.by_property(units="re:^kg", standard_name="height"), "m = 1 AND h % 4 = 1 AND h % 3 = 1"),
+    "property_or": (lambda: catalog.by_property(mode="or", level=3.0, units="K"), "m = 7 AND h % 5 = 3 OR m IN (1, 2, 3) AND h % 4 >= 2"),
+    "property_exists": (lambda: catalog.by_property(long_name=None), "m = 2"),
+    "naxes": (lambda: catalog.by_naxes(2), "m IN (2, 3)"),
+    "size": (lambda: catalog.by_size(1, 8), "m = 0 AND h % 50 IN (0, 7)"),
+    "type": (lambda: catalog.by_type("cell_method", "domain_axis"), "m IN (0, 4)"),
+    "measure": (lambda: catalog.by_measure("area"), "m = 3 AND h % 2 = 0"),
+    "method": (lambda: catalog.by_method("mean"), "m = 4 AND h % 2 = 0"),
+    "cell": (lambda: catalog.by_cell("face"), "m = 5 AND h % 3 = 0"),
+    "connectivity": (lambda: catalog.by_connectivity(), "m = 6"),
+    "ncvar": (lambda: catalog.by_ncvar("re:^v1"), "m IN (1, 3) AND h::VARCHAR LIKE '1%'"),
+    "ncdim": (lambda: catalog.by_ncdim("x1"), "m = 0 AND h % 3 = 1"),
+    "data": (lambda: catalog.by_data(), "m NOT IN (0, 4)"),
 }
 
 
-def _selected(spark: SparkSession) -> catalog.Selection:
-    return catalog.Selection(catalog.catalogue(spark, CONSTRUCTS))
+def _selected(spark: SparkSession, sf: str) -> catalog.Selection:
+    return catalog.Selection(_constructs(spark, sf))
 
 
-for _name, (_condition, _keys) in _FILTERS.items():
+for _name, (_condition, _where) in _FILTERS.items():
 
     def _filter(spark: SparkSession, sf: str, condition: object = _condition) -> DataFrame:
-        return _selected(spark).filter(condition()).df.select("key", "type", "naxes")
+        return _selected(spark, sf).filter(condition()).df.select("key", "type", "naxes")
 
     _filter.__name__ = f"construct_filter_{_name}"
-    _of = {c.key: c for c in CONSTRUCTS}
-    query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{_of[k].type}', {len(_of[k].axes)})" for k in _keys.split()) + ") t(key, type, naxes)")(_filter)
+    query(f"WITH {_PARTS} SELECT key, type, naxes FROM c WHERE {_where}")(_filter)
 
 
-@query("SELECT * FROM (VALUES ('latitude'), ('longitude'), ('time')) t(identity)")
+@query(f"WITH {_PARTS} SELECT key, CASE WHEN h % 3 = 0 THEN 'depth' WHEN h % 3 = 1 THEN 'height' ELSE 'units=' || ['m', 'kg m-2', 'K', 'K'][h % 4 + 1] END AS identity FROM c WHERE m = 1")
 def construct_identities(spark: SparkSession, sf: str) -> DataFrame:
-    return _selected(spark).filter(catalog.by_type("dimension_coordinate")).df.select("identity")
+    return _selected(spark, sf).filter(catalog.by_type("dimension_coordinate")).df.select("key", "identity")
 
 
-@query("SELECT * FROM (VALUES ('domainaxis0'), ('domainaxis1'), ('domainaxis2'), ('auxiliarycoordinate0'), ('cellmeasure0'), ('cellmethod0'), ('cellmethod1'), ('domaintopology0'), ('cellconnectivity0')) t(key)")
+@query(f"WITH {_PARTS} SELECT key FROM c WHERE m <> 1")
 def construct_filter_inverse(spark: SparkSession, sf: str) -> DataFrame:
-    return _selected(spark).filter(catalog.by_type("dimension_coordinate"), catalog.by_naxes(1)).inverse().df.select("key")
+    return _selected(spark, sf).filter(catalog.by_type("dimension_coordinate"), catalog.by_naxes(1)).inverse().df.select("key")
 
 
-@query("SELECT * FROM (VALUES ('dimensioncoordinate0'), ('dimensioncoordinate1'), ('dimensioncoordinate2')) t(key)")
+@query(f"WITH {_PARTS} SELECT key FROM c WHERE m = 1")
 def construct_unfilter(spark: SparkSession, sf: str) -> DataFrame:
-    return _selected(spark).filter(catalog.by_type("dimension_coordinate"), catalog.by_identity("time")).unfilter(1).df.select("key")
+    return _selected(spark, sf).filter(catalog.by_type("dimension_coordinate"), catalog.by_identity("depth")).unfilter(1).df.select("key")
 
 
-@query("SELECT * FROM (VALUES ('domainaxis0'), ('domainaxis1'), ('dimensioncoordinate0'), ('dimensioncoordinate1'), ('auxiliarycoordinate0'), ('cellmeasure0'), ('cellmethod0'), ('domaintopology0'), ('cellconnectivity0')) t(key)")
+@query(f"WITH {_PARTS} SELECT key FROM c WHERE m IN (1, 2, 4) AND h % 3 = 0 OR m IN (3, 5, 6) OR key = 'c8'")
 def construct_convert(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.convertible(_selected(spark).df, ("domainaxis0", "domainaxis1")).select("key")
+    return catalog.convertible(_selected(spark, sf).df, ("x0", "y", "c8")).select("key")
 
 
 @query("SELECT 'source' AS name, 'x' AS value WHERE false UNION ALL SELECT 'kind' AS name, 'order' AS value WHERE (SELECT count(*) FROM orders) > 0")

@@ -110,10 +110,10 @@ def test_ragged_there_and_back(spark, counts):
 
 
 def test_ragged_values(spark):
-    counts = spark.createDataFrame(list(enumerate([3, 7, 0, 5])), "i long, n int")
-    rows = ragged.contiguous(spark.createDataFrame([(k, k * 10) for k in range(15)], "o long, x int"), counts, "o", "i", "n").orderBy("i", "e").collect()
-    assert [(r["i"], r["e"], r["x"]) for r in rows if r["i"] in (0, 2)] == [(0, 0, 0), (0, 1, 10), (0, 2, 20), (2, None, None)]
-    assert [r["x"] for r in rows if r["i"] == 3] == [100, 110, 120, 130, 140]
+    counts = spark.createDataFrame(list(enumerate([2, 0, 6, 4])), "i long, n int")
+    rows = ragged.contiguous(spark.createDataFrame([(k, k * 10) for k in range(12)], "o long, x int"), counts, "o", "i", "n").orderBy("i", "e").collect()
+    assert [(r["i"], r["e"], r["x"]) for r in rows if r["i"] in (0, 1)] == [(0, 0, 0), (0, 1, 10), (1, None, None)]
+    assert [r["x"] for r in rows if r["i"] == 3] == [80, 90, 100, 110]
 
 
 def test_gathered_there_and_back(spark):
@@ -124,13 +124,14 @@ def test_gathered_there_and_back(spark):
 
 
 def test_tie_points(spark):
-    tie = spark.createDataFrame([(0, -85.0), (8, -5.0), (9, 5.0), (17, 85.0)], "k long, value double")
+    ties = {0: 3.0, 6: -9.0, 7: 1.0, 10: 2.5, 15: 30.0}
+    tie = spark.createDataFrame(list(ties.items()), "k long, value double")
     got = [r["value"] for r in tiepoints.interpolated(tie, "k").orderBy("i").collect()]
-    assert np.allclose(got, [*np.linspace(-85, -5, 9), *np.linspace(5, 85, 9)])
-    lon = spark.createDataFrame([(0, 15.0), (4, 135.0), (7, 225.0), (8, 255.0), (11, 345.0)], "k long, value double")
-    assert np.allclose([r["value"] for r in tiepoints.interpolated(lon, "k").orderBy("i").collect()], np.linspace(15, 345, 12))
-    b = [r["bounds"] for r in tiepoints.bounds(spark.createDataFrame([(0, -90.0), (8, 0.0), (9, 0.0), (17, 90.0)], "k long, value double"), "k").orderBy("i").collect()]
-    assert np.allclose(b, [[10 * k - 90, 10 * k - 80] for k in range(18)])
+    assert np.allclose(got, np.interp(np.arange(16), list(ties), list(ties.values())))
+    ends = spark.createDataFrame([(0, 2.0), (3, 10.0), (4, 10.0), (6, 11.5)], "k long, value double")
+    edges = np.r_[np.linspace(2, 10, 5), np.linspace(10, 11.5, 4)[1:]]
+    b = [r["bounds"] for r in tiepoints.bounds(ends, "k").orderBy("i").collect()]
+    assert np.allclose(b, np.c_[edges[:-1], edges[1:]])
 
 
 def test_quadratic_gives_back_the_value(spark):
@@ -138,26 +139,30 @@ def test_quadratic_gives_back_the_value(spark):
     assert abs(r[0] - 9) < 1e-12 and abs(r[1]) < 1e-12 and abs(r[2] - 45) < 1e-9
 
 
-FACES = [(0, [2, 3, 1, 0]), (1, [4, 5, 3, 2]), (2, [1, 3, 6, None])]
+FACES = [(0, [0, 1, 5, 4]), (1, [1, 2, 5, None]), (2, [2, 3, 7, 5]), (3, [4, 5, 6, None])]
 
 
 def test_mesh(spark):
     faces = spark.createDataFrame(FACES, "cell long, nodes array<long>")
-    edges = sorted(tuple(r) for r in mesh.edges_from_faces(faces).collect())
-    assert edges == [(0, 1), (0, 2), (1, 3), (1, 6), (2, 3), (2, 4), (3, 5), (3, 6), (4, 5)]
+    edges = set()
+    for _, nodes in FACES:
+        own = [n for n in nodes if n is not None]
+        edges |= {tuple(sorted(e)) for e in zip(own, own[1:] + own[:1])}
+    assert sorted(tuple(r) for r in mesh.edges_from_faces(faces).collect()) == sorted(edges)
     points = {r["node"]: r["neighbours"] for r in mesh.points_from_faces(faces).collect()}
-    assert points[3] == [1, 2, 5, 6] and points[6] == [1, 3]
-    assert sorted(tuple(r) for r in mesh.edges_from_points(mesh.points_from_faces(faces)).collect()) == edges
-    shifted = faces.select("cell", F.transform("nodes", lambda x: x * 10 + 5).alias("nodes"))
+    assert points == {n: sorted({a + b - n for a, b in edges if n in (a, b)}) for n in range(8)}
+    assert sorted(tuple(r) for r in mesh.edges_from_points(mesh.points_from_faces(faces)).collect()) == sorted(edges)
+    shifted = faces.select("cell", F.transform("nodes", lambda x: x * 3 + 11).alias("nodes"))
     got = {r["cell"]: r["nodes"] for r in mesh.normalised(shifted, "cell", "nodes").collect()}
     assert got == dict(FACES)
     again = {r["cell"]: r["nodes"] for r in mesh.normalised(mesh.normalised(shifted, "cell", "nodes"), "cell", "nodes").collect()}
     assert again == got
-    x = spark.createDataFrame([(k, float(v)) for k, v in enumerate([-45, -43, -45, -43, -45, -43, -40])], "node long, x double")
+    place = np.sqrt(np.arange(8))
+    x = spark.createDataFrame([(k, float(v)) for k, v in enumerate(place)], "node long, x double")
     bounds = {r["cell"]: r["bounds"] for r in mesh.bounds_from_nodes(faces, "cell", "nodes", x, "node", "x").collect()}
-    assert bounds[2] == [-43, -43, -40, None]
+    assert bounds == {c: [None if n is None else place[n] for n in nodes] for c, nodes in FACES}
     found = faces.join(spark.createDataFrame(list(bounds.items()), "cell long, bounds array<double>"), "cell")
-    assert {r["node"]: r["coordinate"] for r in mesh.node_coordinates(found, "cell", "nodes", "bounds").collect()}[6] == -40
+    assert {r["node"]: r["coordinate"] for r in mesh.node_coordinates(found, "cell", "nodes", "bounds").collect()} == dict(enumerate(place))
 
 
 def test_concatenation_is_associative_and_splits_back(spark):
@@ -240,13 +245,20 @@ def test_attribute_languages():
 
 
 def test_catalogue(spark):
-    from gridspark.plans.metadata import CONSTRUCTS
-
-    s = catalog.Selection(catalog.catalogue(spark, CONSTRUCTS))
-    assert s.filter(catalog.by_identity("time")).key() == "dimensioncoordinate2"
+    own = [
+        Construct("a", "domain_axis", size=6, ncdim="z"),
+        Construct("b", "dimension_coordinate", ("a",), {"standard_name": "depth", "units": "m", "axis": "Z"}, ncvar="d"),
+        Construct("c", "cell_method", ("a",), method="range"),
+        Construct("e", "auxiliary_coordinate", ("a",), {"long_name": "layer", "comment": "x"}),
+    ]
+    rows = catalog.catalogue(spark, own)
+    s = catalog.Selection(rows)
+    assert s.filter(catalog.by_identity("depth")).key() == "b"
     with pytest.raises(ValueError):
-        s.filter(catalog.by_type("domain_axis")).key()
-    assert combine.unique_constructs([CONSTRUCTS[3], CONSTRUCTS[4], CONSTRUCTS[3]]) == [CONSTRUCTS[3], CONSTRUCTS[4]]
+        s.filter(catalog.by_naxes(1)).key()
+    assert combine.unique_constructs([own[1], own[2], own[1]]) == [own[1], own[2]]
+    names = ["key", "naxes", "identity", "identities"]
+    assert sorted(catalog.named(rows.drop(*names[1:])).select(names).collect()) == sorted(rows.select(names).collect())
 
 
 def test_fragments():
