@@ -155,23 +155,23 @@ def xx128(*columns: Column | str) -> list[Column]:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), component the smallest node.
 
-    Alternates large-star and small-star steps, each a shuffle and a written table; nothing goes to the
-    driver but a count and a checksum. Nodes without edges are absent. Repeated edges, loops and no edges are fine."""
+    Alternates large-star and small-star steps until neither changes an edge. A step makes one edge of each, so it never
+    grows; nothing goes to the driver but a count. Minima are aggregated before they are shuffled, and the joins have
+    one row a node on one side, so Spark can split hot nodes. Nodes without edges are absent. Repeated edges, loops and
+    no edges are fine."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.where("a <> b")
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        least = now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = now.join(least.hint("merge"), "b", "left").select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        kept = F.col("b") == F.col("m")
+        small = large.join(low.hint("merge"), "a").select(F.when(kept, F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"), (F.col("moved") | ~kept).alias("moved"))
         counted = Observation()
-        new = stored(small.observe(counted, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
-        seen = counted.get
+        new = stored(small.observe(counted, F.count_if("moved").alias("moved")).select("a", "b"), "edges")
+        moved = counted.get["moved"]
         forget(now)
-        if seen == mark:
+        now = new
+        if not moved:
             break
-        mark, now = seen, new
     stars = new.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    return stars.unionByName(stars.select(F.col("component").alias("node"), "component")).distinct()

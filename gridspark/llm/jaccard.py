@@ -148,7 +148,7 @@ def crowding(blocks: DataFrame, bits: int, mean: float) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], ["block", "level"])
 
     out = np.zeros((-(-(1 << bits) // _BLOCK), _BLOCK), np.uint8)
-    for r in blocks.select("block", "at", "held").repartition("block").mapInArrow(add, "block int, level binary").toLocalIterator():
+    for r in blocks.select("block", "at", "held").repartition("block").mapInArrow(add, "block int, level binary").collect():
         out[r["block"]] = np.frombuffer(r["level"], np.uint8)
     return out.ravel()
 
