@@ -121,11 +121,12 @@ def _chased(q: np.ndarray, e: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return a**2, b**2
 
 
-def twisted(a: np.ndarray, b: np.ndarray, value: float) -> np.ndarray:
-    """Unit right singular vector of the bidiagonal (a, b) for a singular value, by the twisted factorisation of B'B - value^2.
+def twisted(a: np.ndarray, b: np.ndarray, value: float) -> Iterator[np.ndarray]:
+    """Unit right singular vectors of the bidiagonal (a, b) for a singular value, by twisted factorisations of B'B - value^2.
 
-    A stationary transform from the top and a progressive one from the bottom meet where their pivot is least; from
-    there one multiplication an entry gives the vector up and down."""
+    A stationary transform from the top and a progressive one from the bottom meet at one entry; from there one
+    multiplication an entry gives the vector up and down. The first has the least pivot where they meet and is the
+    best. All are columns of the inverse, so for a value that others are close to they span the space of all of these."""
     n, lam = len(a), value * value
     q, e = a * a, b * b
     tiny = np.finfo(float).tiny / EPS
@@ -152,16 +153,16 @@ def twisted(a: np.ndarray, b: np.ndarray, value: float) -> np.ndarray:
         p[i] = p[i + 1] * q[i] / low[i + 1] - lam
     low[0] = p[0]
     gamma = s + p + lam
-    r = int(np.abs(gamma).argmin())
-    z = np.zeros(n)
-    z[r] = 1
-    for i in range(r - 1, -1, -1):
-        z[i] = -down[i] * z[i + 1]
-    for i in range(r, n - 1):
-        z[i + 1] = -up[i] * z[i]
-    size = np.abs(z).max()
-    z /= size if np.isfinite(size) else 1
-    return z / np.sqrt(z @ z)
+    for r in np.argsort(np.abs(gamma), kind="stable"):
+        z = np.zeros(n)
+        z[r] = 1
+        for i in range(r - 1, -1, -1):
+            z[i] = -down[i] * z[i + 1]
+        for i in range(r, n - 1):
+            z[i + 1] = -up[i] * z[i]
+        if np.isfinite(z).all():
+            z /= np.abs(z).max()
+            yield z / np.sqrt(z @ z)
 
 
 def directions(a: np.ndarray, b: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -185,24 +186,21 @@ def directions(a: np.ndarray, b: np.ndarray, values: np.ndarray) -> np.ndarray:
             z[p, at] = part[:, i]
         return z
     full = np.diag(a) + np.diag(b, 1)
-    rng = np.random.default_rng(0)
     start = 0
     while start < n:
         stop = start + 1
         while stop < n and values[stop - 1] - values[stop] < 1e-3 * values[stop - 1]:
             stop += 1
         for k in range(start, stop):
-            x = twisted(a, b, values[k])
-            for tried in range(9):
-                before = x
+            most = 0.0
+            for x in twisted(a, b, values[k]):
                 for _ in range(2):
                     x = x - z[:, start:k] @ (z[:, start:k].T @ x)
                 size = np.sqrt(x @ x)
+                if size > most:
+                    most, z[:, k] = size, x / size
                 if size > 0.1:
                     break
-                x = before + rng.normal(size=n) * 2.0 ** (tried - 8)
-                x /= np.sqrt(x @ x)
-            z[:, k] = x / size
         if stop - start > 1:
             w = full @ z[:, start:stop]
             _, turn = np.linalg.eigh(w.T @ w)
@@ -231,9 +229,10 @@ def merged(df: DataFrame, key: str, merge: Callable[[list[dict]], dict], fan: in
 
 def whole(vectors: DataFrame, column: str = "embedding", scale: int = 64, offset: int = 1_000_000) -> DataFrame:
     """(vec_id, x array<long>): floor(scale * c) + offset of each entry c, as double; rows that are null, empty, or hold null, non-finite or entries of which x would be 2^60 and more, are left out."""
-    y = F.transform(F.transform(column, lambda c: c.cast("double")), lambda c: c * scale)
-    fine = F.col(column).isNotNull() & (F.size(column) > 0) & F.forall(y, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 2.0**60))
-    return vectors.where(F.coalesce(fine, F.lit(False))).select("vec_id", F.transform(y, lambda c: F.floor(c) + offset).alias("x"))
+    # Entries that do not count are null already here, as Spark may work out x before it filters.
+    y = F.transform(F.transform(column, lambda c: c.cast("double") * scale), lambda c: F.when(F.abs(c) < 2.0**60, F.floor(c)))
+    fine = (F.size(column) > 0) & F.forall(y, lambda c: c.isNotNull())
+    return vectors.where(F.coalesce(fine, F.lit(False))).select("vec_id", F.transform(y, lambda c: c + offset).alias("x"))
 
 
 def _rows(b: pa.RecordBatch, width: int) -> np.ndarray:

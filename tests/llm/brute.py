@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -74,3 +75,46 @@ def repeats(docs, least):
         kept = bytes(x for x, c in zip(b, covered) if not c)
         out[i] = (len(b), sum(covered), sum(1 for k in range(len(b)) if covered[k] and (not k or not covered[k - 1])), sha(kept), covered)
     return out
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+
+
+def search(docs, items, k=10):
+    """{item_id: [(score, doc_id)]}, best first; docs is a list, so that ids may repeat."""
+    bags = [(i, Counter(terms(t))) for i, t in docs]
+    n = sum(1 for _, b in bags if b)
+    words = sum(sum(b.values()) for _, b in bags)
+    df = Counter(w for _, b in bags for w in b)
+    asked = defaultdict(Counter)
+    for i, t in items:
+        asked[i].update(terms(t))
+    out = {}
+    for item, q in asked.items():
+        found = []
+        for i, b in bags:
+            size, score = sum(b.values()), 0
+            for w, times in q.items():
+                if b[w]:
+                    weight = math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1)))
+                    score += times * weight * (1000000000 * b[w] // (1000 * b[w] + 8 * (100 - 75 + 75 * size * n // words)))
+            if score > 0:
+                found.append((score, i))
+        out[item] = sorted(found, key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k]
+    return out
+
+
+def windows(docs, items, window=10):
+    """[(doc_id, n_words, hit word numbers, item ids)] in the order of docs."""
+    own = [(i, w[p : p + window]) for i, t in items for w in [terms(t)] if w for p in range(max(len(w) - window, 0) + 1)]
+    out = []
+    for i, t in docs:
+        w, hit, found = terms(t), set(), set()
+        for item, x in own:
+            for p in range(len(w) - len(x) + 1):
+                if w[p : p + len(x)] == x:
+                    hit.update(range(p, p + len(x)))
+                    found.add(item)
+        out.append((i, len(w), hit, sorted(str(x) for x in found if x is not None)))
+    return out
