@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,15 +57,31 @@ def equivalent(a: str, b: str) -> bool:
     return known(a)[0] == known(b)[0]
 
 
-def converted(x: Column, a: str | None, b: str | None) -> Column:
-    """x in units b. Equal and absent units leave it as it is; units of another dimension fail."""
+def _steps(a: str | None, b: str | None) -> tuple[float, float, float] | None:
+    """(factor, summand, divisor) from units a to units b; None where nothing is to do. Units of another dimension fail."""
     if a == b or a is None or b is None:
-        return x
+        return None
     (da, sa, oa), (db, sb, ob) = known(a), known(b)
     if da != db:
         raise ValueError(f"{a!r} and {b!r} are not equivalent")
     if (sa, oa) == (sb, ob):
+        return None
+    return (sa / sb, 0.0, 1.0) if oa == ob else (sa, oa - ob, sb)
+
+
+def converted(x: Column, a: str | None, b: str | None) -> Column:
+    """x in units b. Equal and absent units leave it as it is; units of another dimension fail."""
+    steps = _steps(a, b)
+    if steps is None:
+        return x
+    factor, summand, divisor = steps
+    return (x * F.lit(factor) + F.lit(summand)) / F.lit(divisor) if summand else x * F.lit(factor)
+
+
+def rescaled(x: np.ndarray, a: str | None, b: str | None) -> np.ndarray:
+    """The same for the values a source has read."""
+    steps = _steps(a, b)
+    if steps is None:
         return x
-    if oa == ob:
-        return x * F.lit(sa / sb)
-    return (x * F.lit(sa) + F.lit(oa - ob)) / F.lit(sb)
+    factor, summand, divisor = steps
+    return (x * factor + summand) / divisor if summand else x * factor

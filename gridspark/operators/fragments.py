@@ -4,13 +4,9 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.units import converted
-from ..model import Cells
-from .cells import full
-
 
 def manifest(sizes: list[list[int]], uris: list[str] | None = None, identifiers: list[str] | None = None, unique_values: list | None = None, base: str = "") -> list[dict]:
     """One entry per fragment in row-major order: its place (start and stop on each axis), and its file or its constant. Relative paths are taken from `base`."""
@@ -33,37 +29,17 @@ def manifest(sizes: list[list[int]], uris: list[str] | None = None, identifiers:
     return out
 
 
-def pruned(entries: list[dict], wanted: list[range]) -> list[dict]:
-    """The fragments that hold any of the wanted positions; others are never opened."""
-
-    def meets(a: int, b: int, w: range | list[int]) -> bool:
-        if isinstance(w, range) and len(w):
-            w = w if w.step > 0 else w[::-1]
-            k = max(0, -((w.start - a) // w.step))  # the first wanted position from a on
-            return k < len(w) and w[k] < b
-        return any(a <= x < b for x in w)
-
-    return [x for x in entries if all(meets(a, b, w) for a, b, w in zip(x["start"], x["stop"], wanted))]
-
-
-def aggregated(spark: SparkSession, entries: list[dict], axes: tuple[str, ...], shape: tuple[int, ...], read: object, units: str | None = None, dtype: str = "double") -> Cells:
-    """The whole array: the fragments' cells, moved to their places. `read(entry)` gives a fragment's Cells, which may lack axes of size 1 and have other units."""
-    out = None
-    for x in entries:
-        size = tuple(b - a for a, b in zip(x["start"], x["stop"]))
-        part = full(spark, axes, size, x["value"], dtype, units) if "value" in x else read(x)
-        place = [((F.col(a) if a in part.axes else F.lit(0)) + s).cast("long").alias(a) for a, s in zip(axes, x["start"])]
-        rows = part.df.select(*place, converted(part.v, part.units, units).cast(dtype).alias("value"))
-        out = rows if out is None else out.unionByName(rows)
-    return Cells(out, axes, shape, units=units)
-
-
 def relocated(entries: DataFrame, old: str, new: str, column: str = "uri") -> DataFrame:
     """Another directory in the paths of a manifest."""
     c = F.col(column)
     return entries.withColumn(column, F.when(c.startswith(old.rstrip("/") + "/"), F.concat(F.lit(new.rstrip("/")), F.substr(c, F.lit(len(old.rstrip("/")) + 1)))).otherwise(c))
 
 
+def constants(df: DataFrame, fragment: str, value: str) -> dict[int, object]:
+    """The constants by fragment number: those of fragments that hold one value only, for manifest(unique_values=...). One row a fragment comes to the driver."""
+    return {r[fragment]: r["value"] for r in unique_value(df, fragment, value).where("constant").collect()}
+
+
 def unique_value(df: DataFrame, fragment: str, value: str) -> DataFrame:
     """(fragment, value) where a fragment holds one value only, missing counting as one; else NULL and `constant` false."""
     g = df.groupBy(fragment).agg(F.min(value).alias("_a"), F.max(value).alias("_b"), F.count(value).alias("_n"), F.count("*").alias("_m"))

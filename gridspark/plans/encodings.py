@@ -7,9 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Cells
 from ..operators import fragments, gathered, geometry, mesh, ragged, tiepoints
-from ..operators.indexing import subspace
 from ..operators.masking import validity
 from ..operators.ordering import dense_places
 from ..sources.tables import masked_cells, table, whole_cells
@@ -36,12 +34,9 @@ def ragged_indexed(spark: SparkSession, sf: str) -> DataFrame:
     return ragged.indexed(table(spark, sf, "lineitem"), "l_orderkey", LINE.split(", ")).select("l_orderkey", "e", "l_quantity", "l_partkey")
 
 
-def _contiguous(spark: SparkSession, sf: str, vectors: int | None = 200) -> tuple[DataFrame, DataFrame]:
-    """(samples numbered in the order of vector and component, counts of vectors): the masked field, its first vectors or all if None, compressed."""
-    return ragged.compress_contiguous(subspace(masked_cells(spark, sf), (slice(vectors),)), "j")
-
-
-_RAGGED = f"{M}, n AS (SELECT i, coalesce(max(CASE WHEN value IS NOT NULL THEN j + 1 END), 0) AS n FROM m WHERE i < 200 GROUP BY i), s AS (SELECT i, n, coalesce(sum(n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n)"
+def _contiguous(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(samples numbered in the order of vector and component, counts of vectors): the masked field, compressed."""
+    return ragged.compress_contiguous(masked_cells(spark, sf), "j")
 
 
 _RAGGED_WHOLE = f"{M}, n AS (SELECT i, coalesce(max(CASE WHEN value IS NOT NULL THEN j + 1 END), 0) AS n FROM m GROUP BY i), s AS (SELECT i, n, coalesce(sum(n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n)"
@@ -49,7 +44,7 @@ _RAGGED_WHOLE = f"{M}, n AS (SELECT i, coalesce(max(CASE WHEN value IS NOT NULL
 
 @query(f"WITH {_RAGGED_WHOLE} SELECT start + j AS o, value FROM s JOIN m USING (i) WHERE j < n")
 def ragged_compress(spark: SparkSession, sf: str) -> DataFrame:
-    return _contiguous(spark, sf, None)[0]
+    return _contiguous(spark, sf)[0]
 
 
 @query(f"WITH {_RAGGED_WHOLE} SELECT start + j AS o, i AS index, value FROM s JOIN m USING (i) WHERE j < n")
@@ -59,13 +54,13 @@ def ragged_compress_indexed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_RAGGED_WHOLE} SELECT i, j AS e, start + j AS o, value FROM s JOIN m USING (i) WHERE j < n")
 def ragged_contiguous(spark: SparkSession, sf: str) -> DataFrame:
-    samples, counts = _contiguous(spark, sf, None)
+    samples, counts = _contiguous(spark, sf)
     return ragged.contiguous(samples, counts, "o", "i", "count").where("e is not null").select("i", "e", "o", "value")
 
 
 @query(f"WITH {M} SELECT i, j AS e, value FROM m")
 def ragged_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    samples, counts = _contiguous(spark, sf, None)
+    samples, counts = _contiguous(spark, sf)
     return ragged.padded(ragged.contiguous(samples, counts, "o", "i", "count"), "i", "e", ["value"], 64)
 
 
@@ -78,10 +73,8 @@ def ragged_indexed_contiguous(spark: SparkSession, sf: str) -> DataFrame:
     lines = ragged.indexed(table(spark, sf, "lineitem"), "l_orderkey", LINE.split(", "))
     counts = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n")), "o_orderkey", "left")
     # Stored end to end in the order of the orders, as a file has them.
-    size = (counts.agg(F.max("o_orderkey")).first()[0] or 0) + 1
     starts = ragged.running_start(counts.withColumn("n", F.coalesce("n", F.lit(0))), "o_orderkey", "n", "start")
     samples = lines.join(starts.select(F.col("o_orderkey").alias("l_orderkey"), "start"), "l_orderkey").select((F.col("start") + F.col("e")).alias("o"), "l_quantity")
-    assert size
     return ragged.indexed_contiguous(samples, counts, "o", "o_orderkey", "o_custkey", "n").select("o_custkey", "p", "e", "l_quantity")
 
 
@@ -247,44 +240,10 @@ def topology_sort(spark: SparkSession, sf: str) -> DataFrame:
     return mesh.sorted_edges(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct())
 
 
-_FRAGMENTS = [[100, 150, 250], [64]]
-
-
-def _aggregated(spark: SparkSession, c: Cells, sizes: list[list[int]]) -> DataFrame:
-    entries = fragments.manifest(sizes, ["a", "b", "c"])
-
-    def read(x: dict) -> Cells:
-        part = subspace(c, (slice(x["start"][0], x["stop"][0]),))
-        return replace(part.select(part.v.cast("double")), units="km" if x["uri"] == "b" else "m")
-
-    return fragments.aggregated(spark, entries, ("i", "j"), tuple(map(sum, sizes)), read, "m").frame()
-
-
-@query(
-    f"WITH {Q}, n AS (SELECT max(vec_id) + 1 AS n FROM embeddings) SELECT i, j, CASE WHEN i < n // 5 THEN value::DOUBLE WHEN i < n // 5 + 3 * n // 10 THEN value::DOUBLE * 1000.0 ELSE value::DOUBLE END AS value FROM q, n"
-)
-def aggregated_fragments(spark: SparkSession, sf: str) -> DataFrame:
-    """Three fragments of all vectors, a fifth, three tenths and the rest, the second in other units."""
-    c = whole_cells(spark, sf)
-    n, width = c.shape
-    return _aggregated(spark, c, [[n // 5, 3 * n // 10, n - n // 5 - 3 * n // 10], [width]])
-
-
-@query("SELECT i::BIGINT AS i, CASE WHEN i < 3 THEN 7 ELSE 9 END::DOUBLE AS value FROM range(12) r(i)")
-def aggregated_constants(spark: SparkSession, sf: str) -> DataFrame:
-    return fragments.aggregated(spark, fragments.manifest([[3, 9]], unique_values=[7, 9]), ("i",), (12,), None).frame()
-
-
-@query("SELECT * FROM (VALUES (1, '/d/sub/f1.nc'), (3, '/d/f3.nc')) t(k, uri)")
-def fragments_pruned(spark: SparkSession, sf: str) -> DataFrame:
-    entries = fragments.manifest([[4, 4, 4, 4]], ["f0.nc", "sub/f1.nc", "x/../f2.nc", "f3.nc"], base="/d")
-    kept = fragments.pruned(entries, [range(5, 16, 8)])
-    return spark.createDataFrame([(x["start"][0] // 4, x["uri"]) for x in kept], "k int, uri string")
-
-
-@query("SELECT page_id, replace(url, 'https://', 'https://') AS url, CASE WHEN starts_with('/a/' || page_id, '/a/1') AND ('/a/' || page_id = '/a/1' OR starts_with('/a/' || page_id, '/a/1/')) THEN '/b' ELSE '/a/' || page_id END AS uri FROM pages WHERE page_id <> 1")
+@query("SELECT page_id, url, CASE WHEN page_id::VARCHAR LIKE '1%' THEN '/b' || substr('/a/1/' || page_id, 5) ELSE '/a/2/' || page_id END AS uri FROM pages")
 def fragments_relocated(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "pages").where("page_id <> 1").select("page_id", "url", F.concat(F.lit("/a/"), F.col("page_id").cast("string")).alias("uri"))
+    id = F.col("page_id").cast("string")
+    rows = table(spark, sf, "pages").select("page_id", "url", F.concat(F.when(id.startswith("1"), "/a/1/").otherwise("/a/2/"), id).alias("uri"))
     return fragments.relocated(rows, "/a/1", "/b")
 
 

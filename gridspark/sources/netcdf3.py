@@ -6,19 +6,29 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..model import Cells
 from ..operators.fragments import manifest
+from .ranges import AxisRanges, Pieces, dealt, known
 from .scratch import local
-
-#: Type codes of the format, numpy types and Spark types.
-TYPES = {1: (">i1", "tinyint"), 2: ("S1", "string"), 3: (">i2", "smallint"), 4: (">i4", "int"), 5: (">f4", "float"), 6: (">f8", "double")}
+from .types import DEFAULT_FILL
+
+#: Type codes of the format, numpy types and Spark types. Those from 7 on are of version 5 only.
+TYPES = {
+    1: (">i1", "tinyint"), 2: ("S1", "string"), 3: (">i2", "smallint"), 4: (">i4", "int"), 5: (">f4", "float"), 6: (">f8", "double"),
+    7: (">u1", "smallint"), 8: (">u2", "int"), 9: (">u4", "bigint"), 10: (">i8", "bigint"), 11: (">u8", "decimal(20,0)"),
+}
+CODES = {v[0][1:] if k != 2 else "S1": k for k, v in TYPES.items()}
+#: The type in a file of each Spark type; bigint makes the file one of version 5.
+OF_SPARK = {"tinyint": "i1", "smallint": "i2", "int": "i4", "bigint": "i8", "float": "f4", "double": "f8"}
 #: Tags of the header's lists.
 DIMENSION, VARIABLE, ATTRIBUTE = 10, 11, 12
 
@@ -57,12 +67,12 @@ def read_header(path: str) -> Header:
     """The header alone is read, whatever the size of the data."""
     with open(path, "rb") as f:
         magic = f.read(4)
-        if magic[:3] != b"CDF" or magic[3] not in (1, 2):
+        if magic[:3] != b"CDF" or magic[3] not in (1, 2, 5):
             raise ValueError(f"{path} is not a classic netCDF file")
         h = Header(version=magic[3])
 
-        def number() -> int:
-            return struct.unpack(">i", f.read(4))[0]
+        def number(wide: bool = h.version == 5) -> int:
+            return struct.unpack(">q", f.read(8))[0] if wide else struct.unpack(">i", f.read(4))[0]
 
         def name() -> str:
             n = number()
@@ -71,10 +81,10 @@ def read_header(path: str) -> Header:
             return out
 
         def attributes() -> dict:
-            tag, n = number(), number()
+            tag, n = number(False), number()
             out = {}
             for _ in range(n if tag == ATTRIBUTE else 0):
-                key, kind, count = name(), number(), number()
+                key, kind, count = name(), number(False), number()
                 dtype = np.dtype(TYPES[kind][0])
                 raw = f.read(count * dtype.itemsize)
                 f.read(-len(raw) % 4)
@@ -82,73 +92,138 @@ def read_header(path: str) -> Header:
             return out
 
         h.records = number()
-        tag, n = number(), number()
+        tag, n = number(False), number()
         h.dimensions = [(name(), number()) for _ in range(n if tag == DIMENSION else 0)]
         h.attributes = attributes()
-        tag, n = number(), number()
+        tag, n = number(False), number()
         for _ in range(n if tag == VARIABLE else 0):
             key, count = name(), number()
             dims = [number() for _ in range(count)]
             own = attributes()
-            kind, size = number(), number()
-            begin = number() if h.version == 1 else struct.unpack(">q", f.read(8))[0]
+            kind, size, begin = number(False), number(), number(h.version != 1)
             h.variables[key] = Variable(key, dims, own, kind, size, begin)
         return h
 
 
-def _name(text: str) -> bytes:
-    raw = text.encode()
-    return struct.pack(">i", len(raw)) + raw + b"\0" * (-len(raw) % 4)
+def _layout(dimensions: dict[str, int], variables: dict[str, tuple[tuple[str, ...], str, dict]], attributes: dict | None) -> tuple[bytes, Header, int]:
+    """The header of a file of fixed-size variables (dimensions, type such as i4, attributes), the same as a description, and the size of the whole file.
 
+    Version 2, or 5 where a variable or an attribute has a type that only that has."""
+    attributes = attributes or {}
+    wide = any(t not in ("i1", "S1", "i2", "i4", "f4", "f8") for _, t, _ in variables.values())
+    count = lambda n: struct.pack(">q" if wide else ">i", n)
+    padded = lambda raw: raw + b"\0" * (-len(raw) % 4)
+    name = lambda text: count(len(text.encode())) + padded(text.encode())
+    listed = lambda tag, n: struct.pack(">i", tag if n else 0) + count(n)
 
-def _attributes(attributes: dict) -> bytes:
-    if not attributes:
-        return struct.pack(">ii", 0, 0)
-    out = struct.pack(">ii", ATTRIBUTE, len(attributes))
-    for key, value in attributes.items():
+    def attribute(value: object) -> bytes:
         if isinstance(value, str):
-            kind, count, raw = 2, len(value.encode()), value.encode()
+            kind, n, raw = 2, len(value.encode()), value.encode()
         else:
             x = np.atleast_1d(value)
-            kind = 4 if x.dtype.kind in "iu" else 6
-            count, raw = len(x), x.astype(TYPES[kind][0]).tobytes()
-        out += _name(key) + struct.pack(">ii", kind, count) + raw + b"\0" * (-len(raw) % 4)
-    return out
+            own = x.dtype.str[1:] if isinstance(value, (np.generic, np.ndarray)) else "i4" if x.dtype.kind in "iu" and (np.abs(x) < 2**31).all() else "i8" if wide and x.dtype.kind in "iu" else "f8"
+            own = own if CODES[own] <= 6 or wide else "f8"
+            kind, n, raw = CODES[own], len(x), x.astype(TYPES[CODES[own]][0]).tobytes()
+        return struct.pack(">i", kind) + count(n) + padded(raw)
+
+    noted = lambda a: listed(ATTRIBUTE, len(a)) + b"".join(name(k) + attribute(v) for k, v in a.items())
+    names = list(dimensions)
+    head = b"CDF" + (b"\x05" if wide else b"\x02") + count(0)
+    head += listed(DIMENSION, len(names)) + b"".join(name(k) + count(n) for k, n in dimensions.items()) + noted(attributes)
+    head += listed(VARIABLE, len(variables))
+    h = Header(5 if wide else 2, 0, list(dimensions.items()), dict(attributes))
+    blocks = []
+    for key, (dims, kind, own) in variables.items():
+        size = int(np.prod([dimensions[d] for d in dims], dtype=object)) * np.dtype(TYPES[CODES[kind]][0]).itemsize
+        size += -size % 4
+        places = [names.index(d) for d in dims]
+        # A size beyond what version 2 can say is written as its largest number; readers take it from the dimensions.
+        said = size if wide or size < 2**31 - 3 else -1
+        blocks.append(name(key) + count(len(dims)) + b"".join(map(count, places)) + noted(own) + struct.pack(">i", CODES[kind]) + count(said))
+        h.variables[key] = Variable(key, places, dict(own), CODES[kind], size, 0)
+    at = len(head) + sum(len(x) + 8 for x in blocks)
+    for x, v in zip(blocks, h.variables.values()):
+        head += x + struct.pack(">q", at)
+        v.begin = at
+        at += v.size
+    return head, h, at
 
 
 def write_file(path: str, dimensions: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, dict]], attributes: dict | None = None) -> None:
     """One file of fixed-size variables, with 64-bit offsets."""
-    kinds = {"i1": 1, "S1": 2, "i2": 3, "i4": 4, "f4": 5, "f8": 6}
-    names = list(dimensions)
-    head = b"CDF\x02" + struct.pack(">i", 0)
-    head += struct.pack(">ii", DIMENSION if names else 0, len(names)) + b"".join(_name(k) + struct.pack(">i", n) for k, n in dimensions.items()) + _attributes(attributes or {})
-    head += struct.pack(">ii", VARIABLE if variables else 0, len(variables))
-    blocks, begins = [], []
-    for key, (dims, data, own) in variables.items():
-        kind = kinds[data.dtype.str[1:]]
-        raw = np.ascontiguousarray(data, TYPES[kind][0]).tobytes()
-        raw += b"\0" * (-len(raw) % 4)
-        blocks.append((_name(key) + struct.pack(">i", len(dims)) + struct.pack(f">{len(dims)}i", *map(names.index, dims)) + _attributes(own) + struct.pack(">ii", kind, len(raw)), raw))
-    at = len(head) + sum(len(x) + 8 for x, _ in blocks)
-    for _, raw in blocks:
-        begins.append(at)
-        at += len(raw)
+    head, h, size = _layout(dimensions, {k: (dims, x.dtype.str[1:], own) for k, (dims, x, own) in variables.items()}, attributes)
     with open(path, "wb") as f:
-        f.write(head + b"".join(x + struct.pack(">q", b) for (x, _), b in zip(blocks, begins)) + b"".join(raw for _, raw in blocks))
+        f.write(head)
+        for key, (_, data, _) in variables.items():
+            v = h.variables[key]
+            f.seek(v.begin)
+            f.write(np.ascontiguousarray(data, TYPES[v.type][0]).tobytes())
+        f.truncate(size)
+
+
+def create(path: str, dimensions: dict[str, int], variables: dict[str, tuple[tuple[str, ...], str, dict]], attributes: dict | None = None) -> Header:
+    """A file with its header and room for all variables, which put() fills."""
+    head, h, size = _layout(dimensions, variables, attributes)
+    with open(local(path), "wb") as f:
+        f.write(head)
+        f.truncate(size)
+    return h
+
 
+def put(cells: Cells, path: str, h: Header, variable: str, rows: int | None = None, limits: tuple[float, float] | None = None) -> int:
+    """Writes cells into their variable of a file made by create(): each task writes stretches of the first axis at their places. Gives the number of values that `limits`, the valid range, do not hold, seen by the job that writes.
 
-class Part(InputPartition):
-    def __init__(self, start: int, stop: int) -> None:
-        super().__init__((start, stop))
-        self.start, self.stop = start, stop
+    Cells are shuffled once, by stretch; missing cells get the fill value. A task that runs twice writes the same bytes.
+    Strings, and arrays, go along a last dimension of the variable that the cells lack."""
+    v = h.variables[variable]
+    shape = h.shape(v)
+    target, dtype, axes, value = local(path), np.dtype(TYPES[v.type][0]), cells.axes, cells.value
+    step = rows or max(1, (1 << 20) // max(1, int(np.prod(shape[1:], dtype=object))))
+    fill = v.attributes.get("_FillValue", v.attributes.get("missing_value", b"" if v.type == 2 else DEFAULT_FILL[TYPES[v.type][1]]))
+    spark = cells.df.sparkSession
+    whole = shape or (1,)
+
+    def save(t: pa.Table) -> pa.Table:
+        at = t.column("_stretch")[0].as_py() * step
+        x = np.full((min(step, whole[0] - at), *whole[1:]), fill, dtype)
+        t = t.filter(pa.compute.is_valid(t.column(value)))
+        place = tuple(t.column(a).to_numpy() - (at if d == 0 else 0) for d, a in enumerate(axes)) if axes else (np.zeros(t.num_rows, np.int64),)
+        x[place] = _trailing(t.column(value).combine_chunks(), shape[-1], fill) if len(axes) < len(shape) else t.column(value).to_numpy()
+        with open(target, "r+b") as f:
+            f.seek(v.begin + at * int(np.prod(whole[1:], dtype=object)) * dtype.itemsize)
+            f.write(x.tobytes())
+        return pa.table({"_stretch": pa.array([at], pa.int64())})
+
+    seen = Observation()
+    own = cells.df.select(*axes, value)
+    if limits:
+        own = own.observe(seen, F.count_if((cells.v < limits[0]) | (cells.v > limits[1])).alias("n"))
+    # Each stretch has a row, also if no cell is there.
+    keyed = own.withColumn("_stretch", F.expr(f"`{axes[0]}` div {step}") if axes else F.lit(0).cast("long"))
+    keyed = keyed.unionByName(spark.range(-(-whole[0] // step)).withColumnRenamed("id", "_stretch"), allowMissingColumns=True)
+    keyed.groupBy("_stretch").applyInArrow(save, "_stretch long").count()
+    return seen.get["n"] if limits else 0
+
+
+def _trailing(col: pa.Array, width: int, fill: object) -> np.ndarray:
+    """Strings as their bytes and arrays as they are, padded to `width`."""
+    if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
+        return np.array([s.encode() for s in col.to_pylist()], f"S{width}").view("S1").reshape(len(col), width)
+    sizes = col.value_lengths().to_numpy()
+    x = np.full((len(col), width), fill, float)
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    x[np.repeat(np.arange(len(col)), sizes), at] = pa.compute.fill_null(col.flatten().cast(pa.float64()), float(fill)).to_numpy()
+    return x
 
 
 class NetCDF3(DataSource):
     """spark.read.format("netcdf3").option("variable", name).load(path): a row per cell, axes as bigint columns.
 
     The path is that of a file all executors see. A partition is a stretch of the first axis of about
-    `cells` cells; its bytes alone are read. With mask (default true) fill and missing values and values outside the
-    valid range are NULL, found before unpack (default true) applies scale_factor and add_offset."""
+    `cells` cells; its bytes alone are read, and comparisons of axis columns narrow what is read. With mask (default
+    true) fill and missing values and values outside the valid range are NULL, found before unpack (default true) applies
+    scale_factor and add_offset. last=text makes strings of the last dimension of a character variable, last=array
+    arrays of that of any other, with missing values NULL at their places."""
 
     @classmethod
     def name(cls) -> str:
@@ -161,99 +236,129 @@ class NetCDF3(DataSource):
     def schema(self) -> str:
         h, v = self._found()
         unpacked = self.options.get("unpack", "true") == "true" and ("scale_factor" in v.attributes or "add_offset" in v.attributes)
-        return ", ".join([*(f"`{h.dimensions[d][0]}` bigint" for d in v.dimensions), f"value {'double' if unpacked else TYPES[v.type][1]}"])
+        kind, last = "double" if unpacked else TYPES[v.type][1], self.options.get("last")
+        return ", ".join([*(f"`{h.dimensions[d][0]}` bigint" for d in (v.dimensions[:-1] if last else v.dimensions)), f"value {f'array<{kind}>' if last == 'array' else kind}"])
 
     def reader(self, schema: object) -> DataSourceReader:
         return Reader(*self._found(), dict(self.options))
 
 
-class Reader(DataSourceReader):
+def values(f: BinaryIO, h: Header, v: Variable, start: int, stop: int, mask: bool = True, unpack: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Positions start..stop of the first axis, and which of their values are missing."""
+    shape, dtype = h.shape(v) or (1,), np.dtype(TYPES[v.type][0])
+    row = int(np.prod(shape[1:], dtype=object)) * dtype.itemsize
+    if h.is_record(v):
+        parts = []
+        for r in range(start, stop):
+            f.seek(v.begin + r * h.record_size)
+            parts.append(f.read(row))
+        raw = b"".join(parts)
+    else:
+        f.seek(v.begin + start * row)
+        raw = f.read((stop - start) * row)
+    x = np.frombuffer(raw, dtype).reshape(stop - start, *shape[1:])
+    gone = np.zeros(x.shape, bool)
+    a = v.attributes
+    if mask and x.dtype.kind != "S":
+        for key in ("missing_value", "_FillValue"):
+            for value in np.atleast_1d(a.get(key, [])):
+                gone |= np.isnan(x) if value != value else x == value
+        if "_FillValue" not in a and v.type in (3, 4, 5, 6, 10):  # bytes and unsigned types have no default
+            gone |= x == dtype.type(DEFAULT_FILL[TYPES[v.type][1]])
+        low, high = a.get("valid_range", (a.get("valid_min"), a.get("valid_max")))
+        gone |= (x < low) if low is not None else False
+        gone |= (x > high) if high is not None else False
+    x = x.astype(x.dtype.newbyteorder("=")) if x.dtype.kind != "S" else x
+    if unpack and ("scale_factor" in a or "add_offset" in a):
+        x = x.astype(float) * a.get("scale_factor", 1) + a.get("add_offset", 0)
+    return x, gone
+
+
+class Reader(AxisRanges, DataSourceReader):
     def __init__(self, header: Header, variable: Variable, options: dict) -> None:
+        self.last = options.get("last")
+        own = slice(-1) if self.last else slice(None)
+        super().__init__([header.dimensions[d][0] for d in variable.dimensions[own]], header.shape(variable)[own])
         self.header, self.variable, self.options = header, variable, options
 
     def partitions(self) -> list[InputPartition]:
-        shape = self.header.shape(self.variable)
-        if not shape:
-            return [Part(0, 1)]
-        row = int(np.prod(shape[1:]))
-        step = max(1, int(self.options.get("cells", 1 << 20)) // max(row, 1))
-        return [Part(a, min(a + step, shape[0])) for a in range(0, shape[0], step)]
-
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        shape = self.header.shape(self.variable)[: len(self.axes)]
+        box = self.wanted((0,) * len(shape), shape)
+        return dealt([(None, *box)] if box else [], int(self.options.get("cells", 1 << 20)))
+
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         h, v = self.header, self.variable
-        shape = h.shape(v) or (1,)
-        dtype = np.dtype(TYPES[v.type][0])
-        row = int(np.prod(shape[1:]))
+        on = lambda key: self.options.get(key, "true") == "true"
+        kind = pa.float64() if on("unpack") and ("scale_factor" in v.attributes or "add_offset" in v.attributes) else ARROW[TYPES[v.type][1]]
         with open(local(self.options["path"]), "rb") as f:
-            if h.is_record(v):
-                parts = []
-                for r in range(partition.start, partition.stop):
-                    f.seek(v.begin + r * h.record_size)
-                    parts.append(f.read(row * dtype.itemsize))
-                raw = b"".join(parts)
-            else:
-                f.seek(v.begin + partition.start * row * dtype.itemsize)
-                raw = f.read((partition.stop - partition.start) * row * dtype.itemsize)
-        x = np.frombuffer(raw, dtype)
-        gone = np.zeros(len(x), bool)
-        a = v.attributes
-        if self.options.get("mask", "true") == "true" and x.dtype.kind != "S":
-            for key in ("missing_value", "_FillValue"):
-                for value in np.atleast_1d(a.get(key, [])):
-                    gone |= np.isnan(x) if value != value else x == value
-            low, high = a.get("valid_range", (a.get("valid_min"), a.get("valid_max")))
-            gone |= (x < low) if low is not None else False
-            gone |= (x > high) if high is not None else False
-        x = x.astype(x.dtype.newbyteorder("=")) if x.dtype.kind != "S" else x
-        if self.options.get("unpack", "true") == "true" and ("scale_factor" in a or "add_offset" in a):
-            x = x.astype(float) * a.get("scale_factor", 1) + a.get("add_offset", 0)
-        axes = np.unravel_index(np.arange(len(x)), (partition.stop - partition.start, *shape[1:]))
-        columns = [pa.array((k + partition.start * (not d)).astype(np.int64)) for d, k in enumerate(axes)][: len(v.dimensions)]
-        value = pa.array([c.decode() for c in x] if x.dtype.kind == "S" else x, mask=gone)
-        yield pa.RecordBatch.from_arrays([*columns, value], [*(h.dimensions[d][0] for d in v.dimensions), "value"])
+            for _, start, stop in partition.pieces:
+                x, gone = values(f, h, v, *((start[0], stop[0]) if start else (0, 1)), on("mask"), on("unpack"))
+                inner = (slice(None), *(slice(a, b) for a, b in zip(start[1:], stop[1:])))
+                x, gone = x[inner], gone[inner]
+                if self.last and not start:  # one string or array alone
+                    x, gone = x.reshape(1, -1), gone.reshape(1, -1)
+                if self.last == "text":
+                    x = np.ascontiguousarray(x).view(f"S{x.shape[-1]}")[..., 0]
+                    gone = x == b""
+                yield as_cells(x, gone, start, self.axes, kind, self.last == "array")
+
+
+#: Arrow types of the Spark types that sources give.
+ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "decimal(20,0)": pa.decimal128(20, 0)}
+
+
+def as_cells(x: np.ndarray, gone: np.ndarray, start: tuple[int, ...], axes: list[str], kind: pa.DataType, packed: bool = False) -> pa.RecordBatch:
+    """A row for each value of a box that begins at `start`, or for each array along the last axis if packed."""
+    shape = x.shape[:-1] if packed else x.shape
+    n = int(np.prod(shape, dtype=object))
+    places = np.unravel_index(np.arange(n), shape) if shape else ()
+    columns = [pa.array((k + a).astype(np.int64)) for k, a in zip(places, start)]
+    x, gone = x.ravel(), gone.ravel()
+    if x.dtype.kind == "S":
+        value = pa.array([c.decode(errors="replace") for c in x], kind, mask=gone)
+    elif pa.types.is_decimal(kind):
+        value = pa.array([None if m else int(c) for c, m in zip(x, gone)], kind)
+    else:
+        value = pa.array(x, mask=gone).cast(kind)
+    if packed:
+        value = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * (len(x) // max(n, 1)), value)
+    return pa.RecordBatch.from_arrays([*columns, value], [*axes, "value"])
 
 
 def read(spark: SparkSession, path: str, variable: str, **options: str) -> Cells:
     """One variable as lazily read cells."""
     h = read_header(local(path))
     v = h.variables[variable]
-    spark.dataSource.register(NetCDF3)
+    known(spark, NetCDF3)
     df = spark.read.format("netcdf3").option("variable", variable).options(**options).load(path)
-    return Cells(df, tuple(h.dimensions[d][0] for d in v.dimensions), h.shape(v), units=v.attributes.get("units"), calendar=v.attributes.get("calendar"), fill=v.attributes.get("_FillValue"))
+    own = slice(-1) if "last" in options else slice(None)
+    return Cells(df, tuple(h.dimensions[d][0] for d in v.dimensions[own]), h.shape(v)[own], units=v.attributes.get("units"), calendar=v.attributes.get("calendar"), fill=v.attributes.get("_FillValue"))
 
 
-def write_fragments(cells: Cells, path: str, name: str = "value", rows: int = 1024, fill: float = 9.969209968386869e36) -> list[dict]:
-    """The array as files of `rows` indices of the first axis each, written by the tasks that hold them; gives the manifest of the aggregation dataset.
+def write_fragments(cells: Cells, path: str, name: str = "value", rows: int = 1024, fill: float | None = None) -> list[dict]:
+    """The array as files of `rows` indices of the first axis each, written by the tasks that hold them, in the type of its values; gives the manifest of the aggregation dataset.
 
     Cells are shuffled once, by fragment. A task holds one fragment at a time."""
     first, shape = cells.axes[0], cells.shape
     folder = local(path)
     os.makedirs(folder, exist_ok=True)
     axes, value, units = cells.axes, cells.value, cells.units
+    spark_type = cells.df.schema[value].dataType.simpleString()
+    kind = OF_SPARK.get(spark_type, "f8")
+    fill = DEFAULT_FILL.get(spark_type, DEFAULT_FILL["double"]) if fill is None else fill
     parts = [(a, min(a + rows, shape[0])) for a in range(0, shape[0], rows)]
 
-    def write(rows_of: object) -> object:
-        k = int(rows_of["_fragment"].iloc[0])
+    def write(t: pa.Table) -> pa.Table:
+        k = t.column("_fragment")[0].as_py()
         a, b = k * rows, min(k * rows + rows, shape[0])
-        data = np.full((b - a, *shape[1:]), fill)
-        ok = rows_of[value].notna().to_numpy()
-        at = tuple(rows_of[x].to_numpy()[ok] - (a if d == 0 else 0) for d, x in enumerate(axes))
-        data[at] = rows_of[value].to_numpy(float)[ok]
+        data = np.full((b - a, *shape[1:]), fill, kind)
+        own = t.filter(pa.compute.is_valid(t.column(value)))
+        data[tuple(own.column(x).to_numpy() - (a if d == 0 else 0) for d, x in enumerate(axes))] = own.column(value).to_numpy()
         target = f"{folder}/{name}-{k:06d}.nc"
-        write_file(f"{target}.{os.getpid()}", dict(zip(axes, data.shape)), {name: (axes, data, {"_FillValue": np.float64(fill), **({"units": units} if units else {})})})
+        write_file(f"{target}.{os.getpid()}", dict(zip(axes, data.shape)), {name: (axes, data, {"_FillValue": np.dtype(kind).type(fill), **({"units": units} if units else {})})})
         os.replace(f"{target}.{os.getpid()}", target)  # whole or not at all, however often a task runs
-        return rows_of.iloc[:1][["_fragment"]]
+        return pa.table({"_fragment": pa.array([k], pa.int64())})
 
-    done = cells.df.select(*axes, value).withColumn("_fragment", F.floor(F.col(first) / rows).cast("long")).groupBy("_fragment").applyInPandas(write, "_fragment long")
+    done = cells.df.select(*axes, value).withColumn("_fragment", F.expr(f"`{first}` div {rows}")).groupBy("_fragment").applyInArrow(write, "_fragment long")
     have = {r[0] for r in done.collect()}  # one number for each file
     return [x for k, x in enumerate(manifest([[b - a for a, b in parts], *([n] for n in shape[1:])], [f"{name}-{k:06d}.nc" for k in range(len(parts))], [name], base=folder)) if k in have]
-
-
-def read_fragments(spark: SparkSession, entries: list[dict], axes: tuple[str, ...], shape: tuple[int, ...], units: str | None = None) -> Cells:
-    from ..operators.fragments import aggregated
-
-    return aggregated(spark, entries, axes, shape, lambda x: read(spark, "file://" + x["uri"], x["identifier"]), units)
-
-
-def to_frame(cells: Cells) -> DataFrame:
-    return cells.frame()

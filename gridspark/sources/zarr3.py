@@ -1,54 +1,174 @@
-"""Zarr version 3 arrays in a folder: one file per chunk, read and written in parallel."""
+"""Zarr arrays in a folder, versions 2 and 3: one file per chunk or per shard of chunks, read and written in parallel."""
 
 from __future__ import annotations
 
+import bz2
 import gzip
 import json
+import lzma
 import os
+import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 import zstandard
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..model import Cells
+from .netcdf3 import ARROW, as_cells
+from .ranges import AxisRanges, Pieces, dealt, known
 from .scratch import local
 
 #: Data types of the format and of Spark.
 TYPES = {"int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "float32": "float", "float64": "double", "uint8": "smallint", "uint16": "int", "uint32": "bigint", "bool": "boolean"}
+#: Fixed value: offset and size of a chunk that a shard does not hold.
+ABSENT = 2**64 - 1
+#: Fixed value: the reversed polynomial of CRC-32C.
+CASTAGNOLI = 0x82F63B78
 
 
-def metadata(path: str) -> dict:
-    with open(f"{local(path)}/zarr.json") as f:
-        out = json.load(f)
-    if out.get("node_type") != "array" or out.get("zarr_format") != 3:
-        raise ValueError(f"{path} is no array of version 3")
+@cache
+def _crc_table() -> list[int]:
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ CASTAGNOLI if x & 1 else x >> 1
+        out.append(x)
     return out
 
 
-def _decoded(raw: bytes, codecs: list[dict]) -> bytes:
-    for c in reversed(codecs):
-        if c["name"] == "gzip":
-            raw = gzip.decompress(raw)
-        elif c["name"] == "zstd":
-            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-        elif c["name"] != "bytes":
-            raise ValueError(f"codec {c['name']} is not supported")
-    return raw
+def crc32c(data: bytes) -> int:
+    """The checksum of a shard's index."""
+    table, x = _crc_table(), 0xFFFFFFFF
+    for b in data:
+        x = table[(x ^ b) & 255] ^ x >> 8
+    return x ^ 0xFFFFFFFF
+
+
+def metadata(path: str) -> dict:
+    """The description of an array as version 3 has it, that of version 2 put in its terms."""
+    folder = local(path)
+    if os.path.exists(f"{folder}/zarr.json"):
+        with open(f"{folder}/zarr.json") as f:
+            out = json.load(f)
+        if out.get("node_type") != "array" or out.get("zarr_format") != 3:
+            raise ValueError(f"{path} is no array of version 3")
+        return out
+    with open(f"{folder}/.zarray") as f:
+        old = json.load(f)
+    attributes = {}
+    if os.path.exists(f"{folder}/.zattrs"):
+        with open(f"{folder}/.zattrs") as f:
+            attributes = json.load(f)
+    if old.get("filters"):
+        raise ValueError(f"filters {old['filters']} are not supported")
+    dtype, packer = np.dtype(old["dtype"]), old.get("compressor")
+    codecs = [{"name": "transpose", "configuration": {"order": list(range(len(old["shape"])))[::-1]}}] if old.get("order") == "F" else []
+    codecs += [{"name": "bytes", "configuration": {"endian": "big" if old["dtype"][0] == ">" else "little"}}, *([{"name": packer["id"]}] if packer else [])]
+    return {
+        "zarr_format": 2, "node_type": "array", "shape": old["shape"], "data_type": dtype.name, "fill_value": old["fill_value"], "codecs": codecs,
+        "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": old["chunks"]}}, "chunk_key_encoding": {"name": "v2", "configuration": {"separator": old.get("dimension_separator", ".")}},
+        "dimension_names": attributes.pop("_ARRAY_DIMENSIONS", None), "attributes": attributes,
+    }
+
+
+UNPACK = {"gzip": gzip.decompress, "zlib": zlib.decompress, "bz2": bz2.decompress, "lzma": lzma.decompress, "zstd": lambda raw: zstandard.ZstdDecompressor().decompressobj().decompress(raw)}
+
+
+def axes_of(m: dict) -> list[str]:
+    return [n or f"dim{k}" for k, n in enumerate(m.get("dimension_names") or [None] * len(m["shape"]))]
+
+
+class Stored:
+    """An array as it lies there. Chunks of a shard are found by its index and read by byte ranges; absent chunks hold the fill value."""
 
+    def __init__(self, path: str, meta: dict | None = None, mask: bool = True) -> None:
+        self.path, self.mask = local(path), mask
+        self.meta = m = meta or metadata(path)
+        self.shape, self.attributes = tuple(m["shape"]), m.get("attributes", {})
+        self.size = self.outer = tuple(m["chunk_grid"]["configuration"]["chunk_shape"])
+        self.codecs, self.shard = m["codecs"], None
+        if self.codecs and self.codecs[0]["name"] == "sharding_indexed":
+            self.shard = self.codecs[0]["configuration"]
+            self.size, self.codecs = tuple(self.shard["chunk_shape"]), self.shard["codecs"]
+        order = next((c.get("configuration", {}).get("endian", "little") for c in self.codecs if c["name"] == "bytes"), "little")
+        self.dtype = np.dtype(m["data_type"]).newbyteorder("<" if order == "little" else ">")
+        fill = m["fill_value"]
+        self.fill = None if fill is None else np.array({"Infinity": np.inf, "-Infinity": -np.inf}.get(fill, np.nan) if isinstance(fill, str) else fill).astype(self.dtype)
 
-class Chunk(InputPartition):
-    def __init__(self, at: tuple[int, ...]) -> None:
-        super().__init__(at)
-        self.at = at
+    def file(self, at: tuple[int, ...]) -> str:
+        coding = self.meta.get("chunk_key_encoding", {"name": "default"})
+        apart = coding.get("configuration", {}).get("separator", "." if coding["name"] == "v2" else "/")
+        return f"{self.path}/{apart.join(map(str, at)) or '0' if coding['name'] == 'v2' else apart.join(['c', *map(str, at)])}"
+
+    def _decoded(self, raw: bytes) -> np.ndarray:
+        turned = None
+        for c in reversed(self.codecs):
+            if c["name"] in UNPACK:
+                raw = UNPACK[c["name"]](raw)
+            elif c["name"] == "crc32c":
+                raw = _checked(raw)
+            elif c["name"] == "transpose":
+                turned = c["configuration"]["order"]
+            elif c["name"] != "bytes":
+                raise ValueError(f"codec {c['name']} is not supported")
+        if turned is None:
+            return np.frombuffer(raw, self.dtype).reshape(self.size)
+        return np.frombuffer(raw, self.dtype).reshape([self.size[d] for d in turned]).transpose(np.argsort(turned))
+
+    def _index(self, f: object, counts: tuple[int, ...]) -> np.ndarray:
+        """(offset, size) of every chunk in a shard."""
+        checked = any(c["name"] == "crc32c" for c in self.shard.get("index_codecs", []))
+        size = 16 * int(np.prod(counts)) + 4 * checked
+        if self.shard.get("index_location", "end") == "end":
+            f.seek(-size, os.SEEK_END)
+        raw = f.read(size)
+        return np.frombuffer(_checked(raw) if checked else raw, "<u8").reshape(*counts, 2)
+
+    def box(self, low: list[int], high: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Values between two corners, and which are missing."""
+        x = np.full([b - a for a, b in zip(low, high)], 0 if self.fill is None else self.fill, self.dtype)
+        counts = tuple(o // c for o, c in zip(self.outer, self.size))
+        for at in product(*(range(a // o, -(-b // o)) for a, b, o in zip(low, high, self.outer))):
+            if not os.path.exists(self.file(at)):
+                continue
+            with open(self.file(at), "rb") as f:
+                index = self._index(f, counts) if self.shard else None
+                begin = [k * o for k, o in zip(at, self.outer)]
+                for inner in product(*(range(max(a - s, 0) // c, -(-min(b - s, o) // c)) for a, b, s, o, c in zip(low, high, begin, self.outer, self.size))):
+                    if index is not None:
+                        offset, size = (int(n) for n in index[inner])
+                        if offset == ABSENT:
+                            continue
+                        f.seek(offset)
+                        data = self._decoded(f.read(size))
+                    else:
+                        data = self._decoded(f.read())
+                    corner = [s + k * c for s, k, c in zip(begin, inner, self.size)]
+                    a = [max(p, q) for p, q in zip(low, corner)]
+                    b = [min(p, q + c) for p, q, c in zip(high, corner, self.size)]
+                    x[tuple(slice(p - q, r - q) for p, r, q in zip(a, b, low))] = data[tuple(slice(p - q, r - q) for p, r, q in zip(a, b, corner))]
+        if not self.mask or self.fill is None:
+            gone = np.zeros(x.shape, bool)
+        else:
+            gone = np.isnan(x) if self.fill != self.fill else x == self.fill
+        return x.astype(x.dtype.newbyteorder("=")), gone
+
+
+def _checked(raw: bytes) -> bytes:
+    if crc32c(raw[:-4]) != int.from_bytes(raw[-4:], "little"):
+        raise ValueError("the checksum does not fit")
+    return raw[:-4]
 
 
 class Zarr3(DataSource):
-    """spark.read.format("zarr3").load(folder): a row per cell; a partition is a chunk. Absent chunks hold the fill value, and fill values are NULL unless mask is false."""
+    """spark.read.format("zarr3").load(folder): a row per cell; a partition is a chunk or a shard, or a few small ones. Absent chunks hold the fill value, and fill values are NULL unless mask is false. Comparisons of axis columns choose chunks."""
 
     @classmethod
     def name(cls) -> str:
@@ -62,72 +182,93 @@ class Zarr3(DataSource):
         return Reader(metadata(self.options["path"]), dict(self.options))
 
 
-def axes_of(m: dict) -> list[str]:
-    return [n or f"dim{k}" for k, n in enumerate(m.get("dimension_names") or [None] * len(m["shape"]))]
-
-
-class Reader(DataSourceReader):
+class Reader(AxisRanges, DataSourceReader):
     def __init__(self, meta: dict, options: dict) -> None:
+        super().__init__(axes_of(meta), meta["shape"])
         self.meta, self.options = meta, options
 
     def partitions(self) -> list[InputPartition]:
         m = self.meta
-        return [Chunk(at) for at in product(*(range(-(-n // c)) for n, c in zip(m["shape"], m["chunk_grid"]["configuration"]["chunk_shape"])))]
-
-    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
-        m, at = self.meta, partition.at
-        size = m["chunk_grid"]["configuration"]["chunk_shape"]
-        slash = m.get("chunk_key_encoding", {}).get("configuration", {}).get("separator", "/")
-        order = next((c.get("configuration", {}).get("endian", "little") for c in m["codecs"] if c["name"] == "bytes"), "little")
-        dtype = np.dtype(m["data_type"]).newbyteorder("<" if order == "little" else ">")
-        path = f"{local(self.options['path'])}/{slash.join(['c', *map(str, at)])}"
-        fill = np.array(float(m["fill_value"]) if isinstance(m["fill_value"], str) else m["fill_value"]).astype(dtype)
-        if os.path.exists(path):
-            with open(path, "rb") as f:
-                x = np.frombuffer(_decoded(f.read(), m["codecs"]), dtype).reshape(size)
-        else:
-            x = np.full(size, fill, dtype)
-        x = x[tuple(slice(0, min(c, n - k * c)) for k, c, n in zip(at, size, m["shape"]))]
-        gone = (np.isnan(x) if fill != fill else x == fill) if self.options.get("mask", "true") == "true" else np.zeros(x.shape, bool)
-        axes = np.unravel_index(np.arange(x.size), x.shape)
-        kind = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_()}[TYPES[m["data_type"]]]
-        value = pa.array(x.ravel().astype(x.dtype.newbyteorder("=")), mask=gone.ravel()).cast(kind)
-        yield pa.RecordBatch.from_arrays([*(pa.array((k + a * c).astype(np.int64)) for k, a, c in zip(axes, at, size)), value], [*axes_of(m), "value"])
+        size, shape = m["chunk_grid"]["configuration"]["chunk_shape"], m["shape"]
+        # Only chunks that hold wanted positions are listed.
+        places = product(*(range(max(a, 0) // c, -(-min(b, n) // c)) for a, b, c, n in zip(self.low, self.high, size, shape)))
+        boxes = [(at, self.wanted([k * c for k, c in zip(at, size)], [min(k * c + c, n) for k, c, n in zip(at, size, shape)])) for at in places]
+        pieces = [(at, *box) for at, box in boxes if box]
+        step = int(self.options.get("cells", 1 << 20))
+        return dealt(pieces, max(step, max((int(np.prod([q - p for p, q in zip(a, b)])) for _, a, b in pieces), default=1)))
+
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
+        array = Stored(self.options["path"], self.meta, self.options.get("mask", "true") == "true")
+        for _, start, stop in partition.pieces:
+            yield as_cells(*array.box(list(start), list(stop)), start, self.axes, ARROW[TYPES[self.meta["data_type"]]])
 
 
 def read(spark: SparkSession, path: str, **options: str) -> Cells:
     m = metadata(path)
-    spark.dataSource.register(Zarr3)
+    known(spark, Zarr3)
     df = spark.read.format("zarr3").options(**options).load(path)
     return Cells(df, tuple(axes_of(m)), tuple(m["shape"]), units=m.get("attributes", {}).get("units"), fill=m["fill_value"])
 
 
-def write(cells: Cells, path: str, chunks: tuple[int, ...], data_type: str = "float64", fill: float = float("nan"), compress: int = 3) -> None:
-    """Cells as an array of this format: shuffled once, by chunk; each chunk is written by the task that holds it."""
+def write(cells: Cells, path: str, chunks: tuple[int, ...], data_type: str = "float64", fill: float | int | None = None, compress: int = 3, shards: tuple[int, ...] | None = None, version: int = 3) -> None:
+    """Cells as an array of this format: shuffled once, by file; each file is written by the task that holds its cells.
+
+    With `shards`, multiples of `chunks`, a file holds all chunks of a shard and an index of them (version 3 only); a chunk
+    without values is left out. Without a fill value, it is NaN for floating point numbers and else the least of the type."""
     folder = local(path)
     os.makedirs(folder, exist_ok=True)
-    text = {"NaN": float("nan")}.get("NaN") if fill != fill else fill
-    meta = {
-        "zarr_format": 3, "node_type": "array", "shape": list(cells.shape), "data_type": data_type, "fill_value": "NaN" if fill != fill else text,
-        "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(chunks)}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}},
-        "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd", "configuration": {"level": compress, "checksum": False}}],
-        "dimension_names": list(cells.axes), "attributes": {"units": cells.units} if cells.units else {},
+    dtype = np.dtype(data_type).newbyteorder("<")
+    if fill is None:
+        fill = float("nan") if dtype.kind == "f" else False if dtype.kind == "b" else int(np.iinfo(dtype).min)
+    outer = shards or chunks
+    if any(o % c for o, c in zip(outer, chunks)) or shards and version == 2:
+        raise ValueError(f"shards {shards} are no multiples of chunks {chunks}, or of version 2")
+    said = ("NaN" if fill != fill else "Infinity" if fill > 0 else "-Infinity") if isinstance(fill, float) and not np.isfinite(fill) else fill
+    packed = [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd", "configuration": {"level": compress, "checksum": False}}]
+    noted = {"units": cells.units} if cells.units else {}
+    meta: dict = {
+        "zarr_format": 3, "node_type": "array", "shape": list(cells.shape), "data_type": data_type, "fill_value": said,
+        "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(outer)}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}},
+        "codecs": [{"name": "sharding_indexed", "configuration": {"chunk_shape": list(chunks), "codecs": packed, "index_codecs": [packed[0], {"name": "crc32c"}], "index_location": "end"}}] if shards else packed,
+        "dimension_names": list(cells.axes), "attributes": noted,
     }
+    files = [("zarr.json", meta)]
+    if version == 2:
+        old = {"zarr_format": 2, "shape": list(cells.shape), "chunks": list(chunks), "dtype": dtype.str, "fill_value": said, "order": "C", "filters": None, "compressor": {"id": "zstd", "level": compress}}
+        files = [(".zarray", old), (".zattrs", {"_ARRAY_DIMENSIONS": list(cells.axes), **noted})]
+        meta["chunk_key_encoding"] = {"name": "v2", "configuration": {"separator": "."}}
+    array = Stored(path, meta)
     axes, value = cells.axes, cells.value
+    counts = tuple(o // c for o, c in zip(outer, chunks))
 
-    def save(rows: object) -> object:
-        at = [int(rows[f"_{a}"].iloc[0]) for a in axes]
-        x = np.full(chunks, fill, np.dtype(data_type).newbyteorder("<"))
-        ok = rows[value].notna().to_numpy()
-        x[tuple(rows[a].to_numpy()[ok] - k * c for a, k, c in zip(axes, at, chunks))] = rows[value].to_numpy()[ok]
-        target = f"{folder}/{'/'.join(['c', *map(str, at)])}"
+    def save(t: pa.Table) -> pa.Table:
+        at = [t.column(f"_{a}")[0].as_py() for a in axes]
+        own = t.filter(pa.compute.is_valid(t.column(value)))
+        x, here = np.full(outer, fill, dtype), np.zeros(outer, bool)
+        place = tuple(own.column(a).to_numpy() - k * o for a, k, o in zip(axes, at, outer))
+        x[place], here[place] = own.column(value).to_numpy(), True
+        pack = zstandard.ZstdCompressor(level=compress).compress
+        if shards:
+            index, body = np.full((*counts, 2), ABSENT, "<u8"), []
+            end = 0
+            for inner in product(*map(range, counts)):
+                box = tuple(slice(k * c, k * c + c) for k, c in zip(inner, chunks))
+                if here[box].any():
+                    body.append(pack(np.ascontiguousarray(x[box]).tobytes()))
+                    index[inner] = end, len(body[-1])
+                    end += len(body[-1])
+            raw = b"".join(body) + index.tobytes() + crc32c(index.tobytes()).to_bytes(4, "little")
+        else:
+            raw = pack(x.tobytes())
+        target = array.file(tuple(at))
         os.makedirs(os.path.dirname(target), exist_ok=True)
         with open(f"{target}.{os.getpid()}", "wb") as f:
-            f.write(zstandard.ZstdCompressor(level=compress).compress(x.tobytes()))
+            f.write(raw)
         os.replace(f"{target}.{os.getpid()}", target)
-        return rows.iloc[:1][[f"_{axes[0]}"]]
+        return pa.table({"n": pa.array([own.num_rows], pa.int64())})
 
-    keyed = cells.df.select(*axes, value, *(F.floor(F.col(a) / c).cast("long").alias(f"_{a}") for a, c in zip(axes, chunks)))
-    keyed.groupBy(*(f"_{a}" for a in axes)).applyInPandas(save, f"_{axes[0]} long").count()
-    with open(f"{folder}/zarr.json", "w") as f:
-        json.dump(meta, f)
+    keyed = cells.df.select(*axes, value, *(F.expr(f"`{a}` div {o}").alias(f"_{a}") for a, o in zip(axes, outer)))
+    keyed.groupBy(*(f"_{a}" for a in axes)).applyInArrow(save, "n long").count()
+    for name, content in files:
+        with open(f"{folder}/{name}", "w") as f:
+            json.dump(content, f)

@@ -10,9 +10,9 @@ from .test_queries import table
 
 VECTORS = 701
 #: Rows out for each vector.
-STORAGE = {"netcdf_fragments": 64, "zarr_chunks": 64, "container_roundtrip": 64, "container_append": 128}
+STORAGE = {"netcdf_fragments": 64, "zarr_chunks": 64, "zarr_shards": 64, "zarr_version2": 64, "container_roundtrip": 64, "container_append": 128}
 #: None where missing cells at the end of a vector go.
-ENCODINGS = {"ragged_compress": None, "ragged_compress_indexed": None, "ragged_contiguous": None, "ragged_roundtrip": 64, "aggregated_fragments": 64}
+ENCODINGS = {"ragged_compress": None, "ragged_compress_indexed": None, "ragged_contiguous": None, "ragged_roundtrip": 64, "aggregated_fragments": None, "fragments_pruned": None}
 ARRAYS = {"assign_scalar": 64, "assign_mask": 64, "assign_broadcast": 64, "reshape_3d": 64, "pad_missing": 69, "concat_axis": 64, "concat_units": 64}
 WHOLE = {**STORAGE, **ENCODINGS, **ARRAYS}
 
