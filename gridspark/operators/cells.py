@@ -31,11 +31,16 @@ def linear_index(cells: Cells, axes: tuple[str, ...] | None = None) -> Column:
     return out
 
 
+def _div(x: Column, step: int) -> Column:
+    """x div step in whole numbers, for x from 0 on."""
+    return F.call_function("div", x, F.lit(step)) if step > 1 else x
+
+
 def unravelled(index: Column, axes: tuple[str, ...], shape: tuple[int, ...]) -> list[Column]:
     """Axis columns of a row-major number."""
     out, step = [], 1
     for a, n in zip(reversed(axes), reversed(shape)):
-        out.append((((index - index % step) / step).cast("long") % n).alias(a))
+        out.append((_div(index, step) % n).alias(a))
         step *= n
     return out[::-1]
 

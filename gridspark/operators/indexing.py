@@ -49,9 +49,9 @@ def new_index(column: Column, chosen: range | list[int]) -> tuple[Column, Column
         inside = (column >= low) & (column <= high)
         if abs(step) > 1:
             inside = inside & ((column - chosen[0]) % abs(step) == 0)
-        return inside, ((column - chosen[0]) / step).cast("long") if step != 1 else column - chosen[0]
-    table = F.create_map(*(F.lit(x) for k, old in enumerate(chosen) for x in (old, k))) if chosen else None
-    return column.isin(chosen) if chosen else F.lit(False), F.element_at(table, column.cast("int")).cast("long") if chosen else column
+        return inside, F.call_function("div", column - chosen[0], F.lit(step)) if step != 1 else column - chosen[0]
+    table = F.create_map(*(F.lit(x).cast("long") for k, old in enumerate(chosen) for x in (old, k))) if chosen else None
+    return column.isin(chosen) if chosen else F.lit(False), F.element_at(table, column.cast("long")) if chosen else column
 
 
 def subspace(cells: Cells, indices: object) -> Cells:

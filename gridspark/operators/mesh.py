@@ -54,7 +54,7 @@ def normalised(cells: DataFrame, cell: str, nodes: str, start_index: int = 0) ->
     from .ordering import BLOCK
 
     flat = cells.select(cell, F.posexplode_outer(nodes).alias("_k", "_id"))
-    ids = flat.where("_id is not null").select("_id").distinct().withColumn("_block", F.floor(F.col("_id") / F.lit(BLOCK)))
+    ids = flat.where("_id is not null").select("_id").distinct().withColumn("_block", F.expr(f"_id div {BLOCK}"))
     counts = ids.groupBy("_block").agg(F.count("*").alias("_n"))
     before = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
     rank = ids.withColumn("_r", F.row_number().over(Window.partitionBy("_block").orderBy("_id")) - 1).join(before, "_block").select("_id", (F.col("_r") + F.col("_before") + start_index).cast("long").alias("_new"))
@@ -87,3 +87,42 @@ def bounds_from_nodes(cells: DataFrame, cell: str, nodes: str, coordinates: Data
     flat = cells.select(cell, F.posexplode_outer(nodes).alias("_k", node))
     found = flat.join(coordinates.select(node, value), node, "left")
     return found.groupBy(cell).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", value))), lambda x: x[value]).alias("bounds"))
+
+
+def linked(topologies: DataFrame, domain: str = "domain", kind: str = "kind", nodes: str = "nodes") -> DataFrame:
+    """(domain, mesh): the mesh of each domain, named by the smallest of its domains; `kind` of a row is face, edge or point, its nodes a polygon, two ends, or a point and its neighbours.
+
+    Domains are of one mesh if their topologies imply the same edges and, where they have faces, the same faces, told by
+    their sets of nodes. Whatever the order of rows, and of nodes in an edge, each domain gets a fingerprint of its
+    distinct edges and one of its faces: counts and two hashes combined by exclusive or, partially aggregated. Domains meet by
+    these, no pair of them is compared. One without faces joins the domains with its edges, of several meshes with
+    them the first. A domain without edges stands alone."""
+    p = polygon(nodes)
+    n = F.size(p)
+    ring = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.get(p, k).alias("x"), F.get(p, (k + 1) % n).alias("y"))))
+    spokes = F.transform(F.slice(p, 2, F.greatest(n - 1, F.lit(0))), lambda y: F.struct(F.get(p, F.lit(0)).alias("x"), y.alias("y")))
+    ends = F.when(n > 1, F.array(F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
+    pairs = topologies.select(domain, F.explode(F.when(F.col(kind) == "face", ring).when(F.col(kind) == "edge", ends).otherwise(spokes)).alias("_e"))
+    edges = pairs.where("_e.x <> _e.y").select(domain, F.least("_e.x", "_e.y").alias("_a"), F.greatest("_e.x", "_e.y").alias("_b")).distinct()
+
+    def print_of(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+        h = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), *columns))
+        return df.groupBy(domain).agg(F.struct(F.count("*").alias("n"), h(1).alias("h1"), h(2).alias("h2")).alias(name))
+
+    faces = topologies.where(F.col(kind) == "face").select(domain, F.array_sort(F.array_distinct(p)).alias("_f")).groupBy(domain, "_f").agg(F.count("*").alias("_n"))
+    own = topologies.select(domain).distinct().join(print_of(edges, ["_a", "_b"], "_edges"), domain, "left").join(print_of(faces, ["_f", "_n"], "_faces"), domain, "left")
+    with_faces = own.where("_edges is not null and _faces is not null").groupBy("_edges", "_faces").agg(F.min(domain).alias("_least"))
+    by_edges = own.where("_edges is not null").groupBy("_edges").agg(F.min(F.when(F.col("_faces").isNull(), F.col(domain))).alias("_bare"))
+    # The first mesh with the edges takes the domains without faces along, and so may get a smaller name.
+    first = with_faces.groupBy("_edges").agg(F.min("_least").alias("_first"))
+    by_edges = by_edges.join(first, "_edges", "left").select("_edges", "_first", F.least("_bare", "_first").alias("_all"))
+    found = own.join(by_edges, "_edges", "left").join(with_faces, ["_edges", "_faces"], "left")
+    mesh = F.when(F.col("_least").isNull() | (F.col("_least") == F.col("_first")), F.col("_all")).otherwise(F.col("_least"))
+    return found.select(domain, F.coalesce(mesh, F.col(domain)).alias("mesh"))
+
+
+def without_empty_columns(cells: DataFrame, nodes: str = "nodes") -> DataFrame:
+    """Rows of equal length cut to the columns from the first to the last in which any row has a value; one row of bounds is broadcast."""
+    at = cells.select(F.posexplode(nodes).alias("_k", "_x")).where("_x is not null").agg(F.min("_k").alias("_low"), F.max("_k").alias("_high"))
+    cut = F.when(F.col("_low").isNull(), F.slice(nodes, 1, 0)).otherwise(F.slice(nodes, F.coalesce("_low", F.lit(0)) + 1, F.coalesce(F.col("_high") - F.col("_low") + 1, F.lit(0))))
+    return cells.crossJoin(F.broadcast(at)).withColumn(nodes, cut).drop("_low", "_high")

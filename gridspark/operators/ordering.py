@@ -13,7 +13,7 @@ def dense_places(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
 
     Rows fall in blocks of the key's range. Each block is ordered by itself; the blocks' counts, one row for
     each, are summed up and joined back."""
-    block = F.floor(F.col(key) / F.lit(BLOCK)).cast("long")
+    block = F.expr(f"`{key}` div {BLOCK}")
     df = df.withColumn("_block", block)
     counts = df.groupBy("_block").agg(F.count("*").alias("_n"))
     before = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
@@ -23,7 +23,7 @@ def dense_places(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
 
 def running_start(df: DataFrame, key: str, count: str, name: str = "start") -> DataFrame:
     """df with the sum of `count` over all rows of smaller `key` (an exclusive prefix sum), in two levels like dense_places()."""
-    df = df.withColumn("_block", F.floor(F.col(key) / F.lit(BLOCK)).cast("long"))
+    df = df.withColumn("_block", F.expr(f"`{key}` div {BLOCK}"))
     totals = df.groupBy("_block").agg(F.sum(count).alias("_n"))
     before = totals.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
     own = F.sum(count).over(Window.partitionBy("_block").orderBy(key)) - F.col(count)

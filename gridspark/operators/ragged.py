@@ -56,3 +56,19 @@ def compress_indexed(cells: Cells, axis: str, sample: str = "o", index: str = "i
     starts = running_start(trailing_count(cells, axis), instance, "count", "_start")
     rows = cells.df.join(starts, instance).where(F.col(axis) < F.col("count"))
     return rows.select((F.col("_start") + F.col(axis)).alias(sample), F.col(instance).alias(index), cells.value)
+
+
+def compress_indexed_contiguous(cells: Cells, profile: str, element: str, sample: str = "o", number: str = "profile", index: str = "index") -> tuple[DataFrame, DataFrame]:
+    """(samples, profiles) of cells on (instance, profile, element): samples (sample, value) end to end by profile, profiles (number, index, count) with their instance and how many samples they own.
+
+    A profile has its samples up to the last that is not missing, an instance its profiles up to the last that has any;
+    one between without samples keeps a count of 0. Two nested prefix sums, each in two levels: profiles are numbered from
+    the counts of instances, samples from those of profiles. indexed_contiguous() is the way back."""
+    (instance,) = [a for a in cells.axes if a not in (profile, element)]
+    counts = cells.df.groupBy(instance, profile).agg(F.coalesce(F.max(F.when(cells.v.isNotNull(), F.col(element) + 1)), F.lit(0)).cast("long").alias("count"))
+    owned = counts.groupBy(instance).agg(F.coalesce(F.max(F.when(F.col("count") > 0, F.col(profile) + 1)), F.lit(0)).cast("long").alias("_profiles"))
+    first = running_start(owned, instance, "_profiles", "_first")
+    placed = counts.join(first, instance).where(F.col(profile) < F.col("_profiles")).select(instance, profile, "count", (F.col("_first") + F.col(profile)).alias(number))
+    starts = running_start(placed, number, "count", "_start")
+    samples = cells.df.join(starts, [instance, profile]).where(F.col(element) < F.col("count"))
+    return samples.select((F.col("_start") + F.col(element)).alias(sample), cells.value), placed.select(number, F.col(instance).alias(index), "count")

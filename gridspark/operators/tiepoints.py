@@ -96,20 +96,40 @@ def interpolated(tie: DataFrame, index: str, value: str = "value", name: str = "
     return located(sub, name).select(*(over or []), name, u.alias(value))
 
 
-def interpolated_2d(tie: DataFrame, index1: str, index2: str, value: str = "value", names: tuple[str, str] = ("i", "j")) -> DataFrame:
-    """Bi-linear over two axes: along the second for each row of tie points, then along the first."""
-    rows = interpolated(tie, index2, value, names[1], over=[index1])
-    return interpolated(rows, index1, value, names[0], over=[names[1]]).select(*names, value)
+def interpolated_2d(tie: DataFrame, index1: str, index2: str, value: str = "value", names: tuple[str, str] = ("i", "j"), over: list[str] | None = None) -> DataFrame:
+    """Bi-linear over two axes, for each key of `over`: along the second for each row of tie points, then along the first."""
+    over = over or []
+    rows = interpolated(tie, index2, value, names[1], over=[*over, index1])
+    return interpolated(rows, index1, value, names[0], over=[*over, names[1]]).select(*over, *names, value)
 
 
-def bounds(tie_bounds: DataFrame, index: str, value: str = "value", name: str = "i") -> DataFrame:
-    """(name, bounds): cells between neighbouring interpolated vertices; a cell of an area ends where the next begins."""
-    sub = areas(tie_bounds, index, None, (value,))
+def _cells_of(sub: DataFrame, name: str) -> tuple[DataFrame, Column, Column]:
+    """The cells of each sub-area, and where on its way from `low` to `high` each begins and ends. Cells are as many as locations that areas give; one ends where the next begins."""
     low = F.when(F.col("first"), F.col("low")).otherwise(F.col("low") + 1)
-    cells = sub.withColumn(name, F.explode(F.sequence(low, F.col("high"))))
     n, k = F.col("high") - low + 1, F.col(name) - low
+    return sub.withColumn(name, F.explode(F.sequence(low, F.col("high")))), k / n, (k + 1) / n
+
+
+def bounds(tie_bounds: DataFrame, index: str, value: str = "value", name: str = "i", over: list[str] | None = None) -> DataFrame:
+    """(over, name, bounds): cells between neighbouring interpolated vertices; a cell of an area ends where the next begins."""
+    over = over or []
+    cells, begin, end = _cells_of(areas(tie_bounds, index, over, (value,)), name)
+    u = lambda s: linear(F.col(f"{value}_a"), F.col(f"{value}_b"), s)
+    return cells.select(*over, name, F.array(u(begin), u(end)).alias("bounds"))
+
+
+def bounds_2d(tie_bounds: DataFrame, index1: str, index2: str, value: str = "value", names: tuple[str, str] = ("i", "j"), over: list[str] | None = None) -> DataFrame:
+    """(over, names, bounds): cells of two interpolated axes by their four corners (i, j), (i, j + 1), (i + 1, j + 1), (i + 1, j); neighbours share vertices, also across sub-areas.
+
+    Vertices are found along the second axis for each row of tie points, then along the first between these rows, so each
+    step is a window over one array's tie points."""
+    over = over or []
+    cells, begin, end = _cells_of(areas(tie_bounds, index2, [*over, index1], (value,)), names[1])
     u = lambda s: linear(F.col(f"{value}_a"), F.col(f"{value}_b"), s)
-    return cells.select(name, F.array(u(k / n), u((k + 1) / n)).alias("bounds"))
+    rows = cells.select(*over, index1, names[1], u(begin).alias("_l"), u(end).alias("_r"))
+    cells, begin, end = _cells_of(areas(rows, index1, [*over, names[1]], ("_l", "_r")), names[0])
+    v = lambda side, s: linear(F.col(f"{side}_a"), F.col(f"{side}_b"), s)
+    return cells.select(*over, *names, F.array(v("_l", begin), v("_r", begin), v("_r", end), v("_l", end)).alias("bounds"))
 
 
 def half_way_w(ua: Column, ub: Column, u: Column) -> Column:

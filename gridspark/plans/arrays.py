@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
-from ..model import Cells
+from ..model import Cells, Construct, Field
 from ..operators import cells as C
 from ..operators import combine, elementwise, equality, indexing, masking, reduce, shape
+from ..operators.ordering import dense_places
 from ..sources.tables import embedding_cells, labels, masked_cells, table, whole_cells
 from .registry import query
 
@@ -334,3 +335,49 @@ def quantise_digitround(spark: SparkSession, sf: str) -> DataFrame:
 def quantise_bitround(spark: SparkSession, sf: str) -> DataFrame:
     c = embedding_cells(spark, sf)
     return c.select(codecs.quantised(c.v, "bitround", 8)).frame()
+
+
+_POWER = "CASE WHEN f = 0 THEN 0 ELSE floor(log2(abs(f::DOUBLE))) END"
+_P = f"{E}, p0 AS (SELECT i, j, f::DOUBLE AS x, {_POWER} AS g FROM e), p AS (SELECT i, j, x, CASE WHEN x <> 0 AND pow(2.0, g) > abs(x) THEN g - 1 WHEN x <> 0 AND pow(2.0, g + 1) <= abs(x) THEN g + 1 ELSE g END AS g FROM p0)"
+
+
+@query(
+    f"WITH {_P}, s AS (SELECT i, j, x, g, floor(abs(x) / pow(2.0, g - 11)) * pow(2.0, g - 11) AS low FROM p) "
+    "SELECT i, j, CASE WHEN x = 0 THEN x ELSE sign(x) * CASE WHEN (i * 64 + j) % 2 = 0 THEN low ELSE low + (pow(2.0, g - 11) - pow(2.0, g - 23)) END END::FLOAT AS value FROM s"
+)
+def quantise_bitgroom(spark: SparkSession, sf: str) -> DataFrame:
+    c = embedding_cells(spark, sf)
+    return c.select(codecs.quantised(c.v, "bitgroom", 3, "float", C.linear_index(c))).frame()
+
+
+@query(
+    "WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice::DOUBLE AS x, floor(log2(l_extendedprice::DOUBLE)) AS g FROM lineitem), "
+    "w AS (SELECT *, CASE WHEN pow(2.0, g) > x THEN g ELSE CASE WHEN pow(2.0, g + 1) <= x THEN g + 2 ELSE g + 1 END END AS e FROM v), "
+    "d AS (SELECT *, log10(x / pow(2.0, e)) AS m FROM w), "
+    "q AS (SELECT *, floor(3.3219280948873626 * (floor(e * 0.30102999566398120 + m) + 1 - 3)) AS q FROM d), "
+    "s AS (SELECT *, pow(2.0, e - 1 - (abs(floor(e - 3.3219280948873626 * m) - q) - 1)) AS step FROM q) "
+    "SELECT l_orderkey, l_linenumber, l_partkey, floor(x / step + 0.5) * step AS value FROM s"
+)
+def quantise_granular_bitround(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", codecs.quantised(F.col("l_extendedprice"), "granular_bitround", 3).alias("value"))
+
+
+@query(
+    "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS x, o_totalprice AS v FROM orders), n AS (SELECT count(*) AS n FROM o) "
+    "SELECT x, round(v::DOUBLE, 4) AS value, [round(v - 1, 4), round(v + 1, 4), NULL, NULL]::DOUBLE[] AS bounds FROM o UNION ALL SELECT x + n, round(v::DOUBLE, 4), [round(v, 4), round(v + 1, 4), round(v + 2, 4), CASE WHEN x % 2 = 0 THEN round(v + 3, 4) END]::DOUBLE[] FROM o, n"
+)
+def concat_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields with cells of two, and of three and four, corners end to end, the second in kilometres: corners are padded and follow the units."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("v"))
+    n = rows.count()
+    rows = dense_places(rows, "o_orderkey", n, "x")
+    v, four = F.col("v"), F.col("x") % 2 == 0
+
+    def field(bounds: object, scale: float, units: str) -> Field:
+        data = Cells(rows.select("x", (v * scale).alias("value")), ("x",), (n,), units=units)
+        edges = rows.select("x", F.transform(bounds, lambda y: y * scale).alias("bounds"))
+        return Field(data, (Construct("x", "domain_axis", size=n), Construct("d", "dimension_coordinate", ("x",), data=data, bounds=edges)))
+
+    both = combine.concatenate_fields([field(F.array(v - 1, v + 1), 1.0, "m"), field(F.when(four, F.array(v, v + 1, v + 2, v + 3)).otherwise(F.array(v, v + 1, v + 2)), 0.001, "km")], "x")
+    c = both.constructs[1]
+    return c.data.df.join(c.bounds, "x").select("x", F.round("value", 4).alias("value"), F.transform("bounds", lambda y: F.round(y, 4)).alias("bounds"))

@@ -168,17 +168,3 @@ def global_attributes(attributes: DataFrame, field: str = "field_id", name: str
     fields = attributes.select(F.count_distinct(field).alias("fields"))
     own = attributes.groupBy(name).agg(F.count_distinct(field).alias("n"), F.min(value).alias(value), F.max(value).alias("_last"))
     return own.join(F.broadcast(fields), (F.col("n") == F.col("fields")) & (F.col(value) == F.col("_last"))).select(name, value)  # one row is broadcast
-
-
-def nearest_in_groups(variables: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted (name, group path): the variable of that name in the group itself, else in the nearest ancestor, else the one below of least depth if it is alone there."""
-    from pyspark.sql import Window
-
-    v = variables.select("name", F.col("path").alias("at"), F.size(F.filter(F.split("path", "/"), lambda x: x != "")).alias("depth"))
-    slash = lambda c: F.when(c.endswith("/"), c).otherwise(F.concat(c, F.lit("/")))
-    both = wanted.select("name", "path").join(v, "name")
-    above = F.startswith(slash(F.col("path")), slash(F.col("at")))
-    ranked = both.withColumn("above", above).withColumn("order", F.struct((~above).alias("a"), F.when(above, -F.col("depth")).otherwise(F.col("depth")).alias("b")))
-    w = Window.partitionBy("name", "path")
-    out = ranked.withColumn("least", F.min("order").over(w)).where(F.col("order") == F.col("least")).withColumn("n", F.count("*").over(w))
-    return out.where(F.col("above") | (F.col("n") == 1)).select("name", "path", F.col("at").alias("found_in"))

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import Cells
 from ..operators import fragments, gathered, geometry, mesh, ragged, tiepoints
 from ..operators.masking import validity
 from ..operators.ordering import dense_places
@@ -78,6 +79,36 @@ def ragged_indexed_contiguous(spark: SparkSession, sf: str) -> DataFrame:
     return ragged.indexed_contiguous(samples, counts, "o", "o_orderkey", "o_custkey", "n").select("o_custkey", "p", "e", "l_quantity")
 
 
+_PROFILES = f"""o AS (SELECT o_custkey AS c, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p FROM orders),
+l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE}) - 1 AS e, CASE WHEN l_quantity > 10 THEN l_quantity END AS value FROM lineitem),
+n AS (SELECT c, p, coalesce(max(CASE WHEN value IS NOT NULL THEN e + 1 END), 0) AS n FROM o LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY c, p),
+k AS (SELECT c, p, n, row_number() OVER (ORDER BY c, p) - 1 AS profile, coalesce(sum(n) OVER (ORDER BY c, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM n JOIN (SELECT c, max(p) AS last FROM n WHERE n > 0 GROUP BY c) USING (c) WHERE p <= last)"""
+
+
+def _profiles(spark: SparkSession, sf: str) -> Cells:
+    """Customers' orders and their lines, small quantities missing, on (customer, profile, element)."""
+    lines = ragged.indexed(table(spark, sf, "lineitem"), "l_orderkey", LINE.split(", ")).select(F.col("l_orderkey").alias("o_orderkey"), "e", F.when(F.col("l_quantity") > 10, F.col("l_quantity")).alias("value"))
+    orders = ragged.indexed(table(spark, sf, "orders").select(F.col("o_custkey").alias("c"), "o_orderkey"), "c", ["o_orderkey"], "p")
+    df = orders.join(lines, "o_orderkey", "left").select("c", "p", F.coalesce("e", F.lit(0).cast("long")).alias("e"), "value")
+    n = df.agg(*(F.coalesce(F.max(x) + 1, F.lit(0)) for x in ("c", "p", "e"))).first()
+    return Cells(df, ("c", "p", "e"), tuple(n))
+
+
+@query(f"WITH {_PROFILES} SELECT start + e AS o, profile, c AS index, value FROM k JOIN o USING (c, p) JOIN l ON o_orderkey = l_orderkey WHERE e < n")
+def ragged_compress_two_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples by profile and profiles by instance, from whole orders and lines; each sample with the profile that owns it."""
+    samples, profiles = ragged.compress_indexed_contiguous(_profiles(spark, sf), "p", "e")
+    owned = ragged.contiguous(samples, profiles, "o", "profile", "count").where("e is not null")
+    return owned.join(profiles, "profile").select("o", "profile", "index", "value")
+
+
+@query(f"WITH {_PROFILES} SELECT c, p, e, value FROM k JOIN o USING (c, p) LEFT JOIN l ON o_orderkey = l_orderkey AND e < n")
+def ragged_roundtrip_two_levels(spark: SparkSession, sf: str) -> DataFrame:
+    samples, profiles = ragged.compress_indexed_contiguous(_profiles(spark, sf), "p", "e")
+    return ragged.indexed_contiguous(samples, profiles, "o", "profile", "index", "count").select(F.col("index").alias("c"), "p", "e", "value")
+
+
 @query(f"WITH {Q}, l AS (SELECT i * 64 + j AS place, row_number() OVER (ORDER BY i * 64 + j) - 1 AS item FROM q WHERE value > 20) SELECT item, place, value FROM l JOIN q ON i * 64 + j = place")
 def gathered_gather(spark: SparkSession, sf: str) -> DataFrame:
     c = whole_cells(spark, sf)
@@ -133,28 +164,60 @@ def tie_quadratic_parameter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", w.alias("w"), F.round(tiepoints.quadratic(a, b, w, s), 6).alias("u"))
 
 
+_SURFACE = "part, (VALUES (0, 8, true), (8, 12, false)) s1(low, high, first), (VALUES (0, 4, true), (4, 10, false)) s2(lo2, hi2, first2)"
+
+
+def _surface(spark: SparkSession, sf: str) -> DataFrame:
+    """Nine tie points of a surface for each part."""
+    at = F.array(*(F.struct(F.lit(p).cast("long").alias("p"), F.lit(q).cast("long").alias("q")) for p in (0, 8, 12) for q in (0, 4, 10)))
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    return table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size", F.inline(at)).select("p_partkey", "p", "q", (price * F.col("p") + size * F.col("q") + 0.5 * F.col("p") * F.col("q")).alias("value"))
+
+
 @query(
-    "WITH s1(low, high, first) AS (VALUES (0, 8, true), (8, 12, false)), s2(lo2, hi2, first2) AS (VALUES (0, 4, true), (4, 10, false)) "
-    "SELECT i::BIGINT AS i, j::BIGINT AS j, (3.0 * i + 5.0 * j + 0.5 * i * j)::DOUBLE AS value FROM s1, s2, range(13) a(i), range(11) b(j) WHERE i <= high AND (i > low OR first AND i = low) AND j <= hi2 AND (j > lo2 OR first2 AND j = lo2)"
+    f"SELECT p_partkey, i::BIGINT AS i, j::BIGINT AS j, round(p_retailprice * i + p_size * j + 0.5 * i * j, 4)::DOUBLE AS value FROM {_SURFACE}, range(13) a(i), range(11) b(j) "
+    "WHERE i <= high AND (i > low OR first AND i = low) AND j <= hi2 AND (j > lo2 OR first2 AND j = lo2)"
 )
 def tie_bilinear(spark: SparkSession, sf: str) -> DataFrame:
-    """A bi-linear surface is restored from its tie points."""
-    rows = [(p, q, 3.0 * p + 5.0 * q + 0.5 * p * q) for p in (0, 8, 12) for q in (0, 4, 10)]
-    return tiepoints.interpolated_2d(spark.createDataFrame(rows, "p long, q long, value double"), "p", "q").select("i", "j", F.round("value", 9).alias("value"))
+    """A bi-linear surface is restored from its tie points, for every part."""
+    return tiepoints.interpolated_2d(_surface(spark, sf), "p", "q", over=["p_partkey"]).select("p_partkey", "i", "j", F.round("value", 4).alias("value"))
 
 
-@query("SELECT i::BIGINT AS i, [5.0 * i, 5.0 * i + 5]::DOUBLE[] AS bounds FROM range(10) r(i)")
+@query(
+    f"WITH {_TIE}, {_AREA} SELECT p_partkey, i::BIGINT AS i, [round(ua + (i - f) / (high - f + 1) * (ub - ua), 6), round(ua + (i - f + 1) / (high - f + 1) * (ub - ua), 6)]::DOUBLE[] AS bounds "
+    "FROM (SELECT *, CASE WHEN first THEN low ELSE low + 1 END AS f FROM s), range(14) r(i) WHERE i BETWEEN f AND high"
+)
 def tie_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells of two continuous areas, from the vertices at their ends."""
-    return tiepoints.bounds(spark.createDataFrame([(0, 0.0), (5, 30.0), (6, 30.0), (9, 50.0)], "k long, value double"), "k").select("i", F.transform("bounds", lambda x: F.round(x, 9)).alias("bounds"))
+    """Cells of two continuous areas of each part, from the vertices at their ends."""
+    return tiepoints.bounds(_ties(spark, sf), "k", over=["p_partkey"]).select("p_partkey", "i", F.transform("bounds", lambda x: F.round(x, 6)).alias("bounds"))
+
 
+@query(
+    f"WITH c AS (SELECT p_partkey, i, j, p_retailprice AS a, p_size AS b, low + (i - f) * (high - low)::DOUBLE / (high - f + 1) AS x0, low + (i - f + 1) * (high - low)::DOUBLE / (high - f + 1) AS x1, "
+    "lo2 + (j - f2) * (hi2 - lo2)::DOUBLE / (hi2 - f2 + 1) AS y0, lo2 + (j - f2 + 1) * (hi2 - lo2)::DOUBLE / (hi2 - f2 + 1) AS y1 "
+    f"FROM (SELECT *, CASE WHEN first THEN low ELSE low + 1 END AS f, CASE WHEN first2 THEN lo2 ELSE lo2 + 1 END AS f2 FROM {_SURFACE}), range(13) a(i), range(11) b(j) WHERE i BETWEEN f AND high AND j BETWEEN f2 AND hi2) "
+    "SELECT p_partkey, i::BIGINT AS i, j::BIGINT AS j, [round(a * x0 + b * y0 + 0.5 * x0 * y0, 4), round(a * x0 + b * y1 + 0.5 * x0 * y1, 4), round(a * x1 + b * y1 + 0.5 * x1 * y1, 4), round(a * x1 + b * y0 + 0.5 * x1 * y0, 4)]::DOUBLE[] AS bounds FROM c"
+)
+def tie_bounds_2d(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of a bi-linear surface by their corners, for every part."""
+    return tiepoints.bounds_2d(_surface(spark, sf), "p", "q", over=["p_partkey"]).select("p_partkey", "i", "j", F.transform("bounds", lambda x: F.round(x, 4)).alias("bounds"))
 
-@query("SELECT k::BIGINT AS k, round(degrees(atan2(z, sqrt(x * x + y * y))), 9) AS lat, round(degrees(atan2(y, x)), 9) AS lon FROM (SELECT k, s, ax + s * (bx - ax) + c * 4 * s * (1 - s) * (ax + bx) / 2 AS x, ay + s * (by_ - ay) + c * 4 * s * (1 - s) * (ay + by_) / 2 AS y, az + s * (bz - az) + c * 4 * s * (1 - s) * (az + bz) / 2 AS z FROM (SELECT *, 1 - sqrt(((ax + bx) * (ax + bx) + (ay + by_) * (ay + by_) + (az + bz) * (az + bz)) / 4) AS c FROM (SELECT k, k / 10.0 AS s, cos(radians(10)) * cos(radians(20)) AS ax, cos(radians(10)) * sin(radians(20)) AS ay, sin(radians(10)) AS az, cos(radians(30)) * cos(radians(60)) AS bx, cos(radians(30)) * sin(radians(60)) AS by_, sin(radians(30)) AS bz FROM range(11) r(k))))")
+
+@query(
+    "WITH p AS (SELECT p_partkey, k, k / 10.0 AS s, radians((p_size % 40)::DOUBLE) AS la, radians(p_partkey % 70 + 10.0) AS oa, radians(p_size % 40 + 15.0) AS lb, radians(p_partkey % 70 + 30.0) AS ob FROM part, range(11) r(k)), "
+    "v AS (SELECT *, cos(la) * cos(oa) AS ax, cos(la) * sin(oa) AS ay, sin(la) AS az, cos(lb) * cos(ob) AS bx, cos(lb) * sin(ob) AS by_, sin(lb) AS bz FROM p), "
+    "c AS (SELECT *, (1 / sqrt(((ax + bx) * (ax + bx) + (ay + by_) * (ay + by_) + (az + bz) * (az + bz)) / 4) - 1) * 4 * s * (1 - s) / 2 AS c FROM v), "
+    "x AS (SELECT p_partkey, k, ax + s * (bx - ax) + c0 * (ax + bx) AS x, ay + s * (by_ - ay) + c0 * (ay + by_) AS y, az + s * (bz - az) + c0 * (az + bz) AS z "
+    "FROM (SELECT *, (1 - sqrt(((ax + bx) * (ax + bx) + (ay + by_) * (ay + by_) + (az + bz) * (az + bz)) / 4)) * 4 * s * (1 - s) / 2 AS c0 FROM c)) "
+    "SELECT p_partkey, k::BIGINT AS k, round(degrees(atan2(z, sqrt(x * x + y * y))), 6) AS lat, round(degrees(atan2(y, x)), 6) AS lon FROM x"
+)
 def tie_lat_lon_sphere(spark: SparkSession, sf: str) -> DataFrame:
-    """Along a great circle between two points, without coefficients."""
+    """Along a great circle between two points of each part, without coefficients."""
     n = F.lit(None).cast("double")
-    lat, lon = tiepoints.quadratic_lat_lon(F.lit(10.0), F.lit(20.0), F.lit(30.0), F.lit(60.0), n, n, F.col("id") / 10.0, F.lit(True))
-    return spark.range(11).select(F.col("id").alias("k"), F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
+    lat, lon = F.col("p_size") % 40 * 1.0, F.col("p_partkey") % 70 + 10.0
+    rows = table(spark, sf, "part").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(10).cast("long"))).alias("k"))
+    at = tiepoints.quadratic_lat_lon(lat, lon, lat + 15.0, lon + 20.0, n, n, F.col("k") / 10.0, F.lit(True))
+    return rows.select("p_partkey", "k", F.round(at[0], 6).alias("lat"), F.round(at[1], 6).alias("lon"))
 
 
 @query(
@@ -264,18 +327,60 @@ def dense_renumbering(spark: SparkSession, sf: str) -> DataFrame:
     return dense_places(events.where("value > 50").select("event_id"), "event_id", events.count(), "place")
 
 
-@query("SELECT i::BIGINT AS i, j::BIGINT AS j, round(10 + 20 * i / 4.0, 6) AS lat, 0.0::DOUBLE AS lon FROM range(5) a(i), range(3) b(j)")
+@query("SELECT p_partkey, i::BIGINT AS i, j::BIGINT AS j, round(p_size % 40 + 20 * i / 4.0, 6) AS lat, (p_partkey % 100)::DOUBLE AS lon FROM part, range(5) a(i), range(3) b(j)")
 def tie_bi_quadratic(spark: SparkSession, sf: str) -> DataFrame:
-    """Four points on one meridian without coefficients: great-circle arcs along it, equal steps of the angle at the tie points and half-way."""
+    """Four points on one meridian for each part, without coefficients: great-circle arcs along it, equal steps of the angle at the tie points and half-way."""
     n = F.lit(None).cast("double")
     none = {k: (n, n) for k in ("ab", "cd", "ac", "bd", "z")}
-    at = lambda lat: (F.lit(float(lat)), F.lit(0.0))
-    grid = spark.range(15).select((F.col("id") % 5).alias("i"), ((F.col("id") - F.col("id") % 5) / 5).cast("long").alias("j"))
-    lat, lon = tiepoints.bi_quadratic_lat_lon((at(10), at(30), at(10), at(30)), none, F.col("i") / 4, F.col("j") / 2, F.lit(False))
-    return grid.select("i", "j", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+    low, lon = F.col("p_size") % 40 * 1.0, F.col("p_partkey") % 100 * 1.0
+    grid = table(spark, sf, "part").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("i")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("j"))
+    corners = ((low, lon), (low + 20.0, lon), (low, lon), (low + 20.0, lon))
+    lat, lon = tiepoints.bi_quadratic_lat_lon(corners, none, F.col("i") / 4, F.col("j") / 2, F.lit(False))
+    return grid.select("p_partkey", "i", "j", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, (l_linenumber & 4) <> 0 AS sensor FROM lineitem")
 def interpolation_flags(spark: SparkSession, sf: str) -> DataFrame:
     masks = {"location_use_3d_cartesian": 1, "sensor_direction_use_3d_cartesian": 2, "solar_direction_use_3d_cartesian": 4}
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", tiepoints.flag(F.col("l_linenumber"), masks, "solar_direction_use_3d_cartesian").alias("sensor"))
+
+
+_MESHES = """l AS (SELECT DISTINCT l_orderkey AS o, l_partkey % 50 AS x FROM lineitem), f AS (SELECT o, list(x ORDER BY x) AS nodes FROM l GROUP BY o),
+r AS (SELECT o, nodes[k + 1] AS x, nodes[(k + 1) % len(nodes) + 1] AS y FROM f, range(10) t(k) WHERE k < len(nodes)),
+d AS (SELECT DISTINCT 'f' || o AS domain, o, least(x, y) AS a, greatest(x, y) AS b FROM r WHERE x <> y),
+e AS (SELECT domain, o, list((a, b) ORDER BY a, b) AS edges FROM d GROUP BY domain, o),
+m AS (SELECT domain, o, edges, nodes FROM e JOIN f USING (o) UNION ALL SELECT 'e' || o, o, CASE WHEN o % 5 = 0 THEN edges[2:] ELSE edges END, NULL FROM e UNION ALL SELECT 'p' || o, o, edges, NULL FROM e)"""
+
+
+@query(
+    f"""WITH {_MESHES}, n AS (SELECT domain, CASE WHEN len(edges) > 0 THEN edges END AS edges, nodes FROM m UNION ALL SELECT 'f' || o, NULL, nodes FROM f WHERE len(nodes) < 2),
+g AS (SELECT edges, nodes, min(domain) AS least FROM n WHERE edges IS NOT NULL AND nodes IS NOT NULL GROUP BY ALL),
+h AS (SELECT edges, min(least) AS first FROM g GROUP BY edges),
+b AS (SELECT edges, min(domain) AS bare FROM n WHERE edges IS NOT NULL AND nodes IS NULL GROUP BY edges)
+SELECT domain, CASE WHEN n.edges IS NULL THEN domain WHEN g.least IS NULL OR g.least = h.first THEN least(coalesce(bare, first), coalesce(first, bare)) ELSE g.least END AS mesh
+FROM n LEFT JOIN g ON n.edges = g.edges AND n.nodes = g.nodes LEFT JOIN h ON n.edges = h.edges LEFT JOIN b ON n.edges = b.edges WHERE NOT (n.edges IS NULL AND starts_with(domain, 'e'))"""
+)
+def mesh_linked(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order as a face of parts, as its edges turned round, one of them lacking in every fifth, and as points: which domains are of one mesh."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_partkey") % 50).alias("x")).distinct()
+    faces = lines.groupBy("o").agg(F.array_sort(F.collect_list("x")).alias("nodes"))
+    key = lambda p: F.concat(F.lit(p), F.col("o").cast("string")).alias("domain")
+    n = F.size("nodes")
+    ring = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array(F.get("nodes", (k + 1) % n), F.get("nodes", k)))
+    turned = F.array_sort(F.array_distinct(F.transform(F.filter(ring, lambda e: e[0] != e[1]), lambda e: F.array_sort(e))))
+    kept = F.when(F.col("o") % 5 == 0, F.slice(turned, 2, 1000)).otherwise(turned)
+    edges = faces.where("size(nodes) > 1").select(key("e"), F.lit("edge").alias("kind"), F.explode(kept).alias("nodes")).withColumn("nodes", F.reverse("nodes"))
+    pairs = faces.where("size(nodes) > 1").select("o", F.explode(turned).alias("e"))
+    both = pairs.select("o", F.col("e")[0].alias("x"), F.col("e")[1].alias("y")).unionByName(pairs.select("o", F.col("e")[1].alias("x"), F.col("e")[0].alias("y")))
+    points = both.groupBy("o", "x").agg(F.collect_list("y").alias("y")).select(key("p"), F.lit("point").alias("kind"), F.concat(F.array("x"), "y").alias("nodes"))
+    return mesh.linked(faces.select(key("f"), F.lit("face").alias("kind"), "nodes").unionByName(edges).unionByName(points))
+
+
+@query(
+    f"WITH {_FACES}, x AS (SELECT cell, list_concat([NULL], nodes, list_transform(range(8 - len(nodes)), lambda z: NULL)) AS n FROM f), w AS (SELECT max(len(nodes)) AS w FROM f) SELECT cell, n[2 : w + 1] AS nodes FROM x, w"
+)
+def mesh_empty_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as padded rows of parts, with a column before and some after in which no order has any."""
+    none = F.array(F.lit(None).cast("long"))
+    wide = F.concat(none, F.col("nodes").cast("array<bigint>"), F.array_repeat(F.lit(None).cast("long"), F.lit(8) - F.size("nodes")))
+    return mesh.without_empty_columns(_faces(spark, sf).select("cell", wide.alias("nodes")))

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import attrs, time, units
+from ..model import Cells, Construct, Field
+from ..operators import groups, matching
 from ..operators.combine import newest
+from ..operators.ordering import dense_places
 from ..sources.tables import table
 from . import catalog
 from .registry import query
@@ -110,11 +113,62 @@ def global_attributes(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.global_attributes(rows)
 
 
-@query("SELECT * FROM (VALUES ('x', '/a/b', '/a'), ('y', '/a', '/a'), ('z', '/', '/a/b')) t(name, path, found_in)")
+_PATHS = r"""u AS (SELECT page_id, list_concat(list_reverse(string_split(regexp_extract(url, '^https?://([^/?#]+)', 1), '.')), list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '')) AS g FROM pages),
+v AS (SELECT DISTINCT '/' || array_to_string(g[1 : page_id % (len(g) + 1)], '/') AS grp, 'v' || page_id % 7 AS name FROM u),
+d AS (SELECT DISTINCT '/' || array_to_string(g[1 : page_id % 3], '/') AS grp, 'v' || page_id % 5 AS name FROM u),
+r AS (SELECT DISTINCT '/' || array_to_string(g, '/') AS path, 'v' || (page_id * 3 + 1) % 9 AS name FROM u),
+up(path, grp) AS (SELECT path, path FROM (SELECT path FROM r UNION SELECT grp FROM v) UNION
+  SELECT path, CASE WHEN grp = '/' THEN NULL WHEN regexp_replace(grp, '/[^/]*$', '') = '' THEN '/' ELSE regexp_replace(grp, '/[^/]*$', '') END FROM up WHERE grp IS NOT NULL),
+a AS (SELECT path, grp, len(list_filter(string_split(grp, '/'), lambda x: x <> '')) AS depth FROM up WHERE grp IS NOT NULL)"""
+
+
+def _groups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages as groups, hosts from their ends on and then paths; variables and dimensions stand at some level above each, references in the page."""
+    url, page = F.col("url"), F.col("page_id")
+    g = F.concat(F.reverse(F.split(F.regexp_extract(url, r"^https?://([^/?#]+)", 1), r"\.")), groups.parts(F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)))
+    u = table(spark, sf, "pages").select("page_id", g.alias("g"))
+    at = lambda k: groups.joined(F.slice("g", 1, k.cast("int")))
+    name = lambda k: F.concat(F.lit("v"), k.cast("string"))
+    variables = u.select(at(page % (F.size("g") + 1)).alias("path"), name(page % 7).alias("name"))
+    dimensions = u.select(at(page % 3).alias("path"), name(page % 5).alias("name"))
+    return u.select("page_id", groups.joined(F.col("g")).alias("path"), name((page * 3 + 1) % 9).alias("name")), variables, dimensions
+
+
+@query(
+    f"""WITH RECURSIVE {_PATHS},
+near AS (SELECT path, name, arg_max(grp, depth) AS near, max(depth) AS depth FROM r JOIN a USING (path) JOIN v USING (grp, name) GROUP BY path, name),
+apex AS (SELECT path, name, arg_max(grp, depth) AS apex, max(depth) AS depth FROM r JOIN a USING (path) JOIN d USING (grp, name) GROUP BY path, name),
+below AS (SELECT name, a.grp AS apex, v.grp AS far, o.depth FROM v JOIN a ON a.path = v.grp AND a.grp <> v.grp JOIN a o ON o.path = v.grp AND o.grp = v.grp),
+least AS (SELECT name, apex, min(depth) AS depth FROM below GROUP BY name, apex),
+alone AS (SELECT name, apex, min(far) AS far FROM below JOIN least USING (name, apex, depth) GROUP BY name, apex HAVING count(*) = 1),
+f AS (SELECT path, name, CASE WHEN near.depth >= coalesce(apex.depth, 0) THEN near END AS near, far FROM r LEFT JOIN near USING (path, name) LEFT JOIN apex USING (path, name) LEFT JOIN alone USING (name, apex))
+SELECT page_id, path, name, coalesce(near, far) AS found_in, CASE WHEN near IS NOT NULL THEN 'proximal' WHEN far IS NOT NULL THEN 'lateral' END AS how
+FROM (SELECT page_id, '/' || array_to_string(g, '/') AS path, 'v' || (page_id * 3 + 1) % 9 AS name FROM u) LEFT JOIN f USING (path, name)"""
+)
 def variable_in_groups(spark: SparkSession, sf: str) -> DataFrame:
-    have = spark.createDataFrame([("x", "/"), ("x", "/a"), ("x", "/a/b/c"), ("y", "/a"), ("z", "/a/b"), ("z", "/a/b/d"), ("w", "/p"), ("w", "/q")], "name string, path string")
-    want = spark.createDataFrame([("x", "/a/b"), ("y", "/a"), ("z", "/"), ("w", "/")], "name string, path string")
-    return catalog.nearest_in_groups(have, want)
+    return groups.resolved(*_groups(spark, sf)).select("page_id", "path", "name", "found_in", "how")
+
+
+@query(
+    "WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS k, p_retailprice, p_size FROM part) SELECT k AS p, p_retailprice AS price, p_size::DOUBLE AS size, (p_size + 1)::DOUBLE AS other FROM p"
+)
+def match_axes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two fields on two axes as long as there are parts, named and ordered otherwise: found by what stands along them, and read back by the axes of the first."""
+    rows = table(spark, sf, "part")
+    n = rows.count()
+    rows = dense_places(rows.select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("p_size")), "p_partkey", n, "k")
+
+    def along(key: str, axis: str, value: object, name: str = "") -> Construct:
+        return Construct(key, "auxiliary_coordinate", (axis,), {"long_name": name}, data=Cells(rows.select(F.col("k").alias(axis), value.alias("value")), (axis,), (n,)))
+
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    diagonal = lambda x, y, v: Cells(rows.select(F.col("k").alias(x), F.col("k").alias(y), v.alias("value")), (x, y), (n, n))
+    a = Field(diagonal("p", "q", price), (along("a0", "p", price), along("a1", "p", size), along("a2", "q", size), along("a3", "q", size + 1), Construct("a4", "auxiliary_coordinate", ("p", "q"), {}, data=diagonal("p", "q", size))))
+    b = Field(diagonal("s", "r", price), (along("b0", "r", size), along("b1", "r", size + 1), along("b2", "s", size), along("b3", "s", price), Construct("b4", "auxiliary_coordinate", ("r", "s"), {}, data=diagonal("r", "s", size))))
+    found = matching.matched(a, b)
+    own = {c.key: matching.renamed(c.data, found.axes) for c in b.constructs}
+    part = lambda key, name: own[found.keys[key]].df.withColumnRenamed("value", name)
+    return part("a0", "price").join(part("a1", "size"), "p").join(part("a3", "other").withColumnRenamed("q", "p"), "p").select("p", "price", "size", "other")
 
 
 @query("SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000 AS hours FROM events")
@@ -213,16 +267,23 @@ def conformance_monotonic(spark: SparkSession, sf: str) -> DataFrame:
     return conformance.not_monotonic(table(spark, sf, "events").select(F.col("user_id").cast("string").alias("user_id"), "event_id", "value"), "event_id", "value", "user_id")
 
 
-@query("SELECT * FROM (VALUES ('a', 'bounds', 'dimensions must be those of the parent and one more'), ('c', 'dimensions', 'spans z'), ('n', 'node_count', 'counts add up to 12'), ('i', 'index', 'no element 9')) t(object, rule, message)")
+@query(
+    """SELECT 'o' || o_orderkey AS object, 'bounds' AS rule, 'dimensions must be those of the parent and one more' AS message FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT 'o' || o_orderkey, 'dimensions', 'spans z' FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT 's' || l_suppkey, 'node_count', 'counts add up to ' || sum(l_linenumber) FROM lineitem GROUP BY l_suppkey HAVING sum(l_linenumber) <> 1800
+UNION ALL SELECT DISTINCT 'p' || l_partkey, 'index', 'no element ' || l_linenumber FROM lineitem WHERE l_linenumber > 5"""
+)
 def conformance_shapes(spark: SparkSession, sf: str) -> DataFrame:
     from . import conformance
 
-    shapes = spark.createDataFrame([("a", ["x"], ["x"]), ("b", ["x", "v"], ["x"]), ("c", ["x", "z"], ["x"])], "variable string, dimensions array<string>, parent_dimensions array<string>")
-    counts = spark.createDataFrame([("n", 10), ("n", 2), ("m", 13)], "variable string, count int")
-    index = spark.createDataFrame([("i", 0), ("i", 9), ("i", 9)], "variable string, k int")
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("variable")
+    x, z = F.array(F.lit("x")), F.array(F.lit("x"), F.lit("z"))
+    o, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    bounds = o.select(key("o", "o_orderkey"), F.when(F.col("o_orderkey") % 3 == 0, x).otherwise(F.array(F.lit("x"), F.lit("v"))).alias("dimensions"), x.alias("parent_dimensions"))
+    spans = o.select(key("o", "o_orderkey"), F.when(F.col("o_orderkey") % 5 == 0, z).otherwise(x).alias("dimensions"), x.alias("parent_dimensions"))
     return conformance.report(
-        conformance.bounds_shape(shapes.where("variable <> 'c'")),
-        conformance.foreign_dimensions(shapes.where("variable = 'c'")),
-        conformance.counts_total(counts, 13),
-        conformance.index_range(index, "k", 9),
+        conformance.bounds_shape(bounds),
+        conformance.foreign_dimensions(spans),
+        conformance.counts_total(lines.select(key("s", "l_suppkey"), F.col("l_linenumber").alias("count")), 1800),
+        conformance.index_range(lines.select(key("p", "l_partkey"), F.col("l_linenumber").alias("k")), "k", 6),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -154,6 +155,11 @@ def _field(spark: SparkSession, described: dict, dataset: str, name: str, found:
     return Field(data, tuple(out), {**r["globals"], **_properties(r)})
 
 
+def make(folder: str) -> None:
+    """The folder that files go to."""
+    os.makedirs(local(folder), exist_ok=True)
+
+
 def _free(name: str, taken: dict | set) -> str:
     name = "".join(c if c.isalnum() or c == "_" else "_" for c in name) or "data"
     out, k = name, 0

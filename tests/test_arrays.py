@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import attrs, codecs, time, units
 from gridspark.model import Cells, Construct, Field
-from gridspark.operators import cells, combine, elementwise, equality, fragments, gathered, indexing, masking, mesh, ragged, reduce, shape, tiepoints
+from gridspark.operators import cells, combine, elementwise, equality, fragments, gathered, indexing, masking, matching, mesh, ragged, reduce, shape, tiepoints
 from gridspark.plans import catalog
 from gridspark.sources import netcdf3
 
@@ -193,7 +193,7 @@ def test_fields(spark):
     assert indexing.indices(f, latitude=[30.0, 10.0]) == (slice(None), [1, 3], slice(None))
     with pytest.raises(IndexError):
         indexing.indices(f, latitude=[99.0])
-    assert equality.matched(f, f) == {"b": "b"}
+    assert matching.matched(f, f).axes == {"b": "b", "a": "a", "c": "c"}
     joined = combine.concatenate_fields([f, f], "b")
     assert joined.data.sizes["b"] == 8 and joined.construct("latitude").data.shape == (8,)
 
