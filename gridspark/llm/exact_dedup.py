@@ -20,7 +20,8 @@ def exact_duplicates(docs: DataFrame, first: int = 64, grow: int = 16) -> DataFr
     many each round. Only groups of two and more go on to the next digit; a group whose texts have ended is
     final, so equality comes from all bytes, not from a digest. Counting is pre-aggregated, and joining the
     counts back is a plain join of which Spark can split hot keys. Squeezed texts are written once, with a number
-    for each row; only those that share length and first digit with another are moved on.
+    for each row. The join by that number shuffles all texts longer than the first digit once; only those that share length
+    and first digit with another go on to the rounds after.
 
     Null text is empty text. Empty texts form a group like any other. A row without doc_id is kept and alone, and
     counts in no group. Rows that share a doc_id are told apart by their number; those that repeat both id and text

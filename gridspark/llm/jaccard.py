@@ -21,6 +21,8 @@ LIST = 32
 LONG = 64
 #: Shingles that share a cell of the table of crowdedness, unless it would have more than 2**MOST_BITS cells.
 LOAD, MOST_BITS, _BLOCK = 16, 26, 1 << 14
+#: Cells that a task counts before it passes them on, about 8 bytes each.
+SEEN = 1 << 22
 PARITY = [f"b{k}" for k in range(8)]
 
 
@@ -115,21 +117,39 @@ def surveyed(docs: DataFrame, words: int, bits: int) -> DataFrame:
     names = ["doc_id", "tag", "n", "s1", "s2", "block", "at", "held"]
     kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.binary()]
 
+    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Rows of the cells seen since the last time."""
+        cells, counts = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(cells, kind="stable")
+        cells, counts = cells[order], counts[order]
+        first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+        cells, counts = cells[first], np.minimum(np.add.reduceat(counts, first), 255).astype(np.uint8)
+        edges = np.flatnonzero(np.r_[True, cells[1:] // _BLOCK != cells[:-1] // _BLOCK, True])
+        rows = []
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            at = cells[lo:hi] % _BLOCK
+            whole = np.zeros(_BLOCK, np.uint8)
+            whole[at] = counts[lo:hi]
+            rows.append((int(cells[lo]) // _BLOCK, at.astype("<u2").tobytes(), counts[lo:hi].tobytes()) if 3 * len(at) < _BLOCK else (int(cells[lo]) // _BLOCK, None, whole.tobytes()))
+            if len(rows) == 64 or hi == len(cells):
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), k) for k in kinds[:5]), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds[5:]))], names)
+                rows = []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
+        # Only cells that occur are held, SEEN at most; counts of one cell may come in several rows.
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for b in slices(batches, SLICE):
             sets = shingle_sets(*flat(b.column("text")), words)
-            cells, held = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
-            total[cells.astype(np.int64)] += held.astype(np.uint32)
+            cells, counts = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
+            held.append((cells.astype(np.uint32), counts.astype(np.uint32)))
+            size += len(cells)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), *_digests(sets), *(pa.nulls(b.num_rows, k) for k in kinds[5:])], names)
-        rows = []
-        for k, x in enumerate(np.minimum(total, 255).astype(np.uint8).reshape(-1, _BLOCK)):
-            at = np.flatnonzero(x)
-            if len(at):
-                rows.append((k, at.astype("<u2").tobytes(), x[at].tobytes()) if 3 * len(at) < _BLOCK else (k, None, x.tobytes()))
-            if len(rows) == 64 or rows and (k + 1) * _BLOCK == len(total):
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), k) for k in kinds[:5]), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds[5:]))], names)
-                rows = []
+            if size > SEEN:
+                yield from counted(held)
+                held, size = [], 0
+        if size:
+            yield from counted(held)
 
     return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, n long, s1 long, s2 long, block int, at binary, held binary")
 
@@ -294,7 +314,14 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, tags: bool = Fals
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs of which no linked document has a smaller doc_id: one of each component, and every row without words or id."""
+    """The rows of docs of which no linked document has a smaller doc_id: one of each component, and every row without words or id.
+
+    Of rows that agree in doc_id and text, one stays, whatever their other columns say."""
     tag = free_name(docs, "tag")
     gone = linked(docs, words, percent, tags=True).where("doc_id <> component_id").select("doc_id", F.col("tag").alias(tag)).distinct()
-    return docs.withColumn(tag, row_tag()).join(gone.hint("merge"), ["doc_id", tag], "left_anti").select(*docs.columns)
+    left = docs.withColumn(tag, row_tag()).join(gone.hint("merge"), ["doc_id", tag], "left_anti")
+    place = free_name(left, "place")
+    # Dealt and sorted by the keys of the join, so this adds no shuffle.
+    again = left.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", tag).orderBy(tag)))
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return again.where((F.col(place) == 1) | alone).select(*docs.columns)

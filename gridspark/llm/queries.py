@@ -123,6 +123,15 @@ k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(
 c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
 f AS (SELECT k.*, c.key IS NOT NULL AND doc_id < last AS gone FROM k LEFT JOIN c USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY doc_id""",
+    "op10_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+pair AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM s a JOIN s b USING (g) WHERE a.r < b.r GROUP BY ALL),
+link AS (SELECT x, y FROM pair JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
+near(r, q) AS (SELECT r, r FROM w UNION SELECT near.r, l.y FROM near JOIN (SELECT x, y FROM link UNION ALL SELECT y, x FROM link) l ON l.x = near.q),
+least AS (SELECT near.r, min(o.doc_id) AS component_id FROM near JOIN w o ON o.r = near.q GROUP BY near.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM w JOIN least USING (r) LEFT JOIN n USING (r)""",
     "op11_search": r"""
 WITH low AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 total AS (SELECT count(*) FILTER (len(w) > 0) AS nd, sum(len(w))::BIGINT AS l FROM low),
