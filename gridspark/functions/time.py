@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .units import REFERENCE
@@ -98,3 +98,12 @@ def to_text(t: Column) -> Column:
 def first_present(value: Column, order: Column) -> Column:
     """The aggregate that gives the first value that is not missing."""
     return F.min_by(value, F.when(value.isNotNull(), order))
+
+
+def to_reftime(df: DataFrame, value: str, order: list[str], units: str | None = None) -> tuple[DataFrame, str]:
+    """(df with ISO dates, dates or timestamps as numbers since a date, their units). Without units they are days since the day of the first value present in the given order, or since 1970 if there is none; one aggregate finds it."""
+    t = from_text(F.col(value)) if dict(df.dtypes)[value] == "string" else F.col(value).cast("timestamp")
+    if units is None:
+        first = df.agg(F.date_format(F.min_by(t, F.when(t.isNotNull(), F.struct(*order))), "yyyy-MM-dd")).first()[0]
+        units = f"days since {first or '1970-01-01'}"
+    return df.withColumn(value, encode(t, units)), units

@@ -65,6 +65,9 @@ class Construct:
     connectivity: str | None = None
     data: Cells | None = None
     bounds: DataFrame | None = None
+    #: Of a coordinate reference: keys of its coordinates, and of the domain ancillary of each term of its formula.
+    coordinates: tuple[str, ...] = ()
+    terms: dict = field(default_factory=dict)
 
     def identities(self) -> list[str]:
         """All names, the identity first: standard name, then the others in a fixed order, then the netCDF names."""
@@ -79,6 +82,8 @@ class Construct:
             out.append(f"cell:{self.cell}")
         if self.connectivity:
             out.append(f"connectivity:{self.connectivity}")
+        if p.get("grid_mapping_name"):
+            out.append(f"grid_mapping_name:{p['grid_mapping_name']}")
         out += [f"{k}={p[k]}" for k in ("cf_role", "axis", "long_name") if p.get(k)]
         out += [f"{k}={p[k]}" for k in sorted(p) if k not in ("standard_name", "cf_role", "axis", "long_name")]
         if self.ncvar:

@@ -149,10 +149,16 @@ def matched(a: Field, b: Field, rtol: float = EPSILON, atol: float = EPSILON, ig
     choices = {c.key: [(d.key, order) for d in right for order in equal.get((c.key, d.key), []) if all(marks[0][p] == marks[1][q] for p, q in zip(c.axes, order))] for c in left}
     axes_of = {c.key: c.axes for c in left}
     methods = [[c for c in f.constructs if c.type == "cell_method"] for f in (a, b)]
-    others = [sorted((c.type, str(sorted(c.properties.items())), c.ncvar or "") for c in f.constructs if c.data is None and c.type not in ("domain_axis", "cell_method")) for f in (a, b)]
+    references = [[c for c in f.constructs if c.type == "coordinate_reference"] for f in (a, b)]
+    others = [sorted((c.type, str(sorted(c.properties.items())), c.ncvar or "") for c in f.constructs if c.data is None and c.type not in ("domain_axis", "cell_method", "coordinate_reference")) for f in (a, b)]
     if others[0] != others[1] or len(methods[0]) != len(methods[1]):
         return None
 
+    def same_references(keys: dict[str, str]) -> bool:
+        """Whether coordinate references agree in parameters, and in coordinates and terms as they are matched."""
+        said = lambda c, to: (str(sorted(c.properties.items())), sorted(to.get(k, k) for k in c.coordinates), sorted((t, to.get(k, k)) for t, k in c.terms.items()))
+        return sorted(said(c, keys) for c in references[0]) == sorted(said(c, {}) for c in references[1])
+
     def rest(axes: dict[str, str]) -> dict[str, str] | None:
         """Axes without constructs: those of the data by their place, the others by size."""
         out = dict(axes)
@@ -171,7 +177,7 @@ def matched(a: Field, b: Field, rtol: float = EPSILON, atol: float = EPSILON, ig
     def search(todo: list[str], axes: dict[str, str], keys: dict[str, str]) -> Match | None:
         if not todo:
             whole = rest(axes)
-            return Match(whole, keys) if whole is not None else None
+            return Match(whole, keys) if whole is not None and same_references(keys) else None
         used = set(keys.values())
         back = {q: p for p, q in axes.items()}
 

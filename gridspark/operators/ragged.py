@@ -68,7 +68,8 @@ def compress_indexed_contiguous(cells: Cells, profile: str, element: str, sample
     counts = cells.df.groupBy(instance, profile).agg(F.coalesce(F.max(F.when(cells.v.isNotNull(), F.col(element) + 1)), F.lit(0)).cast("long").alias("count"))
     owned = counts.groupBy(instance).agg(F.coalesce(F.max(F.when(F.col("count") > 0, F.col(profile) + 1)), F.lit(0)).cast("long").alias("_profiles"))
     first = running_start(owned, instance, "_profiles", "_first")
-    placed = counts.join(first, instance).where(F.col(profile) < F.col("_profiles")).select(instance, profile, "count", (F.col("_first") + F.col(profile)).alias(number))
+    every = first.where("_profiles > 0").select(instance, "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_profiles") - 1)).alias(profile))
+    placed = every.join(counts, [instance, profile], "left").select(instance, profile, F.coalesce("count", F.lit(0).cast("long")).alias("count"), (F.col("_first") + F.col(profile)).alias(number))
     starts = running_start(placed, number, "count", "_start")
     samples = cells.df.join(starts, [instance, profile]).where(F.col(element) < F.col("count"))
     return samples.select((F.col("_start") + F.col(element)).alias(sample), cells.value), placed.select(number, F.col(instance).alias(index), "count")

@@ -27,7 +27,7 @@ def save(field: Field, path: str, mode: str = "overwrite", codec: str = "zstd",
     put(field.data, "data")
     rows = [("", "field", json.dumps({"properties": field.properties, "data": _described(field.data)}))]
     for c in field.constructs:
-        own = {k: getattr(c, k) for k in ("key", "type", "axes", "properties", "ncvar", "ncdim", "size", "measure", "method", "cell", "connectivity")}
+        own = {k: getattr(c, k) for k in ("key", "type", "axes", "properties", "ncvar", "ncdim", "size", "measure", "method", "cell", "connectivity", "coordinates", "terms")}
         if c.data is not None:
             put(c.data, c.key)
             own["data"] = _described(c.data)
@@ -50,7 +50,7 @@ def load(spark: SparkSession, path: str) -> Field:
             continue
         data = cells(d.pop("data"), r["key"]) if "data" in d else None
         bounds = spark.read.parquet(f"{path}/{r['key']}-bounds") if d.pop("bounds", False) else None
-        constructs.append(Construct(**{**d, "axes": tuple(d["axes"])}, data=data, bounds=bounds))
+        constructs.append(Construct(**{**d, "axes": tuple(d["axes"]), "coordinates": tuple(d.get("coordinates", ()))}, data=data, bounds=bounds))
     return replace(out, constructs=tuple(constructs))
 
 

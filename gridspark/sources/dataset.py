@@ -11,14 +11,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.attrs import format_cell_methods, key_values, parse_cell_methods, words
+from ..functions.attrs import format_cell_methods, key_values, parse_cell_methods, parse_grid_mapping, parse_key_values, words
+from ..functions.references import coordinates_of
 from ..model import Cells, Construct, Field
-from . import netcdf3
+from . import netcdf3, ugrid
+from .compression import MARKS, compressed, expanded, schemes, spanned
 from .scratch import local
 
 CATALOGUE = "dataset string, variable string, type string, dimensions array<string>, shape array<bigint>, attributes map<string,string>, globals map<string,string>"
 #: Attributes that refer to other variables by their names alone, and as "term: name" lists.
 LISTS, TERMS = ("coordinates", "bounds", "climatology", "ancillary_variables"), ("cell_measures", "formula_terms")
+#: Attributes of variables on meshes, and of mesh variables.
+MESH = ("mesh", *ugrid.COORDINATES, *ugrid.CONNECTIVITY)
 #: What a variable is to the field that refers to it.
 KINDS = {"dimension": "dimension_coordinate", "coordinates": "auxiliary_coordinate", "cell_measures": "cell_measure", "ancillary_variables": "field_ancillary", "formula_terms": "domain_ancillary", "grid_mapping": "coordinate_reference"}
 
@@ -61,7 +65,7 @@ def references(variables: DataFrame, external: DataFrame | None = None) -> DataF
     def termed(k: str) -> Column:
         return F.flatten(F.transform(F.map_entries(key_values(_attribute(k))), lambda e: F.transform(e["value"], lambda x: ref(k, e["key"], x))))
 
-    parts = [F.transform("dimensions", lambda d: ref("dimension", none, d)), *map(listed, LISTS), *map(termed, TERMS)]
+    parts = [F.transform("dimensions", lambda d: ref("dimension", none, d)), *map(listed, (*LISTS, *MESH)), *map(termed, TERMS)]
     mapping = _attribute("grid_mapping")
     names = F.when(mapping.contains(":"), F.map_keys(key_values(mapping))).otherwise(words(mapping))
     parts.append(F.transform(names, lambda x: ref("grid_mapping", none, x)))
@@ -87,19 +91,22 @@ def references(variables: DataFrame, external: DataFrame | None = None) -> DataF
 def data_variables(variables: DataFrame, refs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """(dataset, variable, dimensions) of the variables that become fields: those that nothing in their dataset refers to, and those that are referred to by roles in `extra` only."""
     used = refs.where((F.col("state") == "found") & (~F.col("role").isin(*extra) if extra else F.lit(True))).select("dataset", F.col("target").alias("variable")).distinct()
-    return variables.join(used, ["dataset", "variable"], "left_anti").select("dataset", "variable", "dimensions")
+    # Variables that only say how others are compressed are none.
+    own = variables.where(~F.exists(F.map_keys("attributes"), lambda k: k.isin(*MARKS)))
+    return own.join(used, ["dataset", "variable"], "left_anti").select("dataset", "variable", "dimensions")
 
 
 def constructs(variables: DataFrame, refs: DataFrame, fields: DataFrame) -> DataFrame:
     """(dataset, field, kind, term, variable, found_in, dimensions, bounds): the constructs of each field, with the variable of their bounds.
 
-    A variable that spans a dimension the field lacks does not apply to it. Terms of a coordinate's formula are domain
+    A variable that spans a dimension the field lacks does not apply to it; a field has also the dimensions that its compressed
+    ones stand for. Terms of a coordinate's formula are domain
     ancillaries of every field that has the coordinate. Character variables have one dimension more than they span."""
     text = variables.where("type = 'string'").select(F.col("dataset").alias("found_in"), F.col("variable").alias("target"), F.lit(True).alias("text"))
     known = refs.where("state <> 'missing'").join(text, ["found_in", "target"], "left")
     spans = F.when(F.coalesce("text", F.lit(False)), F.slice("target_dimensions", 1, F.greatest(F.size("target_dimensions") - 1, F.lit(0)))).otherwise(F.col("target_dimensions"))
     known = known.withColumn("spans", spans)
-    own = fields.withColumnRenamed("variable", "field").withColumnRenamed("dimensions", "of_field")
+    own = spanned(fields, variables).withColumnRenamed("variable", "field").withColumnRenamed("dimensions", "of_field")
     direct = own.join(known.withColumnRenamed("variable", "field"), ["dataset", "field"])
     direct = direct.where(F.col("role").isin(*KINDS) & (F.size(F.array_except("spans", "of_field")) == 0))
     formula = known.where("role = 'formula_terms'").select(F.col("dataset").alias("found_in"), F.col("variable").alias("by"), F.col("term").alias("t"), F.col("target").alias("g"), F.col("spans").alias("s"))
@@ -130,31 +137,65 @@ def read(spark: SparkSession, paths: list[str], external: list[str] | None = Non
     return [_field(spark, described, d, v, mine.get((d, v), [])) for d, v in sorted(((r["dataset"], r["variable"]) for r in names), key=lambda x: (order[x[0]], x[1]))]
 
 
-def _cells(spark: SparkSession, r: object) -> Cells:
-    return netcdf3.read(spark, r["dataset"], r["variable"], **({"last": "text"} if r["type"] == "string" and r["dimensions"] else {}))
+def _cells(spark: SparkSession, r: object, described: dict) -> Cells:
+    def raw(r: object) -> Cells:
+        return netcdf3.read(spark, r["dataset"], r["variable"], **({"last": "text"} if r["type"] == "string" and r["dimensions"] else {}))
+
+    own = [x for (d, _), x in described.items() if d == r["dataset"]]
+    sizes = {d: n for x in own for d, n in zip(x["dimensions"], x["shape"])}
+    sizes |= {d: n for d, n in netcdf3.read_header(local(r["dataset"])).dimensions}
+    return expanded(raw(r), schemes(own), lambda name: raw(described[r["dataset"], name]), sizes)
 
 
 def _properties(r: object) -> dict:
-    return {k: v for k, v in r["attributes"].items() if k not in (*LISTS, *TERMS, "grid_mapping", "cell_methods", "_FillValue", "units", "calendar")}
+    return {k: v for k, v in r["attributes"].items() if k not in (*LISTS, *TERMS, "mesh", "location", "grid_mapping", "cell_methods", "_FillValue", "units", "calendar", "featureType")}
 
 
 def _field(spark: SparkSession, described: dict, dataset: str, name: str, found: list) -> Field:
     r = described[dataset, name]
-    data = _cells(spark, r)
+    data = _cells(spark, r, described)
     out = [Construct(a, "domain_axis", size=n, ncdim=a) for a, n in data.sizes.items()]
     for x in sorted(found, key=lambda x: (list(KINDS.values()).index(x["kind"]), x["variable"])):
+        if x["kind"] == "coordinate_reference":
+            continue
         own = described[x["found_in"], x["variable"]]
-        coordinate = x["kind"] == "coordinate_reference"
-        cells = None if coordinate else _cells(spark, own)
-        bounds = None
+        cells, bounds = _cells(spark, own, described), None
         if x["bounds"]:
             bounds = netcdf3.read(spark, x["found_in"], x["bounds"], last="array").df.withColumnRenamed("value", "bounds")
-        out.append(Construct(x["variable"], x["kind"], tuple(cells.axes) if cells else (), {**_properties(own), **({"term": x["term"]} if x["kind"] == "domain_ancillary" else {})}, ncvar=x["variable"], measure=x["term"] if x["kind"] == "cell_measure" else None, data=cells, bounds=bounds))
+        key = f"axis_{x['variable']}" if x["kind"] == "dimension_coordinate" else x["variable"]  # an axis has the name of its coordinate
+        out.append(Construct(key, x["kind"], tuple(cells.axes), _properties(own), ncvar=x["variable"], measure=x["term"] if x["kind"] == "cell_measure" else None, data=cells, bounds=bounds))
+    raw = lambda x, **how: netcdf3.read(spark, dataset, x, **how)
+    out += ugrid.constructs(described, dataset, r, data.axes, raw)
+    out += _references(described, dataset, r, found, out)
     for k, m in enumerate(parse_cell_methods(r["attributes"].get("cell_methods", ""))):
         out.append(Construct(f"cellmethod{k}", "cell_method", tuple(m["axes"]), {q: str(v) for q, v in m.items() if q not in ("axes", "method")}, method=m["method"]))
     return Field(data, tuple(out), {**r["globals"], **_properties(r)})
 
 
+def _references(described: dict, dataset: str, r: object, found: list, known: list[Construct]) -> list[Construct]:
+    """The coordinate references of a field: one for each grid mapping, and one for each coordinate with a formula."""
+    out = []
+    by_variable = {c.ncvar: c for c in known if c.ncvar}
+    is_coordinate = [c for c in known if c.type in ("dimension_coordinate", "auxiliary_coordinate")]
+    mapping = r["attributes"].get("grid_mapping", "")
+    for variable, coordinates in (parse_grid_mapping(mapping) if mapping.strip() else {}).items():
+        if (dataset, variable) not in described:
+            continue
+        parameters = described[dataset, variable]["attributes"]
+        # Without a list the mapping goes with coordinates that have the standard names for it.
+        names = coordinates_of(parameters.get("grid_mapping_name", ""))
+        keys = [by_variable[v].key for v in coordinates if v in by_variable] if coordinates else [c.key for c in is_coordinate if c.properties.get("standard_name") in names]
+        out.append(Construct(f"reference_{variable}", "coordinate_reference", (), dict(parameters), ncvar=variable, coordinates=tuple(keys)))
+    for c in is_coordinate:
+        terms = parse_key_values(described.get((dataset, c.ncvar), {"attributes": {}})["attributes"].get("formula_terms", "") or "")
+        if terms:
+            name = c.properties.get("computed_standard_name")
+            own = {"standard_name": c.properties.get("standard_name", "")} | ({"computed_standard_name": name} if name else {})
+            here = {t: by_variable[v[0]].key for t, v in terms.items() if v and v[0] in by_variable and by_variable[v[0]] is not c}
+            out.append(Construct(f"formula_{c.ncvar}", "coordinate_reference", (), own, coordinates=(c.key,), terms=here))
+    return out
+
+
 def make(folder: str) -> None:
     """The folder that files go to."""
     os.makedirs(local(folder), exist_ok=True)
@@ -169,8 +210,8 @@ def _free(name: str, taken: dict | set) -> str:
     return out
 
 
-def write(fields: list[Field], path: str, external: str | None = None, attributes: dict | None = None, limits: bool = True) -> dict[str, int]:
-    """Fields as one classic file, or two: cell measures go to `external` if it is given, and the first file names them.
+def write(fields: list[Field], path: str, external: str | None = None, attributes: dict | None = None, limits: bool = True, compress: str | None = None) -> dict[str, int]:
+    """Fields as one classic file, or two: cell measures go to `external` if it is given, and the first file names them. With `compress` (contiguous, indexed, indexed_contiguous) a field's samples are stored end to end: see compressed().
 
     Axes of equal names and sizes are one dimension; equal constructs are written once. Headers come first, then tasks
     write each variable's cells at their places. Gives the number of values outside valid_min and valid_max by variable,
@@ -200,13 +241,50 @@ def write(fields: list[Field], path: str, external: str | None = None, attribute
             own["_FillValue"] = np.dtype(kind).type(c.fill)
         into[name] = ((*on, dimension(f"strlen{width}", width, sizes)) if width else on, kind, own, c)
 
-    for f in fields:
-        axis = {}
+    meshes: dict[int, tuple[str, ugrid.Plan]] = {}
+    spark = fields[0].data.df.sparkSession if fields else None
+    given: set[str] = set()
+
+    def allotted(x: str) -> str:
+        given.add(out := _free(x, given))
+        return out
+
+    for p in ugrid.planned(spark, fields, allotted) if fields else []:
+        for a, n in p.sizes.items():
+            dims[a] = n
+        plans.update(p.variables)
+        own = _free("mesh", {*plans, *dims})
+        plans[own] = ((), "i4", p.attributes, None)
+        meshes |= {k: (own, p) for k in p.axes}
+    for number, f in enumerate(fields):
+        axis: dict[str, str] = {}
+        along = None
+        if number in meshes:
+            own, p = meshes[number]
+            along, location = p.axes[number]
+            on = p.attributes.get(f"{location}_dimension") or next(iter(p.sizes))
+            axis[along] = on
+            rest = [c for c in f.constructs if c.axes != (along,) or c.type not in ("auxiliary_coordinate", "domain_topology", "cell_connectivity")]
+            rest = [replace(c, data=p.moved(number, c.data)) if c.data is not None else c for c in rest]
+            f = replace(f, data=p.moved(number, f.data), properties={**f.properties, "mesh": own, "location": location}, constructs=tuple(rest))
+        more: list[tuple] = []
+        if compress:
+            f, more = compressed(f, compress, _free("obs", dims))
+        written: dict[str, str] = {}  # variables by keys of constructs
+        formulas = {c.coordinates[0]: c for c in f.constructs if c.type == "coordinate_reference" and c.terms and c.coordinates}
         for a, n in f.data.sizes.items():
+            if a == along:
+                continue
             known = next((c for c in f.constructs if c.type == "domain_axis" and c.key == a), None)
             axis[a] = dimension((known and known.ncdim) or a, n)
-        said: dict[str, list[str]] = {}
         for c in f.constructs:
+            if c.type == "domain_axis" and c.key not in axis:
+                axis[c.key] = dimension(c.ncdim or c.key, c.size)
+        for name, on, kind, own, c in more:
+            plans[_free(name, {*plans, *dims})] = (tuple(axis[a] for a in on), kind, {k: axis.get(v, v) for k, v in own.items()}, c)
+        said: dict[str, list[str]] = {}
+        # Terms of formulas come before the coordinates that name them.
+        for c in sorted(f.constructs, key=lambda c: c.type != "domain_ancillary"):
             if c.type == "cell_method":
                 said.setdefault("cell_methods", []).append(format_cell_methods([{"axes": [axis.get(a, a) for a in c.axes], "method": c.method, **{k: v for k, v in c.properties.items() if k in ("within", "where", "over", "comment")}}]))
             if c.data is None:
@@ -219,6 +297,8 @@ def write(fields: list[Field], path: str, external: str | None = None, attribute
                 into, sizes = (outer, outside) if away else (plans, dims)
                 name = wanted if c.type == "dimension_coordinate" and wanted not in plans else _free(wanted, {*plans, *outer, *(dims if c.type != "dimension_coordinate" else ())})
                 own = dict(c.properties)
+                if c.key in formulas:
+                    own["formula_terms"] = " ".join(f"{t}: {written[k]}" for t, k in formulas[c.key].terms.items() if k in written)
                 if away:
                     for a in on:
                         outside[a] = dims[a]
@@ -228,9 +308,18 @@ def write(fields: list[Field], path: str, external: str | None = None, attribute
                     plans[edge] = ((*on, dimension(f"bounds{corners}", corners)), "f8", {"_FillValue": np.float64(netcdf3.DEFAULT_FILL["double"])}, Cells(c.bounds, c.axes, c.data.shape, "bounds"))
                 planned(c.data, name, on, own, into, sizes)
                 done.append((c, name))
+            written[c.key] = name
             role = {"auxiliary_coordinate": "coordinates", "field_ancillary": "ancillary_variables", "cell_measure": "cell_measures"}.get(c.type)
             if role:
                 said.setdefault(role, []).append(f"{c.measure}: {name}" if role == "cell_measures" else name)
+        for c in f.constructs:
+            if c.type == "coordinate_reference" and not c.terms:
+                name = next((n for k, n in done if k == replace(c, key=k.key)), None)
+                if name is None:
+                    name = _free(c.ncvar or c.properties.get("grid_mapping_name", "crs"), {*plans, *outer, *dims})
+                    plans[name] = ((), "i4", dict(c.properties), None)
+                    done.append((c, name))
+                said.setdefault("grid_mapping", []).append(f"{name}: {' '.join(written[k] for k in c.coordinates if k in written)}")
         name = _free(f.properties.get("ncvar") or f.properties.get("standard_name") or f.properties.get("long_name") or "data", {*plans, *dims, *outer})
         planned(f.data, name, tuple(axis[a] for a in f.data.axes), {**{k: v for k, v in f.properties.items() if k != "ncvar"}, **{k: " ".join(v) for k, v in said.items()}})
     noted = {"Conventions": "CF-1.11", **(attributes or {})} | ({"external_variables": " ".join(outer)} if outer else {})
@@ -240,6 +329,8 @@ def write(fields: list[Field], path: str, external: str | None = None, attribute
             continue
         h = netcdf3.create(target, sizes, {k: x[:3] for k, x in variables.items()}, own)
         for k, (_, kind, a, c) in variables.items():
+            if c is None:  # a grid mapping has attributes only
+                continue
             low, high = a.get("valid_min"), a.get("valid_max")
             ends = (-np.inf if low is None else low, np.inf if high is None else high) if limits and kind != "S1" and (low is not None or high is not None) else None
             n = netcdf3.put(c, target, h, k, limits=tuple(map(float, ends)) if ends else None)

@@ -2,10 +2,13 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridspark.functions import references
 from gridspark.model import Cells, Construct, Field
+from gridspark.operators import matching
 from gridspark.sources import dataset, netcdf3
 
 
@@ -101,3 +104,100 @@ def test_references(spark):
         ("dimension_coordinate", None, "z", "a", "zb"), ("auxiliary_coordinate", None, "lat", "a", None), ("cell_measure", "area", "out", "e", None),
         ("coordinate_reference", None, "crs", "a", None), ("domain_ancillary", "a", "ta", "a", None),
     }
+
+
+def test_coordinate_references(spark, tmp_path):
+    """Grid mappings with their coordinates, and formulas with their terms, there and back."""
+    f = made(spark)
+    name = lambda c, **k: Construct(c.key, c.type, c.axes, {**c.properties, **k}, c.ncvar, data=c.data, bounds=c.bounds)
+    lon = Construct("a1", "auxiliary_coordinate", ("x",), {"standard_name": "longitude"}, ncvar="longitude", data=cells(spark, [(0, 1.0), (1, 2.0)], ("x",), (2,)))
+    height = Construct("z0", "auxiliary_coordinate", ("x",), {"standard_name": "atmosphere_hybrid_height_coordinate", "computed_standard_name": "altitude"}, ncvar="level", data=cells(spark, [(0, 1.0), (1, 2.0)], ("x",), (2,)))
+    orog = Construct("t0", "domain_ancillary", ("y",), {"long_name": "surface"}, ncvar="orog", data=cells(spark, [(i, i + 0.5) for i in range(3)], ("y",), (3,)))
+    crs = Construct("r0", "coordinate_reference", (), {"grid_mapping_name": "latitude_longitude", "earth_radius": 6371000.0}, ncvar="crs", coordinates=("d0", "a1"))
+    formula = Construct("r1", "coordinate_reference", (), {"standard_name": "atmosphere_hybrid_height_coordinate"}, coordinates=("z0",), terms={"orog": "t0"})
+    field = Field(f.data, (*f.constructs[:3], name(lon), height, orog, crs, formula), {"standard_name": "air_temperature"})
+    path = f"file://{tmp_path}/a.nc"
+    dataset.write([field, field], path)
+    assert set(netcdf3.read_header(f"{tmp_path}/a.nc").variables) == {"lat", "lat_bounds", "longitude", "level", "orog", "crs", "air_temperature", "air_temperature_1"}
+    for got in dataset.read(spark, [path]):
+        by = {c.key: c for c in got.constructs}
+        mapping, own = by["reference_crs"], by["formula_level"]
+        assert {by[k].ncvar for k in mapping.coordinates} == {"lat", "longitude"} and mapping.properties["earth_radius"] == "6371000.0"
+        assert own.terms == {"orog": "orog"} and own.coordinates == ("level",) and own.properties["computed_standard_name"] == "altitude"
+        assert by["orog"].type == "domain_ancillary" and values(by["orog"].data)[2] == (2, 2.5)
+        assert "grid_mapping_name:latitude_longitude" in mapping.identities()
+    # A mapping that lists nothing goes with coordinates of the standard names for it.
+    x, y, c = (("x",), np.zeros(2), {"standard_name": "longitude"}), (("y",), np.zeros(3), {"standard_name": "grid_latitude"}), ((), np.array(0, "i4"), {"grid_mapping_name": "rotated_latitude_longitude"})
+    netcdf3.write_file(f"{tmp_path}/b.nc", {"y": 3, "x": 2}, {"y": y, "lon": x, "crs": c, "t": (("y", "x"), np.zeros((3, 2)), {"coordinates": "lon", "grid_mapping": "crs"})})
+    (got,) = dataset.read(spark, [f"{tmp_path}/b.nc"])
+    assert set(next(c for c in got.constructs if c.type == "coordinate_reference").coordinates) == {"axis_y", "lon"}
+    assert references.parted({"earth_radius": 1, "grid_mapping_name": "x"}) == ({"earth_radius": 1}, {"grid_mapping_name": "x"})
+    # References count where fields are compared.
+    assert matching.matched(field, field) and not matching.matched(field, Field(field.data, (*field.constructs[:-2], formula)))
+    other = Construct("r1", "coordinate_reference", (), {"standard_name": "atmosphere_hybrid_height_coordinate"}, coordinates=("z0",), terms={"b": "t0"})
+    assert not matching.matched(field, Field(field.data, (*field.constructs[:-1], other)))
+
+
+@pytest.mark.parametrize("kind", ["contiguous", "indexed", "indexed_contiguous"])
+def test_samples_end_to_end(spark, tmp_path, kind):
+    """Instances without samples, gaps inside, and arrays that are missing at different places."""
+    deep = kind == "indexed_contiguous"
+    axes, shape = (("s", "p", "e"), (3, 2, 3)) if deep else (("s", "e"), (4, 3))
+    x = np.ma.masked_all(shape, float)
+    y = np.ma.masked_all(shape, float)
+    if deep:
+        x[0, 1, 0], y[0, 1, 1], x[2, 0, 2] = 1, 2, 3
+    else:
+        x[0, 0], y[0, 2], x[2, 1], y[3, 0] = 1, 2, 3, 4
+    array = lambda v: cells(spark, [(*map(int, k), None if v.mask[k] else float(v[k])) for k in np.ndindex(shape)], axes, shape)
+    name = Construct("n", "auxiliary_coordinate", ("s",), {"long_name": "station"}, ncvar="station", data=cells(spark, [(k, k * 10) for k in range(shape[0])], ("s",), (shape[0],), "int"))
+    f = Field(array(x), (Construct("y", "auxiliary_coordinate", axes, {"long_name": "y"}, ncvar="y", data=array(y)), name), {"long_name": "x"})
+    path = f"file://{tmp_path}/a.nc"
+    dataset.write([f], path, compress=kind)
+    (got,) = dataset.read(spark, [path])
+    assert got.data.axes == (("s", "p_row_place", "element") if deep else ("s", "element"))
+    want = {(0, 1, 0): (1, None), (0, 1, 1): (None, 2), (2, 0, 0): (None, None), (2, 0, 1): (None, None), (2, 0, 2): (3, None)} if deep else {(0, 0): (1, None), (0, 1): (None, None), (0, 2): (None, 2), (2, 0): (None, None), (2, 1): (3, None), (3, 0): (None, 4)}
+    other = got.construct("long_name=y").data
+    assert {k[:-1]: k[-1] for k in values(got.data)} == {k: v[0] for k, v in want.items()} and {k[:-1]: k[-1] for k in values(other)} == {k: v[1] for k, v in want.items()}
+    assert values(got.construct("long_name=station").data) == [(k, k * 10) for k in range(shape[0])]
+    assert got.data.shape == ((3, 2, 3) if deep else (4, 3))
+    with pytest.raises(ValueError, match="does not fit"):
+        dataset.write([Field(cells(spark, [(0, 1.0)], ("q",), (1,)))], path, compress=kind)
+
+
+def test_gathered_variables(spark, tmp_path):
+    x = np.array([5.0, 6.0, 7.0])
+    netcdf3.write_file(f"{tmp_path}/a.nc", {"y": 2, "x": 3, "land": 3}, {"land": (("land",), np.array([1, 3, 5], "i4"), {"compress": "y x"}), "t": (("land",), x, {"coordinates": "lat"}), "lat": (("y",), np.array([10.0, 20.0]), {})})
+    (got,) = dataset.read(spark, [f"{tmp_path}/a.nc"])
+    assert got.data.axes == ("y", "x") and got.data.shape == (2, 3)
+    assert values(got.data) == [(0, 1, 5.0), (1, 0, 6.0), (1, 2, 7.0)] and values(got.construct("ncvar%lat").data) == [(0, 10.0), (1, 20.0)]
+
+
+def test_meshes(spark, tmp_path):
+    """Two fields of one mesh and one of another: shared topology, ids ranked, coordinates from nodes, connectivity, edges."""
+    nodes = [[10, 20, 50, 40], [20, 30, 60, 50], [50, 60, 70]]
+    xy = {10: (0.0, 0.0), 20: (1.0, 0.0), 30: (2.0, 0.0), 40: (0.0, 1.0), 50: (1.0, 1.0), 60: (2.0, 1.0), 70: (1.5, 2.0)}
+    table = lambda rows, kind: spark.createDataFrame(rows, f"c long, value {kind}")
+    on = lambda rows, kind: Cells(table(list(enumerate(rows)), kind), ("c",), (len(rows),))
+    edges = lambda d: spark.createDataFrame([(k, [xy[i][d] for i in f]) for k, f in enumerate(nodes)], "c long, bounds array<double>")
+    named = lambda name, **k: Construct(name, "auxiliary_coordinate", ("c",), {"standard_name": name}, ncvar=name, **k)
+    faces = Field(on([1.0, 2.0, 3.0], "double"), (Construct("t", "domain_topology", ("c",), cell="face", data=on(nodes, "array<long>")), named("longitude", bounds=edges(0), data=on([0.5, 1.5, 1.5], "double")), named("latitude", bounds=edges(1))), {"long_name": "faces"})
+    order = [40, 10, 20, 30, 70, 60, 50]
+    near = {10: [20, 40], 20: [10, 30, 50], 30: [20, 60], 40: [10, 50], 50: [20, 40, 60, 70], 60: [30, 50, 70], 70: [50, 60]}
+    points = Field(on([float(i) for i in order], "double"), (Construct("t", "domain_topology", ("c",), cell="point", data=on([[i, *near[i]] for i in order], "array<long>")), named("longitude", data=on([xy[i][0] for i in order], "double")), named("latitude", data=on([xy[i][1] for i in order], "double"))), {"long_name": "points"})
+    alone = Field(on([9.0, 8.0], "double"), (Construct("t", "domain_topology", ("c",), cell="edge", data=on([[1, 2], [2, 3]], "array<long>")),), {"long_name": "edges"})
+    path = f"file://{tmp_path}/a.nc"
+    dataset.write([points, alone, faces], path)
+    h = netcdf3.read_header(f"{tmp_path}/a.nc")
+    assert sum(v.attributes.get("cf_role") == "mesh_topology" for v in h.variables.values()) == 2 and sum("face_node_connectivity" == v.attributes.get("cf_role") for v in h.variables.values()) == 1
+    got = {f.properties["long_name"]: f for f in dataset.read(spark, [path])}
+    f = got["faces"]
+    assert [r["value"] for r in f.construct("cell:face").data.df.orderBy(f.data.axes[0]).collect()] == [[0, 1, 4, 3], [1, 2, 5, 4], [4, 5, 6]]
+    assert [r["bounds"][:3] for r in f.construct("longitude").bounds.orderBy(f.data.axes[0]).collect()] == [[0, 1, 1], [1, 2, 2], [1, 2, 1.5]]
+    assert values(f.construct("longitude").data) == [(0, 0.5), (1, 1.5), (2, 1.5)] and f.construct("latitude").data is None
+    p = got["points"]
+    assert values(p.data) == [(k, float(i)) for k, i in enumerate(sorted(order))] and values(p.construct("latitude").data) == [(k, xy[i][1]) for k, i in enumerate(sorted(order))]
+    ranks = {i: k for k, i in enumerate(sorted(order))}
+    assert {r["value"][0]: sorted(r["value"][1:]) for r in p.construct("cell:point").data.df.collect()} == {ranks[i]: sorted(ranks[j] for j in near[i]) for i in order}
+    e = got["edges"]
+    assert [r["value"] for r in e.construct("cell:edge").data.df.orderBy(e.data.axes[0]).collect()] == [[0, 1], [1, 2]]
