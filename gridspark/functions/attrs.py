@@ -86,6 +86,15 @@ def format_cell_methods(methods: list[dict]) -> str:
     return " ".join(out)
 
 
+def sorted_method(m: dict) -> dict:
+    """A cell method with its axes in alphabetical order, and its intervals with them if there is one for each."""
+    order = sorted(range(len(m["axes"])), key=lambda k: m["axes"][k])
+    out = {**m, "axes": [m["axes"][k] for k in order]}
+    if len(m.get("intervals", ())) == len(order):
+        out["intervals"] = [m["intervals"][k] for k in order]
+    return out
+
+
 def parse_grid_mapping(text: str) -> dict[str, list[str]]:
     """{grid mapping variable: its coordinates}; one name alone has no list."""
     return parse_key_values(text) if ":" in text else {text.strip(): []}

@@ -118,3 +118,37 @@ class Field:
 
     def replaced(self, new: Construct) -> Field:
         return replace(self, constructs=tuple(new if c.key == new.key else c for c in self.constructs))
+
+    @property
+    def domain(self) -> Domain:
+        """Where the cells are: all constructs but those that are about the data."""
+        return Domain(tuple(c for c in self.constructs if c.type not in ("cell_method", "field_ancillary")))
+
+    def climatological_axes(self) -> set[str]:
+        """Axes along which cell methods are within or over periods."""
+        return {a for c in self.constructs if c.type == "cell_method" and {"within", "over"} & {*c.properties} for a in c.axes}
+
+
+@dataclass(frozen=True)
+class Domain:
+    """The constructs of a field without its data."""
+
+    constructs: tuple[Construct, ...] = ()
+    properties: dict = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, constructs: list[Construct] | tuple[Construct, ...], **properties: object) -> Domain:
+        """A domain of constructs, with the axes that they span where they are not among them. Arrays that disagree on the size of an axis, and kinds that a domain has not, fail."""
+        sizes = {c.key: c.size for c in constructs if c.type == "domain_axis"}
+        for c in constructs:
+            if c.type in ("cell_method", "field_ancillary"):
+                raise ValueError(f"a domain has no {c.type}")
+            for a, n in c.data.sizes.items() if c.data is not None else ():
+                if sizes.setdefault(a, n) != n:
+                    raise ValueError(f"{c.key} has {n} cells along {a}, which has {sizes[a]}")
+        own = {c.key for c in constructs if c.type == "domain_axis"}
+        return cls((*(Construct(a, "domain_axis", size=n) for a, n in sizes.items() if a not in own), *constructs), dict(properties))
+
+    @property
+    def sizes(self) -> dict[str, int]:
+        return {c.key: c.size for c in self.constructs if c.type == "domain_axis"}

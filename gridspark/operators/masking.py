@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Cells
+from ..model import Cells, Construct, Field
 from ..sources.types import DEFAULT_FILL
 
 
@@ -63,6 +63,32 @@ def apply_masking_with_bounds(df: DataFrame, value: str, bounds: str, **limits:
     return df.withColumn(value, test(F.col(value))).withColumn(bounds, F.transform(bounds, test))
 
 
+#: Properties that say which values are valid.
+LIMITS = ("valid_min", "valid_max", "valid_range")
+
+
+def apply_masking_field(f: Field) -> Field:
+    """A field whose data, and those of its constructs with their bounds, are missing where their own properties say so: fill and missing values, valid minimum, maximum and range."""
+
+    def said(p: dict, c: Cells) -> dict:
+        fills = tuple(float(x) for x in (p.get("missing_value"), p.get("_FillValue"), c.fill) if x is not None)
+        limits = {k: tuple(map(float, p[k])) if k == "valid_range" else float(p[k]) for k in LIMITS if p.get(k) is not None}
+        return {"fill_values": fills, **limits}
+
+    def masked(p: dict, c: Cells) -> Cells:
+        numbers = c.df.schema[c.value].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "float", "double")
+        return apply_masking(c, **said(p, c)) if numbers else c
+
+    def construct(c: Construct) -> Construct:
+        if c.data is None:
+            return c
+        limits = said(c.properties, c.data)
+        test = lambda x: F.when(~F.coalesce(validity(x, **limits), F.lit(False)), x)
+        return replace(c, data=masked(c.properties, c.data), bounds=c.bounds.withColumn("bounds", F.transform("bounds", test)) if c.bounds is not None else None)
+
+    return replace(f, data=masked(f.properties, f.data), constructs=tuple(map(construct, f.constructs)))
+
+
 def where(condition: Column, original: Column, x: Column | None, y: Column | None, hardmask: bool = True) -> Column:
     """x where the condition holds, y where it does not; None leaves the original, and so does an unknown condition. A hard mask keeps missing cells missing."""
     out = F.when(condition, original if x is None else x).when(~condition, original if y is None else y).otherwise(original)

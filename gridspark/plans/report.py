@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import platform
 import sys
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
@@ -73,15 +74,22 @@ def dump(field: Field) -> str:
         elif c.type == "cell_method":
             out.append(f"    {format_cell_methods([{'axes': list(c.axes), 'method': c.method}])}")
         else:
-            out.append(f"    {c.type} {c.identity(c.key)}({', '.join(c.axes)})" + (f" = {ends_text(c.data)}" if c.data is not None else ""))
+            more = f" = {ends_text(c.data)}" if c.data is not None else "".join(f" {t}: {k}" for t, k in c.terms.items())
+            out.append(f"    {c.type} {c.identity(c.key)}({', '.join(c.axes or c.coordinates)})" + more)
     return "\n".join(out)
 
 
+def deterministic_name(cells: Cells) -> str:
+    """A name that arrays made by the same plan of the same inputs share, without reading them."""
+    said = (cells.axes, cells.shape, cells.value, cells.units, cells.calendar, str(cells.fill))
+    return f"{cells.df.semanticHash() & 0xFFFFFFFF:08x}-{zlib.crc32(repr(said).encode()):08x}"
+
+
 def creation_commands(field: Field, name: str = "field") -> str:
     """Python that makes the field's description again; the cells are read from where they are stored."""
     d = field.data
     lines = ["from gridspark.model import Cells, Construct, Field", f"data = Cells(df, {d.axes!r}, {d.shape!r}, {d.value!r}, {d.units!r}, {d.calendar!r}, {d.fill!r}, {d.hardmask!r})", "constructs = ("]
     for c in field.constructs:
-        own = {k: getattr(c, k) for k in ("key", "type", "axes", "properties", "ncvar", "ncdim", "size", "measure", "method", "cell", "connectivity")}
+        own = {k: getattr(c, k) for k in ("key", "type", "axes", "properties", "ncvar", "ncdim", "size", "measure", "method", "cell", "connectivity", "coordinates", "terms")}
         lines.append(f"    Construct({', '.join(f'{k}={v!r}' for k, v in own.items() if v)}),")
     return "\n".join([*lines, ")", f"{name} = Field(data, constructs, {field.properties!r})"])

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.attrs import parse_key_values
 from ..functions.units import rescaled
 from ..model import Cells
+from ..operators.fragments import manifest
 from . import netcdf3, zarr3
 from .netcdf3 import ARROW, as_cells
 from .ranges import AxisRanges, Pieces, dealt, known
@@ -99,3 +103,48 @@ def read(spark: SparkSession, entries: list[dict] | str, axes: tuple[str, ...],
     text = entries if isinstance(entries, str) else json.dumps(entries)
     options = {"entries": text, "axes": json.dumps(list(axes)), "shape": json.dumps(list(shape)), "type": dtype, "cells": str(cells)} | ({"units": units} if units else {})
     return Cells(spark.read.format("aggregation").options(**options).load(), tuple(axes), tuple(shape), units=units)
+
+
+def stored(spark: SparkSession, path: str, variable: str) -> Cells:
+    """The array of an aggregation variable in a classic file: aggregated_data names a map of fragment sizes, and either unique values, or files and what the array is called in them. Relative files are taken from the folder of this one; a fragment without file is missing."""
+    file = local(path)
+    h = netcdf3.read_header(file)
+    a = h.variables[variable].attributes
+    terms = {k: v[0] for k, v in parse_key_values(a["aggregated_data"]).items()}
+    named = dict(h.dimensions)
+    axes = tuple(a["aggregated_dimensions"].split())
+    array = lambda term: netcdf3.array_of(file, h, terms[term])
+    sizes = [row.compressed().astype(int).tolist() for row in array("map").reshape(len(axes), -1)] if axes else []
+    if "unique_values" in terms:
+        values = array("unique_values").ravel()
+        entries = manifest(sizes, unique_values=[None if m else v.item() for v, m in zip(values.data, np.ma.getmaskarray(values))])
+    else:
+        uris = array("uris").ravel().tolist()
+        names = array("identifiers").ravel().tolist()
+        entries = manifest(sizes, uris, names, base=os.path.dirname(file))
+        entries = [{k: x[k] for k in ("start", "stop")} | {"value": None} if not u else x for x, u in zip(entries, uris)]
+    kind = netcdf3.TYPES[h.variables[variable].type][1]
+    return replace(read(spark, entries, axes, tuple(named[d] for d in axes), a.get("units"), kind), calendar=a.get("calendar"), fill=a.get("_FillValue"))
+
+
+def planned(cells: Cells, folder: str, name: str, rows: int, base: str) -> tuple[dict, dict[str, int], dict[str, tuple]]:
+    """(attributes of the aggregation variable, dimensions, small variables with their arrays) of cells whose fragments, of `rows` indices of the first axis each, are written to `folder`; files are named from `base`."""
+    entries = netcdf3.write_fragments(cells, folder, name, rows)
+    there = {x["start"][0]: os.path.relpath(x["uri"], base) for x in entries}
+    n = -(-cells.shape[0] // rows)
+    uris = [there.get(k * rows, "").encode() for k in range(n)]
+    width = max(1, *map(len, uris), len(name.encode()))
+    sizes = np.full((cells.ndim, max(n, 1)), -1, "i4")
+    sizes[0, :n] = [min(rows, cells.shape[0] - k * rows) for k in range(n)]
+    sizes[1:, 0] = cells.shape[1:]
+    shape = [n, *[1] * (cells.ndim - 1)]
+    dims = {f"{name}_axes": cells.ndim, f"{name}_fragments": max(n, 1), f"{name}_text": width} | {f"{name}_f{d}": k for d, k in enumerate(shape)}
+    on = tuple(f"{name}_f{d}" for d in range(cells.ndim))
+    text = lambda x: np.array(x, f"S{width}").view("S1")
+    variables = {
+        f"{name}_map": ((f"{name}_axes", f"{name}_fragments"), "i4", {"_FillValue": np.int32(-1)}, sizes),
+        f"{name}_uris": ((*on, f"{name}_text"), "S1", {}, text(uris).reshape(*shape, width)),
+        f"{name}_identifiers": ((f"{name}_text",), "S1", {}, text([name.encode()])),
+    }
+    said = f"map: {name}_map uris: {name}_uris identifiers: {name}_identifiers"
+    return {"aggregated_data": said}, dims, variables

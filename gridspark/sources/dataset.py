@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions.attrs import format_cell_methods, key_values, parse_cell_methods, parse_grid_mapping, parse_key_values, words
 from ..functions.references import coordinates_of
-from ..model import Cells, Construct, Field
-from . import netcdf3, ugrid
+from ..model import Cells, Construct, Domain, Field
+from . import aggregation, netcdf3, ugrid, zarr3
 from .compression import MARKS, compressed, expanded, schemes, spanned
+from .discover import dataset_type
 from .scratch import local
 
 CATALOGUE = "dataset string, variable string, type string, dimensions array<string>, shape array<bigint>, attributes map<string,string>, globals map<string,string>"
 #: Attributes that refer to other variables by their names alone, and as "term: name" lists.
-LISTS, TERMS = ("coordinates", "bounds", "climatology", "ancillary_variables"), ("cell_measures", "formula_terms")
+LISTS, TERMS = ("coordinates", "bounds", "climatology", "ancillary_variables"), ("cell_measures", "formula_terms", "aggregated_data")
 #: Attributes of variables on meshes, and of mesh variables.
 MESH = ("mesh", *ugrid.COORDINATES, *ugrid.CONNECTIVITY)
 #: What a variable is to the field that refers to it.
@@ -34,10 +35,19 @@ def catalogue(spark: SparkSession, paths: list[str]) -> DataFrame:
         for b in batches:
             out = []
             for path in b["path"]:
+                if dataset_type(path) in ("zarr", "kerchunk"):
+                    own, said = zarr3.arrays(path)
+                    said = {k: str(v) for k, v in said.items()}
+                    out += [(path, k, zarr3.TYPES[m["data_type"]], zarr3.axes_of(m), m["shape"], {x: str(y) for x, y in m.get("attributes", {}).items()}, said) for k, m in own.items()]
+                    continue
                 h = netcdf3.read_header(local(path))
                 said = {k: str(v) for k, v in h.attributes.items()}
                 for v in h.variables.values():
-                    out.append((path, v.name, netcdf3.TYPES[v.type][1], [h.dimensions[d][0] for d in v.dimensions], list(h.shape(v)), {k: str(x) for k, x in v.attributes.items()}, said))
+                    on, shape = [h.dimensions[d][0] for d in v.dimensions], list(h.shape(v))
+                    if "aggregated_dimensions" in v.attributes:  # a scalar that stands for an array
+                        on = v.attributes["aggregated_dimensions"].split()
+                        shape = [dict(h.dimensions)[d] for d in on]
+                    out.append((path, v.name, netcdf3.TYPES[v.type][1], on, shape, {k: str(x) for k, x in v.attributes.items()}, said))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in CATALOGUE.split(", ")])
 
     some = spark.createDataFrame([(p,) for p in paths], "path string")
@@ -65,7 +75,8 @@ def references(variables: DataFrame, external: DataFrame | None = None) -> DataF
     def termed(k: str) -> Column:
         return F.flatten(F.transform(F.map_entries(key_values(_attribute(k))), lambda e: F.transform(e["value"], lambda x: ref(k, e["key"], x))))
 
-    parts = [F.transform("dimensions", lambda d: ref("dimension", none, d)), *map(listed, (*LISTS, *MESH)), *map(termed, TERMS)]
+    dimensions = F.array_union("dimensions", words(_attribute("dimensions")))  # a domain variable names them
+    parts = [F.transform(dimensions, lambda d: ref("dimension", none, d)), *map(listed, (*LISTS, *MESH)), *map(termed, TERMS)]
     mapping = _attribute("grid_mapping")
     names = F.when(mapping.contains(":"), F.map_keys(key_values(mapping))).otherwise(words(mapping))
     parts.append(F.transform(names, lambda x: ref("grid_mapping", none, x)))
@@ -92,10 +103,16 @@ def data_variables(variables: DataFrame, refs: DataFrame, extra: tuple[str, ...]
     """(dataset, variable, dimensions) of the variables that become fields: those that nothing in their dataset refers to, and those that are referred to by roles in `extra` only."""
     used = refs.where((F.col("state") == "found") & (~F.col("role").isin(*extra) if extra else F.lit(True))).select("dataset", F.col("target").alias("variable")).distinct()
     # Variables that only say how others are compressed are none.
-    own = variables.where(~F.exists(F.map_keys("attributes"), lambda k: k.isin(*MARKS)))
+    own = variables.where(~F.exists(F.map_keys("attributes"), lambda k: k.isin(*MARKS, "dimensions") | F.coalesce(_attribute("cf_role") == "mesh_topology", F.lit(False))))
     return own.join(used, ["dataset", "variable"], "left_anti").select("dataset", "variable", "dimensions")
 
 
+def domain_variables(variables: DataFrame) -> DataFrame:
+    """(dataset, variable, dimensions) of the variables that stand for a domain: they say its dimensions in an attribute."""
+    own = F.try_element_at("attributes", F.lit("dimensions"))
+    return variables.where(own.isNotNull() & (F.size("dimensions") == 0)).select("dataset", "variable", words(own).alias("dimensions"))
+
+
 def constructs(variables: DataFrame, refs: DataFrame, fields: DataFrame) -> DataFrame:
     """(dataset, field, kind, term, variable, found_in, dimensions, bounds): the constructs of each field, with the variable of their bounds.
 
@@ -118,12 +135,12 @@ def constructs(variables: DataFrame, refs: DataFrame, fields: DataFrame) -> Data
     return every.join(edges, ["found_in", "target"], "left").select("dataset", "field", kind.alias("kind"), "term", F.col("target").alias("variable"), "found_in", F.col("spans").alias("dimensions"), "bounds")
 
 
-def read(spark: SparkSession, paths: list[str], external: list[str] | None = None, extra: tuple[str, ...] = ()) -> list[Field]:
-    """The fields of all files, in their order; cell measures that files leave to others are looked for in `external`. Metadata come to the driver, data stay where they are."""
+def grouped(spark: SparkSession, paths: list[str], external: list[str] | None = None, extra: tuple[str, ...] = (), domain: bool = False) -> dict[str, list]:
+    """The fields of each file, by variable, or its domains; cell measures that files leave to others are looked for in `external`. Metadata come to the driver, data stay where they are."""
     own = catalogue(spark, paths).persist()
     outer = catalogue(spark, external).persist() if external else None
     refs = references(own, outer).persist()
-    fields = data_variables(own, refs, extra)
+    fields = domain_variables(own) if domain else data_variables(own, refs, extra)
     found = constructs(own if outer is None else own.unionByName(outer), refs, fields)
     described = {(r["dataset"], r["variable"]): r for part in (own, outer) if part is not None for r in part.collect()}
     mine: dict[tuple[str, str], list] = {}
@@ -133,43 +150,87 @@ def read(spark: SparkSession, paths: list[str], external: list[str] | None = Non
     for df in (refs, own, outer):
         if df is not None:
             df.unpersist()
-    order = {p: k for k, p in enumerate(paths)}
-    return [_field(spark, described, d, v, mine.get((d, v), [])) for d, v in sorted(((r["dataset"], r["variable"]) for r in names), key=lambda x: (order[x[0]], x[1]))]
+    make = _domain if domain else _field
+    out: dict[str, list] = {p: [] for p in paths}
+    for d, v in sorted((r["dataset"], r["variable"]) for r in names):
+        out[d].append(make(spark, described, d, v, mine.get((d, v), [])))
+    return out
+
+
+def read(spark: SparkSession, paths: list[str], external: list[str] | None = None, extra: tuple[str, ...] = (), domain: bool = False) -> list[Field] | list[Domain]:
+    """All of grouped() in the order of the files."""
+    return [f for part in grouped(spark, paths, external, extra, domain).values() for f in part]
+
+
+def variable(spark: SparkSession, path: str, name: str, **how: str) -> Cells:
+    """One variable of a dataset of any format."""
+    if dataset_type(path) in ("zarr", "kerchunk"):
+        own = os.path.isdir(local(path)) and name not in zarr_names(path)
+        return zarr3.read(spark, path, "" if own else name, **how)
+    return netcdf3.read(spark, path, name, **how)
+
+
+def zarr_names(path: str) -> list[str]:
+    """The arrays in a folder, none if it is an array itself."""
+    return [x for x in os.listdir(local(path)) if os.path.isdir(f"{local(path)}/{x}") and any(os.path.exists(f"{local(path)}/{x}/{y}") for y in ("zarr.json", ".zarray"))]
+
+
+def dimensions_of(path: str) -> dict[str, int]:
+    """The dimensions that a dataset declares; those of Zarr are its arrays'."""
+    return {} if dataset_type(path) in ("zarr", "kerchunk") else dict(netcdf3.read_header(local(path)).dimensions)
 
 
 def _cells(spark: SparkSession, r: object, described: dict) -> Cells:
     def raw(r: object) -> Cells:
-        return netcdf3.read(spark, r["dataset"], r["variable"], **({"last": "text"} if r["type"] == "string" and r["dimensions"] else {}))
+        if "aggregated_data" in r["attributes"]:
+            return aggregation.stored(spark, r["dataset"], r["variable"])
+        return variable(spark, r["dataset"], r["variable"], **({"last": "text"} if r["type"] == "string" and r["dimensions"] else {}))
 
     own = [x for (d, _), x in described.items() if d == r["dataset"]]
     sizes = {d: n for x in own for d, n in zip(x["dimensions"], x["shape"])}
-    sizes |= {d: n for d, n in netcdf3.read_header(local(r["dataset"])).dimensions}
+    sizes |= dimensions_of(r["dataset"])
     return expanded(raw(r), schemes(own), lambda name: raw(described[r["dataset"], name]), sizes)
 
 
 def _properties(r: object) -> dict:
-    return {k: v for k, v in r["attributes"].items() if k not in (*LISTS, *TERMS, "mesh", "location", "grid_mapping", "cell_methods", "_FillValue", "units", "calendar", "featureType")}
+    return {k: v for k, v in r["attributes"].items() if k not in (*LISTS, *TERMS, "mesh", "location", "aggregated_dimensions", "dimensions", "grid_mapping", "cell_methods", "_FillValue", "units", "calendar", "featureType")}
 
 
 def _field(spark: SparkSession, described: dict, dataset: str, name: str, found: list) -> Field:
     r = described[dataset, name]
     data = _cells(spark, r, described)
-    out = [Construct(a, "domain_axis", size=n, ncdim=a) for a, n in data.sizes.items()]
+    out = _constructs(spark, described, dataset, r, found, data.sizes)
+    for k, m in enumerate(parse_cell_methods(r["attributes"].get("cell_methods", ""))):
+        out.append(Construct(f"cellmethod{k}", "cell_method", tuple(m["axes"]), {q: str(v) for q, v in m.items() if q not in ("axes", "method")}, method=m["method"]))
+    return Field(data, tuple(out), {**r["globals"], **_properties(r)})
+
+
+def _domain(spark: SparkSession, described: dict, dataset: str, name: str, found: list) -> Domain:
+    r = described[dataset, name]
+    sizes = dimensions_of(dataset) | {d: n for (x, _), y in described.items() if x == dataset for d, n in zip(y["dimensions"], y["shape"])}
+    return Domain(tuple(_constructs(spark, described, dataset, r, found, {d: sizes[d] for d in r["attributes"]["dimensions"].split()})), {**r["globals"], **_properties(r)})
+
+
+def _constructs(spark: SparkSession, described: dict, dataset: str, r: object, found: list, sizes: dict[str, int]) -> list[Construct]:
+    out = [Construct(a, "domain_axis", size=n, ncdim=a) for a, n in sizes.items()]
     for x in sorted(found, key=lambda x: (list(KINDS.values()).index(x["kind"]), x["variable"])):
         if x["kind"] == "coordinate_reference":
             continue
         own = described[x["found_in"], x["variable"]]
         cells, bounds = _cells(spark, own, described), None
         if x["bounds"]:
-            bounds = netcdf3.read(spark, x["found_in"], x["bounds"], last="array").df.withColumnRenamed("value", "bounds")
-        key = f"axis_{x['variable']}" if x["kind"] == "dimension_coordinate" else x["variable"]  # an axis has the name of its coordinate
-        out.append(Construct(key, x["kind"], tuple(cells.axes), _properties(own), ncvar=x["variable"], measure=x["term"] if x["kind"] == "cell_measure" else None, data=cells, bounds=bounds))
-    raw = lambda x, **how: netcdf3.read(spark, dataset, x, **how)
-    out += ugrid.constructs(described, dataset, r, data.axes, raw)
-    out += _references(described, dataset, r, found, out)
-    for k, m in enumerate(parse_cell_methods(r["attributes"].get("cell_methods", ""))):
-        out.append(Construct(f"cellmethod{k}", "cell_method", tuple(m["axes"]), {q: str(v) for q, v in m.items() if q not in ("axes", "method")}, method=m["method"]))
-    return Field(data, tuple(out), {**r["globals"], **_properties(r)})
+            bounds = variable(spark, x["found_in"], x["bounds"], last="array").df.withColumnRenamed("value", "bounds")
+        key, kind = x["variable"], x["kind"]
+        if kind == "auxiliary_coordinate" and not cells.axes and own["type"] != "string":  # a scalar number is a coordinate on an axis of its own
+            kind, cells = "dimension_coordinate", Cells(cells.df.select(F.lit(0).cast("long").alias(key), cells.v.alias("value")), (key,), (1,), units=cells.units, calendar=cells.calendar, fill=cells.fill)
+            bounds = bounds.select(F.lit(0).cast("long").alias(key), "bounds") if bounds is not None else None
+            out.append(Construct(key, "domain_axis", size=1, ncdim=key))
+        if kind == "dimension_coordinate":  # an axis has the name of its coordinate
+            key = f"axis_{key}"
+        out.append(Construct(key, kind, tuple(cells.axes), _properties(own), ncvar=x["variable"], measure=x["term"] if x["kind"] == "cell_measure" else None, data=cells, bounds=bounds))
+    raw = lambda x, **how: variable(spark, dataset, x, **how)
+    out += ugrid.constructs(described, dataset, r, sizes, raw)
+    return out + _references(described, dataset, r, found, out)
 
 
 def _references(described: dict, dataset: str, r: object, found: list, known: list[Construct]) -> list[Construct]:
@@ -210,10 +271,45 @@ def _free(name: str, taken: dict | set) -> str:
     return out
 
 
-def write(fields: list[Field], path: str, external: str | None = None, attributes: dict | None = None, limits: bool = True, compress: str | None = None) -> dict[str, int]:
-    """Fields as one classic file, or two: cell measures go to `external` if it is given, and the first file names them. With `compress` (contiguous, indexed, indexed_contiguous) a field's samples are stored end to end: see compressed().
-
-    Axes of equal names and sizes are one dimension; equal constructs are written once. Headers come first, then tasks
+def _without_axis(c: Construct, gone: set[str]) -> Construct:
+    """A coordinate on an axis of size 1 as a scalar one."""
+    if c.type != "dimension_coordinate" or c.axes[0] not in gone:
+        return c
+    bounds = c.bounds.select("bounds") if c.bounds is not None else None
+    return replace(c, type="auxiliary_coordinate", axes=(), data=replace(c.data, df=c.data.df.select(c.data.value), axes=(), shape=()), bounds=bounds)
+
+
+def append(f: Field, path: str, axis: str) -> int:
+    """More of a field along the unlimited axis of a file that write() made of one like it; gives the new size. Only what spans the axis is written, after what is there."""
+    h = netcdf3.read_header(local(path))
+    known = next((c for c in f.constructs if c.type == "domain_axis" and c.key == axis), None)
+    name = (known and known.ncdim) or axis
+    own = f.properties.get("ncvar") or f.properties.get("standard_name") or f.properties.get("long_name") or "data"
+    arrays = {_free(own, {}): f.data}
+    for c in f.constructs:
+        if c.data is not None and c.axes[:1] == (axis,):
+            variable = name if c.type == "dimension_coordinate" else c.ncvar or c.identity("variable")
+            arrays[_free(variable, {})] = c.data
+            if c.bounds is not None:
+                arrays[h.variables[_free(variable, {})].attributes["bounds"]] = Cells(c.bounds, c.axes, c.data.shape, "bounds")
+    for k, c in arrays.items():
+        v = h.variables.get(k)
+        if v is None or not h.is_record(v) or h.dimensions[v.dimensions[0]][0] != name or h.shape(v)[1 : c.ndim] != c.shape[1:]:
+            raise ValueError(f"{k} does not go on along {name}")
+    lost = [k for k, v in h.variables.items() if h.is_record(v) and k not in arrays]
+    if lost:
+        raise ValueError(f"there is no more of {', '.join(lost)}")
+    first = h.records
+    h = netcdf3.extend(path, f.data.sizes[axis])
+    for k, c in arrays.items():
+        netcdf3.put(c, path, h, k, first=first)
+    return h.records
+
+
+def write(fields: list[Field | Domain], path: str, external: str | None = None, attributes: dict | None = None, limits: bool = True, compress: str | None = None, aggregate: int | None = None, unlimited: str | None = None) -> dict[str, int]:
+    """Fields and domains as one classic file, or two: cell measures go to `external` if it is given, and the first file names them. With `compress` (contiguous, indexed, indexed_contiguous) a field's samples are stored end to end: see compressed(). With `aggregate` its data go to fragments of so many indices of the first axis, in files beside this one. The axis named `unlimited` can grow: see append().
+
+    Axes of equal names and sizes are one dimension, coordinates on an axis of size 1 that the data lack are scalar; equal constructs are written once. Headers come first, then tasks
     write each variable's cells at their places. Gives the number of values outside valid_min and valid_max by variable,
     as seen by the jobs that write."""
     dims: dict[str, int] = {}
@@ -242,14 +338,14 @@ def write(fields: list[Field], path: str, external: str | None = None, attribute
         into[name] = ((*on, dimension(f"strlen{width}", width, sizes)) if width else on, kind, own, c)
 
     meshes: dict[int, tuple[str, ugrid.Plan]] = {}
-    spark = fields[0].data.df.sparkSession if fields else None
+    spark = SparkSession.getActiveSession()
     given: set[str] = set()
 
     def allotted(x: str) -> str:
         given.add(out := _free(x, given))
         return out
 
-    for p in ugrid.planned(spark, fields, allotted) if fields else []:
+    for p in ugrid.planned(spark, fields, allotted):
         for a, n in p.sizes.items():
             dims[a] = n
         plans.update(p.variables)
@@ -266,17 +362,19 @@ def write(fields: list[Field], path: str, external: str | None = None, attribute
             axis[along] = on
             rest = [c for c in f.constructs if c.axes != (along,) or c.type not in ("auxiliary_coordinate", "domain_topology", "cell_connectivity")]
             rest = [replace(c, data=p.moved(number, c.data)) if c.data is not None else c for c in rest]
-            f = replace(f, data=p.moved(number, f.data), properties={**f.properties, "mesh": own, "location": location}, constructs=tuple(rest))
+            f = replace(f, **({"data": p.moved(number, f.data)} if isinstance(f, Field) else {}), properties={**f.properties, "mesh": own, "location": location}, constructs=tuple(rest))
         more: list[tuple] = []
         if compress:
             f, more = compressed(f, compress, _free("obs", dims))
         written: dict[str, str] = {}  # variables by keys of constructs
         formulas = {c.coordinates[0]: c for c in f.constructs if c.type == "coordinate_reference" and c.terms and c.coordinates}
-        for a, n in f.data.sizes.items():
+        for a, n in (f.sizes if isinstance(f, Domain) else f.data.sizes).items():
             if a == along:
                 continue
             known = next((c for c in f.constructs if c.type == "domain_axis" and c.key == a), None)
             axis[a] = dimension((known and known.ncdim) or a, n)
+        scalar = set() if isinstance(f, Domain) else {c.axes[0] for c in f.constructs if c.type == "dimension_coordinate" and c.axes[0] not in f.data.axes and c.data.size == 1}
+        f = replace(f, constructs=tuple(_without_axis(c, scalar) for c in f.constructs if not (c.type == "domain_axis" and c.key in scalar)))
         for c in f.constructs:
             if c.type == "domain_axis" and c.key not in axis:
                 axis[c.key] = dimension(c.ncdim or c.key, c.size)
@@ -321,15 +419,31 @@ def write(fields: list[Field], path: str, external: str | None = None, attribute
                     done.append((c, name))
                 said.setdefault("grid_mapping", []).append(f"{name}: {' '.join(written[k] for k in c.coordinates if k in written)}")
         name = _free(f.properties.get("ncvar") or f.properties.get("standard_name") or f.properties.get("long_name") or "data", {*plans, *dims, *outer})
-        planned(f.data, name, tuple(axis[a] for a in f.data.axes), {**{k: v for k, v in f.properties.items() if k != "ncvar"}, **{k: " ".join(v) for k, v in said.items()}})
+        own = {**{k: v for k, v in f.properties.items() if k != "ncvar"}, **{k: " ".join(v) for k, v in said.items()}}
+        if isinstance(f, Domain):
+            name = _free(f.properties.get("ncvar", "domain"), {*plans, *dims, *outer})
+            plans[name] = ((), "i4", {**own, "dimensions": " ".join(axis[a] for a in f.sizes)}, None)
+        elif aggregate:
+            file = local(path)
+            more, sizes, variables = aggregation.planned(f.data, f"file://{file}.fragments", name, aggregate, os.path.dirname(file))
+            dims |= sizes
+            plans.update(variables)
+            planned(f.data, name, tuple(axis[a] for a in f.data.axes), own)
+            on, kind, own, _ = plans[name]
+            plans[name] = ((), kind, {**own, **more, "aggregated_dimensions": " ".join(on)}, None)
+        else:
+            planned(f.data, name, tuple(axis[a] for a in f.data.axes), own)
     noted = {"Conventions": "CF-1.11", **(attributes or {})} | ({"external_variables": " ".join(outer)} if outer else {})
     beyond: dict[str, int] = {}
     for target, sizes, variables, own in ((path, dims, plans, noted), (external, outside, outer, {"Conventions": "CF-1.11"})):
         if target is None:
             continue
-        h = netcdf3.create(target, sizes, {k: x[:3] for k, x in variables.items()}, own)
+        h = netcdf3.create(target, sizes, {k: x[:3] for k, x in variables.items()}, own, unlimited if unlimited in sizes else None)
         for k, (_, kind, a, c) in variables.items():
-            if c is None:  # a grid mapping has attributes only
+            if c is None:  # attributes only
+                continue
+            if isinstance(c, np.ndarray):
+                netcdf3.put_array(target, h, k, c)
                 continue
             low, high = a.get("valid_min"), a.get("valid_max")
             ends = (-np.inf if low is None else low, np.inf if high is None else high) if limits and kind != "S1" and (low is not None or high is not None) else None

@@ -59,8 +59,10 @@ class Header:
 
     @property
     def record_size(self) -> int:
-        sizes = [v.size for v in self.variables.values() if self.is_record(v)]
-        return sum(sizes)
+        own = [v for v in self.variables.values() if self.is_record(v)]
+        if len(own) == 1:  # alone, records are not padded
+            return int(np.prod(self.shape(own[0])[1:], dtype=object)) * np.dtype(TYPES[own[0].type][0]).itemsize
+        return sum(v.size for v in own)
 
 
 def read_header(path: str) -> Header:
@@ -105,8 +107,8 @@ def read_header(path: str) -> Header:
         return h
 
 
-def _layout(dimensions: dict[str, int], variables: dict[str, tuple[tuple[str, ...], str, dict]], attributes: dict | None) -> tuple[bytes, Header, int]:
-    """The header of a file of fixed-size variables (dimensions, type such as i4, attributes), the same as a description, and the size of the whole file.
+def _layout(dimensions: dict[str, int], variables: dict[str, tuple[tuple[str, ...], str, dict]], attributes: dict | None, unlimited: str | None = None) -> tuple[bytes, Header, int]:
+    """The header of a file of variables (dimensions, type such as i4, attributes), the same as a description, and the size of the whole file. Variables that begin with the unlimited dimension go by records.
 
     Version 2, or 5 where a variable or an attribute has a type that only that has."""
     attributes = attributes or {}
@@ -128,13 +130,17 @@ def _layout(dimensions: dict[str, int], variables: dict[str, tuple[tuple[str, ..
 
     noted = lambda a: listed(ATTRIBUTE, len(a)) + b"".join(name(k) + attribute(v) for k, v in a.items())
     names = list(dimensions)
-    head = b"CDF" + (b"\x05" if wide else b"\x02") + count(0)
-    head += listed(DIMENSION, len(names)) + b"".join(name(k) + count(n) for k, n in dimensions.items()) + noted(attributes)
+    records = dimensions.get(unlimited, 0) if unlimited else 0
+    head = b"CDF" + (b"\x05" if wide else b"\x02") + count(records)
+    stated = {k: 0 if k == unlimited else n for k, n in dimensions.items()}
+    head += listed(DIMENSION, len(names)) + b"".join(name(k) + count(n) for k, n in stated.items()) + noted(attributes)
     head += listed(VARIABLE, len(variables))
-    h = Header(5 if wide else 2, 0, list(dimensions.items()), dict(attributes))
+    h = Header(5 if wide else 2, records, list(stated.items()), dict(attributes))
     blocks = []
     for key, (dims, kind, own) in variables.items():
-        size = int(np.prod([dimensions[d] for d in dims], dtype=object)) * np.dtype(TYPES[CODES[kind]][0]).itemsize
+        if unlimited in dims[1:]:
+            raise ValueError(f"{key} has the unlimited dimension {unlimited} behind another")
+        size = int(np.prod([dimensions[d] for d in dims if d != unlimited], dtype=object)) * np.dtype(TYPES[CODES[kind]][0]).itemsize
         size += -size % 4
         places = [names.index(d) for d in dims]
         # A size beyond what version 2 can say is written as its largest number; readers take it from the dimensions.
@@ -142,11 +148,12 @@ def _layout(dimensions: dict[str, int], variables: dict[str, tuple[tuple[str, ..
         blocks.append(name(key) + count(len(dims)) + b"".join(map(count, places)) + noted(own) + struct.pack(">i", CODES[kind]) + count(said))
         h.variables[key] = Variable(key, places, dict(own), CODES[kind], size, 0)
     at = len(head) + sum(len(x) + 8 for x in blocks)
-    for x, v in zip(blocks, h.variables.values()):
-        head += x + struct.pack(">q", at)
+    for v in [*(v for v in h.variables.values() if not h.is_record(v)), *(v for v in h.variables.values() if h.is_record(v))]:
         v.begin = at
         at += v.size
-    return head, h, at
+    fixed = at - sum(v.size for v in h.variables.values() if h.is_record(v))
+    head += b"".join(x + struct.pack(">q", v.begin) for x, v in zip(blocks, h.variables.values()))
+    return head, h, fixed + records * h.record_size
 
 
 def write_file(path: str, dimensions: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, dict]], attributes: dict | None = None) -> None:
@@ -161,37 +168,56 @@ def write_file(path: str, dimensions: dict[str, int], variables: dict[str, tuple
         f.truncate(size)
 
 
-def create(path: str, dimensions: dict[str, int], variables: dict[str, tuple[tuple[str, ...], str, dict]], attributes: dict | None = None) -> Header:
+def create(path: str, dimensions: dict[str, int], variables: dict[str, tuple[tuple[str, ...], str, dict]], attributes: dict | None = None, unlimited: str | None = None) -> Header:
     """A file with its header and room for all variables, which put() fills."""
-    head, h, size = _layout(dimensions, variables, attributes)
+    head, h, size = _layout(dimensions, variables, attributes, unlimited)
     with open(local(path), "wb") as f:
         f.write(head)
         f.truncate(size)
     return h
 
 
-def put(cells: Cells, path: str, h: Header, variable: str, rows: int | None = None, limits: tuple[float, float] | None = None) -> int:
+def extend(path: str, records: int) -> Header:
+    """Room for so many records more; the header with their number."""
+    file = local(path)
+    h = read_header(file)
+    own = [v for v in h.variables.values() if h.is_record(v)]
+    if not own:
+        raise ValueError(f"{path} has no unlimited dimension")
+    h.records += records
+    with open(file, "r+b") as f:
+        f.seek(4)
+        f.write(struct.pack(">q" if h.version == 5 else ">i", h.records))
+        f.truncate(min(v.begin for v in own) + h.records * h.record_size)
+    return h
+
+
+def put(cells: Cells, path: str, h: Header, variable: str, rows: int | None = None, limits: tuple[float, float] | None = None, first: int = 0) -> int:
     """Writes cells into their variable of a file made by create(): each task writes stretches of the first axis at their places. Gives the number of values that `limits`, the valid range, do not hold, seen by the job that writes.
 
     Cells are shuffled once, by stretch; missing cells get the fill value. A task that runs twice writes the same bytes.
-    Strings, and arrays, go along a last dimension of the variable that the cells lack."""
+    Strings, and arrays, go along a last dimension of the variable that the cells lack. Of a variable by records the cells
+    are those from number `first` on."""
     v = h.variables[variable]
-    shape = h.shape(v)
+    record = h.record_size if h.is_record(v) else 0
+    shape = (cells.shape[0], *h.shape(v)[1:]) if record else h.shape(v) if cells.axes else (1, *h.shape(v))
+    trailing = len(v.dimensions) > len(cells.axes)
     target, dtype, axes, value = local(path), np.dtype(TYPES[v.type][0]), cells.axes, cells.value
     step = rows or max(1, (1 << 20) // max(1, int(np.prod(shape[1:], dtype=object))))
     fill = v.attributes.get("_FillValue", v.attributes.get("missing_value", b"" if v.type == 2 else DEFAULT_FILL[TYPES[v.type][1]]))
     spark = cells.df.sparkSession
-    whole = shape or (1,)
+    whole = shape
 
     def save(t: pa.Table) -> pa.Table:
         at = t.column("_stretch")[0].as_py() * step
         x = np.full((min(step, whole[0] - at), *whole[1:]), fill, dtype)
         t = t.filter(pa.compute.is_valid(t.column(value)))
         place = tuple(t.column(a).to_numpy() - (at if d == 0 else 0) for d, a in enumerate(axes)) if axes else (np.zeros(t.num_rows, np.int64),)
-        x[place] = _trailing(t.column(value).combine_chunks(), shape[-1], fill) if len(axes) < len(shape) else t.column(value).to_numpy()
+        x[place] = _trailing(t.column(value).combine_chunks(), shape[-1], fill) if trailing else t.column(value).to_numpy()
         with open(target, "r+b") as f:
-            f.seek(v.begin + at * int(np.prod(whole[1:], dtype=object)) * dtype.itemsize)
-            f.write(x.tobytes())
+            for k in range(len(x) if record else 1):
+                f.seek(v.begin + ((first + at + k) * record if record else at * int(np.prod(whole[1:], dtype=object)) * dtype.itemsize))
+                f.write(x[k : k + 1].tobytes() if record else x.tobytes())
         return pa.table({"_stretch": pa.array([at], pa.int64())})
 
     seen = Observation()
@@ -205,6 +231,26 @@ def put(cells: Cells, path: str, h: Header, variable: str, rows: int | None = No
     return seen.get["n"] if limits else 0
 
 
+def put_array(path: str, h: Header, variable: str, x: np.ndarray) -> None:
+    """A small array into its variable of a file made by create()."""
+    v = h.variables[variable]
+    with open(local(path), "r+b") as f:
+        f.seek(v.begin)
+        f.write(np.ascontiguousarray(x, TYPES[v.type][0]).tobytes())
+
+
+def array_of(path: str, h: Header, variable: str) -> np.ma.MaskedArray:
+    """A small variable as a whole; the bytes of strings are joined along the last dimension."""
+    v = h.variables[variable]
+    shape = h.shape(v)
+    with open(path, "rb") as f:
+        x, gone = values(f, h, v, 0, shape[0] if shape else 1)
+    x, gone = x.reshape(shape), gone.reshape(shape)
+    if v.type == 2:
+        return np.ma.array(np.char.decode(np.ascontiguousarray(x).view(f"S{shape[-1]}")[..., 0])) if shape else np.ma.array(x.astype("U1"))
+    return np.ma.array(x, mask=gone)
+
+
 def _trailing(col: pa.Array, width: int, fill: object) -> np.ndarray:
     """Strings as their bytes and arrays as they are, padded to `width`."""
     if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
@@ -292,9 +338,12 @@ class Reader(AxisRanges, DataSourceReader):
         kind = pa.float64() if on("unpack") and ("scale_factor" in v.attributes or "add_offset" in v.attributes) else ARROW[TYPES[v.type][1]]
         with open(local(self.options["path"]), "rb") as f:
             for _, start, stop in partition.pieces:
-                x, gone = values(f, h, v, *((start[0], stop[0]) if start else (0, 1)), on("mask"), on("unpack"))
+                first, last = (start[0], stop[0]) if start else (0, h.shape(v)[0] if v.dimensions else 1)
+                x, gone = values(f, h, v, first, last, on("mask"), on("unpack"))
                 inner = (slice(None), *(slice(a, b) for a, b in zip(start[1:], stop[1:])))
                 x, gone = x[inner], gone[inner]
+                if not v.dimensions:
+                    x, gone = x[0], gone[0]
                 if self.last and not start:  # one string or array alone
                     x, gone = x.reshape(1, -1), gone.reshape(1, -1)
                 if self.last == "text":

@@ -21,7 +21,7 @@ CONNECTIVITY = ("edge_node_connectivity", "face_node_connectivity", "edge_edge_c
 CELLS = {"node": "point", "edge": "edge", "face": "face"}
 
 
-def constructs(described: dict, dataset: str, r: object, axes: tuple[str, ...], read: Callable[..., Cells]) -> list[Construct]:
+def constructs(described: dict, dataset: str, r: object, sizes: dict[str, int], read: Callable[..., Cells]) -> list[Construct]:
     """Domain topology, cell connectivity and coordinates of a variable that has a mesh and a location; none if it has no such.
 
     `read(name, last=...)` gives the cells of a variable. Ids count from 0, padding is left out. Point topologies follow from
@@ -35,12 +35,12 @@ def constructs(described: dict, dataset: str, r: object, axes: tuple[str, ...],
     ids = lambda key: _ids(read(m[key], last="array"), described[dataset, m[key]]["attributes"])
     nodes = [x for x in m.get("node_coordinates", "").split() if (dataset, x) in described]
     if location == "node":
-        axis = described[dataset, nodes[0]]["dimensions"][0] if nodes else axes[-1]
+        axis = described[dataset, nodes[0]]["dimensions"][0] if nodes else [*sizes][-1]
     else:
         axis = described[dataset, m[f"{location}_node_connectivity"]]["dimensions"][0]
-    if axis not in axes:
+    if axis not in sizes:
         raise ValueError(f"{r['variable']} does not span {axis}, the {location} dimension of {name}")
-    size = dict(zip(described[dataset, r["variable"]]["dimensions"], described[dataset, r["variable"]]["shape"]))[axis]
+    size = sizes[axis]
     out = []
     if location == "node":
         if m.get("edge_node_connectivity"):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import bz2
 import gzip
+import io
 import json
 import lzma
 import os
@@ -11,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import product
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -51,21 +54,52 @@ def crc32c(data: bytes) -> int:
     return x ^ 0xFFFFFFFF
 
 
-def metadata(path: str) -> dict:
+def references(path: str) -> dict | None:
+    """The references of a file that says where the chunks of arrays lie in other files; None for a folder."""
+    path = local(path)
+    if os.path.isdir(path):
+        return None
+    with open(path) as f:
+        found = json.load(f)
+    return found.get("refs", found)
+
+
+def _text(path: str, name: str, refs: dict | None) -> dict | None:
+    """A small JSON file of an array or group, from its folder or from references."""
+    if refs is not None:
+        found = refs.get(name)
+        return json.loads(found) if isinstance(found, str) else found
+    file = f"{local(path)}/{name}"
+    if not os.path.exists(file):
+        return None
+    with open(file) as f:
+        return json.load(f)
+
+
+def arrays(path: str) -> tuple[dict[str, dict], dict]:
+    """(the descriptions of the arrays of a group by name, its attributes); of references too. An array alone is a group of one, named after its folder."""
+    refs, folder = references(path), local(path)
+    if refs is not None:
+        names = sorted(k.rpartition("/")[0] for k in refs if k.endswith("/.zarray"))
+    else:
+        names = sorted(x for x in os.listdir(folder) if any(os.path.exists(f"{folder}/{x}/{y}") for y in ("zarr.json", ".zarray")))
+        if not names and (own := _text(path, "zarr.json", None) or _text(path, ".zarray", None)) and own.get("node_type") != "group":
+            return {os.path.basename(folder.rstrip("/")): metadata(path)}, {}
+    attributes = (_text(path, "zarr.json", refs) or {}).get("attributes") or _text(path, ".zattrs", refs) or {}
+    return {x: metadata(path, x, refs) for x in names}, attributes
+
+
+def metadata(path: str, name: str = "", refs: dict | None = None) -> dict:
     """The description of an array as version 3 has it, that of version 2 put in its terms."""
-    folder = local(path)
-    if os.path.exists(f"{folder}/zarr.json"):
-        with open(f"{folder}/zarr.json") as f:
-            out = json.load(f)
-        if out.get("node_type") != "array" or out.get("zarr_format") != 3:
+    at = f"{name}/" if name else ""
+    new = _text(path, f"{at}zarr.json", refs)
+    if new is not None:
+        if new.get("node_type") != "array" or new.get("zarr_format") != 3:
             raise ValueError(f"{path} is no array of version 3")
-        return out
-    with open(f"{folder}/.zarray") as f:
-        old = json.load(f)
-    attributes = {}
-    if os.path.exists(f"{folder}/.zattrs"):
-        with open(f"{folder}/.zattrs") as f:
-            attributes = json.load(f)
+        return new
+    old, attributes = _text(path, f"{at}.zarray", refs), _text(path, f"{at}.zattrs", refs) or {}
+    if old is None:
+        raise FileNotFoundError(f"no array {name} in {path}")
     if old.get("filters"):
         raise ValueError(f"filters {old['filters']} are not supported")
     dtype, packer = np.dtype(old["dtype"]), old.get("compressor")
@@ -88,9 +122,10 @@ def axes_of(m: dict) -> list[str]:
 class Stored:
     """An array as it lies there. Chunks of a shard are found by its index and read by byte ranges; absent chunks hold the fill value."""
 
-    def __init__(self, path: str, meta: dict | None = None, mask: bool = True) -> None:
-        self.path, self.mask = local(path), mask
-        self.meta = m = meta or metadata(path)
+    def __init__(self, path: str, meta: dict | None = None, mask: bool = True, name: str = "", refs: dict | None = None) -> None:
+        self.path, self.mask, self.refs = local(path), mask, refs
+        self.name = f"{name}/" if name else ""
+        self.meta = m = meta or metadata(path, name, refs)
         self.shape, self.attributes = tuple(m["shape"]), m.get("attributes", {})
         self.size = self.outer = tuple(m["chunk_grid"]["configuration"]["chunk_shape"])
         self.codecs, self.shard = m["codecs"], None
@@ -105,7 +140,24 @@ class Stored:
     def file(self, at: tuple[int, ...]) -> str:
         coding = self.meta.get("chunk_key_encoding", {"name": "default"})
         apart = coding.get("configuration", {}).get("separator", "." if coding["name"] == "v2" else "/")
-        return f"{self.path}/{apart.join(map(str, at)) or '0' if coding['name'] == 'v2' else apart.join(['c', *map(str, at)])}"
+        return f"{self.name}{apart.join(map(str, at)) or '0' if coding['name'] == 'v2' else apart.join(['c', *map(str, at)])}"
+
+    def open(self, at: tuple[int, ...]) -> BinaryIO | None:
+        """The bytes of a chunk or shard; None if there are none."""
+        key = self.file(at)
+        if self.refs is None:
+            return open(f"{self.path}/{key}", "rb") if os.path.exists(f"{self.path}/{key}") else None
+        found = self.refs.get(key)
+        if found is None:
+            return None
+        if isinstance(found, str):
+            return io.BytesIO(base64.b64decode(found[7:]) if found.startswith("base64:") else found.encode())
+        target = found[0] if "://" in found[0] or found[0].startswith("/") else os.path.join(os.path.dirname(self.path), found[0])
+        with open(local(target), "rb") as f:
+            if len(found) == 3:
+                f.seek(found[1])
+                return io.BytesIO(f.read(found[2]))
+            return io.BytesIO(f.read())
 
     def _decoded(self, raw: bytes) -> np.ndarray:
         turned = None
@@ -136,9 +188,10 @@ class Stored:
         x = np.full([b - a for a, b in zip(low, high)], 0 if self.fill is None else self.fill, self.dtype)
         counts = tuple(o // c for o, c in zip(self.outer, self.size))
         for at in product(*(range(a // o, -(-b // o)) for a, b, o in zip(low, high, self.outer))):
-            if not os.path.exists(self.file(at)):
+            there = self.open(at)
+            if there is None:
                 continue
-            with open(self.file(at), "rb") as f:
+            with there as f:
                 index = self._index(f, counts) if self.shard else None
                 begin = [k * o for k, o in zip(at, self.outer)]
                 for inner in product(*(range(max(a - s, 0) // c, -(-min(b - s, o) // c)) for a, b, s, o, c in zip(low, high, begin, self.outer, self.size))):
@@ -168,46 +221,62 @@ def _checked(raw: bytes) -> bytes:
 
 
 class Zarr3(DataSource):
-    """spark.read.format("zarr3").load(folder): a row per cell; a partition is a chunk or a shard, or a few small ones. Absent chunks hold the fill value, and fill values are NULL unless mask is false. Comparisons of axis columns choose chunks."""
+    """spark.read.format("zarr3").load(folder): a row per cell; a partition is a chunk or a shard, or a few small ones. Absent chunks hold the fill value, and fill values are NULL unless mask is false. Comparisons of axis columns choose chunks. With the option `variable` the path is that of a group, or of a file of references. last=array makes arrays of the last dimension."""
 
     @classmethod
     def name(cls) -> str:
         return "zarr3"
 
+    def _found(self) -> tuple[dict, dict | None]:
+        name, path = self.options.get("variable", ""), self.options["path"]
+        refs = references(path)
+        # Of references only those of this array go to the tasks.
+        refs = {k: v for k, v in refs.items() if k.startswith(f"{name}/")} if refs is not None else None
+        return metadata(path, name, refs), refs
+
     def schema(self) -> str:
-        m = metadata(self.options["path"])
-        return ", ".join([*(f"`{a}` bigint" for a in axes_of(m)), f"value {TYPES[m['data_type']]}"])
+        m, _ = self._found()
+        kind, packed = TYPES[m["data_type"]], self.options.get("last") == "array"
+        return ", ".join([*(f"`{a}` bigint" for a in axes_of(m)[: -1 if packed else None]), f"value {f'array<{kind}>' if packed else kind}"])
 
     def reader(self, schema: object) -> DataSourceReader:
-        return Reader(metadata(self.options["path"]), dict(self.options))
+        return Reader(*self._found(), dict(self.options))
 
 
 class Reader(AxisRanges, DataSourceReader):
-    def __init__(self, meta: dict, options: dict) -> None:
+    def __init__(self, meta: dict, refs: dict | None, options: dict) -> None:
         super().__init__(axes_of(meta), meta["shape"])
-        self.meta, self.options = meta, options
+        self.meta, self.refs, self.options = meta, refs, options
+        self.packed = options.get("last") == "array"
 
     def partitions(self) -> list[InputPartition]:
         m = self.meta
         size, shape = m["chunk_grid"]["configuration"]["chunk_shape"], m["shape"]
         # Only chunks that hold wanted positions are listed.
         places = product(*(range(max(a, 0) // c, -(-min(b, n) // c)) for a, b, c, n in zip(self.low, self.high, size, shape)))
+        if self.packed:  # arrays are whole
+            places = sorted({at[:-1] for at in places})
+            places, size = [(*at, 0) for at in places], [*size[:-1], shape[-1]]
         boxes = [(at, self.wanted([k * c for k, c in zip(at, size)], [min(k * c + c, n) for k, c, n in zip(at, size, shape)])) for at in places]
         pieces = [(at, *box) for at, box in boxes if box]
         step = int(self.options.get("cells", 1 << 20))
         return dealt(pieces, max(step, max((int(np.prod([q - p for p, q in zip(a, b)])) for _, a, b in pieces), default=1)))
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
-        array = Stored(self.options["path"], self.meta, self.options.get("mask", "true") == "true")
+        array = Stored(self.options["path"], self.meta, self.options.get("mask", "true") == "true", self.options.get("variable", ""), self.refs)
+        axes = self.axes[:-1] if self.packed else self.axes
         for _, start, stop in partition.pieces:
-            yield as_cells(*array.box(list(start), list(stop)), start, self.axes, ARROW[TYPES[self.meta["data_type"]]])
+            yield as_cells(*array.box(list(start), list(stop)), start[: len(axes)], axes, ARROW[TYPES[self.meta["data_type"]]], self.packed)
 
 
-def read(spark: SparkSession, path: str, **options: str) -> Cells:
-    m = metadata(path)
+def read(spark: SparkSession, path: str, variable: str = "", **options: str) -> Cells:
+    """An array alone, or one of a group or of a file of references."""
+    m = metadata(path, variable, references(path))
     known(spark, Zarr3)
-    df = spark.read.format("zarr3").options(**options).load(path)
-    return Cells(df, tuple(axes_of(m)), tuple(m["shape"]), units=m.get("attributes", {}).get("units"), fill=m["fill_value"])
+    df = spark.read.format("zarr3").options(**options, **({"variable": variable} if variable else {})).load(path)
+    own = slice(-1) if options.get("last") == "array" else slice(None)
+    noted = m.get("attributes", {})
+    return Cells(df, tuple(axes_of(m)[own]), tuple(m["shape"][own]), units=noted.get("units"), calendar=noted.get("calendar"), fill=m["fill_value"])
 
 
 def write(cells: Cells, path: str, chunks: tuple[int, ...], data_type: str = "float64", fill: float | int | None = None, compress: int = 3, shards: tuple[int, ...] | None = None, version: int = 3) -> None:
@@ -260,7 +329,7 @@ def write(cells: Cells, path: str, chunks: tuple[int, ...], data_type: str = "fl
             raw = b"".join(body) + index.tobytes() + crc32c(index.tobytes()).to_bytes(4, "little")
         else:
             raw = pack(x.tobytes())
-        target = array.file(tuple(at))
+        target = f"{folder}/{array.file(tuple(at))}"
         os.makedirs(os.path.dirname(target), exist_ok=True)
         with open(f"{target}.{os.getpid()}", "wb") as f:
             f.write(raw)

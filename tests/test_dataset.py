@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.functions import references
-from gridspark.model import Cells, Construct, Field
-from gridspark.operators import matching
-from gridspark.sources import dataset, netcdf3
+from gridspark import io
+from gridspark.functions import attrs, references, time
+from gridspark.model import Cells, Construct, Domain, Field
+from gridspark.operators import masking, matching
+from gridspark.plans import report
+from gridspark.sources import dataset, netcdf3, zarr3
 
 
 def cells(spark, rows, axes, shape, kind="double", **more):
@@ -201,3 +203,154 @@ def test_meshes(spark, tmp_path):
     assert {r["value"][0]: sorted(r["value"][1:]) for r in p.construct("cell:point").data.df.collect()} == {ranks[i]: sorted(ranks[j] for j in near[i]) for i in order}
     e = got["edges"]
     assert [r["value"] for r in e.construct("cell:edge").data.df.orderBy(e.data.axes[0]).collect()] == [[0, 1], [1, 2]]
+
+
+def test_aggregation_variables(spark, tmp_path):
+    """Data in fragments beside the file, constants, and a fragment that is missing."""
+    f = made(spark)
+    path = f"file://{tmp_path}/a.nc"
+    data = Cells(f.data.df.where("y <> 1"), f.data.axes, f.data.shape, units="K", fill=-1)
+    dataset.write([Field(data, f.constructs[:4], {"standard_name": "air_temperature"})], path, aggregate=1)
+    assert sorted(p.name for p in (tmp_path / "a.nc.fragments").iterdir()) == ["air_temperature-000000.nc", "air_temperature-000002.nc"]
+    (got,) = dataset.read(spark, [path])
+    assert values(got.data) == [(0, 0, 0), (0, 1, 1), (1, 0, None), (1, 1, None), (2, 0, 20), (2, 1, 21)] and got.data.units == "K" and got.data.shape == (3, 2)
+    assert got.construct("latitude").bounds is not None and got.data.df.schema["value"].dataType.simpleString() == "int"
+    assert got.data.df.where("lat = 2").count() == 2
+    names = {"m": (("j", "f"), np.array([[2, 3], [4, -1]], "i4"), {"_FillValue": np.int32(-1)}), "u": (("g", "o"), np.array([[7.5], [-9.0]]), {"_FillValue": np.float64(-9.0)})}
+    netcdf3.write_file(f"{tmp_path}/b.nc", {"y": 5, "x": 4, "j": 2, "f": 2, "g": 2, "o": 1}, {**names, "t": ((), np.array(0.0), {"aggregated_dimensions": "y x", "aggregated_data": "map: m unique_values: u"})})
+    (got,) = dataset.read(spark, [f"{tmp_path}/b.nc"])
+    assert [r[2] for r in values(got.data)] == [7.5] * 8 + [None] * 12
+
+
+def test_domains(spark, tmp_path):
+    f = made(spark)
+    d = f.domain
+    assert not {c.type for c in d.constructs} & {"cell_method", "field_ancillary"} and d.sizes == {"y": 3, "x": 2}
+    path = f"file://{tmp_path}/a.nc"
+    dataset.write([f, d], path)
+    (got,) = dataset.read(spark, [path], domain=True)
+    assert got.sizes == {"lat": 3, "lon": 2} and sorted(c.type for c in got.constructs) == ["auxiliary_coordinate", "cell_measure", "dimension_coordinate", "domain_axis", "domain_axis"]
+    assert len(dataset.read(spark, [path])) == 1
+    assert Domain.of([c for c in d.constructs if c.type != "domain_axis"]).sizes == {"y": 3, "x": 2}
+    with pytest.raises(ValueError, match="cells along"):
+        Domain.of([Construct("x", "domain_axis", size=9), *d.constructs[3:]])
+    with pytest.raises(ValueError, match="a domain has no"):
+        Domain.of(f.constructs)
+    within = Construct("c", "cell_method", ("t",), {"within": "years"}, method="mean")
+    assert Field(f.data, (within, *f.constructs)).climatological_axes() == {"t"}
+
+
+def test_reading_of_all_formats(spark, tmp_path):
+    f = made(spark)
+    io.write([f], f"file://{tmp_path}/a.nc", external=f"file://{tmp_path}/measures.nc")
+    io.write([f], f"file://{tmp_path}/c", "container")
+    io.write([Field(f.data)], f"file://{tmp_path}/z", "zarr", chunks=(2, 2), data_type="int32")
+    got = io.read(spark, str(tmp_path / "a.nc"), str(tmp_path / "[cz]"), external=[f"file://{tmp_path}/measures.nc"])
+    assert [len(g.constructs) for g in got] == [7, 7, 2] and all(g.data.shape == (3, 2) for g in got)
+    assert len(io.read(spark, str(tmp_path / "a.nc"), names=("air_temperature",))) == 1 and io.read(spark, str(tmp_path / "a.nc"), names=("none",)) == []
+    (tmp_path / "x.nc").write_bytes(b"\x89HDF\r\n")
+    with pytest.raises(ValueError, match="netcdf4"):
+        io.read(spark, str(tmp_path / "x.nc"))
+    with pytest.raises(ValueError, match="no format"):
+        io.write([f], "x", "other")
+
+
+def test_reference_times_of_dates(spark):
+    df = spark.createDataFrame([(1, None), (2, "2000-12-03T12:00"), (3, "2000-12-05")], "k int, t string")
+    out, units = time.to_reftime(df, "t", ["k"])
+    assert units == "days since 2000-12-03" and [r["t"] for r in out.orderBy("k").collect()] == [None, 0.5, 2.0]
+    out, units = time.to_reftime(df.where("k > 1"), "t", ["k"], "hours since 2000-12-03")
+    assert [r["t"] for r in out.orderBy("k").collect()] == [12.0, 48.0]
+    assert time.to_reftime(df.where("k = 1"), "t", ["k"])[1] == "days since 1970-01-01"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gridspark.__main__ import main
+
+    dataset.write([made(spark)], f"file://{tmp_path}/a.nc")
+    assert main([]) == 2 and main(["-s", str(tmp_path / "a.nc")]) == 0
+    assert "<Field: air_temperature(lat(3), lon(2)) K>" in capsys.readouterr().out
+    assert main([str(tmp_path / "a.nc")]) == 0
+    out = capsys.readouterr().out
+    assert "auxiliary_coordinate long_name=name" in out and "lat: mean" in out
+
+
+def test_zarr_groups_and_references(spark, tmp_path):
+    """A group of arrays, and chunks that lie in other files, become fields like classic files do."""
+    import base64
+    import json as js
+
+    f = made(spark)
+    group = tmp_path / "g"
+    zarr3.write(Cells(f.data.df, ("y", "x"), (3, 2), units="K"), f"file://{group}/t", (2, 2), "int32")
+    zarr3.write(cells(spark, [(i, i * 1.5) for i in range(3)], ("y",), (3,)), f"file://{group}/y", (2,))
+    zarr3.write(cells(spark, [(i, j, i + j * 1.0) for i in range(3) for j in range(2)], ("y", "v"), (3, 2)), f"file://{group}/edges", (2, 1))
+    (group / "zarr.json").write_text(js.dumps({"zarr_format": 3, "node_type": "group", "attributes": {"title": "a group"}}))
+    meta = js.loads((group / "y" / "zarr.json").read_text())
+    (group / "y" / "zarr.json").write_text(js.dumps({**meta, "attributes": {"bounds": "edges", "standard_name": "latitude"}}))
+    (got,) = io.read(spark, str(group))
+    assert values(got.data) == values(f.data) and got.properties["title"] == "a group" and got.data.units == "K"
+    lat = got.construct("latitude")
+    assert values(lat.data) == [(0, 0.0), (1, 1.5), (2, 3.0)] and {r["y"]: r["bounds"] for r in lat.bounds.collect()} == {0: [0, 1], 1: [1, 2], 2: [2, 3]}
+    # The bytes of a classic file, named chunk by chunk; one chunk stands in the references themselves, one is missing.
+    netcdf3.write_file(f"{tmp_path}/a.nc", {"n": 4}, {"v": (("n",), np.arange(4, dtype="f8"), {})})
+    begin = netcdf3.read_header(f"{tmp_path}/a.nc").variables["v"].begin
+    array = js.dumps({"zarr_format": 2, "shape": [7], "chunks": [2], "dtype": ">f8", "compressor": None, "filters": None, "order": "C", "fill_value": -1.0})
+    refs = {".zattrs": '{"title": "refs"}', "v/.zarray": array, "v/.zattrs": '{"_ARRAY_DIMENSIONS": ["n"], "long_name": "v"}', "v/0": ["a.nc", begin, 16], "v/1": [str(tmp_path / "a.nc"), begin + 16, 16], "v/2": "base64:" + base64.b64encode(np.array([9.0, 8.0], ">f8").tobytes()).decode()}
+    (tmp_path / "k.json").write_text(js.dumps({"version": 1, "refs": refs}))
+    (got,) = io.read(spark, str(tmp_path / "k.json"))
+    assert values(got.data) == [(0, 0.0), (1, 1.0), (2, 2.0), (3, 3.0), (4, 9.0), (5, 8.0), (6, None)] and got.properties["title"] == "refs"
+
+
+@pytest.mark.parametrize("alone", [False, True])
+def test_unlimited_axes(spark, tmp_path, alone):
+    """Records of several variables are interleaved, those of one are not padded; more can come."""
+
+    def part(at, n):
+        data = cells(spark, [(i, j, at + i + j * 0.5) for i in range(n) for j in range(3)], ("t", "x"), (n, 3))
+        more = (
+            Construct("d", "dimension_coordinate", ("t",), {"long_name": "time"}, data=cells(spark, [(i, at + i) for i in range(n)], ("t",), (n,), "int"), bounds=spark.createDataFrame([(i, [at + i + 0.0, at + i + 1.0]) for i in range(n)], "t long, bounds array<double>")),
+            Construct("s", "auxiliary_coordinate", ("t",), {"long_name": "flag"}, ncvar="flag", data=cells(spark, [(i, (at + i) % 100) for i in range(n)], ("t",), (n,), "tinyint")),
+        )
+        x = Construct("x0", "dimension_coordinate", ("x",), data=cells(spark, [(j, j * 1.0) for j in range(3)], ("x",), (3,)))
+        bytes_ = cells(spark, [(i, j, (at + i + j) % 100) for i in range(n) for j in range(3)], ("t", "x"), (n, 3), "tinyint")
+        return Field(bytes_ if alone else data, () if alone else (*more, x), {"long_name": "values"})
+
+    path = f"file://{tmp_path}/a.nc"
+    dataset.write([part(0, 4)], path, unlimited="t")
+    h = netcdf3.read_header(f"{tmp_path}/a.nc")
+    assert h.records == 4 and dict(h.dimensions)["t"] == 0 and (not alone or h.record_size == 3)
+    assert dataset.append(part(4, 2), path, "t") == 6
+    (got,) = dataset.read(spark, [path])
+    assert got.data.shape == (6, 3) and values(got.data) == values(part(0, 6).data)
+    if not alone:
+        t = got.construct("long_name=time")
+        assert values(t.data) == [(i, i) for i in range(6)] and {r["t"]: r["bounds"] for r in t.bounds.collect()} == {i: [i, i + 1] for i in range(6)}
+        assert values(got.construct("long_name=flag").data) == [(i, i) for i in range(6)] and got.data.df.where("t = 5").count() == 3
+        with pytest.raises(ValueError, match="no more of"):
+            dataset.append(Field(part(6, 1).data, (), {"long_name": "values"}), path, "t")
+    other = f"file://{tmp_path}/b.nc"
+    dataset.write([part(0, 4)], other)
+    with pytest.raises(ValueError, match="does not go on"):
+        dataset.append(part(4, 2), other, "t")
+
+
+def test_scalar_coordinates(spark, tmp_path):
+    f = made(spark)
+    z = Construct("z", "dimension_coordinate", ("h",), {"standard_name": "height"}, ncvar="height", data=cells(spark, [(0, 2.0)], ("h",), (1,), units="m"), bounds=spark.createDataFrame([(0, [1.0, 3.0])], "h long, bounds array<double>"))
+    path = f"file://{tmp_path}/a.nc"
+    dataset.write([Field(f.data, (*f.constructs[:3], Construct("h", "domain_axis", size=1), z), {"standard_name": "air_temperature"})], path)
+    h = netcdf3.read_header(f"{tmp_path}/a.nc")
+    assert h.variables["height"].dimensions == [] and "height" in h.variables["air_temperature"].attributes["coordinates"]
+    (got,) = dataset.read(spark, [path])
+    height = got.construct("height")
+    assert height.type == "dimension_coordinate" and height.axes == ("height",) and values(height.data) == [(0, 2.0)] and height.bounds.first()["bounds"] == [1, 3]
+    assert got.data.axes == ("lat", "lon") and next(c for c in got.constructs if c.key == "height").size == 1
+
+
+def test_small_parts(spark):
+    f = made(spark)
+    x = masking.apply_masking_field(Field(f.data, (f.constructs[2], Construct("v", "auxiliary_coordinate", ("x",), {"valid_range": (0, 1), "missing_value": 0.5}, data=cells(spark, [(0, 0.5), (1, 3.0)], ("x",), (2,)))), {"valid_min": 1, "valid_max": 11}))
+    assert [r[2] for r in values(x.data)] == [None, 1, 10, None, None, None] and values(x.constructs[1].data) == [(0, None), (1, None)]
+    assert attrs.sorted_method({"axes": ["y", "a"], "method": "mean", "intervals": [(1.0, "m"), (2.0, "s")]}) == {"axes": ["a", "y"], "method": "mean", "intervals": [(2.0, "s"), (1.0, "m")]}
+    assert report.deterministic_name(f.data) == report.deterministic_name(f.data) != report.deterministic_name(f.constructs[2].data)
