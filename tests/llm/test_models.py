@@ -1,5 +1,6 @@
 """Learned operators by held-out accuracy, search against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -87,3 +88,23 @@ def test_top_k(spark, block):
     small = topk.voronoi_top_k(topk.quantised(df.where("vec_id < 3")), F.col("vec_id") == 0, pivots=8)
     assert small.count() == 2
     assert topk.voronoi_top_k(topk.quantised(df.limit(0)), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize(("block", "samples"), [(4, 100), (4096, 5)])
+def test_top_k_of_many_widths(spark, block, samples):
+    """Vectors meet those of their width, also where the sample has none of it; most of them in one cell, asked by most, are split."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(60)] + [(100 + i, [1.0, 1.0, 1.0]) for i in range(90)]
+    rows += [(200 + i, rng.normal(size=2).tolist()) for i in range(7)] + [(300, [2.0] * 9), (301, []), (302, []), (303, None), (None, [1.0, 2.0, 3.0]), (304, [1.0, None]), (305, [float("nan")] * 3), (5, [0.5, 0.5, 0.5])]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, rank int, cell string").repartition(4)
+    got: dict = {}
+    for r in topk.voronoi_top_k(topk.quantised(df), F.col("vec_id") % 2 == 0, pivots=6, block=block, samples=samples).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and x == x for x in v)]
+    want = {}
+    for i, v in whole:
+        if i % 2 == 0:
+            found = sorted(((sum(x * y for x, y in zip(v, w)), j) for j, w in whole if j != i and len(w) == len(v)), key=lambda x: (-x[0], x[1]))[:5]
+            if found:
+                want[i] = found
+    assert got == want and got[302] == [(0, 301)] and 300 not in got
