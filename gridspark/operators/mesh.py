@@ -51,12 +51,12 @@ def normalised(cells: DataFrame, cell: str, nodes: str, start_index: int = 0) ->
     """Node ids replaced by their rank among all ids in use; NULL padding stays where it is, and a cell without nodes has an empty list.
 
     Ranks come from the distinct ids, dealt over ranges of the id and counted in two levels."""
-    from .ordering import BLOCK
+    from .ordering import BLOCK, sums_before
 
     flat = cells.select(cell, F.posexplode_outer(nodes).alias("_k", "_id"))
     ids = flat.where("_id is not null").select("_id").distinct().withColumn("_block", F.expr(f"_id div {BLOCK}"))
     counts = ids.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
+    before = sums_before(counts)
     rank = ids.withColumn("_r", F.row_number().over(Window.partitionBy("_block").orderBy("_id")) - 1).join(before, "_block").select("_id", (F.col("_r") + F.col("_before") + start_index).cast("long").alias("_new"))
     back = flat.join(rank, "_id", "left").groupBy(cell).agg(F.array_sort(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_new")))).alias("_x"))
     return back.select(cell, F.transform("_x", lambda x: x["_new"]).alias(nodes))

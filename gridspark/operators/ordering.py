@@ -12,19 +12,27 @@ def dense_places(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
     """df with `name`: how many rows have a smaller `key`, a whole number below `size` that no two rows share.
 
     Rows fall in blocks of the key's range. Each block is ordered by itself; the blocks' counts, one row for
-    each, are summed up and joined back."""
+    each, are summed up in the same way and joined back."""
     block = F.expr(f"`{key}` div {BLOCK}")
     df = df.withColumn("_block", block)
     counts = df.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
+    before = sums_before(counts)
     inside = df.withColumn("_at", F.row_number().over(Window.partitionBy("_block").orderBy(key)) - 1)
     return inside.join(before, "_block").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_block", "_before", "_at")
 
 
+def sums_before(counts: DataFrame) -> DataFrame:
+    """(_block, _before) of (_block, _n), a row a block: the sum of _n over smaller blocks. One task sees a row for each BLOCK blocks, and these rows are broadcast."""
+    parted = counts.withColumn("_top", F.expr(f"_block div {BLOCK}"))
+    tops = parted.groupBy("_top").agg(F.sum("_n").alias("_m")).select("_top", (F.sum("_m").over(Window.orderBy("_top")) - F.col("_m")).alias("_above"))
+    own = F.sum("_n").over(Window.partitionBy("_top").orderBy("_block")) - F.col("_n")
+    return parted.withColumn("_own", own).join(F.broadcast(tops), "_top").select("_block", (F.col("_above") + F.col("_own")).alias("_before"))
+
+
 def running_start(df: DataFrame, key: str, count: str, name: str = "start") -> DataFrame:
-    """df with the sum of `count` over all rows of smaller `key` (an exclusive prefix sum), in two levels like dense_places()."""
+    """df with the sum of `count` over all rows of smaller `key` (an exclusive prefix sum), in levels like dense_places()."""
     df = df.withColumn("_block", F.expr(f"`{key}` div {BLOCK}"))
     totals = df.groupBy("_block").agg(F.sum(count).alias("_n"))
-    before = totals.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
+    before = sums_before(totals)
     own = F.sum(count).over(Window.partitionBy("_block").orderBy(key)) - F.col(count)
     return df.withColumn("_own", own).join(before, "_block").withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_block", "_before", "_own")
