@@ -130,7 +130,11 @@ def _solve(least: int, gram: int, every: bool):
         for lo, hi in zip(b[:-1], b[1:]):
             if hi - lo > 2:
                 found.extend((k, x, y, lo + of) for k, (x, y, of) in enumerate(maximal(right[lo:hi], rights[lo:hi], left[lo:hi], lefts[lo:hi], least)))
-        if not every:
+        if every:
+            # A class that lies whole in a group of several classes is no group of its own: k of -2 says so.
+            inside = {int(i) for _, x, y, members in found for i in members if x == lefts[i] and y == rights[i]}
+            found += [(-2, int(lefts[i]), int(rights[i]), (i,)) for i in inside]
+        else:
             reach: dict[int, list[tuple[int, int]]] = {}
             for _, x, y, members in found:
                 for i in members:
@@ -200,7 +204,7 @@ def _split(crowded: DataFrame, least: int, most: int, steps: tuple[int, ...]) ->
 
 
 def _search(docs: DataFrame, least: int, gram: int, most: int, steps: tuple[int, ...], every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(groups, kept, settled): members of the groups of maximal repeats, by class; all anchors seen more than once, with their class; what repeats within one batch of rows."""
+    """(groups, kept, settled): members of the groups of maximal repeats, by class; all anchors seen more than once, with their class, and with `every` also those that a batch of rows has of one class besides the first; what repeats within one batch."""
     docs = docs.select("doc_id", row_tag().alias("tag"), "text").where("doc_id is not null")
     columns = ["doc_id", "tag", "pos", "a", "size", "h", "c1", "c2", "n"]
 
@@ -217,6 +221,7 @@ def _search(docs: DataFrame, least: int, gram: int, most: int, steps: tuple[int,
                 # their number; what they cover is settled.
                 _, one, of, n = np.unique(around.view("i8,i8").ravel(), return_index=True, return_inverse=True, return_counts=True)
                 seen = np.flatnonzero(n[of] > 1)
+                more = np.setdiff1d(seen, one)
                 out = [(text[one], start[one], place[one] - start[one], stop[one] - start[one], h[one].view(np.int64), around[one, 0], around[one, 1], n)]
                 if len(seen):
                     new = np.r_[True, (text[seen][1:] != text[seen][:-1]) | (start[seen][1:] > stop[seen][:-1])]
@@ -224,6 +229,8 @@ def _search(docs: DataFrame, least: int, gram: int, most: int, steps: tuple[int,
                     last = np.r_[first[1:], len(seen)] - 1
                     zero = np.zeros(len(first), np.int64)
                     out.append((text[seen][first], start[seen][first], zero, stop[seen][last] - start[seen][first], zero, zero, zero, zero))
+                if every and len(more):  # n is negative: they do not count again
+                    out.append((text[more], start[more], place[more] - start[more], stop[more] - start[more], h[more].view(np.int64), around[more, 0], around[more, 1], np.full(len(more), -1)))
                 for t, s, a, size, key, c1, c2, count in out:
                     arrays = [ids[t].astype(np.int64), tags[t].astype(np.int64), s - ends[t] + at, a.astype(np.int32), size.astype(np.int32), key, c1.copy(), c2.copy(), count]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], columns)
@@ -233,9 +240,9 @@ def _search(docs: DataFrame, least: int, gram: int, most: int, steps: tuple[int,
     anchors = stored(docs.mapInArrow(find, "doc_id long, tag long, pos long, a int, size int, h long, c1 long, c2 long, n long"), "anchors")
     settled = stored(anchors.where("n = 0").select("doc_id", "tag", F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("stop")), "spans")
     again = stored(anchors.where("n > 0").groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h"), "anchors")
-    kept = stored(anchors.where("n > 0").join(again.hint("merge"), "h"), "anchors")
+    kept = stored(anchors.where("n <> 0").join(again.hint("merge"), "h"), "anchors")
     forget(anchors, again)
-    classes = stored(kept.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "tag", "pos", "a", "size")).alias("one")), "classes")
+    classes = stored(kept.where("n > 0").groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "tag", "pos", "a", "size")).alias("one")), "classes")
     open_ = stored(classes.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("fewest")).where("m > 1 and fewest = 1").select("h", "m"), "classes")
     wanted = classes.join(open_.hint("merge"), "h").select("one.*", "h", "c1", "c2", "n", "m")
     wanted = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("h", "c1", "c2", "pos", "a", "size", "n", "m")).alias("w"))  # no more than the text has anchors
@@ -264,22 +271,29 @@ def _search(docs: DataFrame, least: int, gram: int, most: int, steps: tuple[int,
     # Suffixes that are equal as far as they reach are one leaf of the tree: a class of two and more is a group.
     leaves = classes.where("n > 1").select("h", F.lit(0).cast("long").alias("g"), F.lit(-1).cast("long").alias("k"), "c1", "c2", "one.doc_id", "one.tag", "n",
         F.col("one.pos").alias("start"), (F.col("one.pos") + F.col("one.size")).alias("stop"), F.col("one.a").cast("long").alias("back"), (F.col("one.size") - F.col("one.a")).cast("long").alias("ahead"))
+    if every:
+        groups = stored(groups, "groups")
+        leaves = leaves.join(groups.where("k = -2").select("h", "c1", "c2").distinct().hint("merge"), ["h", "c1", "c2"], "left_anti")
+        groups = groups.where("k <> -2")
     out = stored(groups.unionByName(leaves), "groups")
     forget(classes, open_, around)
     return out, kept, settled
 
 
 def repeat_groups(docs: DataFrame, least: int = 400, gram: int = 128, most: int = 500, steps: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
-    """(h, g, k, c1, c2, doc_id, tag, start, length): groups of repeats of `least` bytes and more of docs (doc_id, text), one row for each occurrence.
-
-    Rows that agree in h, g, k and length (and in c1 and c2, where k is -1) are all occurrences of one repeat. It is maximal as
-    far as windows around its anchor reach; longer repeats are a chain of groups that overlap. In buckets of more
-    than `most` classes that stay large when split, groups are of windows of `least` bytes. See repeated_spans(); what repeats within one batch of rows stands for itself there."""
+    """(h, g, k, c1, c2, doc_id, tag, start, length, back): groups of repeats of `least` bytes and more of docs (doc_id, text), one row for each occurrence.
+
+    Rows that agree in h, g, k, length and back (and in c1 and c2, where k is -1) are all occurrences of one repeat, however rows are
+    dealt; `back` of its bytes are before its anchor. It is maximal as
+    far as windows around its anchor reach, which is `least` bytes on and least - gram + 1 back; longer repeats are a chain of groups that overlap. In buckets of more
+    than `most` classes that are split, groups are of the windows of `least` bytes that a part has in common, and one with k of -1 lists the places
+    with equal surroundings. See repeated_spans(). Rows that agree in doc_id and
+    text give their places once."""
     groups, kept, _ = _search(docs, least, gram, most, steps, True)
     own = kept.select("h", "c1", "c2", F.col("doc_id").alias("d"), F.col("tag").alias("t"), (F.col("pos") + F.col("a")).alias("at"))
     # h of a split bucket is that of a strip, so classes are told by their digest.
     found = groups.join(own.drop("h").hint("merge"), ["c1", "c2"])
-    return found.select("h", "g", "k", "c1", "c2", F.col("d").alias("doc_id"), F.col("t").alias("tag"), (F.col("at") - F.col("back")).alias("start"), (F.col("back") + F.col("ahead")).alias("length")).distinct()
+    return found.select("h", "g", "k", "c1", "c2", F.col("d").alias("doc_id"), F.col("t").alias("tag"), (F.col("at") - F.col("back")).alias("start"), (F.col("back") + F.col("ahead")).alias("length"), "back").distinct()
 
 
 def repeated_spans(docs: DataFrame, least: int = 400, gram: int = 128, most: int = 500, steps: tuple[int, ...] = (64, 8, 1)) -> DataFrame:

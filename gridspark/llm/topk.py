@@ -84,7 +84,7 @@ def voronoi_top_k(data: DataFrame, queries: Column, k: int = 5, pivots: int | No
     sizes = F.broadcast(plan.groupBy("width", F.col("to").alias("cell")).agg(F.first("blocks").alias("blocks"), F.first("parts").alias("parts")))
     dealt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    asked = placed.where("q").join(plan, ["width", "cell"]).select("width", F.col("to").alias("cell"), every(F.col("blocks")).alias("block"), dealt(F.col("parts"), 1).alias("part"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    asked = placed.where("q").join(plan, ["width", "cell"]).select(F.col("width").alias("width"), F.col("to").alias("cell"), every(F.col("blocks")).alias("block"), dealt(F.col("parts"), 1).alias("part"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
     there = placed.join(sizes, ["width", "cell"]).select("width", "cell", dealt(F.col("blocks"), 2).alias("block"), every(F.col("parts")).alias("part"), "vec_id", "v")
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:

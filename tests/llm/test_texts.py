@@ -148,17 +148,41 @@ def test_repeats(spark, seed, most, least, gram):
             assert r["text"] == "".join(kept)
 
 
+@pytest.mark.parametrize("parts", [1, 4])
 @pytest.mark.parametrize("most", [500, 3])
-def test_repeat_groups(spark, most):
-    docs = corpus(4, 60)
+def test_repeat_groups(spark, most, parts):
+    """Every group lists all occurrences of its bytes, however rows are dealt, and where a byte extends it another group goes on."""
+    least, gram = 40, 16
+    docs = corpus(4, 60) + [(1000 + k, "the same passage of some words, again and again in four rows of one batch" + " x" * k) for k in range(4)]
     texts = {i: (t or "").encode() for i, t in docs}
-    rows = repeats.repeat_groups(frame(spark, docs), 40, 16, most, (8, 4, 1)).collect()
+    rows = repeats.repeat_groups(frame(spark, docs).repartition(parts), least, gram, most, (8, 4, 1)).collect()
     groups = {}
     for r in rows:
-        groups.setdefault((r["h"], r["g"], r["k"], r["length"], *([r["c1"], r["c2"]] if r["k"] < 0 else [])), set()).add((r["doc_id"], r["start"]))
+        groups.setdefault((r["h"], r["g"], r["k"], r["length"], r["back"], *([r["c1"], r["c2"]] if r["k"] < 0 else [])), set()).add((r["doc_id"], r["start"]))
     assert groups
+    at: dict = {}
     for (_, _, _, length, *_), places in groups.items():
-        assert length >= 40 and len({texts[i][x : x + length] for i, x in places}) == 1
+        for i, x in places:
+            at.setdefault(i, []).append((x, x + length))
+    reaches = lambda i, low, high: any(x <= low and high <= y for x, y in at[i])
+    for (_, _, k, length, _, *_), places in groups.items():
+        i, x = min(places)
+        w = texts[i][x : x + length]
+        found = {(j, p) for j, t in texts.items() for p in range(len(t) - length + 1) if t.startswith(w, p)}
+        assert length >= least and places <= found and len(found) > 1
+        assert places == found or k < 0 and most == 3  # a bucket that was split
+        if k >= 0 and most > 3:
+            before = {texts[j][p - 1 : p] if p else None for j, p in places}
+            after = {texts[j][p + length : p + length + 1] or None for j, p in places}
+            # What goes on is a window with another anchor, and so in a group that overlaps.
+            assert len(before) > 1 or None in before or reaches(i, x - 1, x - 1 + least)
+            assert len(after) > 1 or None in after or reaches(i, x + length + 1 - least, x + length + 1)
+    covered = {i: bytearray(len(t)) for i, t in texts.items()}
+    for (_, _, _, length, *_), places in groups.items():
+        for i, x in places:
+            covered[i][x : x + length] = b"\1" * length
+    marks = brute.repeats(docs, least)
+    assert all(bytes(covered[i]) == bytes(marks[i][4]) for i in texts)
 
 
 def test_maximal_groups():
