@@ -76,6 +76,6 @@ def densified(cells: Cells, absent: object = None) -> Cells:
 
 
 def ends(cells: Cells) -> DataFrame:
-    """first_element, second_element and last_element in row-major order, in one pass."""
+    """first_element, second_element and last_element in row-major order, in one pass. The first and second are the cells there, missing if the table has none; the last is that of the last row."""
     k = linear_index(cells)
-    return cells.df.agg(F.min_by(cells.v, k).alias("first_element"), F.max(F.when(k == 1, cells.v)).alias("second_element"), F.max_by(cells.v, k).alias("last_element"))
+    return cells.df.agg(F.max(F.when(k == 0, cells.v)).alias("first_element"), F.max(F.when(k == 1, cells.v)).alias("second_element"), F.max_by(cells.v, k).alias("last_element"))

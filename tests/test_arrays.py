@@ -1,5 +1,7 @@
 """Kernels against numpy and known values, and algebraic laws."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -96,6 +98,12 @@ def test_compressed_and_elements(spark):
     assert tuple(cells.ends(made(spark, X)).first()) == (0, 1, 59)
 
 
+def test_ends_of_a_table_without_its_first_cell(spark):
+    c = made(spark, X)
+    assert tuple(cells.ends(replace(c, df=c.df.where(c.v > 0))).first()) == (None, 1, 59)
+    assert tuple(cells.ends(replace(c, df=c.df.where(c.v > 7))).first()) == (None, None, 59)
+
+
 @quick
 @given(st.lists(st.integers(0, 6), min_size=1, max_size=6))
 def test_ragged_there_and_back(spark, counts):
