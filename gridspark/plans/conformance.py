@@ -79,47 +79,46 @@ def datasets(variables: DataFrame, refs: DataFrame) -> DataFrame:
     """(dataset, object, rule, message) of everything that is wrong in the metadata of a catalogue of datasets of any size.
 
     `variables` and `refs` are those of sources.dataset: catalogue() and references(). Checked are what variables refer to
-    and the dimensions of that, bounds, grid mappings, compression, and meshes. Each check is a filter on one of the two
-    tables, or joins them by dataset and name."""
-    own = variables.select("dataset", "variable", F.col("dimensions").alias("parent"), F.col("type").alias("_type"))
-    met = refs.join(own.drop("_type"), ["dataset", "variable"])
-    text = own.where("_type = 'string'").select("dataset", F.col("variable").alias("target"), F.lit(True).alias("_text"))
-    met = met.join(text, ["dataset", "target"], "left")
-    spans = F.when(F.coalesce("_text", F.lit(False)) & (F.size("target_dimensions") > 0), F.slice("target_dimensions", 1, F.greatest(F.size("target_dimensions") - 1, F.lit(0)))).otherwise(F.col("target_dimensions"))
-    met = met.withColumn("_spans", spans)
-    foreign = F.array_except("_spans", "parent")
-    dims = variables.select("dataset", F.explode("dimensions").alias("_d")).distinct()
-
-    def rows(df: DataFrame, rule: str, broken: Column, message: Column | str) -> DataFrame:
-        said = message if isinstance(message, Column) else F.lit(message)
-        return df.where(F.coalesce(broken, F.lit(False))).select("dataset", F.col("variable").alias("object"), F.lit(rule).alias("rule"), said.alias("message"))
-
-    def lost_dimension(name: str, of: Column) -> DataFrame:
-        asked = variables.where(_said(name).isNotNull()).select("dataset", "variable", F.explode(of).alias("_d"))
-        return rows(asked.join(dims, ["dataset", "_d"], "left_anti"), name, F.lit(True), F.concat(F.lit("no dimension "), F.col("_d")))
-
-    named = lambda name: F.filter(F.split(_said(name), r"\s+"), lambda x: x != "")
+    and the dimensions of that, bounds, grid mappings, compression, and meshes. All rules of a row are told in one pass over
+    each of the two tables; only dimensions that must exist need a join."""
+
+    def rows(df: DataFrame, *checks: tuple[str, Column, Column | str]) -> DataFrame:
+        """A row for each rule (rule, broken, message) that a row breaks."""
+        broken = (F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(rule).alias("rule"), (said if isinstance(said, Column) else F.lit(said)).alias("message"))) for rule, test, said in checks)
+        return df.select("dataset", F.col("variable").alias("object"), F.inline(F.array_compact(F.array(*broken))))
+
+    role, target = F.col("role"), F.col("target")
+    of_target = lambda k: F.try_element_at("target_attributes", F.lit(k))
+    is_text = F.coalesce(F.col("target_type") == "string", F.lit(False))
+    spans = F.when(is_text & (F.size("target_dimensions") > 0), F.slice("target_dimensions", 1, F.greatest(F.size("target_dimensions") - 1, F.lit(0)))).otherwise(F.col("target_dimensions"))
+    foreign = F.array_except(spans, "dimensions")
+    fits = (F.size("target_dimensions") == F.size("dimensions") + 1) & (F.slice("target_dimensions", F.lit(1), F.size("dimensions")) == F.col("dimensions"))
+    no_mesh = ~F.coalesce(of_target("cf_role") == "mesh_topology", F.lit(False))
+    need = F.try_element_at(F.create_map(*[F.lit(x) for k in LOCATIONS.items() for x in k]), F.col("location"))
+    lacking = F.when(no_mesh, F.concat(target, F.lit(" is no mesh"))).when(need.isNull(), F.concat(F.lit("no location "), F.coalesce("location", F.lit("given")))).otherwise(F.concat(F.lit("the mesh has no "), need))
+    referred = rows(
+        refs,
+        ("reference", F.col("state") == "missing", F.concat(role, F.lit(" names absent "), target)),
+        ("dimensions", role.isin("coordinates", "cell_measures", "ancillary_variables") & (F.size(foreign) > 0), F.concat(role, F.lit(" "), target, F.lit(" spans "), F.array_join(foreign, " "))),
+        ("bounds", role.isin("bounds", "climatology") & ~fits, F.concat(target, F.lit(": dimensions must be those of the parent and one more"))),
+        ("grid_mapping", (role == "grid_mapping") & (F.col("state") == "found") & of_target("grid_mapping_name").isNull(), F.concat(target, F.lit(" has no grid_mapping_name"))),
+        ("mesh", (role == "mesh") & (no_mesh | need.isNull() | F.try_element_at("target_attributes", need).isNull()), lacking),
+    )
     is_mesh = F.coalesce(_said("cf_role") == "mesh_topology", F.lit(False))
-    meshes = variables.where(is_mesh).select("dataset", F.col("variable").alias("target"), F.col("attributes").alias("_of_mesh"))
-    on_mesh = variables.where(_said("mesh").isNotNull()).select("dataset", "variable", _said("mesh").alias("target"), _said("location").alias("_location")).join(meshes, ["dataset", "target"], "left")
-    needs = F.create_map(*[F.lit(x) for k in LOCATIONS.items() for x in k])
-    need = F.try_element_at(needs, F.col("_location"))
-    mapping = refs.where("role = 'grid_mapping' and state = 'found'").join(variables.select(F.col("dataset"), F.col("variable").alias("target"), _said("grid_mapping_name").alias("_name")), ["dataset", "target"])
-    fits = (F.size("target_dimensions") == F.size("parent") + 1) & (F.slice("target_dimensions", F.lit(1), F.size("parent")) == F.col("parent"))
-    checks = [
-        rows(refs, "reference", F.col("state") == "missing", F.concat("role", F.lit(" names absent "), "target")),
-        rows(met, "dimensions", F.col("role").isin("coordinates", "cell_measures", "ancillary_variables") & (F.size(foreign) > 0), F.concat("role", F.lit(" "), "target", F.lit(" spans "), F.array_join(foreign, " "))),
-        rows(met, "bounds", F.col("role").isin("bounds", "climatology") & ~fits, F.concat("target", F.lit(": dimensions must be those of the parent and one more"))),
-        rows(mapping, "grid_mapping", F.col("_name").isNull(), F.concat("target", F.lit(" has no grid_mapping_name"))),
-        lost_dimension("sample_dimension", F.array(_said("sample_dimension"))),
-        lost_dimension("instance_dimension", F.array(_said("instance_dimension"))),
-        lost_dimension("compress", named("compress")),
-        rows(variables, "compress", _said("compress").isNotNull() & (F.size("dimensions") != 1), "a list has one dimension"),
-        rows(variables.where(is_mesh), "mesh", _said("node_coordinates").isNull(), "node_coordinates are missing"),
-        *(rows(variables.where(is_mesh), "mesh", _said(f"{k}_coordinates").isNotNull() & (_count(_said(f"{k}_coordinates")) != _count(_said("node_coordinates"))), f"{k}_coordinates are not as many as node_coordinates") for k in ("edge", "face")),
-        rows(on_mesh, "mesh", F.col("_of_mesh").isNull() | need.isNull() | F.try_element_at("_of_mesh", need).isNull(), F.when(F.col("_of_mesh").isNull(), F.concat("target", F.lit(" is no mesh"))).when(need.isNull(), F.concat(F.lit("no location "), F.coalesce("_location", F.lit("given")))).otherwise(F.concat(F.lit("the mesh has no "), need))),
-    ]
-    return report(*checks)
+    nodes = _count(_said("node_coordinates"))
+    alone = rows(
+        variables,
+        ("compress", _said("compress").isNotNull() & (F.size("dimensions") != 1), "a list has one dimension"),
+        ("mesh", _said("mesh").isNotNull() & (_count(_said("mesh")) == 0), " is no mesh"),
+        ("mesh", is_mesh & _said("node_coordinates").isNull(), "node_coordinates are missing"),
+        *(("mesh", is_mesh & _said(f"{k}_coordinates").isNotNull() & (_count(_said(f"{k}_coordinates")) != nodes), f"{k}_coordinates are not as many as node_coordinates") for k in ("edge", "face")),
+    )
+    one = lambda k: F.when(_said(k).isNotNull(), F.array(F.struct(F.lit(k).alias("rule"), _said(k).alias("_d"))))
+    lists = F.when(_said("compress").isNotNull(), F.transform(F.filter(F.split(_said("compress"), r"\s+"), lambda x: x != ""), lambda x: F.struct(F.lit("compress").alias("rule"), x.alias("_d"))))
+    asked = variables.select("dataset", F.col("variable").alias("object"), F.inline(F.flatten(F.array_compact(F.array(one("sample_dimension"), one("instance_dimension"), lists)))))
+    dims = variables.select("dataset", F.explode("dimensions").alias("_d")).distinct()
+    lost = asked.join(dims.hint("merge"), ["dataset", "_d"], "left_anti").select("dataset", "object", "rule", F.concat(F.lit("no dimension "), "_d").alias("message"))
+    return report(referred, alone, lost)
 
 
 def report(*checks: DataFrame) -> DataFrame:

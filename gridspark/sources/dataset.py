@@ -54,48 +54,62 @@ def catalogue(spark: SparkSession, paths: list[str]) -> DataFrame:
     return some.repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism))).mapInPandas(headers, CATALOGUE)
 
 
+def _given(name: str, column: str = "attributes") -> Column:
+    return F.try_element_at(column, F.lit(name))
+
+
 def _attribute(name: str, column: str = "attributes") -> Column:
-    return F.coalesce(F.try_element_at(column, F.lit(name)), F.lit(""))
+    return F.coalesce(_given(name, column), F.lit(""))
 
 
 def references(variables: DataFrame, external: DataFrame | None = None) -> DataFrame:
-    """(dataset, variable, role, term, target, found_in, target_dimensions, state): what every variable of a catalogue refers to.
+    """(dataset, variable, role, term, target, found_in, target_dimensions, state, and more): what every variable of a catalogue refers to.
 
     `found_in` is the dataset with the target: that of the variable itself (state found), or, if it says that the target is
     an external variable, the one of `external`, another catalogue, that alone has it (external); else there is none (missing).
-    A dimension refers to its coordinate variable if there is one. One explode and joins by name, whatever the number of datasets."""
+    A dimension refers to its coordinate variable if there is one. `dimensions` and `location` are those of the variable,
+    `target_type` and `target_attributes` those of a target in its dataset. One explode and joins by name, whatever the
+    number of datasets: variables meet in a merge join, as estimates of exploded tables are far too small to decide on a broadcast."""
     none = F.lit(None)
 
     def ref(role: str, term: Column, target: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), term.cast("string").alias("term"), target.alias("target"))
 
+    def given(k: str, refs: Column) -> Column:
+        """None for an attribute that a variable lacks, as it lacks most; the text is not taken apart then."""
+        return F.when(_given(k).isNotNull(), refs)
+
     def listed(k: str) -> Column:
-        return F.transform(words(_attribute(k)), lambda x: ref(k, none, x))
+        return given(k, F.transform(words(_given(k)), lambda x: ref(k, none, x)))
 
     def termed(k: str) -> Column:
-        return F.flatten(F.transform(F.map_entries(key_values(_attribute(k))), lambda e: F.transform(e["value"], lambda x: ref(k, e["key"], x))))
+        return given(k, F.flatten(F.transform(F.map_entries(key_values(_given(k))), lambda e: F.transform(e["value"], lambda x: ref(k, e["key"], x)))))
 
-    dimensions = F.array_union("dimensions", words(_attribute("dimensions")))  # a domain variable names them
+    spans = F.col("dimensions")
+    dimensions = F.when(_given("dimensions").isNotNull(), F.array_union(spans, words(_given("dimensions")))).otherwise(F.array_distinct(spans))  # a domain variable names them
     parts = [F.transform(dimensions, lambda d: ref("dimension", none, d)), *map(listed, (*LISTS, *MESH)), *map(termed, TERMS)]
-    mapping = _attribute("grid_mapping")
+    mapping = _given("grid_mapping")
     names = F.when(mapping.contains(":"), F.map_keys(key_values(mapping))).otherwise(words(mapping))
-    parts.append(F.transform(names, lambda x: ref("grid_mapping", none, x)))
-    said = variables.select("dataset", "variable", words(_attribute("external_variables", "globals")).alias("outside"), F.explode(F.concat(*parts)).alias("r"))
-    asked = said.select("dataset", "variable", "r.*", F.array_contains("outside", F.col("r.target")).alias("outside"))
-    there = variables.select("dataset", F.col("variable").alias("target"), F.col("dimensions").alias("own"))
-    out = asked.join(there, ["dataset", "target"], "left")
+    parts.append(given("grid_mapping", F.transform(names, lambda x: ref("grid_mapping", none, x))))
+    said = variables.select(
+        "dataset", "variable", "dimensions", _given("location").alias("location"), F.concat(F.lit(" "), F.regexp_replace(_attribute("external_variables", "globals"), r"\s+", " "), F.lit(" ")).alias("outside"),
+        F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("r"),
+    )
+    asked = said.select("dataset", "variable", "dimensions", "location", "r.*", ((F.col("r.role") == "cell_measures") & F.col("outside").contains(F.concat(F.lit(" "), F.col("r.target"), F.lit(" ")))).alias("outside"))
+    there = variables.select("dataset", F.col("variable").alias("target"), F.col("dimensions").alias("own"), F.col("type").alias("target_type"), F.col("attributes").alias("target_attributes"))
+    out = asked.join(there.hint("merge"), ["dataset", "target"], "left")
     if external is None:
         out = out.withColumn("elsewhere", F.lit(None).cast("string")).withColumn("outer", F.lit(None).cast("array<string>"))
     else:
         alone = external.groupBy(F.col("variable").alias("target")).agg(F.count("*").alias("n"), F.first("dataset").alias("elsewhere"), F.first("dimensions").alias("outer")).where("n = 1").drop("n")
         out = out.join(alone, "target", "left")
     # Only cell measures may be external; a dimension's coordinate variable spans that dimension alone.
-    is_out = F.col("own").isNull() & F.col("outside") & (F.col("role") == "cell_measures") & F.col("elsewhere").isNotNull()
+    is_out = F.col("own").isNull() & F.col("outside") & F.col("elsewhere").isNotNull()
     state = F.when(F.col("own").isNotNull(), "found").when(is_out, "external").otherwise("missing")
     out = out.where((F.col("role") != "dimension") | F.coalesce(F.col("own") == F.array("target"), F.lit(False)))
     return out.select(
         "dataset", "variable", "role", "term", "target", F.when(F.col("own").isNotNull(), F.col("dataset")).when(is_out, F.col("elsewhere")).alias("found_in"),
-        F.when(F.col("own").isNotNull(), F.col("own")).when(is_out, F.col("outer")).alias("target_dimensions"), state.alias("state"),
+        F.when(F.col("own").isNotNull(), F.col("own")).when(is_out, F.col("outer")).alias("target_dimensions"), state.alias("state"), "dimensions", "location", "target_type", "target_attributes",
     )
 
 
@@ -139,7 +153,7 @@ def grouped(spark: SparkSession, paths: list[str], external: list[str] | None =
     """The fields of each file, by variable, or its domains; cell measures that files leave to others are looked for in `external`. Metadata come to the driver, data stay where they are."""
     own = catalogue(spark, paths).persist()
     outer = catalogue(spark, external).persist() if external else None
-    refs = references(own, outer).persist()
+    refs = references(own, outer).drop("dimensions", "location", "target_type", "target_attributes").persist()
     fields = domain_variables(own) if domain else data_variables(own, refs, extra)
     found = constructs(own if outer is None else own.unionByName(outer), refs, fields)
     described = {(r["dataset"], r["variable"]): r for part in (own, outer) if part is not None for r in part.collect()}

@@ -10,7 +10,8 @@ from gridspark import io
 from gridspark.functions import attrs, references, time
 from gridspark.model import Cells, Construct, Domain, Field
 from gridspark.operators import masking, matching
-from gridspark.plans import report
+from gridspark.plans import conformance, report
+from gridspark.plans import queries as plans
 from gridspark.sources import dataset, netcdf3, zarr3
 
 
@@ -354,3 +355,28 @@ def test_small_parts(spark):
     assert [r[2] for r in values(x.data)] == [None, 1, 10, None, None, None] and values(x.constructs[1].data) == [(0, None), (1, None)]
     assert attrs.sorted_method({"axes": ["y", "a"], "method": "mean", "intervals": [(1.0, "m"), (2.0, "s")]}) == {"axes": ["a", "y"], "method": "mean", "intervals": [(2.0, "s"), (1.0, "m")]}
     assert report.deterministic_name(f.data) == report.deterministic_name(f.data) != report.deterministic_name(f.constructs[2].data)
+
+
+def test_variables_are_never_broadcast(spark):
+    """Estimates of exploded tables are too small, whatever the size of the catalogue."""
+    for name in ("conformance_datasets", "dataset_references"):
+        df = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+        text = df._jdf.queryExecution().executedPlan().toString()
+        joins = [x for x in text.splitlines() if "BroadcastHashJoin" in x]
+        assert len(joins) == (0 if name == "conformance_datasets" else 1), joins  # external variables, two small tables
+
+
+def test_report_of_meshes_named_oddly(spark):
+    schema = "dataset string, variable string, type string, dimensions array<string>, attributes map<string,string>, globals map<string,string>"
+    rows = [
+        ("a", "m", "int", [], {"cf_role": "mesh_topology", "node_coordinates": "x", "face_node_connectivity": "f"}, {}),
+        ("a", "x", "double", ["n"], {}, {}),
+        ("a", "f", "int", ["k", "three"], {}, {}),
+        ("a", "good", "double", ["k"], {"mesh": "m", "location": "face"}, {}),
+        ("a", "none", "double", ["k"], {"mesh": " ", "location": "face"}, {}),
+        ("a", "bare", "double", ["k"], {"mesh": "m"}, {}),
+        ("a", "list", "int", ["k", "n"], {"compress": "n lost"}, {}),
+    ]
+    variables = spark.createDataFrame(rows, schema)
+    got = {tuple(r) for r in conformance.datasets(variables, dataset.references(variables)).collect()}
+    assert got == {("a", "none", "mesh", " is no mesh"), ("a", "bare", "mesh", "no location given"), ("a", "list", "compress", "no dimension lost"), ("a", "list", "compress", "a list has one dimension")}
