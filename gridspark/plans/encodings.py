@@ -362,16 +362,16 @@ FROM n LEFT JOIN g ON n.edges = g.edges AND n.nodes = g.nodes LEFT JOIN h ON n.e
 )
 def mesh_linked(spark: SparkSession, sf: str) -> DataFrame:
     """Each order as a face of parts, as its edges turned round, one of them lacking in every fifth, and as points: which domains are of one mesh."""
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_partkey") % 50).alias("x")).distinct()
-    faces = lines.groupBy("o").agg(F.array_sort(F.collect_list("x")).alias("nodes"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_partkey") % 50).alias("x"))
+    faces = lines.groupBy("o").agg(F.array_sort(F.collect_set("x")).alias("nodes"))
     key = lambda p: F.concat(F.lit(p), F.col("o").cast("string")).alias("domain")
     n = F.size("nodes")
     ring = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array(F.get("nodes", (k + 1) % n), F.get("nodes", k)))
     turned = F.array_sort(F.array_distinct(F.transform(F.filter(ring, lambda e: e[0] != e[1]), lambda e: F.array_sort(e))))
     kept = F.when(F.col("o") % 5 == 0, F.slice(turned, 2, 1000)).otherwise(turned)
     edges = faces.where("size(nodes) > 1").select(key("e"), F.lit("edge").alias("kind"), F.explode(kept).alias("nodes")).withColumn("nodes", F.reverse("nodes"))
-    pairs = faces.where("size(nodes) > 1").select("o", F.explode(turned).alias("e"))
-    both = pairs.select("o", F.col("e")[0].alias("x"), F.col("e")[1].alias("y")).unionByName(pairs.select("o", F.col("e")[1].alias("x"), F.col("e")[0].alias("y")))
+    # Both ways in one explode: rows stay with their order, so that nothing is shuffled again.
+    both = faces.where("size(nodes) > 1").select("o", F.explode(F.concat(turned, F.transform(turned, lambda e: F.reverse(e)))).alias("e")).select("o", F.col("e")[0].alias("x"), F.col("e")[1].alias("y"))
     points = both.groupBy("o", "x").agg(F.collect_list("y").alias("y")).select(key("p"), F.lit("point").alias("kind"), F.concat(F.array("x"), "y").alias("nodes"))
     return mesh.linked(faces.select(key("f"), F.lit("face").alias("kind"), "nodes").unionByName(edges).unionByName(points))
 
