@@ -16,9 +16,14 @@ def contiguous(samples: DataFrame, instances: DataFrame, sample: str, instance:
     Instance k owns the `count` samples after those of all before it. The prefix sum is taken in two levels, and
     a sample's number is matched by equality with start + element: no range join. Instances
     without samples give one row with NULL, so they are not lost."""
+    return owned(instances, sample, instance, count, element).join(samples, sample, "left")
+
+
+def owned(instances: DataFrame, sample: str, instance: str, count: str, element: str = "e") -> DataFrame:
+    """(instance, element, sample): the samples that each instance of a contiguous ragged array owns; one row with NULL where it has none."""
     starts = running_start(instances.select(instance, F.coalesce(count, F.lit(0)).cast("long").alias("_count")), instance, "_count", "_start")
     places = starts.select(instance, F.explode_outer(F.when(F.col("_count") > 0, F.sequence(F.lit(0).cast("long"), F.col("_count") - 1))).alias(element), "_start")
-    return places.withColumn(sample, F.col("_start") + F.col(element)).drop("_start").join(samples, sample, "left")
+    return places.withColumn(sample, F.col("_start") + F.col(element)).drop("_start")
 
 
 def indexed(samples: DataFrame, instance: str, order: list[str], element: str = "e") -> DataFrame:

@@ -67,15 +67,16 @@ l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_L
 def _sampled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, tuple[int, ...]]:
     """(orders with their number i and their place p among those of customer c, lines e with some values missing, how many of i, c, p, e)."""
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c"))
-    n = orders.count()
-    orders = ragged.indexed(dense_places(orders, "o_orderkey", n, "i"), "c", ["o_orderkey"], "p")
+    path = scratch(spark, "sampled")
+    # Each is numbered once and written; sizes come from what is written.
+    ragged.indexed(dense_places(orders, "o_orderkey", 0, "i"), "c", ["o_orderkey"], "p").write.parquet(f"{path}/orders")
+    orders = spark.read.parquet(f"{path}/orders")
     q = F.col("l_quantity")
     lines = ragged.indexed(table(spark, sf, "lineitem"), "l_orderkey", _LINES.split(", ")).select(F.col("l_orderkey").alias("o_orderkey"), "e", F.when(q > 10, q.cast("double")).alias("quantity"), F.when(q < 30, F.col("l_extendedprice").cast("double")).alias("price"))
-    c, p, e = orders.agg(F.max("c") + 1, F.max("p") + 1).crossJoin(F.broadcast(lines.agg(F.max("e") + 1))).first()
-    path = scratch(spark, "sampled")
-    orders.write.parquet(f"{path}/orders")
     orders.join(lines, "o_orderkey").write.parquet(f"{path}/lines")
-    return spark.read.parquet(f"{path}/orders"), spark.read.parquet(f"{path}/lines"), (n, c, p, e)
+    lines = spark.read.parquet(f"{path}/lines")
+    n, c, p = orders.agg(F.count("*"), F.max("c") + 1, F.max("p") + 1).first()
+    return orders, lines, (n, c, p, lines.agg(F.max("e") + 1).first()[0])
 
 
 def _by_order(spark: SparkSession, sf: str, kind: str) -> DataFrame:

@@ -13,6 +13,7 @@ from ..model import Cells, Construct, Field
 from ..operators import ragged
 from ..operators.cells import unravelled
 from ..operators.ordering import running_start
+from .scratch import written
 
 #: Attributes by which a variable says that others are compressed.
 MARKS = ("sample_dimension", "instance_dimension", "compress")
@@ -70,10 +71,12 @@ def schemes(rows: list) -> dict[str, Scheme]:
     return out
 
 
-def expanded(cells: Cells, found: dict[str, Scheme], read: Callable[[str], Cells], sizes: dict[str, int]) -> Cells:
+def expanded(cells: Cells, found: dict[str, Scheme], read: Callable[[str], Cells], sizes: dict[str, int], known: dict | None = None) -> Cells:
     """An array without compression; `read` gives the cells of a variable. The places of samples are an axis `element`, those of profiles one named `<profiles>_place`.
 
-    Indices are counted from 0. The largest count, which is the size of the new axis, comes from one small job."""
+    Indices are counted from 0. Where each sample belongs is written once for all variables on its dimension, and kept in
+    `known` with the largest counts, the sizes of new axes."""
+    known = {} if known is None else known
     for axis, s in found.items():
         if axis not in cells.axes:
             continue
@@ -85,28 +88,36 @@ def expanded(cells: Cells, found: dict[str, Scheme], read: Callable[[str], Cells
             places = variable(s.index, "_place")
             df = values.join(places, axis).select(*unravelled(F.col("_place"), s.dimensions, shape), *rest, "value")
             return replace(cells, df=df, axes=(*s.dimensions, *rest), shape=(*shape, *(cells.sizes[a] for a in rest)), value="value")
-        if s.kind == "indexed":
-            (instance,) = s.dimensions
-            owners = ragged.indexed(variable(s.index, instance), instance, [axis], "element")
-            df, new, most = values.join(owners, axis), (instance, "element"), owners.agg(F.max("element") + 1)
-        elif s.kind == "contiguous":
-            (instance,) = s.dimensions
-            counts = variable(s.count, "_count")
-            df = ragged.contiguous(values, counts, axis, instance, "_count", "element").where("element is not null")
-            new, most = (instance, "element"), counts.agg(F.max("_count"))
-        else:
-            instance, profile = s.dimensions
-            profiles = variable(s.count, "_count").join(variable(s.index, instance), profile)
-            place = f"{profile}_place"
-            df = ragged.indexed_contiguous(values, profiles, axis, profile, instance, "_count", "element", place).where("element is not null")
-            places = profiles.groupBy(instance).agg(F.count("*").alias("n"), F.max("_count").alias("m"))
-            new, most = (instance, place, "element"), places.agg(F.max("n"), F.max("m"))
-        largest = [x or 0 for x in most.first()]
+        if axis not in known:
+            known[axis] = _places(axis, s, variable)
+        places, new, largest = known[axis]
+        df = places.join(values, axis, "inner" if s.kind == "indexed" else "left")
         shape = (sizes[new[0]], *largest)
         return replace(cells, df=df.select(*new, *rest, "value"), axes=(*new, *rest), shape=(*shape, *(cells.sizes[a] for a in rest)), value="value")
     return cells
 
 
+def _places(axis: str, s: Scheme, variable: Callable[[str, str], DataFrame]) -> tuple[DataFrame, tuple[str, ...], list[int]]:
+    """(sample, new axes) of a compressed dimension, from storage; the new axes, and the sizes of all but the first."""
+    instance = s.dimensions[0]
+    if s.kind == "indexed":
+        owners = variable(s.index, instance)
+        places, new = ragged.indexed(owners, instance, [axis], "element"), (instance, "element")
+        most = owners.groupBy(instance).agg(F.count("*").alias("n")).agg(F.max("n"))
+    elif s.kind == "contiguous":
+        counts = variable(s.count, "_count")
+        places, new = ragged.owned(counts, axis, instance, "_count", "element"), (instance, "element")
+        most = counts.agg(F.max("_count"))
+    else:
+        profile, place = s.dimensions[1], f"{s.dimensions[1]}_place"
+        profiles = variable(s.count, "_count").join(variable(s.index, instance), profile)
+        placed = ragged.indexed(profiles, instance, [profile], place).select(profile, instance, place)
+        places = ragged.owned(profiles, axis, profile, "_count", "element").join(placed, profile)
+        new = (instance, place, "element")
+        most = profiles.groupBy(instance).agg(F.count("*").alias("n"), F.max("_count").alias("m")).agg(F.max("n"), F.max("m"))
+    return written(places.where(F.col("element").isNotNull()).select(axis, *new), "places"), new, [x or 0 for x in most.first()]
+
+
 def compressed(field: Field, kind: str, sample: str = "obs") -> tuple[Field, list[tuple[str, tuple[str, ...], str, dict, Cells]]]:
     """(the field with its samples end to end, count and index variables): `kind` is contiguous or indexed for data on (instance, element), and indexed_contiguous for data on (instance, profile, element).
 
@@ -120,14 +131,18 @@ def compressed(field: Field, kind: str, sample: str = "obs") -> tuple[Field, lis
     for c in [field.data, *(c.data for c in alike)]:
         one = c.df.select(*axes, c.v.isNotNull().alias("_there"))
         there = one if there is None else there.unionByName(one)
-    there = Cells(there.select(*axes, F.when(F.col("_there"), 1).alias("value")), axes, field.data.shape)
     instance, element = axes[0], axes[-1]
+    # Of each instance, or profile, its last sample alone, from storage: counts and starts read it several times.
+    there = there.groupBy(*axes[:-1]).agg(F.max(F.when(F.col("_there"), F.col(element))).alias(element)).withColumn("value", F.when(F.col(element).isNotNull(), 1))
+    there = Cells(written(there, "last"), axes, field.data.shape)
     long = lambda df, axis, name, n: Cells(df.select(F.col(axis).cast("long").alias(axis), F.col(name).cast("int").alias("value")), (axis,), (n,))
     if kind == "indexed_contiguous":
-        samples, profiles = ragged.compress_indexed_contiguous(there, axes[1], element, sample, "_profile", "_instance")
+        _, profiles = ragged.compress_indexed_contiguous(there, axes[1], element, sample, "_profile", "_instance")
+        profiles = written(profiles, "profiles")
         starts = running_start(profiles, "_profile", "count", "_start")
         first = starts.groupBy("_instance").agg(F.min("_profile").alias("_first"))
         starts = starts.join(first, "_instance").select(F.col("_instance").alias(instance), (F.col("_profile") - F.col("_first")).alias(axes[1]), "_start", "count")
+        starts = written(starts, "starts")
         total, n = profiles.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
         row = f"{axes[1]}_row"
         own = profiles.withColumnRenamed("_profile", row)
@@ -135,7 +150,8 @@ def compressed(field: Field, kind: str, sample: str = "obs") -> tuple[Field, lis
         keys, sizes = [instance, axes[1]], {row: n}
     else:
         counted = there.df.groupBy(instance).agg(F.coalesce(F.max(F.when(F.col("value").isNotNull(), F.col(element) + 1)), F.lit(0).cast("long")).alias("count"))
-        starts = running_start(counted, instance, "count", "_start")
+        starts = written(running_start(counted, instance, "count", "_start"), "starts")
+        counted = starts.select(instance, "count")
         total = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
         if kind == "contiguous":
             extra = [("row_size", (instance,), "i4", {"sample_dimension": sample}, long(counted, instance, "count", field.data.sizes[instance]))]

@@ -166,8 +166,9 @@ def grouped(spark: SparkSession, paths: list[str], external: list[str] | None =
             df.unpersist()
     make = _domain if domain else _field
     out: dict[str, list] = {p: [] for p in paths}
+    places: dict[str, dict] = {p: {} for p in paths}  # of compressed dimensions, for all variables of a file
     for d, v in sorted((r["dataset"], r["variable"]) for r in names):
-        out[d].append(make(spark, described, d, v, mine.get((d, v), [])))
+        out[d].append(make(spark, described, d, v, mine.get((d, v), []), places))
     return out
 
 
@@ -194,7 +195,7 @@ def dimensions_of(path: str) -> dict[str, int]:
     return {} if dataset_type(path) in ("zarr", "kerchunk") else dict(netcdf3.read_header(local(path)).dimensions)
 
 
-def _cells(spark: SparkSession, r: object, described: dict) -> Cells:
+def _cells(spark: SparkSession, r: object, described: dict, places: dict[str, dict]) -> Cells:
     def raw(r: object) -> Cells:
         if "aggregated_data" in r["attributes"]:
             return aggregation.stored(spark, r["dataset"], r["variable"])
@@ -203,35 +204,35 @@ def _cells(spark: SparkSession, r: object, described: dict) -> Cells:
     own = [x for (d, _), x in described.items() if d == r["dataset"]]
     sizes = {d: n for x in own for d, n in zip(x["dimensions"], x["shape"])}
     sizes |= dimensions_of(r["dataset"])
-    return expanded(raw(r), schemes(own), lambda name: raw(described[r["dataset"], name]), sizes)
+    return expanded(raw(r), schemes(own), lambda name: raw(described[r["dataset"], name]), sizes, places.setdefault(r["dataset"], {}))
 
 
 def _properties(r: object) -> dict:
     return {k: v for k, v in r["attributes"].items() if k not in (*LISTS, *TERMS, "mesh", "location", "aggregated_dimensions", "dimensions", "grid_mapping", "cell_methods", "_FillValue", "units", "calendar", "featureType")}
 
 
-def _field(spark: SparkSession, described: dict, dataset: str, name: str, found: list) -> Field:
+def _field(spark: SparkSession, described: dict, dataset: str, name: str, found: list, places: dict[str, dict]) -> Field:
     r = described[dataset, name]
-    data = _cells(spark, r, described)
-    out = _constructs(spark, described, dataset, r, found, data.sizes)
+    data = _cells(spark, r, described, places)
+    out = _constructs(spark, described, dataset, r, found, data.sizes, places)
     for k, m in enumerate(parse_cell_methods(r["attributes"].get("cell_methods", ""))):
         out.append(Construct(f"cellmethod{k}", "cell_method", tuple(m["axes"]), {q: str(v) for q, v in m.items() if q not in ("axes", "method")}, method=m["method"]))
     return Field(data, tuple(out), {**r["globals"], **_properties(r)})
 
 
-def _domain(spark: SparkSession, described: dict, dataset: str, name: str, found: list) -> Domain:
+def _domain(spark: SparkSession, described: dict, dataset: str, name: str, found: list, places: dict[str, dict]) -> Domain:
     r = described[dataset, name]
     sizes = dimensions_of(dataset) | {d: n for (x, _), y in described.items() if x == dataset for d, n in zip(y["dimensions"], y["shape"])}
-    return Domain(tuple(_constructs(spark, described, dataset, r, found, {d: sizes[d] for d in r["attributes"]["dimensions"].split()})), {**r["globals"], **_properties(r)})
+    return Domain(tuple(_constructs(spark, described, dataset, r, found, {d: sizes[d] for d in r["attributes"]["dimensions"].split()}, places)), {**r["globals"], **_properties(r)})
 
 
-def _constructs(spark: SparkSession, described: dict, dataset: str, r: object, found: list, sizes: dict[str, int]) -> list[Construct]:
+def _constructs(spark: SparkSession, described: dict, dataset: str, r: object, found: list, sizes: dict[str, int], places: dict[str, dict]) -> list[Construct]:
     out = [Construct(a, "domain_axis", size=n, ncdim=a) for a, n in sizes.items()]
     for x in sorted(found, key=lambda x: (list(KINDS.values()).index(x["kind"]), x["variable"])):
         if x["kind"] == "coordinate_reference":
             continue
         own = described[x["found_in"], x["variable"]]
-        cells, bounds = _cells(spark, own, described), None
+        cells, bounds = _cells(spark, own, described, places), None
         if x["bounds"]:
             bounds = variable(spark, x["found_in"], x["bounds"], last="array").df.withColumnRenamed("value", "bounds")
         key, kind = x["variable"], x["kind"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _own: dict[str, str] = {}
@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df from storage, for what several jobs or variables are made of."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def local(path: str) -> str:
     """A path that open() takes; other schemes need a file system of their own."""
     if "://" in path and not path.startswith("file://"):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..model import Cells, Construct, Field
 from ..operators import mesh as M
 from ..operators.ordering import dense_places
-from .scratch import scratch
+from .scratch import written
 
 #: Attributes of a mesh variable that name coordinates, and connectivities.
 COORDINATES = ("node_coordinates", "edge_coordinates", "face_coordinates")
@@ -111,7 +111,7 @@ def planned(spark: SparkSession, fields: list[Field], name: Callable[[str], str]
     for k, c in own.items():
         one = c.data.df.select(F.lit(k).alias("domain"), F.lit(c.cell).alias("kind"), F.col(c.axes[0]).alias("cell"), c.data.v.cast("array<bigint>").alias("nodes"))
         union = one if union is None else union.unionByName(one)
-    union = _written(union)
+    union = written(union, "mesh")
     groups: dict[int, list[int]] = {}
     for r in M.linked(union).collect():  # a row for each field
         groups.setdefault(r["mesh"], []).append(r["domain"])
@@ -120,8 +120,8 @@ def planned(spark: SparkSession, fields: list[Field], name: Callable[[str], str]
         rows = union.where(F.col("domain").isin(members))
         ids = rows.select(F.explode("nodes").alias("id")).where("id is not null").distinct()
         n = ids.count()
-        rank = _written(dense_places(ids, "id", n, "node").select("id", "node"))
-        ranked = _written(M.normalised(rows.withColumn("cell", F.struct("domain", "cell")), "cell", "nodes").select("cell.domain", F.col("cell.cell").alias("cell"), "nodes"))
+        rank = written(dense_places(ids, "id", n, "node").select("id", "node"), "mesh")
+        ranked = written(M.normalised(rows.withColumn("cell", F.struct("domain", "cell")), "cell", "nodes").select("cell.domain", F.col("cell.cell").alias("cell"), "nodes"), "mesh")
         p = Plan({"cf_role": "mesh_topology", "topology_dimension": np.int32(2 if any(own[k].cell == "face" for k in members) else 1)})
         at = name("nodes")
         p.sizes[at] = n
@@ -146,13 +146,6 @@ def planned(spark: SparkSession, fields: list[Field], name: Callable[[str], str]
     return out
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df from storage: each variable of a mesh is made of it again."""
-    path = scratch(df.sparkSession, "mesh")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _put(p: Plan, name: Callable[[str], str], location: str, rows: DataFrame, size: int) -> None:
     width = rows.agg(F.coalesce(F.max(F.size("nodes")), F.lit(1))).first()[0] if location != "edge" else 2
     axis, corners = name(f"{location}s"), name(f"{location}_corners")

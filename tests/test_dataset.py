@@ -380,3 +380,22 @@ def test_report_of_meshes_named_oddly(spark):
     variables = spark.createDataFrame(rows, schema)
     got = {tuple(r) for r in conformance.datasets(variables, dataset.references(variables)).collect()}
     assert got == {("a", "none", "mesh", " is no mesh"), ("a", "bare", "mesh", "no location given"), ("a", "list", "compress", "no dimension lost"), ("a", "list", "compress", "a list has one dimension")}
+
+
+def test_samples_are_placed_once_for_all_variables(spark, tmp_path, monkeypatch):
+    """Counts of what is stored, and places of what is read, are written once, however many variables lie on the samples."""
+    from gridspark.sources import compression
+
+    seen = []
+    monkeypatch.setattr(compression, "written", lambda df, what, own=compression.written: (seen.append(what), own(df, what))[1])
+    for kind, axes in (("contiguous", ("i", "e")), ("indexed", ("i", "e")), ("indexed_contiguous", ("i", "p", "e"))):
+        rows = [(*([0, 2, 3][k % 3], k % 2, k // 3)[:: 1 if len(axes) == 3 else 2], None if k == 4 else float(k)) for k in range(12)]
+        data = cells(spark, rows, axes, (4, 2, 4)[:: 1 if len(axes) == 3 else 2][: len(axes)] if len(axes) == 3 else (4, 4))
+        more = tuple(Construct(k, "auxiliary_coordinate", axes, {"long_name": k}, ncvar=k, data=data) for k in ("one", "two"))
+        seen.clear()
+        dataset.write([Field(data, more, {"long_name": "x"})], str(tmp_path / f"{kind}.nc"), compress=kind)
+        (f,) = dataset.read(spark, [str(tmp_path / f"{kind}.nc")])
+        assert seen.count("places") == 1 and seen.count("last") == 1
+        got = {tuple(r) for r in f.data.df.where("value is not null").collect()}
+        assert got == {r for r in rows if r[-1] is not None}
+        assert {tuple(r) for r in f.construct("long_name=two").data.df.where("value is not null").collect()} == got
