@@ -200,7 +200,7 @@ def tie_bounds(spark: SparkSession, sf: str) -> DataFrame:
 )
 def tie_bounds_2d(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of a bi-linear surface by their corners, for every part."""
-    return tiepoints.bounds_2d(_surface(spark, sf), "p", "q", over=["p_partkey"]).select("p_partkey", "i", "j", F.transform("bounds", lambda x: F.round(x, 4)).alias("bounds"))
+    return tiepoints.bounds_2d(_surface(spark, sf), "p", "q", over=["p_partkey"]).select("p_partkey", "i", "j", F.array(*(F.round(F.get("bounds", F.lit(k)), 4) for k in range(4))).alias("bounds"))
 
 
 @query(
