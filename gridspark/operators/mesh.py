@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import dense_places
@@ -47,17 +47,15 @@ def cell_connectivity(links: DataFrame, cell: str = "cell", neighbours: str = "n
     return links.select(cell, F.concat(F.array(F.col(cell)), F.transform(F.array_compact(neighbours), lambda x: x - start_index)).alias("row"))
 
 
-def normalised(cells: DataFrame, cell: str, nodes: str, start_index: int = 0) -> DataFrame:
+def normalised(cells: DataFrame, cell: str, nodes: str, start_index: int = 0, ranks: DataFrame | None = None) -> DataFrame:
     """Node ids replaced by their rank among all ids in use; NULL padding stays where it is, and a cell without nodes has an empty list.
 
-    Ranks come from the distinct ids, dealt over ranges of the id and counted in two levels."""
-    from .ordering import BLOCK, sums_before
-
+    Ranks come from the distinct ids, dealt over ranges of the id and counted in two levels; or they are given: (id, node), from 0."""
     flat = cells.select(cell, F.posexplode_outer(nodes).alias("_k", "_id"))
-    ids = flat.where("_id is not null").select("_id").distinct().withColumn("_block", F.expr(f"_id div {BLOCK}"))
-    counts = ids.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = sums_before(counts)
-    rank = ids.withColumn("_r", F.row_number().over(Window.partitionBy("_block").orderBy("_id")) - 1).join(before, "_block").select("_id", (F.col("_r") + F.col("_before") + start_index).cast("long").alias("_new"))
+    if ranks is None:
+        # The size, which dense_places() does not read, would take a job of its own.
+        ranks = dense_places(flat.where("_id is not null").select(F.col("_id").alias("id")).distinct(), "id", 0, "node")
+    rank = ranks.select(F.col("id").alias("_id"), (F.col("node") + start_index).cast("long").alias("_new"))
     back = flat.join(rank, "_id", "left").groupBy(cell).agg(F.array_sort(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_new")))).alias("_x"))
     return back.select(cell, F.transform("_x", lambda x: x["_new"]).alias(nodes))
 

@@ -160,10 +160,10 @@ def mesh_from_files(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as faces of parts, a field on the faces and one on the nodes of the same mesh: written as one mesh with node coordinates, and read back with bounds from nodes."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
     faces = lines.select("l_orderkey", F.transform("x", lambda x: x["l_partkey"].cast("long")).alias("nodes")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    n = faces.count()
     folder = scratch(spark, "mesh")
-    dense_places(faces, "l_orderkey", n, "face").select("face", "nodes", F.col("o_totalprice").cast("double").alias("price")).write.parquet(f"{folder}-rows")
+    dense_places(faces, "l_orderkey", 0, "face").select("face", "nodes", F.col("o_totalprice").cast("double").alias("price")).write.parquet(f"{folder}-rows")
     faces = spark.read.parquet(f"{folder}-rows")
+    n = faces.count()
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").cast("double").alias("lat"), F.col("p_size").cast("double").alias("lon"))
     on = lambda df, axis, name, size: Cells(df.select(axis, F.col(name).alias("value")), (axis,), (size,))
 
@@ -175,9 +175,9 @@ def mesh_from_files(spark: SparkSession, sf: str) -> DataFrame:
     on_faces = Field(on(faces, "face", "price", n), (Construct("t", "domain_topology", ("face",), cell="face", data=on(faces, "face", "nodes", n)), *(named(x, "face", bounds=edges(x)) for x in ("lat", "lon"))), {"long_name": "price"})
     points = mesh.points_from_faces(faces)
     points = mesh.with_own(points, "node", "neighbours").join(part.withColumnRenamed("id", "node"), "node")
-    m = points.count()
-    dense_places(points, "node", m, "at").withColumnRenamed("node", "id").write.parquet(f"{folder}-points")
+    dense_places(points, "node", 0, "at").withColumnRenamed("node", "id").write.parquet(f"{folder}-points")
     points = spark.read.parquet(f"{folder}-points")
+    m = points.count()
     on_nodes = Field(on(points, "at", "lat", m), (Construct("t", "domain_topology", ("at",), cell="point", data=on(points, "at", "row", m)), *(named(x, "at", data=on(points, "at", x, m)) for x in ("lat", "lon"))), {"long_name": "size"})
     dataset.write([on_faces, on_nodes], folder)
     f = next(x for x in dataset.read(spark, [folder]) if x.properties.get("long_name") == "price")

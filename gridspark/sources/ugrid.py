@@ -119,9 +119,9 @@ def planned(spark: SparkSession, fields: list[Field], name: Callable[[str], str]
     for members in (sorted(x) for x in groups.values()):
         rows = union.where(F.col("domain").isin(members))
         ids = rows.select(F.explode("nodes").alias("id")).where("id is not null").distinct()
-        n = ids.count()
-        rank = written(dense_places(ids, "id", n, "node").select("id", "node"), "mesh")
-        ranked = written(M.normalised(rows.withColumn("cell", F.struct("domain", "cell")), "cell", "nodes").select("cell.domain", F.col("cell.cell").alias("cell"), "nodes"), "mesh")
+        rank = written(dense_places(ids, "id", 0, "node").select("id", "node"), "mesh")
+        n = rank.count()
+        ranked = written(M.normalised(rows.withColumn("cell", F.struct("domain", "cell")), "cell", "nodes", ranks=rank).select("cell.domain", F.col("cell.cell").alias("cell"), "nodes"), "mesh")
         p = Plan({"cf_role": "mesh_topology", "topology_dimension": np.int32(2 if any(own[k].cell == "face" for k in members) else 1)})
         at = name("nodes")
         p.sizes[at] = n

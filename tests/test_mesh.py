@@ -9,3 +9,19 @@ def test_connectivity_in_blocks(spark, monkeypatch):
     out = mesh.normalised_connectivity(links, "cell", "neighbours", 1)
     assert {r[0]: r[1] for r in out.collect()} == {k + 1: [x + 1 for x in (k - 1, k + 1) if 0 <= x < 100] for k in range(100)}
     assert "dense_rank" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_normalised_by_given_ranks(spark):
+    """Ranks that are known are not made again, and NULL padding stays."""
+    cells = spark.createDataFrame([(0, [30, None, 10]), (1, []), (2, [20])], "cell int, nodes array<long>")
+    ranks = spark.createDataFrame([(10, 0), (20, 1), (30, 2)], "id long, node long")
+    out = mesh.normalised(cells, "cell", "nodes", 1, ranks=ranks)
+    assert {r[0]: r[1] for r in out.collect()} == {0: [3, None, 1], 1: [], 2: [2]}
+    assert "Window" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_corners_are_rounded_in_generated_code(spark):
+    from gridspark.plans import queries
+
+    plan = queries.QUERIES["tie_bounds_2d"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "lambda" not in plan
