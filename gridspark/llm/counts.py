@@ -4,21 +4,104 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import BASE, TO_LOWER, flat, slices
 from .packing import _byte_of_char
+from .words import stretches
 
 END = "</w>"
 #: Characters that compose with nothing before them: Latin, Greek, Cyrillic, kana, CJK, Hangul syllables.
 PLAIN = regex.compile(r"[\x00-\u02ff\u0370-\u0482\u3041-\u3096\u30a1-\u30fa\u3400-\u9fff\uac00-\ud7a3]*")
+#: Where pieces are matched by this, those of ASCII words can be told from bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTER, DIGIT, SIGN, OTHER = 1, 2, 3, 4
+#: The kind of each byte: 0 parts words, signs are ASCII without those that contractions and special strings begin with, other bytes make a word be matched as a whole.
+KIND = np.array([0 if c in b" \n" else OTHER if c >= 127 or c < 33 or c in b"'<" else LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else SIGN for c in range(256)], np.uint8)
+#: Longer pieces (in bytes) are tabled one by one, and so are fewer: side by side they would not pay.
+WIDE, MANY = 64, 64
+
+
+class Trie:
+    """The bytes of a vocabulary's tokens as a table of nodes, for many pieces at a time; node 1 is the root, 0 means that no token goes on so.
+
+    Tokens are numbered; `open` and `shut` give those that end in a node without and with the end of the word, 0 if none does.
+    What has been asked about a pair of tokens is kept in a table of fixed size, in which a later pair can take the place of an earlier one."""
+
+    def __init__(self, vocab: frozenset[str], bits: int = 21) -> None:
+        self.tokens = ["", *sorted(vocab)]
+        byte_of = _byte_of_char()
+        bodies = [t.removesuffix(END) for t in self.tokens]
+        spelled = [bytes(map(byte_of.__getitem__, t)) if byte_of.keys() >= set(t) else b"" for t in bodies]
+        starts = {b[:k] for b in spelled for k in range(len(b) + 1)}
+        inner = {b[:-1] for b in starts if b}
+        self.inner = len(inner)
+        node = {b: k for k, b in enumerate(sorted(starts, key=lambda b: (b not in inner, len(b))), 1)}  # those that go on first, as only they have rows
+        self.next = np.zeros((self.inner + 1, 256), np.int32)
+        for b, k in node.items():
+            if b:
+                self.next[node[b[:-1]], b[-1]] = k
+        self.open, self.shut = np.zeros(len(node) + 1, np.int32), np.zeros(len(node) + 1, np.int32)
+        for k, (t, b) in enumerate(zip(self.tokens, spelled)):
+            if b:
+                (self.shut if t.endswith(END) else self.open)[node[b]] = k
+        self.bits = np.uint64(64 - bits)
+        self.pairs = np.full(1 << bits, -1, np.int64)
+
+    def stay(self, a: np.ndarray, b: np.ndarray, ask: Callable[[str, str], bool]) -> np.ndarray:
+        """Which pairs (a, b) stay apart; any may stand after nothing."""
+        key = a.astype(np.int64) * len(self.tokens) + b
+        slot = (key.view(np.uint64) * BASE) >> self.bits
+        have = self.pairs[slot]
+        new = np.flatnonzero(have >> 1 != key)
+        if len(new):
+            asked, back = np.unique(key[new], return_inverse=True)
+            said = [not x // len(self.tokens) or ask(self.tokens[x // len(self.tokens)], self.tokens[x % len(self.tokens)]) for x in asked.tolist()]
+            have[new] = (asked * 2 + np.array(said, np.int64))[back]
+            self.pairs[slot[new]] = have[new]
+        return have & 1 == 1
+
+    def totals(self, pieces: list[bytes], ask: Callable[[str, str], bool]) -> np.ndarray:
+        """Of pieces from longest to shortest, none empty: the count of each as a word that ends there.
+
+        Fills the tables of last tokens and of counts of all pieces at once, one prefix length a step. What is under way
+        at a step are the beginnings of tokens: of which piece, from which place, at which node."""
+        n, size = len(pieces), np.array([len(x) for x in pieces])
+        width = int(size[0])
+        letters = np.zeros((n, width), np.uint8)
+        letters[np.arange(width) < size[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+        letters = np.ascontiguousarray(letters.T)
+        last, count = np.zeros((width, n), np.int32), np.zeros((width, n), np.int32)
+        out = np.zeros(n, np.int64)
+        piece = place = node = np.empty(0, np.int32)
+        longer = n
+        for j in range(width):
+            here, longer = longer, int(np.searchsorted(-size, -(j + 1)))  # pieces that have byte j, and that go on after it
+            on = np.flatnonzero((piece < here) & (node <= self.inner))
+            piece = np.append(piece[on], np.arange(here, dtype=np.int32))
+            place = np.append(place[on], np.full(here, j, np.int32))
+            node = self.next[np.append(node[on], np.ones(here, np.int32)), letters[j, piece]]
+            on = np.flatnonzero(node)
+            piece, place, node = piece[on], place[on], node[on]
+            ends = piece >= longer
+            token = np.where(ends, self.shut[node], self.open[node])
+            at = np.flatnonzero(token)
+            at = at[self.stay(last[place[at], piece[at]], token[at], ask)]
+            own, total = piece[at], count[place[at], piece[at]] + 1
+            done = ends[at]
+            out[own[done]] = total[done]
+            if j + 1 < width:
+                go = ~done
+                last[j + 1, own[go]], count[j + 1, own[go]] = token[at[go]], total[go]
+        return out
 
 
 class PrefixCounter:
@@ -37,13 +120,16 @@ class PrefixCounter:
         self.special = [x["content"] for x in spec["added_tokens"]]
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pieces = regex.compile(pattern)
+        self.kind = KIND if pattern == PATTERN else np.where(KIND, OTHER, KIND)
         self.char = {b: c for c, b in _byte_of_char().items()}
         self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.apart: dict[tuple[str, str], bool] = {}
         self.words: dict[str, np.ndarray] = {}
-        self.totals: dict[str, int] = {}
+        self.totals: dict[bytes, int] = {}
+        self.closed: dict[bytes, int] = {}
         self.most = most
+        self.trie: Trie | None = None
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The merges applied in the order of their ranks; for pairs of tokens only, so short."""
@@ -99,22 +185,87 @@ class PrefixCounter:
             return word.lower()
         return "".join(c.lower() for c in unicodedata.normalize("NFC", word))
 
+    def parted(self, word: str) -> tuple[int, list[str]]:
+        """How many special strings, and the pieces, of a stretch without white space at which words part."""
+        found, rest = 0, [word]
+        if self.split and "<" in word and (parts := self.split.split(word)):
+            found, rest = len(parts) // 2, parts[::2]
+        return found, [m for part in rest for m in self.pieces.findall(self.normal(part))]
+
     def total(self, word: str) -> int:
-        """Tokens of a stretch without white space at which words part."""
-        found = self.totals.get(word)
-        if found is None:
-            found, rest = 0, [word]
-            if self.split and "<" in word and (parts := self.split.split(word)):
-                found, rest = len(parts) // 2, parts[::2]
-            for part in rest:
-                for m in self.pieces.findall(self.normal(part)):
-                    found += self.token_table("".join(map(self.char.__getitem__, m.encode())), False)[1][-1]
-            if len(self.totals) >= self.most:
-                self.totals.clear()
-            if len(word) < 64:
-                self.totals[word] = found
+        """Tokens of such a stretch."""
+        return self.of_words([word.encode()])[0]
+
+    def close(self, pieces: list[bytes], block: int = 1 << 13) -> None:
+        """Puts the counts of pieces into `closed`; where many have up to WIDE bytes, those go through the tables together."""
+        if len(self.closed) + len(pieces) > self.most:
+            self.closed = {}
+        side = sorted((m for m in pieces if len(m) <= WIDE), key=len, reverse=True)
+        if len(side) < MANY:
+            side = []
+        elif self.trie is None:
+            self.trie = Trie(self.vocab)
+        for k in range(0, len(side), block):
+            some = side[k : k + block]
+            self.closed.update(zip(some, self.trie.totals(some, self.stay).tolist()))
+        for m in pieces:
+            if not side or len(m) > WIDE:
+                self.closed[m] = self.token_table("".join(map(self.char.__getitem__, m)), False)[1][-1]
+
+    def of_pieces(self, pieces: list[bytes]) -> list[int]:
+        """Counts of pieces, each of them once; long ones are not kept."""
+        found = list(map(self.closed.get, pieces))
+        new = [k for k, n in enumerate(found) if n is None]
+        self.close([pieces[k] for k in new])
+        for k in new:
+            found[k] = self.closed[pieces[k]] if len(pieces[k]) <= WIDE else self.closed.pop(pieces[k])
         return found
 
+    def of_words(self, words: list[bytes]) -> list[int]:
+        """Totals of stretches without white space at which words part, each of them once; long ones are not kept."""
+        found = list(map(self.totals.get, words))
+        new = [k for k, n in enumerate(found) if n is None]
+        if len(self.totals) + len(new) > self.most:
+            self.totals = {}
+        parted = [self.parted(words[k].decode()) for k in new]
+        pieces = list({m for _, own in parted for m in own})
+        closed = dict(zip(pieces, self.of_pieces([m.encode() for m in pieces]))).__getitem__
+        for k, (special, own) in zip(new, parted):
+            found[k] = special + sum(map(closed, own))
+            if len(words[k]) <= WIDE:
+                self.totals[words[k]] = found[k]
+        return found
+
+    def count(self, col: pa.Array, most: int = 4 << 20) -> np.ndarray:
+        """Tokens of each text of a column; null counts as empty. Works through about `most` bytes at a time.
+
+        Words of ASCII letters, digits and signs are cut into pieces as bytes; words with anything else are looked up as they
+        are, and those not met before are normalised and matched one by one."""
+        data, offsets = flat(col)
+        out = np.zeros(len(col), np.int64)
+        for lo, hi in stretches(data, offsets, most, self.kind > 0):
+            first, after = np.searchsorted(offsets, [lo, hi], "right")
+            edges = np.clip(offsets[first - 1 : after + 1], lo, hi) - lo  # of the texts in this stretch
+            begins = edges[edges < hi - lo]
+            part = data[lo:hi]
+            kind = self.kind[part]
+            inside, word = kind > 0, kind > 0
+            word[1:] &= ~inside[:-1]
+            word[begins] = inside[begins]
+            at = np.flatnonzero(word)
+            if not len(at):
+                continue
+            piece = word.copy()
+            piece[1:] |= inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+            other = np.zeros(hi - lo, bool)
+            other[at[0] :] = np.repeat(np.maximum.reduceat(kind, at) == OTHER, np.diff(at, append=hi - lo))
+            for letters, own, start, counts in ((TO_LOWER[part], inside & ~other, piece & ~other, self.of_pieces), (part, inside & other, word & other, self.of_words)):
+                ends = np.append((np.cumsum(own, dtype=np.int32) - 1)[start], np.count_nonzero(own)).astype(np.int32)
+                found = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(letters[own])]).dictionary_encode()
+                each = np.array(counts(found.dictionary.to_pylist()), np.int64)[found.indices.to_numpy()]
+                out[first - 1 : first + len(edges) - 2] += np.diff(np.append(0, np.cumsum(each))[np.searchsorted(np.flatnonzero(start), edges)])
+        return out
+
     def prefixes(self, word: str) -> np.ndarray:
         """Counts of the 1, 2, ... first characters of such a stretch.
 
@@ -142,11 +293,6 @@ class PrefixCounter:
                 self.words[word] = found
         return found
 
-    def count(self, text: str) -> int:
-        known = self.totals
-        total = self.total
-        return sum([known[w] if w in known else total(w) for w in text.replace("\n", " ").split(" ") if w])
-
     def table(self, text: str) -> np.ndarray:
         """counts[i]: tokens of text[: i]."""
         out = np.zeros(len(text) + 1, np.int32)
@@ -167,15 +313,15 @@ def counter(path: str) -> PrefixCounter:
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens) of every row of docs. Words are closed at their end only, and one count is kept for each; prefix_counts() gives every prefix.
+    """(doc_id, n_bytes, n_tokens) of every row of docs. Words are closed at their end only, and each distinct one is counted once; prefix_counts() gives every prefix.
 
     Null and empty texts have no bytes and no tokens. Nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for b in slices(batches):
-            texts = [t.as_py() or "" for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([c.count(t) for t in texts], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        for b in batches:
+            n_bytes = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n_bytes, pa.array(c.count(b.column("text")))], ["doc_id", "n_bytes", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 

@@ -18,15 +18,15 @@ IN_WORD = np.isin(np.arange(256), [*range(0x30, 0x3A), *range(0x41, 0x5B), *rang
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _stretches(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+def stretches(data: np.ndarray, offsets: np.ndarray, most: int, in_word: np.ndarray = IN_WORD) -> Iterator[tuple[int, int]]:
     """Cuts the bytes of texts into stretches of about `most` that end where no word goes on."""
     lo = 0
     while lo < len(data):
         hi = min(lo + most, len(data))
         if hi < len(data):
             after = offsets[np.searchsorted(offsets, hi)]  # the end of the text that hi lies in
-            while hi < after and IN_WORD[data[hi - 1]] and IN_WORD[data[hi]]:
-                ahead = np.flatnonzero(~IN_WORD[data[hi : min(hi + 65536, after)]])
+            while hi < after and in_word[data[hi - 1]] and in_word[data[hi]]:
+                ahead = np.flatnonzero(~in_word[data[hi : min(hi + 65536, after)]])
                 hi = hi + int(ahead[0]) if len(ahead) else min(hi + 65536, after)
         yield lo, int(hi)
         lo = int(hi)
@@ -48,7 +48,7 @@ def word_ids(col: pa.Array, vocabulary: pa.Array, most: int = 4 << 20) -> tuple[
     Null counts as empty. Works through about `most` bytes at a time; only four bytes a word are kept."""
     data, offsets = flat(col)
     ids, starts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-    for lo, hi in _stretches(data, offsets, most):
+    for lo, hi in stretches(data, offsets, most):
         piece = data[lo:hi]
         begins = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
         inside, at = _starts(piece, begins)

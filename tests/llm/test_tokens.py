@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -53,6 +54,29 @@ def test_counts_of_all_prefixes(spark):
         assert r["t"] == max((t[:k] for k in range(len(t) + 1) if n(t[:k]) <= 3), key=len) and r["n"] == n(t[:2])
 
 
+@pytest.mark.parametrize("most", [7, 1 << 10, 4 << 20])
+def test_words_are_tabled_together(monkeypatch, most):
+    random.seed(9)
+    path = P.path("word_bpe_49k.json")
+    words = ["".join(random.choice("abdeinorst") for _ in range(random.randint(2, 70))) for _ in range(3000)]
+    rows = [t for _, t in texts()] + [" ".join(random.choice([w, w.title() + ",", f"<{w}>", "é" + w]) for w in words[k : k + 5]) for k in range(0, 3000, 5)]
+    random.shuffle(rows)
+    one_by_one, alone = [], counts.PrefixCounter.token_table
+    monkeypatch.setattr(counts.PrefixCounter, "token_table", lambda self, piece, every: one_by_one.append(piece) or alone(self, piece, every))
+    n = [len(x.ids) for x in Tokenizer.from_file(path).encode_batch([t or "" for t in rows], add_special_tokens=False)]
+    assert counts.PrefixCounter(path, 500).count(pa.array(["cut off", *rows])[1:], most).tolist() == n
+    # only long pieces, and what is short of a table's worth
+    assert most < 1 << 20 or sum(len(x) <= counts.WIDE for x in one_by_one) < counts.MANY
+
+
+def test_pairs_in_a_small_table():
+    c = counts.PrefixCounter(P.path("word_bpe_49k.json"))
+    pieces = sorted((t.encode() for t in ("internationalisation", "hhhhhhhh", "xqzv", "straße", "日本語", "a", "...!!", "th")), key=len, reverse=True)
+    want = [c.token_table("".join(map(c.char.__getitem__, m)), False)[1][-1] for m in pieces]
+    for bits in (1, 4, 16):  # pairs take each other's places
+        assert counts.Trie(c.vocab, bits).totals(pieces, c.stay).tolist() == want
+
+
 @pytest.mark.parametrize("window", [8, 100])
 def test_packing(spark, window):
     rows, path = texts(), P.path("byte_bpe_50k.json")
