@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import forget, stored
 
 EPS = np.finfo(float).eps
+#: Residuals of vectors up to this part of the squared value are small: gaps are a thousandth at least.
+FINE = 1e-12
 
 
 def bidiagonal(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,12 +123,13 @@ def _chased(q: np.ndarray, e: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return a**2, b**2
 
 
-def twisted(a: np.ndarray, b: np.ndarray, value: float) -> Iterator[np.ndarray]:
-    """Unit right singular vectors of the bidiagonal (a, b) for a singular value, by twisted factorisations of B'B - value^2.
+def twisted(a: np.ndarray, b: np.ndarray, value: float) -> Iterator[tuple[np.ndarray, float]]:
+    """Unit right singular vectors of the bidiagonal (a, b) for a singular value, and their residuals, by twisted factorisations of B'B - value^2.
 
     A stationary transform from the top and a progressive one from the bottom meet at one entry; from there one
     multiplication an entry gives the vector up and down. The first has the least pivot where they meet and is the
-    best. All are columns of the inverse, so for a value that others are close to they span the space of all of these."""
+    best. All are columns of the inverse, so for a value that others are close to they span the space of all of these,
+    as far as their residuals are small: a column with a large one holds vectors of other values too."""
     n, lam = len(a), value * value
     q, e = a * a, b * b
     tiny = np.finfo(float).tiny / EPS
@@ -162,14 +165,17 @@ def twisted(a: np.ndarray, b: np.ndarray, value: float) -> Iterator[np.ndarray]:
             z[i + 1] = -up[i] * z[i]
         if np.isfinite(z).all():
             z /= np.abs(z).max()
-            yield z / np.sqrt(z @ z)
+            z /= np.sqrt(z @ z)
+            yield z, abs(gamma[r] * z[r])
 
 
 def directions(a: np.ndarray, b: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Right singular vectors of the bidiagonal (a, b) as columns, by falling value.
 
     The bidiagonal falls apart at zeros of b, and each part gives its own vectors. Values of a part that are closer than a
-    thousandth share a subspace, in which twisted vectors are made orthogonal and then turned to fit B."""
+    thousandth share a subspace, in which twisted vectors are made orthogonal and then turned to fit B. Where none is left
+    that way whose residual is small (parts joined by little more than rounding), what they lack is all that is orthogonal to the
+    vectors found; B tells the values in it apart."""
     n = len(a)
     z = np.zeros((n, n))
     top = values[0] if n else 0
@@ -186,26 +192,36 @@ def directions(a: np.ndarray, b: np.ndarray, values: np.ndarray) -> np.ndarray:
             z[p, at] = part[:, i]
         return z
     full = np.diag(a) + np.diag(b, 1)
-    start = 0
+    start, groups, lacking = 0, [], []
     while start < n:
         stop = start + 1
         while stop < n and values[stop - 1] - values[stop] < 1e-3 * values[stop - 1]:
             stop += 1
         for k in range(start, stop):
-            most = 0.0
-            for x in twisted(a, b, values[k]):
+            least = np.inf
+            for x, residual in twisted(a, b, values[k]):
                 for _ in range(2):
                     x = x - z[:, start:k] @ (z[:, start:k].T @ x)
                 size = np.sqrt(x @ x)
-                if size > most:
-                    most, z[:, k] = size, x / size
-                if size > 0.1:
+                residual = (residual + n * EPS * values[k] ** 2) / size if size else np.inf  # of what is left, rounding included
+                if residual < least or not z[:, k].any():
+                    least, z[:, k] = residual, x / (size or 1)
+                if size > 0.1 and least <= FINE * values[k] ** 2:
                     break
-        if stop - start > 1:
-            w = full @ z[:, start:stop]
-            _, turn = np.linalg.eigh(w.T @ w)
-            z[:, start:stop] = z[:, start:stop] @ turn[:, ::-1]
+            if stop - start > 1 and not least <= FINE * values[k] ** 2:
+                z[:, k] = 0
+                lacking.append(k)
+        groups.append(np.arange(start, stop))
         start = stop
+    if lacking:
+        rest = np.linalg.qr(np.delete(z, lacking, 1), "complete")[0][:, n - len(lacking) :]
+        z[:, lacking] = rest @ np.linalg.svd(full @ rest)[2].T
+    for group in groups:
+        if len(group) > 1:
+            w = full @ z[:, group]
+            _, turn = np.linalg.eigh(w.T @ w)
+            z[:, group] = z[:, group] @ turn[:, ::-1]
+    return z
     return z
 
 

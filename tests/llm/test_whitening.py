@@ -43,6 +43,19 @@ def test_solver(kind, d):
     assert np.abs(w.T @ w - np.diag(s**2)).max() <= 1e-11 * max(want[0] ** 2, 1e-300)
 
 
+@pytest.mark.parametrize("levels", [[5.0, 1.0], [7.0, 2.0, 0.01], [1.0, 1e-1, 1e-2, 1e-3, 1e-4, 1e-5]])
+def test_clusters_whatever_the_rounding(levels):
+    """Parts joined by little more than rounding; of 40 such matrices some lacked vectors on any machine."""
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        turns = [np.linalg.qr(rng.normal(size=(40, 40)))[0] for _ in range(2)]
+        m = np.linalg.qr(turns[0] @ np.diag(rng.choice(levels, 40)) @ turns[1], "r")
+        s, v = solved(m)
+        w = m @ v
+        assert np.abs(v.T @ v - np.eye(40)).max() < 1e-9
+        assert np.abs(w.T @ w - np.diag(s**2)).max() <= 1e-11 * s[0] ** 2
+
+
 def test_small_values_are_accurate():
     """A bidiagonal matrix fixes its least singular value to full relative accuracy."""
     a, b = np.array([1.0, 1e-6, 1e-12, 1e-18]), np.array([0.5, 1e-7, 1e-13])
