@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import dense_places
+from .ordering import dense_places, lists
 
 
 def polygon(nodes: Column | str) -> Column:
@@ -15,9 +15,13 @@ def polygon(nodes: Column | str) -> Column:
 
 def edges_from_faces(faces: DataFrame, nodes: str = "nodes") -> DataFrame:
     """(a, b), a < b: the distinct undirected edges of face polygons, each node joined to the next and the last to the first. Padding nodes (NULL) are left out."""
+    return _sides(faces, nodes).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _sides(faces: DataFrame, nodes: str) -> DataFrame:
+    """(x, y): each side of each polygon."""
     p = faces.select(polygon(nodes).alias("p")).where(F.size("p") > 1)
-    pairs = p.select("p", F.posexplode("p").alias("k", "x")).select("x", F.get("p", (F.col("k") + 1) % F.size("p")).alias("y"))
-    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return p.select("p", F.posexplode("p").alias("k", "x")).select("x", F.get("p", (F.col("k") + 1) % F.size("p")).alias("y")).where("x <> y")
 
 
 def edges_from_points(points: DataFrame, own: str = "node", neighbours: str = "neighbours") -> DataFrame:
@@ -27,14 +31,15 @@ def edges_from_points(points: DataFrame, own: str = "node", neighbours: str = "n
 
 
 def points_from_edges(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, neighbours): the nodes that share an edge with each node, in order."""
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("n")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("n")))
-    return both.where("node <> n").groupBy("node").agg(F.array_sort(F.collect_set("n")).alias("neighbours"))
+    """(node, neighbours): the nodes that share an edge with each node, in order. Edges may be there several times."""
+    way = lambda x, y: F.struct(F.col(x).alias("node"), F.col(y).alias("neighbours"))
+    both = edges.where(F.col(a) != F.col(b)).select(F.explode(F.array(way(a, b), way(b, a))).alias("_e")).select("_e.*")
+    return lists(both, "node", ["neighbours"], ["neighbours"], distinct=True)
 
 
 def points_from_faces(faces: DataFrame, nodes: str = "nodes") -> DataFrame:
-    """(node, neighbours): the nodes before and after each node in its polygons."""
-    return points_from_edges(edges_from_faces(faces, nodes))
+    """(node, neighbours): the nodes before and after each node in its polygons. Sides of several polygons meet where neighbours are sorted, not before."""
+    return points_from_edges(_sides(faces, nodes), "x", "y")
 
 
 def with_own(df: DataFrame, own: str, others: str, name: str = "row") -> DataFrame:
@@ -82,9 +87,13 @@ def node_coordinates(cells: DataFrame, cell: str, nodes: str, bounds: str, name:
 
 def bounds_from_nodes(cells: DataFrame, cell: str, nodes: str, coordinates: DataFrame, node: str, value: str) -> DataFrame:
     """(cell, bounds): the coordinates of a cell's nodes in their order; padding stays missing."""
+    return bounds_of_all(cells, cell, nodes, coordinates, node, [value]).select(cell, F.col(value).alias("bounds"))
+
+
+def bounds_of_all(cells: DataFrame, cell: str, nodes: str, coordinates: DataFrame, node: str, values: list[str]) -> DataFrame:
+    """(cell, and a column of bounds for each of several coordinates), from one join: see bounds_from_nodes()."""
     flat = cells.select(cell, F.posexplode_outer(nodes).alias("_k", node))
-    found = flat.join(coordinates.select(node, value), node, "left")
-    return found.groupBy(cell).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", value))), lambda x: x[value]).alias("bounds"))
+    return lists(flat.join(coordinates.select(node, *values), node, "left"), cell, ["_k"], values)
 
 
 def linked(topologies: DataFrame, domain: str = "domain", kind: str = "kind", nodes: str = "nodes") -> DataFrame:
@@ -96,17 +105,18 @@ def linked(topologies: DataFrame, domain: str = "domain", kind: str = "kind", no
     through one pass and one shuffle, by domain and two hashes of their own. Domains meet by fingerprints, no pair of them is
     compared. One without faces joins the domains with its edges, of several meshes with them the first. A domain
     without edges stands alone."""
-    p = polygon(nodes)
-    n = F.size("_p")
-    pair = lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
-    ring = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 1), lambda k: pair(F.get("_p", k), F.get("_p", (k + 1) % n))))
-    spokes = F.transform(F.slice("_p", 2, F.greatest(n - 1, F.lit(0))), lambda y: pair(F.get("_p", F.lit(0)), y))
-    ends = F.when(n > 1, F.array(pair(F.get("_p", F.lit(0)), F.get("_p", F.lit(1)))))
-    edges = F.filter(F.when(F.col(kind) == "face", ring).when(F.col(kind) == "edge", ends).otherwise(spokes), lambda e: e["x"] != e["y"])
-    both = lambda *x: (F.xxhash64(F.lit(1), *x).alias("h1"), F.xxhash64(F.lit(2), *x).alias("h2"))
-    told = F.transform(F.coalesce(edges, F.array().cast(f"array<struct<x:{_kind_of(topologies, nodes)},y:{_kind_of(topologies, nodes)}>>")), lambda e: F.struct(F.lit(False).alias("face"), *both(e["x"], e["y"])))
-    own_face = F.when(F.col(kind) == "face", F.array(F.struct(F.lit(True).alias("face"), *both(F.array_sort(F.array_distinct("_p"))))))
-    items = topologies.select(domain, kind, p.alias("_p")).select(domain, F.explode_outer(F.when(F.col(kind) == "face", F.concat(told, own_face)).otherwise(told)).alias("_i")).select(domain, "_i.*")
+    none = F.array().cast(topologies.schema[nodes].dataType)
+    rows = topologies.select(domain, kind, F.coalesce(polygon(nodes), none).alias("_p"))
+    is_face, n, k, x = F.col(kind) == "face", F.size("_p"), F.col("_k"), F.col("_x")
+    # A row for each node, and for faces one more that stands for the face: what follows is generated code, without a function over arrays.
+    flat = rows.select(domain, kind, "_p", F.posexplode_outer(F.when(is_face, F.concat("_p", F.array(F.lit(None)))).otherwise(F.col("_p"))).alias("_k", "_x"))
+    first, following = F.get("_p", F.lit(0)), F.get("_p", F.when(k + 1 < n, k + 1).otherwise(0))
+    own_face = is_face & (k == n)
+    start = F.when(is_face, x).otherwise(first)
+    end = F.when(is_face, following).when(F.col(kind) == "edge", F.when(k == 1, x)).otherwise(F.when(k > 0, x))
+    told = lambda seed: F.when(F.col("_own"), F.xxhash64(F.lit(seed), F.sort_array(F.array_distinct("_p")))).when(F.col("_a") != F.col("_b"), F.xxhash64(F.lit(seed), F.least("_a", "_b"), F.greatest("_a", "_b")))
+    items = flat.select(domain, "_p", own_face.alias("_own"), start.alias("_a"), end.alias("_b"))
+    items = items.select(domain, F.when(F.col("_own"), True).when(F.col("_a") != F.col("_b"), False).alias("face"), told(1).alias("h1"), told(2).alias("h2"))
     # Edges count once, faces as often as they occur; a row without either keeps its domain.
     items = items.groupBy(domain, "face", "h1", "h2").agg(F.count("*").alias("n"))
     face, edge = F.coalesce("face", F.lit(False)), F.coalesce(~F.col("face"), F.lit(False))
@@ -126,11 +136,6 @@ def linked(topologies: DataFrame, domain: str = "domain", kind: str = "kind", no
     return own.join(named.hint("merge"), keys, "left").select(domain, F.coalesce("_mesh", domain).alias("mesh"))
 
 
-def _kind_of(df: DataFrame, nodes: str) -> str:
-    """The type of node ids."""
-    return df.schema[nodes].dataType.elementType.simpleString()
-
-
 def without_empty_columns(cells: DataFrame, nodes: str = "nodes") -> DataFrame:
     """Rows of equal length cut to the columns from the first to the last in which any row has a value; one row of bounds is broadcast."""
     at = cells.select(F.posexplode(nodes).alias("_k", "_x")).where("_x is not null").agg(F.min("_k").alias("_low"), F.max("_k").alias("_high"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 BLOCK = 1 << 16
 
@@ -36,3 +42,51 @@ def running_start(df: DataFrame, key: str, count: str, name: str = "start") -> D
     before = sums_before(totals)
     own = F.sum(count).over(Window.partitionBy("_block").orderBy(key)) - F.col(count)
     return df.withColumn("_own", own).join(before, "_block").withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_block", "_before", "_own")
+
+
+def lists(df: DataFrame, key: str, order: list[str], columns: list[str], distinct: bool = False) -> DataFrame:
+    """(key, and of each column the list of its values): the rows of a key, which is never NULL, in the order given. With `distinct`, rows equal to the one before count once.
+
+    Rows are shuffled and sorted once by key; tasks then cut what streams by into lists, and hold the key that goes on and no buffer for others."""
+
+    def differs(t: pa.Table, names: list[str]) -> np.ndarray:
+        """Of each row, whether it differs from the one before; the first does."""
+        out = np.zeros(t.num_rows, bool)
+        out[:1] = True
+        for x in names:
+            c = t.column(x)
+            a, b = c.slice(0, len(c) - 1), c.slice(1)
+            unlike = pa.compute.fill_null(pa.compute.not_equal(a, b), False)
+            out[1:] |= pa.compute.or_(unlike, pa.compute.xor(pa.compute.is_null(a), pa.compute.is_null(b))).to_numpy()
+        return out
+
+    def cut(t: pa.Table) -> pa.RecordBatch:
+        if distinct:
+            t = t.filter(pa.array(differs(t, [key, *columns])))
+        starts = np.flatnonzero(differs(t, [key]))
+        ends = pa.array(np.append(starts, t.num_rows), pa.int32())
+        values = [pa.ListArray.from_arrays(ends, pa.concat_arrays(t.column(c).chunks)) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(t.column(key).take(pa.array(starts)).chunks), *values], [key, *columns])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # of the key that goes on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            same = not held or held[-1].column(key)[-1] == t.column(key)[0]
+            if same and t.column(key)[0] == t.column(key)[-1]:  # as it is sorted, of one key
+                held.append(t)
+                continue
+            t = pa.concat_tables([*held, t])
+            last = int(np.flatnonzero(differs(t, [key]))[-1])
+            if last:
+                yield cut(t.slice(0, last))
+            held = [t.slice(last)]
+        if held:
+            yield cut(pa.concat_tables(held))
+
+    kinds = df.schema
+    schema = StructType([StructField(key, kinds[key].dataType), *(StructField(c, ArrayType(kinds[c].dataType)) for c in columns)])
+    names = list(dict.fromkeys([key, *columns]))
+    return df.repartition(key).sortWithinPartitions(key, *order).select(*names).mapInArrow(listed, schema)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..model import Cells, Construct, Field
 from ..operators import mesh, ragged
-from ..operators.ordering import dense_places
+from ..operators.ordering import dense_places, lists
 from ..sources import dataset
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, written
 from ..sources.tables import table
 from .registry import query
 
@@ -158,25 +158,23 @@ def dataset_references(spark: SparkSession, sf: str) -> DataFrame:
 )
 def mesh_from_files(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as faces of parts, a field on the faces and one on the nodes of the same mesh: written as one mesh with node coordinates, and read back with bounds from nodes."""
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
-    faces = lines.select("l_orderkey", F.transform("x", lambda x: x["l_partkey"].cast("long")).alias("nodes")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("long").alias("nodes"), "l_suppkey").where("l_orderkey is not null")
+    prices = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").cast("double").alias("price"))
+    # What is numbered is read twice, so it is written before.
+    faces = written(lists(lines, "l_orderkey", ["l_linenumber", "nodes", "l_suppkey"], ["nodes"]).join(prices, "l_orderkey"), "mesh")
     folder = scratch(spark, "mesh")
-    dense_places(faces, "l_orderkey", 0, "face").select("face", "nodes", F.col("o_totalprice").cast("double").alias("price")).write.parquet(f"{folder}-rows")
-    faces = spark.read.parquet(f"{folder}-rows")
+    faces = written(dense_places(faces, "l_orderkey", 0, "face").select("face", "nodes", "price"), "mesh")
     n = faces.count()
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").cast("double").alias("lat"), F.col("p_size").cast("double").alias("lon"))
     on = lambda df, axis, name, size: Cells(df.select(axis, F.col(name).alias("value")), (axis,), (size,))
 
-    def edges(name: str) -> DataFrame:
-        mesh.bounds_from_nodes(faces, "face", "nodes", part, "id", name).write.parquet(f"{folder}-{name}")
-        return spark.read.parquet(f"{folder}-{name}")
-
+    # Bounds stay lazy: node coordinates come from the field on nodes, and only where there is none from bounds.
+    edges = lambda name: mesh.bounds_from_nodes(faces, "face", "nodes", part, "id", name)
     named = lambda name, axis, **k: Construct(name, "auxiliary_coordinate", (axis,), {"standard_name": {"lat": "latitude", "lon": "longitude"}[name]}, ncvar=name, **k)
     on_faces = Field(on(faces, "face", "price", n), (Construct("t", "domain_topology", ("face",), cell="face", data=on(faces, "face", "nodes", n)), *(named(x, "face", bounds=edges(x)) for x in ("lat", "lon"))), {"long_name": "price"})
-    points = mesh.points_from_faces(faces)
-    points = mesh.with_own(points, "node", "neighbours").join(part.withColumnRenamed("id", "node"), "node")
-    dense_places(points, "node", 0, "at").withColumnRenamed("node", "id").write.parquet(f"{folder}-points")
-    points = spark.read.parquet(f"{folder}-points")
+    points = mesh.with_own(mesh.points_from_faces(faces), "node", "neighbours").drop("neighbours")
+    points = written(points.join(part.withColumnRenamed("id", "node"), "node"), "mesh")
+    points = written(dense_places(points, "node", 0, "at").withColumnRenamed("node", "id"), "mesh")
     m = points.count()
     on_nodes = Field(on(points, "at", "lat", m), (Construct("t", "domain_topology", ("at",), cell="point", data=on(points, "at", "row", m)), *(named(x, "at", data=on(points, "at", x, m)) for x in ("lat", "lon"))), {"long_name": "size"})
     dataset.write([on_faces, on_nodes], folder)

@@ -166,7 +166,7 @@ def grouped(spark: SparkSession, paths: list[str], external: list[str] | None =
             df.unpersist()
     make = _domain if domain else _field
     out: dict[str, list] = {p: [] for p in paths}
-    places: dict[str, dict] = {p: {} for p in paths}  # of compressed dimensions, for all variables of a file
+    places: dict[str, dict] = {p: {} for p in paths}  # of compressed dimensions, and bounds on meshes, for all variables of a file
     for d, v in sorted((r["dataset"], r["variable"]) for r in names):
         out[d].append(make(spark, described, d, v, mine.get((d, v), []), places))
     return out
@@ -244,7 +244,7 @@ def _constructs(spark: SparkSession, described: dict, dataset: str, r: object, f
             key = f"axis_{key}"
         out.append(Construct(key, kind, tuple(cells.axes), _properties(own), ncvar=x["variable"], measure=x["term"] if x["kind"] == "cell_measure" else None, data=cells, bounds=bounds))
     raw = lambda x, **how: variable(spark, dataset, x, **how)
-    out += ugrid.constructs(described, dataset, r, sizes, raw)
+    out += ugrid.constructs(described, dataset, r, sizes, raw, places.setdefault(dataset, {}))
     return out + _references(described, dataset, r, found, out)
 
 

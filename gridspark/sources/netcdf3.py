@@ -330,7 +330,10 @@ class Reader(AxisRanges, DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         shape = self.header.shape(self.variable)[: len(self.axes)]
         box = self.wanted((0,) * len(shape), shape)
-        return dealt([(None, *box)] if box else [], int(self.options.get("cells", 1 << 20)))
+        held = int(self.options.get("cells", 1 << 20))
+        if self.last == "array":  # a row holds as many values as the last dimension
+            held = max(1, held // max(1, self.header.shape(self.variable)[-1]))
+        return dealt([(None, *box)] if box else [], held)
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         h, v = self.header, self.variable

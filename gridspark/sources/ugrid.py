@@ -21,12 +21,12 @@ CONNECTIVITY = ("edge_node_connectivity", "face_node_connectivity", "edge_edge_c
 CELLS = {"node": "point", "edge": "edge", "face": "face"}
 
 
-def constructs(described: dict, dataset: str, r: object, sizes: dict[str, int], read: Callable[..., Cells]) -> list[Construct]:
+def constructs(described: dict, dataset: str, r: object, sizes: dict[str, int], read: Callable[..., Cells], known: dict | None = None) -> list[Construct]:
     """Domain topology, cell connectivity and coordinates of a variable that has a mesh and a location; none if it has no such.
 
     `read(name, last=...)` gives the cells of a variable. Ids count from 0, padding is left out. Point topologies follow from
     edges, or else faces. Coordinates of edges and faces have bounds from their nodes; without coordinates of their own they
-    have bounds only."""
+    have bounds only. Those of all coordinates come from one join, written once for all variables at a location and kept in `known`."""
     a = r["attributes"]
     name, location = a.get("mesh"), a.get("location", "")
     if (dataset, name) not in described or location not in CELLS:
@@ -59,18 +59,26 @@ def constructs(described: dict, dataset: str, r: object, sizes: dict[str, int],
         out.append(Construct(f"connectivity_{location}", "cell_connectivity", (axis,), connectivity={"face": "edge", "edge": "node"}.get(location, location), data=Cells(own, (axis,), (size,)), ncvar=m[key]))
     mine = [x for x in m.get(f"{location}_coordinates", "").split() if (dataset, x) in described]
     named = lambda x: {k: v for k, v in described[dataset, x]["attributes"].items() if k not in ("units", "calendar", "_FillValue", "bounds")}
-    known = {named(x).get("standard_name", x): x for x in mine}
+    beside = {named(x).get("standard_name", x): x for x in mine}
+    edges = _bounds(topology, axis, nodes, read, (name, location), {} if known is None else known) if location != "node" and nodes else {}
     for x in mine if location == "node" else nodes:
-        own = x if location == "node" else known.get(named(x).get("standard_name", x))
-        bounds = None
-        if location != "node":
-            there = read(x)
-            at = there.df.select(F.col(there.axes[0]).alias("id"), there.v.alias("_x"))
-            bounds = M.bounds_from_nodes(topology.df.withColumnRenamed("value", "nodes"), axis, "nodes", at, "id", "_x")
-        out.append(Construct(own or x, "auxiliary_coordinate", (axis,), named(own or x), ncvar=own or x, data=read(own) if own else None, bounds=bounds))
+        own = x if location == "node" else beside.get(named(x).get("standard_name", x))
+        out.append(Construct(own or x, "auxiliary_coordinate", (axis,), named(own or x), ncvar=own or x, data=read(own) if own else None, bounds=edges.get(x)))
     return out
 
 
+def _bounds(topology: Cells, axis: str, nodes: list[str], read: Callable[..., Cells], key: tuple[str, str], known: dict) -> dict[str, DataFrame]:
+    """(axis, bounds) of each coordinate of the nodes."""
+    if key not in known:
+        at = None
+        for k, x in enumerate(nodes):
+            there = read(x)
+            one = there.df.select(F.col(there.axes[0]).alias("_node"), there.v.alias(f"_x{k}"))
+            at = one if at is None else at.join(one, "_node", "full")
+        known[key] = written(M.bounds_of_all(topology.df.withColumnRenamed("value", "_nodes"), axis, "_nodes", at, "_node", [f"_x{k}" for k in range(len(nodes))]), "bounds")
+    return {x: known[key].select(axis, F.col(f"_x{k}").alias("bounds")) for k, x in enumerate(nodes)}
+
+
 def _ids(cells: Cells, attributes: dict) -> Cells:
     start = int(float(attributes.get("start_index", 0)))
     return replace(cells, df=cells.df.select(*cells.axes, F.transform(F.array_compact(cells.v), lambda x: x.cast("long") - start).alias("value")), value="value")
@@ -119,9 +127,14 @@ def planned(spark: SparkSession, fields: list[Field], name: Callable[[str], str]
     for members in (sorted(x) for x in groups.values()):
         rows = union.where(F.col("domain").isin(members))
         ids = rows.select(F.explode("nodes").alias("id")).where("id is not null").distinct()
-        rank = written(dense_places(ids, "id", 0, "node").select("id", "node"), "mesh")
+        rank = written(dense_places(written(ids, "mesh"), "id", 0, "node").select("id", "node"), "mesh")
         n = rank.count()
-        ranked = written(M.normalised(rows.withColumn("cell", F.struct("domain", "cell")), "cell", "nodes", ranks=rank).select("cell.domain", F.col("cell.cell").alias("cell"), "nodes"), "mesh")
+
+        def ranked(k: int) -> DataFrame:
+            """(cell, _k, node) of one field, a row for each node, lazily: only cells that are written are ranked."""
+            flat = rows.where(F.col("domain") == k).select("cell", F.posexplode("nodes").alias("_k", "id"))  # noqa: B023
+            return flat.join(rank, "id", "left").select("cell", "_k", "node")  # noqa: B023
+
         p = Plan({"cf_role": "mesh_topology", "topology_dimension": np.int32(2 if any(own[k].cell == "face" for k in members) else 1)})
         at = name("nodes")
         p.sizes[at] = n
@@ -131,33 +144,34 @@ def planned(spark: SparkSession, fields: list[Field], name: Callable[[str], str]
             axis = own[k].axes[0]
             p.axes[k] = (axis, location)
             if location == "node":
-                p.moves[k] = own[k].data.df.select(F.col(axis).alias("_at"), F.get(own[k].data.v, F.lit(0)).alias("id")).join(rank, "id").select("_at", F.col("node").alias("_node"))
+                p.moves[k] = written(own[k].data.df.select(F.col(axis).alias("_at"), F.get(own[k].data.v, F.lit(0)).alias("id")).join(rank, "id").select("_at", F.col("node").alias("_node")), "mesh")
         for location, kind in (("edge", "edge"), ("face", "face")):
             if kind in kinds:
                 k = kinds[kind]
-                _put(p, name, location, ranked.where(F.col("domain") == k), own[k].data.shape[0])
+                width = rows.where(F.col("domain") == k).agg(F.max(F.size("nodes"))).first()[0] if kind == "face" else 2
+                _put(p, name, location, ranked(k), own[k].data.shape[0], width or 1)
         if set(kinds) == {"point"}:
-            edges = M.edges_from_points(ranked.where(F.col("domain") == kinds["point"]).select(F.get("nodes", F.lit(0)).alias("node"), F.slice("nodes", 2, 1 << 20).alias("neighbours")))
-            count = edges.count()
-            numbered = dense_places(edges.withColumn("_k", F.col("a") * n + F.col("b")), "_k", n * n, "cell")
-            _put(p, name, "edge", numbered.select("cell", F.array("a", "b").alias("nodes")), count)
-        _coordinates(p, name, at, n, fields, own, members, ranked, rank)
+            points = M.normalised(rows.where(F.col("domain") == kinds["point"]), "cell", "nodes", ranks=rank)
+            edges = written(M.edges_from_points(points.select(F.get("nodes", F.lit(0)).alias("node"), F.slice("nodes", 2, 1 << 20).alias("neighbours"))), "mesh")
+            numbered = dense_places(edges.withColumn("_key", F.col("a") * n + F.col("b")), "_key", n * n, "cell")
+            _put(p, name, "edge", numbered.select("cell", F.posexplode(F.array("a", "b")).alias("_k", "node")), edges.count(), 2)
+        _coordinates(p, name, at, n, fields, own, members, ranked)
         out.append(p)
     return out
 
 
-def _put(p: Plan, name: Callable[[str], str], location: str, rows: DataFrame, size: int) -> None:
-    width = rows.agg(F.coalesce(F.max(F.size("nodes")), F.lit(1))).first()[0] if location != "edge" else 2
+def _put(p: Plan, name: Callable[[str], str], location: str, rows: DataFrame, size: int, width: int) -> None:
+    """The nodes of cells (cell, _k, node) as an array of two axes: rows go to their places, and no list is made of them."""
     axis, corners = name(f"{location}s"), name(f"{location}_corners")
-    p.sizes |= {axis: size, corners: max(width, 1)}
+    p.sizes |= {axis: size, corners: width}
     variable = name(f"{location}_nodes")
-    cells = Cells(rows.select(F.col("cell").alias(axis), F.transform("nodes", lambda x: x.cast("double")).alias("value")), (axis,), (size,))
+    cells = Cells(rows.where("node is not null").select(F.col("cell").alias(axis), F.col("_k").cast("long").alias(corners), F.col("node").alias("value")), (axis, corners), (size, width))
     p.variables[variable] = ((axis, corners), "i4", {"cf_role": f"{location}_node_connectivity", "start_index": np.int32(0), "_FillValue": np.int32(-1)}, cells)
     p.attributes[f"{location}_node_connectivity"] = variable
     p.attributes[f"{location}_dimension"] = axis
 
 
-def _coordinates(p: Plan, name: Callable[[str], str], at: str, n: int, fields: list[Field], own: dict, members: list[int], ranked: DataFrame, rank: DataFrame) -> None:
+def _coordinates(p: Plan, name: Callable[[str], str], at: str, n: int, fields: list[Field], own: dict, members: list[int], ranked: Callable[[int], DataFrame]) -> None:
     """Coordinates of the nodes, and of the cells that have some of their own."""
     done: dict[str, str] = {}
     for k in sorted(members, key=lambda k: own[k].cell != "point"):
@@ -172,8 +186,10 @@ def _coordinates(p: Plan, name: Callable[[str], str], at: str, n: int, fields: l
                     moved = p.moved(k, c.data)
                     rows = moved.df.select(F.col(axis).alias(at), moved.v.cast("double").alias("value"))
                 else:
-                    flat = ranked.where(F.col("domain") == k).join(c.bounds.select(F.col(axis).alias("cell"), "bounds"), "cell")
-                    rows = M.node_coordinates(flat, "cell", "nodes", "bounds").select(F.col("node").cast("long").alias(at), F.col("coordinate").cast("double").alias("value"))
+                    # As M.node_coordinates() does: of each node what is said where it first occurs.
+                    flat = ranked(k).where("node is not null").join(c.bounds.select(F.col(axis).alias("cell"), "bounds"), "cell")
+                    found = flat.groupBy("node").agg(F.min_by(F.get("bounds", F.col("_k")), F.struct("cell", "_k")).alias("_x"))
+                    rows = found.select(F.col("node").cast("long").alias(at), F.col("_x").cast("double").alias("value"))
                 done[label] = variable = name(f"node_{c.ncvar or c.properties.get('standard_name') or c.key}")
                 p.variables[variable] = ((at,), "f8", {**c.properties, **units}, Cells(rows, (at,), (n,)))
                 p.attributes["node_coordinates"] = f"{p.attributes.get('node_coordinates', '')} {variable}".strip()
