@@ -47,7 +47,8 @@ def running_start(df: DataFrame, key: str, count: str, name: str = "start") -> D
 def lists(df: DataFrame, key: str, order: list[str], columns: list[str], distinct: bool = False) -> DataFrame:
     """(key, and of each column the list of its values): the rows of a key, which is never NULL, in the order given. With `distinct`, rows equal to the one before count once.
 
-    Rows are shuffled and sorted once by key; tasks then cut what streams by into lists, and hold the key that goes on and no buffer for others."""
+    Rows are shuffled and sorted once, by the key alone; tasks then order and cut what streams by, and hold the key that goes on and no buffer for others."""
+    by = [(x, "ascending") for x in (key, *order)]
 
     def differs(t: pa.Table, names: list[str]) -> np.ndarray:
         """Of each row, whether it differs from the one before; the first does."""
@@ -61,6 +62,7 @@ def lists(df: DataFrame, key: str, order: list[str], columns: list[str], distinc
         return out
 
     def cut(t: pa.Table) -> pa.RecordBatch:
+        t = t.take(pa.compute.sort_indices(t, sort_keys=by, null_placement="at_start"))
         if distinct:
             t = t.filter(pa.array(differs(t, [key, *columns])))
         starts = np.flatnonzero(differs(t, [key]))
@@ -88,5 +90,5 @@ def lists(df: DataFrame, key: str, order: list[str], columns: list[str], distinc
 
     kinds = df.schema
     schema = StructType([StructField(key, kinds[key].dataType), *(StructField(c, ArrayType(kinds[c].dataType)) for c in columns)])
-    names = list(dict.fromkeys([key, *columns]))
-    return df.repartition(key).sortWithinPartitions(key, *order).select(*names).mapInArrow(listed, schema)
+    names = list(dict.fromkeys([key, *order, *columns]))
+    return df.select(*names).repartition(key).sortWithinPartitions(key).mapInArrow(listed, schema)
